@@ -61,7 +61,8 @@ def ts_from_file_text(s) -> Column:
 
 def seconds_between(start, end) -> Column:
     """``end - start`` in seconds as double, microsecond exact."""
-    return (F.unix_micros(_c(end)) - F.unix_micros(_c(start))) / F.lit(1_000_000.0)
+    e, s = _c(end).cast("timestamp"), _c(start).cast("timestamp")
+    return (F.unix_micros(e) - F.unix_micros(s)) / F.lit(1_000_000.0)
 
 
 def clip_box(x, w, limit) -> tuple[Column, Column]:

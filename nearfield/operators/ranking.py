@@ -11,6 +11,9 @@ computes the same 0-based ``row_number() - 1`` with a range shuffle instead:
 3. a table of counts per (group, partition) - groups x partitions rows, never
    data-sized - turns that into the rank inside the group.
 
+The sorted data is checkpointed once (reliable checkpoint in the cluster's
+checkpoint folder), so the counts and the rows come from the same copy.
+
 The order columns should make the order total (add a unique tiebreaker), so
 that a recomputed partition after an executor loss yields the same ranks.
 """
@@ -20,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.session import checkpoint_dir
+
 
 def positions(
     df: DataFrame,
@@ -40,6 +45,11 @@ def positions(
         .withColumn("__mid", F.monotonically_increasing_id())
         .withColumn("__local", F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33))
     )
+    # Both uses below must see the same partitioning: range bounds come from a
+    # sample whose seed depends on the RDD, so two evaluations can disagree.
+    # A reliable checkpoint (shared checkpoint folder) fixes one copy.
+    checkpoint_dir(spark)
+    ranked = ranked.checkpoint(eager=True)
     counts = ranked.groupBy(*group_cols, "__pid").agg(
         F.count(F.lit(1)).alias("__c"), F.min("__local").alias("__first")
     )

@@ -127,3 +127,142 @@ WHERE EXISTS (SELECT 1 FROM dhits h WHERE h.target = l.target AND h.doc_id = l.d
 ORACLES["labelled_misses_anti"] = "WITH " + DOCS + """
 SELECT l.doc_id, l.target, l.y_true FROM lab l
 WHERE NOT EXISTS (SELECT 1 FROM dhits h WHERE h.target = l.target AND h.doc_id = l.doc_id)"""
+
+# -- step 2: store profiles --------------------------------------------------------
+
+_COS = "list_cosine_similarity(p.qv, e.embedding::DOUBLE[])"
+_OUT = f"""
+SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank FROM hits"""
+
+ORACLES["search_profile_cosine"] = CLASS_HITS + _OUT
+
+ORACLES["search_profile_post_filter"] = (
+    "WITH " + PROTOS + "," + scored() + "," + ranked("score IS NOT NULL", limit=50)
+    + f"""
+SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank
+FROM hits WHERE score >= {C.THRESHOLD}"""
+)
+
+ORACLES["search_profile_half_shift"] = (
+    "WITH " + PROTOS + "," + scored(f"(1.0 + {_COS}) / 2.0") + "," + ranked("score >= 0.6") + _OUT
+)
+
+ORACLES["search_profile_distance"] = (
+    "WITH " + PROTOS + "," + scored(f"1.0 - {_COS}") + ","
+    + ranked("score <= 0.8", order="score ASC", limit=16000) + _OUT
+)
+
+# -- step 3: metrics and pre-filter ------------------------------------------------
+
+ORACLES["metric_inner_product"] = (
+    "WITH " + PROTOS + "," + scored("list_inner_product(p.qv, e.embedding::DOUBLE[])") + ","
+    + ranked("score IS NOT NULL", limit=C.TOPK) + _OUT
+)
+
+ORACLES["metric_l2"] = (
+    "WITH " + PROTOS + "," + scored("list_distance(p.qv, e.embedding::DOUBLE[])") + ","
+    + ranked("score IS NOT NULL", order="score ASC", limit=C.TOPK) + _OUT
+)
+
+ORACLES["prefiltered_search"] = (
+    "WITH " + PROTOS + "," + scored(where="WHERE e.label BETWEEN 3 AND 6") + ","
+    + ranked(f"score >= {C.THRESHOLD}")
+    + f"""
+SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank, label
+FROM hits"""
+)
+
+# -- step 4: multi-target evaluation ---------------------------------------------
+
+_DOC_PRED = "WITH " + DOCS + """,
+pred AS (
+  SELECT l.doc_id, l.target, l.y_true,
+         CASE WHEN EXISTS (SELECT 1 FROM dhits h WHERE h.target = l.target AND h.doc_id = l.doc_id)
+              THEN 1 ELSE 0 END AS y_pred
+  FROM lab l
+)"""
+
+ORACLES["confusion_multi_target"] = _DOC_PRED + f""",
+conf AS (
+  SELECT target,
+    CAST(count(*) FILTER (WHERE y_true <> 1 AND y_pred <> 1) AS BIGINT) AS tn,
+    CAST(count(*) FILTER (WHERE y_true <> 1 AND y_pred = 1) AS BIGINT) AS fp,
+    CAST(count(*) FILTER (WHERE y_true = 1 AND y_pred <> 1) AS BIGINT) AS fn,
+    CAST(count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS BIGINT) AS tp
+  FROM pred GROUP BY target
+)
+SELECT target, tn, fp, fn, tp, {METRICS} FROM conf"""
+
+ORACLES["degenerate_class_flags"] = _DOC_PRED + """
+SELECT target, CAST(count(*) AS BIGINT) AS n_labelled, CAST(sum(y_true) AS BIGINT) AS n_true,
+       CAST(sum(y_pred) AS BIGINT) AS n_pred,
+       (min(y_true) = max(y_true) AND min(y_pred) = max(y_pred) AND min(y_true) = min(y_pred))
+         AS is_degenerate
+FROM pred GROUP BY target"""
+
+ORACLES["average_precision"] = CLASS_HITS + f""",
+rel AS (
+  SELECT query_id, rank, CASE WHEN label = query_id THEN 1 ELSE 0 END AS rel FROM hits
+),
+cum AS (
+  SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM rel
+),
+s AS (
+  SELECT query_id, sum(CASE WHEN rel = 1 THEN c::DOUBLE / rank::DOUBLE ELSE 0.0 END) AS s
+  FROM cum GROUP BY query_id
+),
+pos AS (SELECT CAST(label AS BIGINT) AS query_id, count(*) AS n_pos FROM embeddings GROUP BY label)
+SELECT p.query_id, CAST(p.n_pos AS BIGINT) AS n_pos,
+       round(coalesce(s.s, 0.0) / p.n_pos::DOUBLE, {R}) AS average_precision
+FROM pos p LEFT JOIN s USING (query_id)"""
+
+# -- step 5/6: request-log statistics -----------------------------------------------
+
+_WIDE = """
+w AS (
+  SELECT event_type, CAST(count(value) AS BIGINT) AS n, avg(value) AS mean,
+         stddev_pop(value) AS std, quantile_cont(value, 0.90) AS p90,
+         quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99
+  FROM events WHERE event_type <> 'error' GROUP BY event_type
+)"""
+
+ORACLES["latency_summary_wide"] = "WITH " + _WIDE + f"""
+SELECT event_type, n, round(mean, {R}) AS mean, round(std, {R}) AS std, round(p90, {R}) AS p90,
+       round(p95, {R}) AS p95, round(p99, {R}) AS p99
+FROM w"""
+
+ORACLES["latency_summary_long"] = "WITH " + _WIDE + "\n" + "\nUNION ALL\n".join(
+    f"SELECT event_type, '{m}' AS metric, round(CAST({m} AS DOUBLE), {R}) AS value FROM w"
+    for m in ("n", "mean", "std", "p90", "p95", "p99")
+)
+
+ORACLES["throughput_by_store"] = f"""
+WITH t AS (
+  SELECT event_type, CAST(count(*) AS BIGINT) AS total_requests,
+         CAST(count(*) FILTER (WHERE event_type <> 'error') AS BIGINT) AS successful_requests,
+         (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS elapsed_s
+  FROM events GROUP BY event_type
+)
+SELECT event_type, total_requests, successful_requests, round(elapsed_s, {R}) AS elapsed_s,
+       round(CASE WHEN elapsed_s > 0 THEN successful_requests / elapsed_s ELSE 0.0 END, {R}) AS rps
+FROM t"""
+
+ORACLES["iteration_numbering"] = """
+SELECT run_day, event_id, iteration FROM (
+  SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_day, event_id, event_type,
+         CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS BIGINT)
+           AS iteration
+  FROM events
+) WHERE event_type <> 'error'"""
+
+ORACLES["phase_durations"] = f"""
+SELECT user_id, strftime(min(ts), '%Y-%m-%d_%H-%M-%S') AS start_text,
+       strftime(max(ts), '%Y-%m-%d_%H-%M-%S') AS end_text, CAST(count(*) AS BIGINT) AS n_events,
+       round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0, {R}) AS duration_s
+FROM events GROUP BY user_id"""
+
+ORACLES["memory_delta"] = f"""
+SELECT user_id, event_id,
+       round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), {R}) AS delta
+FROM events"""

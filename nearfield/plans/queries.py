@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import base_name, non_empty
+from nearfield.functions.scalars import ts_file_text
 from nearfield.operators import evaluate as EV
-from nearfield.operators.search import ScoreRule, search
+from nearfield.operators import stats as ST
+from nearfield.operators.search import ScoreRule, profile, search, search_profile
 from nearfield.plans import catalog as C
 
 COS = ScoreRule("cosine", "identity")
@@ -85,6 +87,140 @@ def labelled_misses_anti(spark, sf_dir) -> DataFrame:
     return EV.labelled_misses(labels, doc_hits(spark, sf_dir), "doc_id")
 
 
+# -- step 2: store profiles (native score, cut-off, limit) -------------------------
+
+
+def _profile_hits(spark, sf_dir, prof):
+    coll = C.collection(spark, sf_dir)
+    h = search_profile(coll, C.class_queries(coll), prof, id_col="vec_id")
+    return h.select("query_id", "vec_id", _r("score"), "rank")
+
+
+def search_profile_cosine(spark, sf_dir):
+    """``s >= c`` (pgvector, Qdrant rule)."""
+    return _profile_hits(spark, sf_dir, profile("pgvector", cutoff=C.THRESHOLD, limit=C.LIMIT))
+
+
+def search_profile_post_filter(spark, sf_dir):
+    """Top-k first, then ``s >= t`` (Milvus rule); k = 50 binds here."""
+    return _profile_hits(spark, sf_dir, profile("milvus", cutoff=C.THRESHOLD, limit=50))
+
+
+def search_profile_half_shift(spark, sf_dir):
+    """``(1 + s) / 2 >= c`` (Weaviate, Elasticsearch rule); c = 0.6 <=> s >= 0.2."""
+    return _profile_hits(spark, sf_dir, profile("weaviate", cutoff=0.6, limit=C.LIMIT))
+
+
+def search_profile_distance(spark, sf_dir):
+    """``1 - s <= t`` (Chroma rule); t = 0.8 <=> s >= 0.2."""
+    return _profile_hits(spark, sf_dir, profile("chroma", cutoff=0.8))
+
+
+# -- step 3: metrics and scalar pre-filter --------------------------------------
+
+
+def metric_inner_product(spark, sf_dir):
+    h = class_hits(spark, sf_dir, rule=ScoreRule("ip"), cutoff=None, limit=C.TOPK)
+    return h.select("query_id", "vec_id", _r("score"), "rank")
+
+
+def metric_l2(spark, sf_dir):
+    h = class_hits(spark, sf_dir, rule=ScoreRule("l2"), cutoff=None, limit=C.TOPK)
+    return h.select("query_id", "vec_id", _r("score"), "rank")
+
+
+PREFILTER = "label BETWEEN 3 AND 6"
+
+
+def prefiltered_search(spark, sf_dir):
+    h = class_hits(spark, sf_dir, prefilter=PREFILTER)
+    return h.select("query_id", "vec_id", _r("score"), "rank", "label")
+
+
+# -- step 4: multi-target evaluation, degenerate flags, average precision -------
+
+
+def _doc_pred(spark, sf_dir):
+    return EV.predictions(C.doc_labels_long(spark, sf_dir), doc_hits(spark, sf_dir), "doc_id")
+
+
+def confusion_multi_target(spark, sf_dir):
+    return EV.with_metrics(EV.confusion(_doc_pred(spark, sf_dir), ["target"]))
+
+
+def degenerate_class_flags(spark, sf_dir):
+    return EV.degenerate_flags(_doc_pred(spark, sf_dir), ["target"])
+
+
+def average_precision(spark, sf_dir):
+    coll = C.collection(spark, sf_dir)
+    h = class_hits(spark, sf_dir)
+    ranked = h.select(
+        "query_id", "rank", (F.col("label").cast("long") == F.col("query_id")).cast("int").alias("rel")
+    )
+    pos = coll.groupBy(F.col("label").cast("long").alias("query_id")).agg(
+        F.count(F.lit(1)).alias("n_pos")
+    )
+    ap = EV.average_precision(ranked, pos)
+    return ap.select("query_id", "n_pos", _r("average_precision"))
+
+
+# -- step 5/6: request-log statistics ---------------------------------------------
+
+
+def _requests(spark, sf_dir):
+    ev = C.table(spark, sf_dir, "events")
+    return ev.select(
+        "event_id", "ts", "user_id", "event_type", "value",
+        (F.col("event_type") != F.lit("error")).alias("ok"),
+    )
+
+
+STAT_COLS = ["n", "mean", "std", "p90", "p95", "p99"]
+
+
+def latency_summary_wide(spark, sf_dir):
+    ok = _requests(spark, sf_dir).where("ok")
+    w = ST.latency_summary(ok, "value", ["event_type"])
+    return w.select("event_type", "n", *[_r(c) for c in STAT_COLS[1:]])
+
+
+def latency_summary_long(spark, sf_dir):
+    ok = _requests(spark, sf_dir).where("ok")
+    w = ST.latency_summary(ok, "value", ["event_type"])
+    lng = ST.summary_long(w, ["event_type"], STAT_COLS)
+    return lng.select("event_type", "metric", _r("value"))
+
+
+def throughput_by_store(spark, sf_dir):
+    t = ST.throughput(_requests(spark, sf_dir), ["event_type"], "ts", "ok")
+    return t.select(
+        "event_type", "total_requests", "successful_requests", _r("elapsed_s"), _r("rps")
+    )
+
+
+def iteration_numbering(spark, sf_dir):
+    r = _requests(spark, sf_dir).withColumn("run_day", F.to_date("ts"))
+    it = ST.iteration_numbers(r, ["run_day"], ["ts", "event_id"], "ok")
+    return it.select(F.col("run_day").cast("string").alias("run_day"), "event_id", "iteration")
+
+
+def phase_durations(spark, sf_dir):
+    d = ST.phase_durations(_requests(spark, sf_dir), ["user_id"], "ts")
+    return d.select(
+        "user_id",
+        ts_file_text("start_ts").alias("start_text"),
+        ts_file_text("end_ts").alias("end_text"),
+        "n_events",
+        _r("duration_s"),
+    )
+
+
+def memory_delta(spark, sf_dir):
+    d = ST.deltas(_requests(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value")
+    return d.select("user_id", "event_id", _r("delta"))
+
+
 QUERIES = {
     "flagship_search_eval": flagship_search_eval,
     "exact_threshold_search": exact_threshold_search,
@@ -92,4 +228,20 @@ QUERIES = {
     "hits_basename": hits_basename,
     "labelled_hits_semi": labelled_hits_semi,
     "labelled_misses_anti": labelled_misses_anti,
+    "search_profile_cosine": search_profile_cosine,
+    "search_profile_post_filter": search_profile_post_filter,
+    "search_profile_half_shift": search_profile_half_shift,
+    "search_profile_distance": search_profile_distance,
+    "metric_inner_product": metric_inner_product,
+    "metric_l2": metric_l2,
+    "prefiltered_search": prefiltered_search,
+    "confusion_multi_target": confusion_multi_target,
+    "degenerate_class_flags": degenerate_class_flags,
+    "average_precision": average_precision,
+    "latency_summary_wide": latency_summary_wide,
+    "latency_summary_long": latency_summary_long,
+    "throughput_by_store": throughput_by_store,
+    "iteration_numbering": iteration_numbering,
+    "phase_durations": phase_durations,
+    "memory_delta": memory_delta,
 }
