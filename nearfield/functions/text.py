@@ -22,30 +22,43 @@ from pyspark.sql import types as T
 # The 26 Latin letters, in alphabet order.
 LETTERS = string.ascii_lowercase
 
-_LUT = np.full(256, -1, dtype=np.int64)
+_LUT = np.full(256, -1, dtype=np.int8)
 for _i, _c in enumerate(LETTERS):
     _LUT[ord(_c)] = _i
     _LUT[ord(_c.upper())] = _i
 
+# Bytes of text counted per step (bounds the temporary arrays).
+_CHUNK_BYTES = 8 << 20
+
 
 def letter_counts(arr: pa.Array) -> pa.Array:
     """Arrow string array -> list<double>[26] of letter counts (NULL for NULL)."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
-    arr = arr.cast(pa.large_string()) if pa.types.is_string(arr.type) else arr
+    if pa.types.is_string(arr.type):
+        offsets = np.frombuffer(arr.buffers()[1], dtype=np.int32)
+    else:
+        offsets = np.frombuffer(arr.buffers()[1], dtype=np.int64)
     n = len(arr)
-    offsets = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset : arr.offset + n + 1]
+    offsets = offsets[arr.offset : arr.offset + n + 1].astype(np.int64)
     data = arr.buffers()[2]
-    start, end = int(offsets[0]), int(offsets[-1])
-    raw = np.frombuffer(data, dtype=np.uint8)[start:end] if data is not None else np.zeros(0, np.uint8)
-    letter = _LUT[raw]
-    row = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
-    keep = letter >= 0
-    counts = np.bincount(row[keep] * 26 + letter[keep], minlength=n * 26).astype(np.float64)
-    values = pa.array(counts)
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    counts = np.zeros((n, 26), dtype=np.int64)
+    lo = 0
+    while lo < n:
+        # Rows lo..hi-1 whose bytes fit in one chunk (at least one row).
+        hi = int(np.searchsorted(offsets, offsets[lo] + _CHUNK_BYTES, side="right")) - 1
+        hi = min(max(hi, lo + 1), n)
+        seg = _LUT[raw[offsets[lo] : offsets[hi]]]
+        lens = np.diff(offsets[lo : hi + 1])
+        row = np.repeat(np.arange(hi - lo, dtype=np.int32), lens)
+        keep = seg >= 0
+        key = row[keep] * 26 + seg[keep]
+        counts[lo:hi] = np.bincount(key, minlength=(hi - lo) * 26).reshape(hi - lo, 26)
+        lo = hi
+    values = pa.array(counts.reshape(-1).astype(np.float64))
     list_offsets = pa.array(np.arange(0, (n + 1) * 26, 26, dtype=np.int32))
-    out = pa.ListArray.from_arrays(list_offsets, values, mask=arr.is_null())
-    return out
+    return pa.ListArray.from_arrays(list_offsets, values, mask=arr.is_null())
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))

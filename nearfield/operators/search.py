@@ -147,7 +147,16 @@ def _query_blocks(queries: DataFrame, qid: str, qvec: str, budget_bytes: int):
     The size is measured first (one small aggregate job); a query set that
     fits is collected once, a larger one is split by a hash of its id.
     """
-    q = queries.select(F.col(qid).cast("long").alias("qid"), V.as_double(qvec).alias("v"))
+    # The query set is usually derived (an aggregate); keep it for the size
+    # check and the collect instead of computing it twice.
+    q = queries.select(F.col(qid).cast("long").alias("qid"), V.as_double(qvec).alias("v")).persist()
+    try:
+        return _query_blocks_of(q, budget_bytes)
+    finally:
+        q.unpersist()
+
+
+def _query_blocks_of(q: DataFrame, budget_bytes: int):
     n, d = _query_size(q, "v")
     total = n * max(d, 1) * 8
     if total <= budget_bytes:
@@ -332,7 +341,11 @@ def class_prototypes(df: DataFrame, class_col: str, vec_col: str = "embedding")
     gathers ``dim`` values per class.  Cosine ignores the scale, so the sum
     serves as the class's query vector.
     """
-    parts = df.select(class_col, F.posexplode(V.as_double(vec_col)).alias("pos", "x"))
+    # posexplode_outer: a plain posexplode makes the optimizer infer a
+    # ``size(vec) > 0`` filter and push it below joins, which evaluates a
+    # computed vector (e.g. a UDF embedding) twice.
+    parts = df.select(class_col, F.posexplode_outer(V.as_double(vec_col)).alias("pos", "x"))
+    parts = parts.where(F.col("pos").isNotNull())
     sums = parts.groupBy(class_col, "pos").agg(F.sum("x").alias("x"))
     return sums.groupBy(class_col).agg(
         F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("__v")
