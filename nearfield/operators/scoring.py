@@ -41,17 +41,22 @@ def make_batch_scorer(
     vec_col: str,
     carry: tuple[str, ...],
     out_schema,
+    cell_col: str | None = None,
 ):
     """Build the function given to ``DataFrame.mapInArrow``.
 
-    ``bq`` is a broadcast of ``(query_ids int64[q], Q float64[q, d])``.
+    ``bq`` is a broadcast of ``(query_ids int64[q], Q float64[q, d])`` or,
+    for cell-probed (IVF) search, ``(query_ids, Q, probes bool[q, n_cells])``
+    with ``cell_col`` naming the cell of each collection row: a pair is scored
+    only if the row's cell is among the query's probes.
     """
 
     def score_partition(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        qids, Q = bq.value
+        qids, Q, *rest = bq.value
+        probes = rest[0] if rest else None
         q, d = Q.shape
         if metric == "cosine":
             Qs = Q / np.linalg.norm(Q, axis=1, keepdims=True)
@@ -78,6 +83,11 @@ def make_batch_scorer(
                 valid &= sq > 0
             if not valid.all():
                 M, rows, sq = M[valid], rows[valid], sq[valid]
+            cells = None
+            if probes is not None:
+                cells = batch.column(batch.schema.get_field_index(cell_col)).to_numpy(
+                    zero_copy_only=False
+                )[rows].astype(np.int64)
             m = len(rows)
             if m == 0:
                 continue
@@ -94,6 +104,8 @@ def make_batch_scorer(
                     raw = G
                 S = native_scores(raw, transform)
                 mask = np.isfinite(S)
+                if cells is not None:
+                    mask &= probes[c0:c1][:, cells].T
                 if cutoff is not None:
                     mask &= (S >= cutoff) if higher_is_better else (S <= cutoff)
                 if cap is not None and m > cap:

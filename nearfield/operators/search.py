@@ -225,6 +225,8 @@ def search(
     carry: tuple[str, ...] | list[str] = (),
     method: str = "arrow",
     budget_bytes: int = DEFAULT_QUERY_BROADCAST_BYTES,
+    probe_fn=None,
+    cell_col: str | None = None,
 ) -> DataFrame:
     """Exact search of ``queries`` against ``collection``.
 
@@ -234,12 +236,13 @@ def search(
     before scoring (pushed to the scan when it is on stored columns).
     """
     carry = tuple(c for c in carry if c not in (id_col,))
+    scan_cols = (id_col, vec_col, *carry) + ((cell_col,) if cell_col and cell_col not in carry else ())
     if limit is not None and int(limit) <= 0:
         limit = 0
     coll = collection
     if prefilter:
         coll = coll.where(F.expr(prefilter))
-    coll = coll.select(id_col, vec_col, *carry)
+    coll = coll.select(*scan_cols)
     if limit == 0:
         coll = coll.where(F.lit(False))
 
@@ -262,7 +265,15 @@ def search(
             ids, Q = _query_block_arrays(rows, rule.metric)
             if len(ids) == 0:
                 continue
-            bq = sc.broadcast((ids, Q))
+            part = coll
+            if probe_fn is not None:
+                # Cells probed by this block: prune the scan, mask the pairs.
+                probes = probe_fn(Q)
+                cells = [int(c) for c in np.flatnonzero(probes.any(axis=0))]
+                part = coll.where(F.col(cell_col).isin(cells))
+                bq = sc.broadcast((ids, Q, probes))
+            else:
+                bq = sc.broadcast((ids, Q))
             fn = make_batch_scorer(
                 bq,
                 metric=rule.metric,
@@ -274,8 +285,9 @@ def search(
                 vec_col=vec_col,
                 carry=carry,
                 out_schema=arrow_schema,
+                cell_col=cell_col,
             )
-            parts.append(coll.mapInArrow(fn, out_schema))
+            parts.append(part.mapInArrow(fn, out_schema))
         if not parts:
             hits = coll.sparkSession.createDataFrame([], out_schema)
         else:
