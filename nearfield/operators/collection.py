@@ -32,7 +32,7 @@ from nearfield.functions.scalars import batch_number
 log = logging.getLogger(__name__)
 
 DEFAULT_BATCH = 500
-_VERSION = re.compile(r"^v(\d{8})(?:-e(\d+))?$")
+_VERSION = re.compile(r"^v(\d{8})(?:-t([A-Za-z0-9_]+))?$")
 
 
 class _FS:
@@ -127,24 +127,25 @@ class Collection:
         for name in self._fs.children(self.path):
             m = _VERSION.match(name)
             if m and self._fs.exists(f"{self.path}/{name}/_SUCCESS"):
-                out.append((int(m.group(1)), int(m.group(2)) if m.group(2) else None, name))
+                out.append((int(m.group(1)), m.group(2), name))
         return sorted(out)
 
     def _current(self) -> str | None:
         v = self._versions()
         return f"{self.path}/{v[-1][2]}" if v else None
 
-    def _next(self, epoch: int | None = None) -> str:
+    def _next(self, tag: str | None = None) -> str:
         v = self._versions()
         n = v[-1][0] + 1 if v else 1
-        tag = f"-e{int(epoch)}" if epoch is not None else ""
-        return f"{self.path}/v{n:08d}{tag}"
+        suffix = f"-t{tag}" if tag is not None else ""
+        return f"{self.path}/v{n:08d}{suffix}"
 
     def exists(self) -> bool:
         return self._current() is not None
 
-    def has_epoch(self, epoch: int) -> bool:
-        return any(e == epoch for _, e, _ in self._versions())
+    def has_tag(self, tag: str) -> bool:
+        """Whether a committed version carries ``tag`` (idempotent replays)."""
+        return any(t == tag for _, t, _ in self._versions())
 
     # -- DDL -------------------------------------------------------------------
     def create(self) -> "Collection":
@@ -163,8 +164,8 @@ class Collection:
             raise FileNotFoundError(f"collection {self.name!r} does not exist")
         return self.spark.read.schema(self.schema).parquet(cur)
 
-    def _commit(self, df: DataFrame, epoch: int | None = None) -> None:
-        target = self._next(epoch)
+    def _commit(self, df: DataFrame, tag: str | None = None) -> None:
+        target = self._next(tag)
         df.write.mode("errorifexists").parquet(target)
         self._gc(keep=2)
 
@@ -189,7 +190,7 @@ class Collection:
         self.create()
         new.write.mode("append").parquet(self._current())
 
-    def upsert(self, df: DataFrame, epoch: int | None = None) -> None:
+    def upsert(self, df: DataFrame, tag: str | None = None) -> None:
         """Overwrite by id - new rows win; one row per id in the result."""
         new = self._prepare(df)
         if new is None:
@@ -198,7 +199,7 @@ class Collection:
         new = new.dropDuplicates([self.id_col])
         old = self.read()
         keep = old.join(new.select(self.id_col), self.id_col, "left_anti")
-        self._commit(new.unionByName(keep), epoch)
+        self._commit(new.unionByName(keep), tag)
 
     def insert_ignore(self, df: DataFrame) -> None:
         """Existing ids are left alone; only new ids are added."""

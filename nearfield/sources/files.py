@@ -193,7 +193,11 @@ def write_results_csv(
     through a single task.
     """
     width = len(columns)
-    d = detail.select(run_col, *[F.col(c).cast("string").alias(c) for c in columns])
+    have = set(detail.columns)
+    d = detail.select(
+        run_col,
+        *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in columns],
+    )
     pad = [F.lit(None).cast("string").alias(c) for c in columns[2:width]]
     s = summary.select(
         run_col,

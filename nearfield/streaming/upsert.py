@@ -3,13 +3,15 @@
 New embedding files landing in a folder are upserted into a collection one
 micro-batch at a time: ``readStream`` (parquet, explicit schema) ->
 ``foreachBatch`` -> ``Collection.upsert``.  Each micro-batch commits one new
-collection version tagged with its epoch; a replayed epoch (after a driver
-restart the last batch can run again) finds its version and is skipped, so
-the sink is idempotent.  ``availableNow`` processes what is there and stops.
+collection version tagged with the stream and its epoch; a replayed epoch
+(after a restart the last batch can run again) finds its version and is
+skipped, so the sink is idempotent.  ``availableNow`` processes what is there and stops.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -25,16 +27,21 @@ def start_upsert_stream(
     checkpoint_location: str,
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
+    name: str | None = None,
 ) -> StreamingQuery:
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     stream = reader.parquet(source_dir)
 
+    # Version tag = stream identity + epoch: unique per micro-batch, equal on replay.
+    stream_id = name or hashlib.sha1(checkpoint_location.encode()).hexdigest()[:10]
+
     def upsert_batch(batch_df, epoch_id: int) -> None:
-        if collection.has_epoch(epoch_id):
+        tag = f"{stream_id}_{int(epoch_id)}"
+        if collection.has_tag(tag):
             return
-        collection.upsert(batch_df, epoch=epoch_id)
+        collection.upsert(batch_df, tag=tag)
 
     w = stream.writeStream.foreachBatch(upsert_batch).option(
         "checkpointLocation", checkpoint_location
