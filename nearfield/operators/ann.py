@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.functions.vectors import l2_normalize
 from nearfield.operators.search import ScoreRule, search
@@ -52,7 +53,7 @@ def _assign_cells(df: DataFrame, centroids: np.ndarray, vec_col: str) -> DataFra
     """Nearest centroid of each row, computed per Arrow batch (no shuffle)."""
     sc = df.sparkSession.sparkContext
     bc = sc.broadcast(centroids)
-    schema = df.schema.add("cell", "int")
+    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType(), False)])
 
     def assign(batches):
         import pyarrow as pa
