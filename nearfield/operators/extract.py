@@ -56,8 +56,10 @@ def extract_embeddings(
                 for k, (part_no, v) in enumerate(out):
                     ids.append(item_id)
                     parts.append(int(part_no) if part_no is not None else k)
-                    vecs.append(np.asarray(v, dtype=np.float32))
+                    vecs.append(np.asarray(v, dtype=np.float32).tolist())
                     errs.append(None)
+            if not ids:
+                continue
             yield pd.DataFrame(
                 {"item_id": ids, "part_no": parts, "embedding": vecs, "error": errs}
             ).astype({"item_id": "Int64", "part_no": "Int64"})
