@@ -17,6 +17,8 @@ import numpy as np
 
 # Largest score block computed at once (rows x queries), in elements.
 _BLOCK_ELEMS = 4_000_000
+# Largest per-task top-k state (queries x limit rows) kept across batches.
+_PARTITION_TOPK_ROWS = 2_000_000
 
 
 def native_scores(raw: np.ndarray, transform: str) -> np.ndarray:
@@ -64,6 +66,10 @@ def make_batch_scorer(
             Qs = Q
         q_sq = np.einsum("ij,ij->i", Q, Q)
         names = ["query_id", id_col, "score", *carry]
+        # Running top-`cap` per query over the whole partition when that state
+        # is small; otherwise each batch's own top-`cap` is emitted.
+        keep_partition_topk = cap is not None and q * cap <= _PARTITION_TOPK_ROWS
+        pending, pending_rows = [], 0
         for batch in batches:
             n = batch.num_rows
             if n == 0 or q == 0:
@@ -135,6 +141,34 @@ def make_batch_scorer(
             ]
             for col in carry:
                 arrays.append(batch.column(batch.schema.get_field_index(col)).take(take))
-            yield pa.RecordBatch.from_arrays(arrays, names=names).cast(out_schema)
+            out = pa.RecordBatch.from_arrays(arrays, names=names).cast(out_schema)
+            if keep_partition_topk:
+                pending.append(out)
+                pending_rows += out.num_rows
+                if pending_rows > 4 * q * cap:
+                    merged = _topk_per_query(pending, cap, higher_is_better, id_col)
+                    pending, pending_rows = [merged], merged.num_rows
+            else:
+                yield out
+        if keep_partition_topk and pending:
+            yield _topk_per_query(pending, cap, higher_is_better, id_col)
 
     return score_partition
+
+
+def _topk_per_query(batches, cap: int, higher_is_better: bool, id_col: str):
+    """Best ``cap`` rows per query over record batches, by (score, id)."""
+    import pyarrow as pa
+
+    t = pa.Table.from_batches(batches).combine_chunks()
+    qid = t.column("query_id").to_numpy()
+    sc = t.column("score").to_numpy()
+    ids = t.column(id_col).to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, -sc if higher_is_better else sc, qid))
+    qs = qid[order]
+    start = np.r_[0, np.flatnonzero(qs[1:] != qs[:-1]) + 1]
+    rank = np.arange(len(qs)) - np.repeat(start, np.diff(np.r_[start, len(qs)]))
+    keep = order[rank < cap]
+    if len(keep) == 0:
+        return pa.RecordBatch.from_pylist([], schema=t.schema)
+    return t.take(pa.array(keep)).combine_chunks().to_batches()[0]
