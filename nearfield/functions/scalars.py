@@ -56,13 +56,19 @@ def ts_file_text(ts) -> Column:
 
 
 def ts_from_file_text(s) -> Column:
-    return F.to_timestamp(_c(s), TS_FILE_FORMAT)
+    """Inverse of ``ts_file_text`` as a zone-less timestamp (no session-zone shift)."""
+    return F.to_timestamp_ntz(_c(s), F.lit(TS_FILE_FORMAT))
+
+
+def epoch_seconds(ts) -> Column:
+    """Whole seconds since 1970-01-01 00:00:00 of a zone-less timestamp."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
 
 
 def seconds_between(start, end) -> Column:
-    """``end - start`` in seconds as double, microsecond exact."""
-    e, s = _c(end).cast("timestamp"), _c(start).cast("timestamp")
-    return (F.unix_micros(e) - F.unix_micros(s)) / F.lit(1_000_000.0)
+    """``end - start`` in seconds as double, microsecond exact and independent
+    of the session time zone (E4)."""
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / F.lit(1_000_000.0)
 
 
 def clip_box(x, w, limit) -> tuple[Column, Column]:

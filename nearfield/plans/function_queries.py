@@ -105,7 +105,7 @@ def timestamp_text(spark, sf_dir):
     return ev.select(
         "event_id",
         txt.alias("ts_text"),
-        F.unix_seconds(S.ts_from_file_text(txt)).alias("ts_seconds"),
+        S.epoch_seconds(S.ts_from_file_text(txt)).alias("ts_seconds"),
     )
 
 
