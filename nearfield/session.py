@@ -26,6 +26,7 @@ def get_session(
     shuffle_partitions: int | None = None,
     app_name: str = "nearfield",
     extra: dict | None = None,
+    driver_memory: str | None = None,
 ) -> SparkSession:
     """Build (or reuse) a session with the settings the library assumes."""
     for k, v in _BLAS_ENV.items():
@@ -46,6 +47,9 @@ def get_session(
         conf[f"spark.executorEnv.{k}"] = v
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if driver_memory:
+        # Local mode: the driver JVM is the executor; only effective at JVM start.
+        conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
