@@ -14,8 +14,11 @@ A NULL score is never a hit.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColumnOrName = "Column | str"
 
@@ -123,3 +126,48 @@ def crop2d(rows, y1, y2, x1, x2) -> Column:
 def dim_ok(v, dim: int) -> Column:
     """``size(v) = dim`` check used by collection writes."""
     return F.size(_c(v)) == F.lit(int(dim))
+
+
+# -- packed storage ----------------------------------------------------------------
+# A vector can be stored as ``binary``: little-endian float32, 4 * dim bytes.
+# The Arrow scorer reads it without per-element conversion (about half the
+# scan cost of ``array<float>``).  NULL stays NULL.
+
+
+@F.arrow_udf(T.BinaryType())
+def _pack_f32(v: pa.Array) -> pa.Array:
+    if isinstance(v, pa.ChunkedArray):
+        v = v.combine_chunks()
+    v = v.cast(pa.list_(pa.float32()))
+    lens = np.where(v.is_null().to_numpy(zero_copy_only=False), 0, v.value_lengths().fill_null(0).to_numpy())
+    flat = np.asarray(v.flatten().to_numpy(zero_copy_only=False), dtype="<f4")
+    offs = np.zeros(len(v) + 1, dtype=np.int32)
+    np.cumsum(lens * 4, out=offs[1:])
+    validity = pa.array(~v.is_null().to_numpy(zero_copy_only=False)).buffers()[1]
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(v), [validity, pa.py_buffer(offs), pa.py_buffer(flat.tobytes())]
+    )
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _unpack_f32(b: pa.Array) -> pa.Array:
+    if isinstance(b, pa.ChunkedArray):
+        b = b.combine_chunks()
+    b = b.cast(pa.binary())
+    n = len(b)
+    offs = np.frombuffer(b.buffers()[1], dtype=np.int32)[b.offset : b.offset + n + 1].astype(np.int64)
+    data = b.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
+    vals = raw[: len(raw) - len(raw) % 4].view("<f4")
+    list_offs = ((offs - offs[0]) // 4).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(list_offs), pa.array(vals), mask=b.is_null())
+
+
+def pack_f32(v) -> Column:
+    """``array<float|double>`` -> packed float32 ``binary``."""
+    return _pack_f32(_c(v))
+
+
+def unpack_f32(b) -> Column:
+    """Packed float32 ``binary`` -> ``array<float>``."""
+    return _unpack_f32(_c(b))

@@ -57,21 +57,16 @@ def _assign_cells(df: DataFrame, centroids: np.ndarray, vec_col: str) -> DataFra
 
     def assign(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
+
+        from nearfield.operators.scoring import vector_matrix
 
         C = bc.value
         d = C.shape[1]
         for b in batches:
-            vecs = b.column(b.schema.get_field_index(vec_col))
-            lens = pc.fill_null(pc.list_value_length(vecs), -1).to_numpy()
+            rows, M = vector_matrix(b.column(b.schema.get_field_index(vec_col)), d)
             cell = np.full(b.num_rows, -1, dtype=np.int32)
-            ok = lens == d
-            if ok.any():
-                M = np.asarray(
-                    vecs.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False), np.float64
-                ).reshape(-1, d)
-                M = np.nan_to_num(M)
-                cell[ok] = np.argmax(M @ C.T, axis=1).astype(np.int32)
+            if len(rows):
+                cell[rows] = np.argmax(np.nan_to_num(M) @ C.T, axis=1).astype(np.int32)
             yield b.append_column("cell", pa.array(cell))
 
     return df.mapInArrow(assign, schema)

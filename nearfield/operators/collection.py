@@ -8,6 +8,9 @@ by finishing the write: a plan never overwrites the folder it reads (for
 plain parquet that fails *and* loses the old data).  Appends add files to the
 current version.
 
+Vectors are stored as ``array<float>`` or, with ``packed=True``, as
+little-endian float32 ``binary`` (half the scan cost for the Arrow scorer).
+
 Write modes of the store adapters map to methods:
 
 * ``append``         - re-inserting duplicates rows (generated or caller ids)
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.scalars import batch_number
+from nearfield.functions.vectors import pack_f32, unpack_f32
 
 log = logging.getLogger(__name__)
 
@@ -74,8 +78,10 @@ class Collection:
         id_col: str = "id",
         vec_col: str = "embedding",
         payload: T.StructType | None = None,
+        packed: bool = False,
     ):
         self.spark = spark
+        self.packed = packed
         self.name = name
         self.dim = int(dim)
         self.id_col = id_col
@@ -90,7 +96,9 @@ class Collection:
         return T.StructType(
             [
                 T.StructField(self.id_col, T.LongType(), True),
-                T.StructField(self.vec_col, T.ArrayType(T.FloatType()), True),
+                T.StructField(
+                    self.vec_col, T.BinaryType() if self.packed else T.ArrayType(T.FloatType()), True
+                ),
                 *self.payload.fields,
             ]
         )
@@ -103,12 +111,19 @@ class Collection:
             if c not in fields:
                 raise ValueError(f"input lacks required column {c!r}")
         vt = fields[self.vec_col]
-        if not isinstance(vt, T.ArrayType) or not isinstance(
-            vt.elementType, (T.FloatType, T.DoubleType)
+        is_packed_in = isinstance(vt, T.BinaryType)
+        if not is_packed_in and (
+            not isinstance(vt, T.ArrayType)
+            or not isinstance(vt.elementType, (T.FloatType, T.DoubleType))
         ):
             raise TypeError(f"{self.vec_col!r} must be array<float|double>, got {vt.simpleString()}")
         cols = [F.col(self.id_col).cast("long").alias(self.id_col)]
-        cols.append(F.col(self.vec_col).cast("array<float>").alias(self.vec_col))
+        v = F.col(self.vec_col)
+        if self.packed:
+            v = v if is_packed_in else pack_f32(v)
+        else:
+            v = unpack_f32(v) if is_packed_in else v.cast("array<float>")
+        cols.append(v.alias(self.vec_col))
         for f in self.payload.fields:
             cols.append(
                 (F.col(f.name) if f.name in fields else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -117,7 +132,8 @@ class Collection:
 
     def check_dims(self, df: DataFrame) -> None:
         """Every vector must have the collection's dimension (one aggregate job)."""
-        bad = df.where(F.size(self.vec_col) != F.lit(self.dim)).limit(1).count()
+        n = F.length(self.vec_col) / 4 if self.packed else F.size(self.vec_col)
+        bad = df.where(F.coalesce(n != F.lit(self.dim), F.lit(False))).limit(1).count()
         if bad:
             raise ValueError(f"vectors of a length other than {self.dim} in input")
 

@@ -21,6 +21,36 @@ _BLOCK_ELEMS = 4_000_000
 _PARTITION_TOPK_ROWS = 2_000_000
 
 
+def vector_matrix(col, d: int):
+    """Arrow vector column -> (positions of rows with a length-``d`` vector,
+    float64 matrix of those rows).
+
+    Accepts ``list<float|double>`` and packed little-endian float32
+    ``binary`` (``4 * d`` bytes per row).  NULL rows and rows of another
+    length are left out; NULL elements become NaN (caught by the caller).
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type):
+        lens = pc.fill_null(pc.binary_length(col), -1).to_numpy()
+        ok = lens == 4 * d
+        rows = np.flatnonzero(ok)
+        sub = col if len(rows) == len(col) else col.filter(pa.array(ok))
+        if len(sub) == 0:
+            return rows, np.zeros((0, d))
+        odt = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+        offs = np.frombuffer(sub.buffers()[1], dtype=odt)[sub.offset : sub.offset + len(sub) + 1]
+        raw = np.frombuffer(sub.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]]
+        return rows, raw.view("<f4").reshape(-1, d).astype(np.float64)
+    lens = pc.fill_null(pc.list_value_length(col), -1).to_numpy()
+    ok = lens == d
+    rows = np.flatnonzero(ok)
+    sub = col if len(rows) == len(col) else col.filter(pa.array(ok))
+    M = np.asarray(sub.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    return rows, M.reshape(len(rows), d)
+
+
 def native_scores(raw: np.ndarray, transform: str) -> np.ndarray:
     if transform == "identity":
         return raw
@@ -55,7 +85,6 @@ def make_batch_scorer(
 
     def score_partition(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         qids, Q, *rest = bq.value
         probes = rest[0] if rest else None
@@ -75,14 +104,9 @@ def make_batch_scorer(
             if n == 0 or q == 0:
                 continue
             vecs = batch.column(batch.schema.get_field_index(vec_col))
-            lens = pc.fill_null(pc.list_value_length(vecs), -1).to_numpy()
-            ok = lens == d
-            if not ok.any():
+            rows, M = vector_matrix(vecs, d)
+            if len(rows) == 0:
                 continue
-            rows = np.flatnonzero(ok)
-            sub = vecs.filter(pa.array(ok))
-            M = np.asarray(sub.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-            M = M.reshape(len(rows), d)
             sq = np.einsum("ij,ij->i", M, M)
             valid = np.isfinite(sq)
             if metric == "cosine":
