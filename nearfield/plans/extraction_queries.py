@@ -10,6 +10,8 @@ from nearfield.operators.search import search
 from nearfield.plans import catalog as C
 from nearfield.plans.oracles import CLASS_HITS, R
 from nearfield.plans.queries import COS
+from nearfield.session import scratch_path
+from nearfield.sources.files import write_embeddings
 
 N_CELLS = 8
 NPROBE = 2
@@ -37,6 +39,22 @@ def extract_error_side_table(spark, sf_dir):
     return bad
 
 
+def extract_to_sink(spark, sf_dir):
+    """H2 + A9: extract every source folder's items, write the embeddings
+    partitioned by (model, source_dir), read back per folder."""
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    ok, _ = split_ok(extract_embeddings(docs, line_letter_embedder, "doc_id", "text"))
+    src = docs.select(F.col("doc_id").alias("item_id"), F.col("source").alias("source_dir"))
+    out = ok.join(src, "item_id").withColumn("model", F.lit("letters26"))
+    root = scratch_path(spark, "extracted")
+    write_embeddings(out, root)
+    back = spark.read.parquet(root)
+    return back.groupBy("model", "source_dir").agg(
+        F.count(F.lit(1)).cast("long").alias("n_parts"),
+        F.countDistinct("item_id").cast("long").alias("n_items"),
+    )
+
+
 def ivf_search_full_probe(spark, sf_dir):
     coll = C.collection(spark, sf_dir)
     index = build_ivf(coll, N_CELLS)
@@ -60,6 +78,7 @@ def ivf_recall_at_k(spark, sf_dir):
 QUERIES = {
     "extract_embeddings_flatmap": extract_embeddings_flatmap,
     "extract_error_side_table": extract_error_side_table,
+    "extract_to_sink": extract_to_sink,
     "ivf_search_full_probe": ivf_search_full_probe,
     "ivf_recall_at_k": ivf_recall_at_k,
 }
@@ -85,6 +104,13 @@ WHERE c.line <> '' AND t.tot > 0""",
     "extract_error_side_table": "WITH " + _LINES + """
 SELECT doc_id AS item_id, 'NoFaceFound: no letters in item' AS error FROM doc_tot
 WHERE tot = 0 OR n_parts = 0""",
+    "extract_to_sink": "WITH " + _LINES + """,
+ok AS (
+  SELECT c.doc_id FROM counted c JOIN doc_tot t USING (doc_id) WHERE c.line <> '' AND t.tot > 0
+)
+SELECT 'letters26' AS model, d.source AS source_dir, CAST(count(*) AS BIGINT) AS n_parts,
+       CAST(count(DISTINCT ok.doc_id) AS BIGINT) AS n_items
+FROM ok JOIN documents d USING (doc_id) GROUP BY d.source""",
     "ivf_search_full_probe": CLASS_HITS + f"""
 SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank FROM hits""",
 }

@@ -156,6 +156,32 @@ def batch_numbering(spark, sf_dir):
     )
 
 
+def batch_counts(spark, sf_dir):
+    """Request batches per group: ceil(n / 500) and the last batch's size."""
+    d = C.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"))
+    nb = S.batch_count("n_rows", BATCH)
+    return d.select(
+        "lang",
+        F.col("n_rows").cast("long").alias("n_rows"),
+        nb.alias("n_batches"),
+        F.least(F.lit(BATCH), F.col("n_rows") - (nb - 1) * BATCH).cast("long").alias("last_batch_rows"),
+    )
+
+
+def load_run_label(spark, sf_dir):
+    """The row count of the loaded collection in the run's file name."""
+    n = C.table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+    ts = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    name = F.concat(
+        F.lit("vector_storing_and_deletion_results__size_"),
+        F.col("n_rows").cast("string"),
+        F.lit("__database_SPARK_"),
+        S.ts_file_text(ts),
+        F.lit(".csv"),
+    )
+    return n.select(name.alias("file_name"), "n_rows")
+
+
 def parquet_sink_roundtrip(spark, sf_dir):
     e = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     out = e.withColumn("model", F.lit("synthetic64")).withColumn(
@@ -269,6 +295,8 @@ QUERIES = {
     "collection_truncate": collection_truncate,
     "collection_delete_predicate": collection_delete_predicate,
     "batch_numbering": batch_numbering,
+    "batch_counts": batch_counts,
+    "load_run_label": load_run_label,
     "parquet_sink_roundtrip": parquet_sink_roundtrip,
     "incremental_upsert_stream": incremental_upsert_stream,
     "results_detail_scan": results_detail_scan,
@@ -334,6 +362,15 @@ SELECT CAST(pos // {BATCH} AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n_ro
        min(doc_id) AS first_id, max(doc_id) AS last_id
 FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
 GROUP BY 1""",
+    "batch_counts": f"""
+SELECT lang, CAST(n AS BIGINT) AS n_rows, CAST(ceil(n / {BATCH}) AS BIGINT) AS n_batches,
+       CAST(least({BATCH}, n - (ceil(n / {BATCH}) - 1) * {BATCH}) AS BIGINT) AS last_batch_rows
+FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)""",
+    "load_run_label": """
+SELECT 'vector_storing_and_deletion_results__size_' || CAST(count(*) AS VARCHAR)
+       || '__database_SPARK_2025-01-01_00-00-00.csv' AS file_name,
+       CAST(count(*) AS BIGINT) AS n_rows
+FROM embeddings""",
     "parquet_sink_roundtrip": """
 SELECT 'synthetic64' AS model, 'label_' || CAST(label AS VARCHAR) AS source_dir,
        CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(len(embedding)) AS BIGINT) AS n_values
