@@ -151,8 +151,11 @@ class Collection:
         return f"{self.path}/{v[-1][2]}" if v else None
 
     def _next(self, tag: str | None = None) -> str:
-        v = self._versions()
-        n = v[-1][0] + 1 if v else 1
+        # Number past every version folder, committed or not: a write that
+        # died (lost executors, killed driver) leaves a folder without
+        # _SUCCESS that is never read and never reused.
+        nums = [int(m.group(1)) for m in map(_VERSION.match, self._fs.children(self.path)) if m]
+        n = max(nums) + 1 if nums else 1
         suffix = f"-t{tag}" if tag is not None else ""
         return f"{self.path}/v{n:08d}{suffix}"
 

@@ -101,3 +101,13 @@ def test_embedding_files_skip_bad(spark):
         FS.read_embedding_files(spark, [missing])
     with pytest.raises(Exception):
         FS.read_embedding_files(spark, [bad]).count()
+
+
+def test_failed_version_is_skipped(spark):
+    c = _coll(spark)
+    c.append(_batch(spark, [1], "a"))
+    # A version folder left by a failed write: no _SUCCESS marker.
+    os.makedirs(os.path.join(c.path, "v00000002"))
+    assert _state(c) == [(1, "a")]
+    c.upsert(_batch(spark, [1], "b"))
+    assert _state(c) == [(1, "b")]
