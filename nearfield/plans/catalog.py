@@ -72,9 +72,20 @@ def target_name(col) -> F.Column:
     return out
 
 
-def doc_target_queries(spark, sf_dir) -> DataFrame:
+def doc_vectors_once(spark, sf_dir) -> DataFrame:
+    """Document vectors, computed once and checkpointed (reliable checkpoint in
+    the session's checkpoint folder): both the target prototypes and the
+    searched collection use them, and they are about 1% of the text size."""
+    from nearfield.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    return doc_vectors(spark, sf_dir).checkpoint(eager=True)
+
+
+def doc_target_queries(spark, sf_dir, vectors: DataFrame | None = None) -> DataFrame:
     """Prototype of the positive documents of each target."""
     pos = doc_labels_long(spark, sf_dir).where(F.col("y_true") == 1).select("doc_id", "target")
-    members = pos.join(doc_vectors(spark, sf_dir), "doc_id")
+    vecs = vectors if vectors is not None else doc_vectors(spark, sf_dir)
+    members = pos.join(vecs, "doc_id")
     protos = class_prototypes(members, "target", "embedding")
     return protos.select(target_id(F.col("target")).alias("query_id"), "embedding")

@@ -33,9 +33,10 @@ def class_hits(spark, sf_dir, **kw) -> DataFrame:
 
 
 def doc_hits(spark, sf_dir) -> DataFrame:
+    vecs = C.doc_vectors_once(spark, sf_dir)
     hits = search(
-        C.doc_vectors(spark, sf_dir),
-        C.doc_target_queries(spark, sf_dir),
+        vecs,
+        C.doc_target_queries(spark, sf_dir, vecs),
         rule=COS,
         cutoff=C.DOC_THRESHOLD,
         limit=C.LIMIT,
