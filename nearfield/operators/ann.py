@@ -93,6 +93,25 @@ def build_ivf(
     return IVFIndex(C, _assign_cells(coll, C, vec_col))
 
 
+def save_ivf(index: IVFIndex, path: str) -> None:
+    """Write the indexed collection partitioned by cell, plus the centroids.
+
+    Probing then reads only the probed cells' folders (partition pruning)."""
+    spark = index.data.sparkSession
+    index.data.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/data")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
+    spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/centroids")
+
+
+def load_ivf(spark, path: str) -> IVFIndex:
+    """Read an index written by ``save_ivf`` (centroids: n_cells rows)."""
+    cents = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+    C = np.vstack([np.asarray(r["centroid"], dtype=np.float64) for r in cents])
+    return IVFIndex(C, spark.read.parquet(f"{path}/data"))
+
+
 def ivf_search(
     index: IVFIndex,
     queries: DataFrame,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearfield.operators.ann import build_ivf, ivf_search, recall_at_k
+from nearfield.operators.ann import build_ivf, ivf_search, load_ivf, recall_at_k, save_ivf
 from nearfield.operators.extract import extract_embeddings, line_letter_embedder, split_ok
 from nearfield.operators.search import search
 from nearfield.plans import catalog as C
@@ -55,9 +55,16 @@ def extract_to_sink(spark, sf_dir):
     )
 
 
+def _index(spark, coll):
+    """Train, write partitioned by cell, read back (probes prune folders)."""
+    path = scratch_path(spark, "ivf")
+    save_ivf(build_ivf(coll, N_CELLS, max_iter=10), path)
+    return load_ivf(spark, path)
+
+
 def ivf_search_full_probe(spark, sf_dir):
     coll = C.collection(spark, sf_dir)
-    index = build_ivf(coll, N_CELLS)
+    index = _index(spark, coll)
     h = ivf_search(
         index, C.class_queries(coll), N_CELLS,
         rule=COS, cutoff=C.THRESHOLD, limit=C.LIMIT, id_col="vec_id",
@@ -69,7 +76,7 @@ def ivf_recall_at_k(spark, sf_dir):
     """Recall@k of a 2-of-8-cells probe against exact top-k, per query."""
     coll = C.collection(spark, sf_dir)
     q = C.class_queries(coll)
-    index = build_ivf(coll, N_CELLS)
+    index = _index(spark, coll)
     approx = ivf_search(index, q, NPROBE, rule=COS, limit=C.TOPK, id_col="vec_id")
     exact = search(coll, q, rule=COS, limit=C.TOPK, id_col="vec_id")
     return recall_at_k(approx, exact, "vec_id")
