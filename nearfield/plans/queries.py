@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.scalars import base_name, non_empty
 from nearfield.functions.scalars import ts_file_text
 from nearfield.operators import evaluate as EV
 from nearfield.operators import stats as ST
-from nearfield.operators.search import ScoreRule, profile, search, search_profile
+from nearfield.operators.search import ScoreRule, hits_to_names, profile, search, search_profile
 from nearfield.plans import catalog as C
 
 COS = ScoreRule("cosine", "identity")
@@ -72,10 +71,8 @@ def hits_basename(spark, sf_dir) -> DataFrame:
     paths = C.table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("vec_id"), F.col("url").alias("image_path")
     )
-    out = h.join(paths, "vec_id").withColumn("base_name", base_name("image_path"))
-    return out.where(non_empty("base_name")).select(
-        "query_id", "vec_id", "rank", "base_name"
-    )
+    named = hits_to_names(h.join(paths, "vec_id"), "image_path", drop_empty=True)
+    return named.select("query_id", "vec_id", "rank", "base_name")
 
 
 def labelled_hits_semi(spark, sf_dir) -> DataFrame:
