@@ -183,13 +183,55 @@ def _order_cols(rule: ScoreRule, id_col: str):
     return [s, F.col(id_col).asc()]
 
 
-def top_per_query(hits: DataFrame, rule: ScoreRule, limit: int, id_col: str) -> DataFrame:
+# Tree reduction of per-query top-k: at most this many candidate rows per
+# query may reach one task; above it, intermediate top-k levels each merge
+# FAN_IN groups of map partitions.
+MAX_TOPK_ROWS_PER_TASK = 2_000_000
+TOPK_FAN_IN = 64
+
+
+def estimated_scan_tasks(df: DataFrame) -> int:
+    """Map tasks of a scan, from Catalyst's size estimate (no job is run)."""
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        per_task = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+        return max(1, math.ceil(size / max(per_task, 1)))
+    except Exception:  # noqa: BLE001 - estimate only
+        return 1
+
+
+def topk_levels(map_tasks: int, limit: int, max_rows: int = MAX_TOPK_ROWS_PER_TASK,
+                fan_in: int = TOPK_FAN_IN) -> int:
+    """Intermediate top-k levels so no task merges more than ``max_rows`` per query."""
+    levels, groups = 0, max(int(map_tasks), 1)
+    while groups > 1 and groups * limit > max_rows:
+        groups = math.ceil(groups / fan_in)
+        levels += 1
+    return levels
+
+
+def top_per_query(
+    hits: DataFrame, rule: ScoreRule, limit: int, id_col: str, levels: int = 0,
+    fan_in: int = TOPK_FAN_IN,
+) -> DataFrame:
     """Best ``limit`` rows per query by ``(score, id)``, with a ``rank`` column.
 
-    ``row_number() <= k`` is planned as a partial top-k before the shuffle and a
-    final one after it, so each query moves at most k rows per map partition.
+    Each map task already holds at most ``limit`` rows per query (the scorer
+    keeps a running top-k).  With ``levels > 0``, rows are first reduced per
+    (query, group of ``fan_in ** l`` map partitions), level by level, so a
+    query over a huge collection never sends ``tasks x limit`` rows to one
+    task.  ``row_number() <= k`` is a partial top-k before each shuffle when
+    ``k`` is within Spark's window-group-limit threshold.
     """
-    w = Window.partitionBy("query_id").orderBy(*_order_cols(rule, id_col))
+    order = _order_cols(rule, id_col)
+    if levels > 0:
+        cur = hits.withColumn("__b", F.spark_partition_id().cast("long"))
+        for lvl in range(1, levels + 1):
+            grp = F.floor(F.col("__b") / F.lit(fan_in**lvl))
+            w = Window.partitionBy("query_id", grp).orderBy(*order)
+            cur = cur.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= limit).drop("__r")
+        hits = cur.drop("__b")
+    w = Window.partitionBy("query_id").orderBy(*order)
     return (
         hits.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= F.lit(int(limit)))
@@ -317,7 +359,8 @@ def search(
         raise ValueError(f"unknown method {method!r}")
 
     if limit is not None:
-        hits = top_per_query(hits, rule, limit, id_col)
+        levels = topk_levels(estimated_scan_tasks(collection), max(int(limit), 1))
+        hits = top_per_query(hits, rule, limit, id_col, levels=levels)
         return hits.select("query_id", id_col, "score", "rank", *carry)
     return hits.select("query_id", id_col, "score", *carry)
 

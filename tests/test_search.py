@@ -114,3 +114,21 @@ def test_query_blocks_over_budget(spark):
     big = search(coll, q, cutoff=0.3)
     key = lambda df: sorted((r.query_id, r.id) for r in df.collect())
     assert key(small) == key(big)
+
+
+def test_tree_topk_levels_equal_plain(spark):
+    from nearfield.operators.search import top_per_query, topk_levels
+
+    assert topk_levels(1, 10_000) == 0
+    # 100 TB of 128 MB splits: 800k tasks -> 12,500 -> 196 groups of 64;
+    # the final task then merges 196 x 10,000 <= 2M rows per query.
+    assert topk_levels(800_000, 10_000) == 2
+    coll = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), "embedding"
+    ).repartition(16)
+    q = coll.limit(6).select(F.col("id").alias("query_id"), "embedding")
+    raw = search(coll, q).cache()
+    plain = top_per_query(raw, ScoreRule(), 7, "id")
+    tree = top_per_query(raw, ScoreRule(), 7, "id", levels=2, fan_in=4)
+    key = lambda df: sorted((r.query_id, r.id, r.rank) for r in df.collect())
+    assert key(plain) == key(tree)
