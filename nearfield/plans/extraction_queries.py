@@ -82,12 +82,41 @@ def ivf_recall_at_k(spark, sf_dir):
     return recall_at_k(approx, exact, "vec_id")
 
 
+def search_benchmark_run(spark, sf_dir):
+    """Search benchmark: 5 timed requests per class query from 5 threads,
+    evaluated against the class labels; summary per query (rows-only)."""
+    from nearfield.operators.search import profile
+    from nearfield.plans.harness import search_benchmark
+
+    coll = C.collection(spark, sf_dir)
+    prof = profile("pgvector", cutoff=C.THRESHOLD, limit=C.LIMIT)
+    _, summary = search_benchmark(
+        spark, coll, C.class_queries(coll), prof, id_col="vec_id", class_col="label",
+        n_requests=5, threads=5,
+    )
+    return summary
+
+
+def load_benchmark_run(spark, sf_dir):
+    """Load/delete benchmark: 3 timed create/insert/delete iterations of the
+    whole embeddings table; summary statistics (rows-only)."""
+    from nearfield.plans.harness import load_benchmark
+
+    data = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    _, summary = load_benchmark(
+        spark, data, scratch_path(spark, "load-bench"), dim=64, id_col="vec_id", iterations=3
+    )
+    return summary
+
+
 QUERIES = {
     "extract_embeddings_flatmap": extract_embeddings_flatmap,
     "extract_error_side_table": extract_error_side_table,
     "extract_to_sink": extract_to_sink,
     "ivf_search_full_probe": ivf_search_full_probe,
     "ivf_recall_at_k": ivf_recall_at_k,
+    "search_benchmark_run": search_benchmark_run,
+    "load_benchmark_run": load_benchmark_run,
 }
 
 _LINES = """

@@ -88,3 +88,25 @@ def test_extraction_flat_map_and_errors(spark):
     ok, bad = split_ok(extract_embeddings(items, factory, "id", "text"))
     assert sorted((r.item_id, r.part_no) for r in ok.collect()) == [(1, 0), (1, 2)]
     assert [r.item_id for r in bad.collect()] == [3]
+
+
+def test_benchmark_harnesses(spark):
+    import tempfile
+
+    from nearfield.operators.search import profile
+    from nearfield.plans.harness import load_benchmark, search_benchmark
+
+    coll = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label")
+    q = coll.where("label = 1").limit(1).select(F.col("vec_id").alias("query_id"), "embedding")
+    detail, summary = search_benchmark(
+        spark, coll, q, profile("pgvector", cutoff=0.2, limit=100), id_col="vec_id",
+        class_col="label", n_requests=4, threads=2,
+    )
+    assert detail.count() == 4
+    m = {r.metric: r.value for r in summary.collect()}
+    assert m["successful_requests"] == 4 and m["rps"] > 0
+    assert m["search_time_p99"] >= m["search_time_p90"] >= 0
+    d2, s2 = load_benchmark(spark, coll.select("vec_id", "embedding"), tempfile.mkdtemp(), dim=64,
+                            id_col="vec_id", iterations=2)
+    assert d2.count() == 2
+    assert {"insertion_time_mean", "deletion_time_p95"} <= {r.metric for r in s2.collect()}
