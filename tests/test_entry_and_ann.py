@@ -97,7 +97,8 @@ def test_benchmark_harnesses(spark):
     from nearfield.plans.harness import load_benchmark, search_benchmark
 
     coll = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label")
-    q = coll.where("label = 1").limit(1).select(F.col("vec_id").alias("query_id"), "embedding")
+    # queries are keyed by the class they look for
+    q = coll.where("label = 1").limit(1).select(F.lit(1).cast("long").alias("query_id"), "embedding")
     detail, summary = search_benchmark(
         spark, coll, q, profile("pgvector", cutoff=0.2, limit=100), id_col="vec_id",
         class_col="label", n_requests=4, threads=2,
