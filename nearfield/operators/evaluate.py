@@ -122,11 +122,11 @@ def evaluate_by_class(
         F.count(F.lit(1)).cast("long").alias("n_hits"),
         F.count_if(F.col(hc).cast("long") == F.col("query_id")).cast("long").alias("tp"),
     )
-    sizes = (
-        collection.groupBy(F.col(class_col).cast("long").alias("query_id"))
-        .agg(F.count(F.lit(1)).cast("long").alias("n_pos"))
-        .withColumn("n_all", F.sum("n_pos").over(Window.partitionBy()).cast("long"))
+    sizes = collection.groupBy(F.col(class_col).cast("long").alias("query_id")).agg(
+        F.count(F.lit(1)).cast("long").alias("n_pos")
     )
+    # Collection size as a scalar subquery over the (small) per-class table.
+    sizes = sizes.withColumn("n_all", sizes.select(F.sum("n_pos").cast("long")).scalar())
     j = sizes.join(per_q, "query_id", "left").fillna(0, ["n_hits", "tp"])
     conf = j.select(
         "query_id",

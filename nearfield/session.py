@@ -42,6 +42,8 @@ def get_session(
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Checkpoint files of DataFrames that are no longer referenced are removed.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in _BLAS_ENV.items():
         conf[f"spark.executorEnv.{k}"] = v
