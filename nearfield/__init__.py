@@ -1,0 +1,4 @@
+"""nearfield: vector collections, exact and IVF search, retrieval evaluation,
+benchmark statistics and embedding extraction as PySpark plans."""
+
+__version__ = "0.1.0"

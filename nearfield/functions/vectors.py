@@ -20,9 +20,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ColumnOrName = "Column | str"
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

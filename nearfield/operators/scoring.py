@@ -1,7 +1,7 @@
 """Arrow-batched scorer: one matrix product per Arrow batch of the collection.
 
 The query matrix is small by construction (its size is checked before it is
-broadcast, see ``search._collect_queries``), the collection is streamed
+broadcast, see ``search._query_blocks``), the collection is streamed
 partition by partition and never shuffled.  Each batch emits only the pairs
 that pass the cut-off, and at most ``cap`` pairs per query (plus exact ties),
 so the output is bounded by the hits, never by all pairs.
