@@ -103,11 +103,21 @@ def evaluate(labels_long, hits, item_col, target_col="target", hit_item_col=None
     return with_metrics(confusion(pred, [target_col]))
 
 
+def class_sizes(collection: DataFrame, class_col: str) -> DataFrame:
+    """(query_id = class, n_pos, n_all): the implied label table's counts."""
+    sizes = collection.groupBy(F.col(class_col).cast("long").alias("query_id")).agg(
+        F.count(F.lit(1)).cast("long").alias("n_pos")
+    )
+    # Collection size as a scalar subquery over the (small) per-class table.
+    return sizes.withColumn("n_all", sizes.select(F.sum("n_pos").cast("long")).scalar())
+
+
 def evaluate_by_class(
     hits: DataFrame,
     collection: DataFrame,
     class_col: str,
     hit_class_col: str | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Evaluation when the label of (query, item) is "item has the query's class".
 
@@ -116,17 +126,15 @@ def evaluate_by_class(
     class of the hit item) the four cells follow from two aggregations:
     tp = hits of the own class, fp = other hits, fn = class size - tp,
     tn = (collection size - class size) - fp.  Queries are keyed by class.
+    ``sizes`` (from ``class_sizes``) can be computed once and reused.
     """
     hc = hit_class_col or class_col
     per_q = hits.groupBy("query_id").agg(
         F.count(F.lit(1)).cast("long").alias("n_hits"),
         F.count_if(F.col(hc).cast("long") == F.col("query_id")).cast("long").alias("tp"),
     )
-    sizes = collection.groupBy(F.col(class_col).cast("long").alias("query_id")).agg(
-        F.count(F.lit(1)).cast("long").alias("n_pos")
-    )
-    # Collection size as a scalar subquery over the (small) per-class table.
-    sizes = sizes.withColumn("n_all", sizes.select(F.sum("n_pos").cast("long")).scalar())
+    if sizes is None:
+        sizes = class_sizes(collection, class_col)
     j = sizes.join(per_q, "query_id", "left").fillna(0, ["n_hits", "tp"])
     conf = j.select(
         "query_id",
