@@ -26,7 +26,7 @@ def _r(col: str, name: str | None = None):
 
 def class_hits(spark, sf_dir, **kw) -> DataFrame:
     coll = C.collection(spark, sf_dir)
-    args = dict(rule=COS, cutoff=C.THRESHOLD, limit=C.LIMIT, id_col="vec_id", carry=("label",))
+    args = dict(rule=COS, cutoff=C.THRESHOLD, limit=C.LIMIT, id_col="vec_id", carry=())
     args.update(kw)
     return search(coll, C.class_queries(coll), **args)
 
@@ -51,7 +51,7 @@ def flagship_search_eval(spark, sf_dir) -> DataFrame:
     """Class-prototype queries -> exact cosine search (>= 0.2, top 10000)
     -> confusion matrix and metrics per query."""
     coll = C.collection(spark, sf_dir)
-    hits = class_hits(spark, sf_dir)
+    hits = class_hits(spark, sf_dir, carry=("label",))
     return EV.evaluate_by_class(hits, coll, "label")
 
 
@@ -131,7 +131,7 @@ PREFILTER = "label BETWEEN 3 AND 6"
 
 
 def prefiltered_search(spark, sf_dir):
-    h = class_hits(spark, sf_dir, prefilter=PREFILTER)
+    h = class_hits(spark, sf_dir, prefilter=PREFILTER, carry=("label",))
     return h.select("query_id", "vec_id", _r("score"), "rank", "label")
 
 
@@ -152,7 +152,7 @@ def degenerate_class_flags(spark, sf_dir):
 
 def average_precision(spark, sf_dir):
     coll = C.collection(spark, sf_dir)
-    h = class_hits(spark, sf_dir)
+    h = class_hits(spark, sf_dir, carry=("label",))
     ranked = h.select(
         "query_id", "rank", (F.col("label").cast("long") == F.col("query_id")).cast("int").alias("rel")
     )
