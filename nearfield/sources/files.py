@@ -7,7 +7,6 @@ are handled there.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,8 +89,10 @@ def positional_ids(df: DataFrame, order_cols: list, id_col: str = "id") -> DataF
 def read_query_csv(spark: SparkSession, path: str) -> DataFrame:
     """Query-embedding CSV: ``embedding`` JSON text + ``image_path`` (A4).
 
-    Every row is kept as a query (``query_id`` = 0-based row order of the
-    file); the source keeps only the last row."""
+    Every row is kept as a query (the source keeps only the last row);
+    ``query_id`` is unique and stable for the same input files
+    (``monotonically_increasing_id``), ``target`` is the base name of the
+    query's image path."""
     df = spark.read.option("header", "true").option("multiLine", "true").csv(path)
     return df.select(
         F.monotonically_increasing_id().alias("query_id"),
@@ -251,13 +252,3 @@ def store_documents(df: DataFrame, index: str, id_col="id", vec_col="embedding",
             "_source"
         ),
     )
-
-
-def local_path(p: str) -> str:
-    return p[len("file:") :] if p.startswith("file:") else p
-
-
-def ensure_dir(p: str) -> str:
-    if "://" not in p:
-        os.makedirs(p, exist_ok=True)
-    return p
