@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.functions.vectors import l2_normalize
+from nearfield.functions.vectors import l2_normalize, unpack_f32
 from nearfield.operators.search import ScoreRule, search
 
 
@@ -83,7 +83,10 @@ def build_ivf(
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    train = coll.select(array_to_vector(l2_normalize(vec_col)).alias("features")).where(
+    vec = F.col(vec_col)
+    if isinstance(coll.schema[vec_col].dataType, T.BinaryType):  # packed float32
+        vec = unpack_f32(vec)
+    train = coll.select(array_to_vector(l2_normalize(vec)).alias("features")).where(
         F.col("features").isNotNull()
     )
     km = KMeans(k=int(n_cells), seed=seed, maxIter=max_iter, distanceMeasure="cosine")

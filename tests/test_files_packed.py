@@ -63,3 +63,19 @@ def test_report_labels(spark):
         S.capitalize(F.lit("search_TIME")).alias("c"), S.two_decimals(F.lit(3.14159)).alias("t")
     ).first()
     assert (r.c, r.t) == ("Search_time", "3.14")
+
+
+def test_ivf_on_packed_collection(spark):
+    from nearfield.operators.ann import build_ivf, ivf_search, load_ivf, save_ivf
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), "embedding"
+    )
+    packed = e.select("id", pack_f32("embedding").alias("embedding"))
+    path = tempfile.mkdtemp(prefix="ivf-")
+    save_ivf(build_ivf(packed, 4, max_iter=5), path)
+    index = load_ivf(spark, path)
+    q = e.where("id < 3").select(F.col("id").alias("query_id"), "embedding")
+    full = sorted((r.query_id, r.id) for r in ivf_search(index, q, 4, limit=10).collect())
+    exact = sorted((r.query_id, r.id) for r in search(e, q, limit=10).collect())
+    assert full == exact
