@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.functions.vectors import l2_normalize, unpack_f32
+from nearfield.functions.vectors import sq_norm, unpack_f32
 from nearfield.operators.search import ScoreRule, search
 
 
@@ -83,12 +83,14 @@ def build_ivf(
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    # Cosine KMeans normalises internally; zero and NULL vectors are left out
+    # (cosine is undefined for them).  Packed vectors are unpacked in their
+    # own projection (a Python UDF may not sit inside a lambda).
     vec = F.col(vec_col)
     if isinstance(coll.schema[vec_col].dataType, T.BinaryType):  # packed float32
         vec = unpack_f32(vec)
-    train = coll.select(array_to_vector(l2_normalize(vec)).alias("features")).where(
-        F.col("features").isNotNull()
-    )
+    arr = coll.select(vec.cast("array<double>").alias("__a"))
+    train = arr.where(sq_norm("__a") > 0).select(array_to_vector("__a").alias("features"))
     km = KMeans(k=int(n_cells), seed=seed, maxIter=max_iter, distanceMeasure="cosine")
     model = km.fit(train)
     C = np.vstack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
