@@ -35,16 +35,27 @@ def extract_embeddings(
     embedder_factory: Callable[[], Embedder],
     id_col: str,
     payload_col: str,
+    carry: tuple[str, ...] | list[str] = (),
 ) -> DataFrame:
-    """Flat-map items to (item_id, part_no, embedding, error)."""
+    """Flat-map items to (item_id, part_no, embedding, error, *carry).
+
+    ``carry`` columns of the item (e.g. its source folder) are repeated on
+    each of its rows, so no join back to the items is needed - a join on
+    ``item_id`` would put all parts of one huge item on one task.
+    """
+    carry = tuple(carry)
+    # A new StructType: ``StructType.add`` would change the shared OUT_SCHEMA.
+    schema = T.StructType([*OUT_SCHEMA.fields, *[items.schema[c] for c in carry]])
 
     def run(batches):
         import pandas as pd
 
         embed = embedder_factory()
         for pdf in batches:
-            ids, parts, vecs, errs = [], [], [], []
-            for item_id, payload in zip(pdf[id_col].tolist(), pdf[payload_col].tolist()):
+            ids, parts, vecs, errs, src = [], [], [], [], []
+            for pos, (item_id, payload) in enumerate(
+                zip(pdf[id_col].tolist(), pdf[payload_col].tolist())
+            ):
                 try:
                     out = list(embed(payload))
                 except Exception as e:  # noqa: BLE001 - H3: record, continue
@@ -52,19 +63,25 @@ def extract_embeddings(
                     parts.append(None)
                     vecs.append(None)
                     errs.append(f"{type(e).__name__}: {e}")
+                    src.append(pos)
                     continue
                 for k, (part_no, v) in enumerate(out):
                     ids.append(item_id)
                     parts.append(int(part_no) if part_no is not None else k)
                     vecs.append(np.asarray(v, dtype=np.float32).tolist())
                     errs.append(None)
+                    src.append(pos)
             if not ids:
                 continue
-            yield pd.DataFrame(
+            out = pd.DataFrame(
                 {"item_id": ids, "part_no": parts, "embedding": vecs, "error": errs}
             ).astype({"item_id": "Int64", "part_no": "Int64"})
+            for c in carry:
+                out[c] = pdf[c].iloc[src].reset_index(drop=True)
+            yield out
 
-    return items.select(id_col, payload_col).mapInPandas(run, OUT_SCHEMA)
+    cols = [id_col, payload_col, *[c for c in carry if c not in (id_col, payload_col)]]
+    return items.select(*cols).mapInPandas(run, schema)
 
 
 def split_ok(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -42,10 +42,11 @@ def extract_error_side_table(spark, sf_dir):
 def extract_to_sink(spark, sf_dir):
     """H2 + A9: extract every source folder's items, write the embeddings
     partitioned by (model, source_dir), read back per folder."""
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    ok, _ = split_ok(extract_embeddings(docs, line_letter_embedder, "doc_id", "text"))
-    src = docs.select(F.col("doc_id").alias("item_id"), F.col("source").alias("source_dir"))
-    out = ok.join(src, "item_id").withColumn("model", F.lit("letters26"))
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("source_dir"))
+    ok, _ = split_ok(
+        extract_embeddings(docs, line_letter_embedder, "doc_id", "text", carry=("source_dir",))
+    )
+    out = ok.withColumn("model", F.lit("letters26"))
     root = scratch_path(spark, "extracted")
     write_embeddings(out, root)
     back = spark.read.parquet(root)
