@@ -150,7 +150,10 @@ def _query_blocks(queries: DataFrame, qid: str, qvec: str, budget_bytes: int):
     """
     # The query set is usually derived (an aggregate); keep it for the size
     # check and the collect instead of computing it twice.
-    q = queries.select(F.col(qid).cast("long").alias("qid"), V.as_double(qvec).alias("v")).persist()
+    qv = F.col(qvec)
+    if isinstance(queries.schema[qvec].dataType, T.BinaryType):  # packed float32
+        qv = V.unpack_f32(qv)
+    q = queries.select(F.col(qid).cast("long").alias("qid"), V.as_double(qv).alias("v")).persist()
     try:
         return _query_blocks_of(q, budget_bytes)
     finally:
@@ -338,6 +341,8 @@ def search(
             for p in parts[1:]:
                 hits = hits.unionByName(p)
     elif method == "sql":
+        if isinstance(coll.schema[vec_col].dataType, T.BinaryType):
+            raise ValueError("packed vectors are scored by method='arrow'")
         n, d = _query_size(queries, query_vec_col)
         if n * max(d, 1) * 8 > budget_bytes:
             raise ValueError("query set over the broadcast budget; use method='arrow'")

@@ -79,3 +79,19 @@ def test_ivf_on_packed_collection(spark):
     full = sorted((r.query_id, r.id) for r in ivf_search(index, q, 4, limit=10).collect())
     exact = sorted((r.query_id, r.id) for r in search(e, q, limit=10).collect())
     assert full == exact
+
+
+def test_packed_queries_and_sql_guard(spark):
+    import pytest
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), "embedding"
+    )
+    packed = e.select("id", pack_f32("embedding").alias("embedding"))
+    q = e.where("id < 2").select(F.col("id").alias("query_id"), "embedding")
+    qp = q.select("query_id", pack_f32("embedding").alias("embedding"))
+    a = sorted((r.query_id, r.id) for r in search(e, q, limit=5).collect())
+    b = sorted((r.query_id, r.id) for r in search(packed, qp, limit=5).collect())
+    assert a == b
+    with pytest.raises(ValueError):
+        search(packed, q, method="sql")
