@@ -111,3 +111,22 @@ def test_failed_version_is_skipped(spark):
     assert _state(c) == [(1, "a")]
     c.upsert(_batch(spark, [1], "b"))
     assert _state(c) == [(1, "b")]
+
+
+def test_stream_upsert_is_idempotent(spark):
+    from nearfield.streaming.upsert import run_upsert_stream
+
+    src = tempfile.mkdtemp(prefix="land-")
+    b1 = _batch(spark, [1, 2, 3], "first")
+    b1.coalesce(1).write.mode("append").parquet(f"{src}/x")
+    c = _coll(spark)
+    ckpt = tempfile.mkdtemp(prefix="ck-")
+    run_upsert_stream(spark, f"{src}/x", b1.schema, c, ckpt, name="s")
+    versions = c._versions()
+    assert _state(c) == [(1, "first"), (2, "first"), (3, "first")]
+    run_upsert_stream(spark, f"{src}/x", b1.schema, c, ckpt, name="s")  # nothing new
+    assert c._versions() == versions
+    assert c.has_tag("s_0")
+    _batch(spark, [3, 4], "second").coalesce(1).write.mode("append").parquet(f"{src}/x")
+    run_upsert_stream(spark, f"{src}/x", b1.schema, c, ckpt, name="s")
+    assert _state(c) == [(1, "first"), (2, "first"), (3, "second"), (4, "second")]
