@@ -126,6 +126,7 @@ def load_benchmark(
     id_col: str,
     iterations: int = 3,
     name: str = "Faces",
+    packed: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Timed create / insert / delete of a collection, ``iterations`` times."""
     rt = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
@@ -135,7 +136,7 @@ def load_benchmark(
 
     rows = []
     for i in range(iterations):
-        coll = Collection(spark, root, f"{name}_{i}", dim=dim, id_col=id_col)
+        coll = Collection(spark, root, f"{name}_{i}", dim=dim, id_col=id_col, packed=packed)
         coll.drop()
         m0 = used_mb()
         t0 = time.perf_counter()
