@@ -243,6 +243,17 @@ def _results(spark, sf_dir):
     return FS.read_result_csvs(spark, root, FS.SEARCH_RESULT_COLUMNS)
 
 
+def results_sink_mixed(spark, sf_dir):
+    """A11 + A8: per run, the mixed file holds its detail rows and its summary
+    rows; read back and split by ``try_cast(iteration as int)``."""
+    raw = _results(spark, sf_dir)
+    return raw.groupBy("database").agg(
+        F.count_if(F.col("iteration_num").isNotNull()).cast("long").alias("n_detail"),
+        F.count_if(F.col("iteration_num").isNull()).cast("long").alias("n_summary"),
+        F.max("iteration_num").cast("long").alias("max_iteration"),
+    )
+
+
 def results_detail_scan(spark, sf_dir):
     d = FS.result_details(_results(spark, sf_dir))
     return d.select("database", "iteration", "search_time", "precision", "recall")
@@ -300,6 +311,7 @@ QUERIES = {
     "parquet_sink_roundtrip": parquet_sink_roundtrip,
     "incremental_upsert_stream": incremental_upsert_stream,
     "results_detail_scan": results_detail_scan,
+    "results_sink_mixed": results_sink_mixed,
     "results_summary_pivot": results_summary_pivot,
     "series_common_scale": series_common_scale,
     "request_count_title": request_count_title,
@@ -376,6 +388,10 @@ SELECT 'synthetic64' AS model, 'label_' || CAST(label AS VARCHAR) AS source_dir,
        CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(len(embedding)) AS BIGINT) AS n_values
 FROM embeddings GROUP BY label""",
     "incremental_upsert_stream": _UPSERT,
+    "results_sink_mixed": """
+SELECT upper(event_type) AS database, CAST(count(*) AS BIGINT) AS n_detail,
+       CAST(5 AS BIGINT) AS n_summary, CAST(count(*) AS BIGINT) AS max_iteration
+FROM events GROUP BY event_type""",
     "results_detail_scan": _DETAIL + """
 SELECT database, iteration, search_time, precision, recall FROM d""",
     "results_summary_pivot": f"""
