@@ -98,6 +98,74 @@ def build_ivf(
     return IVFIndex(C, _assign_cells(coll, C, vec_col))
 
 
+@dataclass
+class LSHIndex:
+    """Random-hyperplane LSH: the cell of a vector is its ``n_bits``-bit sign
+    signature; a query probes every cell within a Hamming radius of its own."""
+
+    hyperplanes: np.ndarray  # (n_bits, dim)
+    data: DataFrame  # collection rows + ``cell``
+
+    @property
+    def n_cells(self) -> int:
+        return 1 << int(self.hyperplanes.shape[0])
+
+    def signatures(self, M: np.ndarray) -> np.ndarray:
+        bits = (M @ self.hyperplanes.T) > 0
+        return (bits * (1 << np.arange(bits.shape[1]))).sum(axis=1)
+
+    def probes(self, Q: np.ndarray, radius: int) -> np.ndarray:
+        """bool[q, n_cells]: cells within ``radius`` bit flips of each query."""
+        sig = self.signatures(Q)
+        cells = np.arange(self.n_cells)
+        x = sig[:, None] ^ cells[None, :]
+        dist = np.zeros(x.shape, dtype=np.int64)
+        for b in range(self.hyperplanes.shape[0]):
+            dist += (x >> b) & 1
+        return dist <= int(radius)
+
+
+def _assign_signatures(df: DataFrame, planes: np.ndarray, vec_col: str) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    bc = sc.broadcast(planes)
+    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType(), False)])
+
+    def assign(batches):
+        import pyarrow as pa
+
+        from nearfield.operators.scoring import vector_matrix
+
+        H = bc.value
+        weights = 1 << np.arange(H.shape[0])
+        for b in batches:
+            rows, M = vector_matrix(b.column(b.schema.get_field_index(vec_col)), H.shape[1])
+            cell = np.full(b.num_rows, -1, dtype=np.int32)
+            if len(rows):
+                cell[rows] = (((np.nan_to_num(M) @ H.T) > 0) * weights).sum(axis=1).astype(np.int32)
+            yield b.append_column("cell", pa.array(cell))
+
+    return df.mapInArrow(assign, schema)
+
+
+def build_lsh(coll: DataFrame, n_bits: int, dim: int, vec_col: str = "embedding", seed: int = 7):
+    """Random hyperplanes from ``seed`` (no training pass); every row gets its
+    signature cell in one map-only pass."""
+    planes = np.random.default_rng(seed).standard_normal((int(n_bits), int(dim)))
+    return LSHIndex(planes, _assign_signatures(coll, planes, vec_col))
+
+
+def lsh_search(index: LSHIndex, queries: DataFrame, radius: int, **kw) -> DataFrame:
+    """Search the cells within ``radius`` bit flips of each query's signature;
+    candidates are scored exactly.  ``radius = n_bits`` is exact search."""
+    return search(
+        index.data,
+        queries,
+        probe_fn=lambda Q: index.probes(Q, radius),
+        cell_col="cell",
+        **kw,
+    )
+
+
 def save_ivf(index: IVFIndex, path: str) -> None:
     """Write the indexed collection partitioned by cell, plus the centroids.
 

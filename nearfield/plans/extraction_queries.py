@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearfield.operators.ann import build_ivf, ivf_search, load_ivf, recall_at_k, save_ivf
+from nearfield.operators.ann import (
+    build_ivf,
+    build_lsh,
+    ivf_search,
+    load_ivf,
+    lsh_search,
+    recall_at_k,
+    save_ivf,
+)
 from nearfield.operators.extract import extract_embeddings, line_letter_embedder, split_ok
 from nearfield.operators.search import search
 from nearfield.plans import catalog as C
@@ -83,6 +91,29 @@ def ivf_recall_at_k(spark, sf_dir):
     return recall_at_k(approx, exact, "vec_id")
 
 
+LSH_BITS = 6
+
+
+def lsh_search_full_probe(spark, sf_dir):
+    """Hyperplane LSH with every cell probed (radius = bits) equals exact search."""
+    coll = C.collection(spark, sf_dir)
+    index = build_lsh(coll, LSH_BITS, dim=64)
+    h = lsh_search(
+        index, C.class_queries(coll), LSH_BITS,
+        rule=COS, cutoff=C.THRESHOLD, limit=C.LIMIT, id_col="vec_id",
+    )
+    return h.select("query_id", "vec_id", F.round("score", R).alias("score"), "rank")
+
+
+def lsh_recall_at_k(spark, sf_dir):
+    """Recall@k of hyperplane LSH probing radius 1 against exact top-k."""
+    coll = C.collection(spark, sf_dir)
+    q = C.class_queries(coll)
+    approx = lsh_search(build_lsh(coll, LSH_BITS, dim=64), q, 1, rule=COS, limit=C.TOPK, id_col="vec_id")
+    exact = search(coll, q, rule=COS, limit=C.TOPK, id_col="vec_id")
+    return recall_at_k(approx, exact, "vec_id")
+
+
 def search_benchmark_run(spark, sf_dir):
     """Search benchmark: 5 timed requests per class query from 5 threads,
     evaluated against the class labels; summary per query (rows-only)."""
@@ -116,6 +147,8 @@ QUERIES = {
     "extract_to_sink": extract_to_sink,
     "ivf_search_full_probe": ivf_search_full_probe,
     "ivf_recall_at_k": ivf_recall_at_k,
+    "lsh_search_full_probe": lsh_search_full_probe,
+    "lsh_recall_at_k": lsh_recall_at_k,
     "search_benchmark_run": search_benchmark_run,
     "load_benchmark_run": load_benchmark_run,
 }
@@ -148,6 +181,8 @@ ok AS (
 SELECT 'letters26' AS model, d.source AS source_dir, CAST(count(*) AS BIGINT) AS n_parts,
        CAST(count(DISTINCT ok.doc_id) AS BIGINT) AS n_items
 FROM ok JOIN documents d USING (doc_id) GROUP BY d.source""",
+    "lsh_search_full_probe": CLASS_HITS + f"""
+SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank FROM hits""",
     "ivf_search_full_probe": CLASS_HITS + f"""
 SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank FROM hits""",
 }

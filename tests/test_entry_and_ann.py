@@ -111,3 +111,21 @@ def test_benchmark_harnesses(spark):
                             id_col="vec_id", iterations=2)
     assert d2.count() == 2
     assert {"insertion_time_mean", "deletion_time_p95"} <= {r.metric for r in s2.collect()}
+
+
+def test_lsh_search_properties(spark):
+    from nearfield.operators.ann import build_lsh, lsh_search
+
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(4, 16))
+    rows = [(i, (centers[i % 4] + 0.05 * rng.normal(size=16)).tolist()) for i in range(400)]
+    coll = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = coll.where("id < 8").select(F.col("id").alias("query_id"), "embedding")
+    index = build_lsh(coll, 6, dim=16)
+    exact = {(r.query_id, r.id) for r in search(coll, q, limit=20).collect()}
+    full = {(r.query_id, r.id) for r in lsh_search(index, q, 6, limit=20).collect()}
+    assert full == exact
+    near = {(r.query_id, r.id) for r in lsh_search(index, q, 1, cutoff=0.0).collect()}
+    assert near <= {(r.query_id, r.id) for r in search(coll, q, cutoff=0.0).collect()}
+    top = {(r.query_id, r.id) for r in lsh_search(index, q, 1, limit=20).collect()}
+    assert len(top & exact) / len(exact) > 0.9
