@@ -90,6 +90,20 @@ def split_ok(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, bad
 
 
+def first_parts(extracted_ok: DataFrame, items: DataFrame | None = None, id_col: str = "item_id"):
+    """A10: the first part (lowest ``part_no``) of every item, as the item's
+    query vector; ``min_by`` is a partial aggregate, so an item with very
+    many parts is reduced map-side.  With ``items``, also returns the items
+    that have no part at all (an error for a query image)."""
+    first = extracted_ok.groupBy("item_id").agg(
+        F.min_by(F.struct("part_no", "embedding"), "part_no").alias("__f")
+    ).select("item_id", "__f.part_no", "__f.embedding")
+    if items is None:
+        return first
+    missing = items.select(F.col(id_col).alias("item_id")).join(first, "item_id", "left_anti")
+    return first, missing
+
+
 class NoFaceFound(ValueError):
     """Item without any embeddable part (the source prints and continues)."""
 

@@ -13,7 +13,12 @@ from nearfield.operators.ann import (
     recall_at_k,
     save_ivf,
 )
-from nearfield.operators.extract import extract_embeddings, line_letter_embedder, split_ok
+from nearfield.operators.extract import (
+    extract_embeddings,
+    first_parts,
+    line_letter_embedder,
+    split_ok,
+)
 from nearfield.operators.search import search
 from nearfield.plans import catalog as C
 from nearfield.plans.oracles import CLASS_HITS, R
@@ -71,6 +76,19 @@ def _index(spark, coll):
     return load_ivf(spark, path)
 
 
+def query_first_face(spark, sf_dir):
+    """A10: the first embedded part of each document as its query vector."""
+    ok, _ = split_ok(_extracted(spark, sf_dir))
+    first = first_parts(ok)
+    return first.select(
+        "item_id",
+        "part_no",
+        F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+        .cast("long")
+        .alias("n_letters"),
+    )
+
+
 def ivf_search_full_probe(spark, sf_dir):
     coll = C.collection(spark, sf_dir)
     index = _index(spark, coll)
@@ -145,6 +163,7 @@ QUERIES = {
     "extract_embeddings_flatmap": extract_embeddings_flatmap,
     "extract_error_side_table": extract_error_side_table,
     "extract_to_sink": extract_to_sink,
+    "query_first_face": query_first_face,
     "ivf_search_full_probe": ivf_search_full_probe,
     "ivf_recall_at_k": ivf_recall_at_k,
     "lsh_search_full_probe": lsh_search_full_probe,
@@ -181,6 +200,14 @@ ok AS (
 SELECT 'letters26' AS model, d.source AS source_dir, CAST(count(*) AS BIGINT) AS n_parts,
        CAST(count(DISTINCT ok.doc_id) AS BIGINT) AS n_items
 FROM ok JOIN documents d USING (doc_id) GROUP BY d.source""",
+    "query_first_face": "WITH " + _LINES + """
+SELECT item_id, part_no, n_letters FROM (
+  SELECT c.doc_id AS item_id, CAST(c.part_no AS BIGINT) AS part_no,
+         CAST(c.n_letters AS BIGINT) AS n_letters,
+         row_number() OVER (PARTITION BY c.doc_id ORDER BY c.part_no) AS rn
+  FROM counted c JOIN doc_tot t USING (doc_id)
+  WHERE c.line <> '' AND t.tot > 0
+) WHERE rn = 1""",
     "lsh_search_full_probe": CLASS_HITS + f"""
 SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank FROM hits""",
     "ivf_search_full_probe": CLASS_HITS + f"""
