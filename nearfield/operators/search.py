@@ -258,7 +258,7 @@ def _sql_score(rule: ScoreRule, v, q):
 
 def search(
     collection: DataFrame,
-    queries: DataFrame,
+    queries,
     *,
     rule: ScoreRule = ScoreRule(),
     cutoff: float | None = None,
@@ -276,6 +276,9 @@ def search(
 ) -> DataFrame:
     """Exact search of ``queries`` against ``collection``.
 
+    ``queries`` is a DataFrame (``query_id``, vector) or in-memory vectors
+    (``{query_id: vector}`` or a list, ids 0..n-1), like one store request.
+
     Returns ``query_id, <id_col>, score[, rank], *carry``; ``score`` is the
     native score of ``rule``.  The cut-off is inclusive (``>=``, or ``<=`` for
     distances).  ``prefilter`` is a SQL predicate on collection columns applied
@@ -292,6 +295,20 @@ def search(
     if limit == 0:
         coll = coll.where(F.lit(False))
 
+    local_rows = None
+    if not isinstance(queries, DataFrame):
+        # In-memory query vectors ({query_id: vector} or a sequence of vectors),
+        # as a request to a store carries them: no job is needed to fetch them.
+        items = queries.items() if isinstance(queries, dict) else enumerate(queries)
+        local_rows = [(int(k), None if v is None else [float(x) for x in v]) for k, v in items]
+        nbytes = sum(8 * len(v or ()) for _, v in local_rows)
+        if nbytes > budget_bytes:
+            raise ValueError("in-memory query set over the broadcast budget; pass a DataFrame")
+        if method != "arrow":
+            queries = coll.sparkSession.createDataFrame(
+                local_rows, f"{query_id_col} long, {query_vec_col} array<double>"
+            )
+
     if method == "arrow":
         fields = {f.name: f for f in coll.schema.fields}
         out_schema = T.StructType(
@@ -307,7 +324,12 @@ def search(
         arrow_schema = to_arrow_schema(out_schema)
         sc = coll.sparkSession.sparkContext
         parts = []
-        for rows in _query_blocks(queries, query_id_col, query_vec_col, budget_bytes):
+        blocks = (
+            [local_rows]
+            if local_rows is not None
+            else _query_blocks(queries, query_id_col, query_vec_col, budget_bytes)
+        )
+        for rows in blocks:
             ids, Q = _query_block_arrays(rows, rule.metric)
             if len(ids) == 0:
                 continue

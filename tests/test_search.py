@@ -132,3 +132,18 @@ def test_tree_topk_levels_equal_plain(spark):
     tree = top_per_query(raw, ScoreRule(), 7, "id", levels=2, fan_in=4)
     key = lambda df: sorted((r.query_id, r.id, r.rank) for r in df.collect())
     assert key(plain) == key(tree)
+
+
+def test_in_memory_queries_equal_dataframe(spark):
+    coll = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), "embedding"
+    )
+    rows = coll.where("id < 3").collect()
+    local = {r.id: list(r.embedding) for r in rows}
+    q = coll.where("id < 3").select(F.col("id").alias("query_id"), "embedding")
+    for method in ("arrow", "sql"):
+        a = sorted((r.query_id, r.id) for r in search(coll, q, cutoff=0.2, limit=9, method=method).collect())
+        b = sorted((r.query_id, r.id) for r in search(coll, local, cutoff=0.2, limit=9, method=method).collect())
+        assert a == b and a
+    with pytest.raises(ValueError):
+        search(coll, local, budget_bytes=8)
