@@ -2,7 +2,9 @@
 
 Mean and population standard deviation are ordinary partial aggregates.
 Percentiles use linear interpolation between order statistics (the numpy
-default), computed exactly without holding a group in one task:
+default), computed exactly.  The largest group is measured first: if every
+group fits in one task, Spark's exact ``percentile`` / windows are used;
+otherwise no group is held in one task:
 
 ranks inside each group come from ``ranking.positions`` (a range shuffle
 that spreads a hot group over many partitions), and only the rows at the
@@ -13,7 +15,7 @@ Nothing but the requested order statistics leaves the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import seconds_between
@@ -22,17 +24,46 @@ from nearfield.operators.ranking import positions
 DEFAULT_PERCENTILES = (90, 95, 99)
 
 
+# Largest group handled inside one task (window / built-in percentile); a
+# bigger group (e.g. one key with a third of all rows) takes the range-shuffle
+# path of ``ranking.positions``.
+SINGLE_TASK_GROUP_ROWS = 2_000_000
+
+
+def max_group_rows(df: DataFrame, group_cols) -> int:
+    """Row count of the largest group (one small aggregate job)."""
+    if not group_cols:
+        return int(df.count())
+    r = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
+    return int(r or 0)
+
+
+def _small_groups(df, group_cols, limit) -> bool:
+    return max_group_rows(df, group_cols) <= (SINGLE_TASK_GROUP_ROWS if limit is None else limit)
+
+
 def exact_percentiles(
     df: DataFrame,
     value_col: str,
     group_cols: list[str],
     percentiles=DEFAULT_PERCENTILES,
     num_partitions: int | None = None,
+    single_task_rows: int | None = None,
 ) -> DataFrame:
-    """Interpolated percentiles per group: one column ``p{p}`` per percentile."""
+    """Interpolated percentiles per group: one column ``p{p}`` per percentile.
+
+    Groups that all fit in one task use Spark's exact ``percentile``; if any
+    group is larger, ranks come from the range shuffle of ``positions``.
+    """
     vals = df.select(*group_cols, F.col(value_col).cast("double").alias("__v")).where(
         F.col("__v").isNotNull()
     )
+    if _small_groups(vals, group_cols, single_task_rows):
+        ps = [float(p) / 100.0 for p in percentiles]
+        agg = vals.groupBy(*group_cols).agg(F.percentile("__v", F.lit(ps)).alias("__p"))
+        return agg.select(
+            *group_cols, *[F.col("__p")[i].alias(f"p{p}") for i, p in enumerate(percentiles)]
+        )
     with_rank = positions(
         vals, group_cols, ["__v"], "__rank", num_partitions=num_partitions, with_group_size="__n"
     )
@@ -103,10 +134,16 @@ def throughput(df: DataFrame, group_cols, ts_col: str, ok_col: str) -> DataFrame
     )
 
 
-def iteration_numbers(df: DataFrame, run_cols, order_cols, ok_col: str) -> DataFrame:
+def iteration_numbers(
+    df: DataFrame, run_cols, order_cols, ok_col: str, single_task_rows: int | None = None
+) -> DataFrame:
     """Iteration = 1-based completion order within a run over all requests;
-    failed requests are then dropped, leaving gaps (E9).  Ranks come from a
-    range shuffle, so one long run is not a single task."""
+    failed requests are then dropped, leaving gaps (E9).  Runs that fit in one
+    task are numbered by a window; a longer run takes the range shuffle."""
+    if run_cols and _small_groups(df, list(run_cols), single_task_rows):
+        w = Window.partitionBy(*run_cols).orderBy(*order_cols)
+        out = df.withColumn("iteration", F.row_number().over(w).cast("long"))
+        return out.where(F.col(ok_col))
     out = positions(df, list(run_cols), list(order_cols), "__pos")
     return out.withColumn("iteration", F.col("__pos") + 1).drop("__pos").where(F.col(ok_col))
 
@@ -120,13 +157,20 @@ def phase_durations(df: DataFrame, key_cols, ts_col: str) -> DataFrame:
     ).withColumn("duration_s", seconds_between("start_ts", "end_ts"))
 
 
-def deltas(df: DataFrame, key_cols, order_cols, value_col: str, out_col: str = "delta"):
+def deltas(
+    df: DataFrame, key_cols, order_cols, value_col: str, out_col: str = "delta",
+    single_task_rows: int | None = None,
+):
     """``value - previous value`` per key in order (E5 on a logged series).
 
-    Written as a join of each row to its predecessor on (key, position), so
-    a key with a third of all rows is spread by position, not one window task.
+    Keys that fit in one task use ``lag`` over a window; if any key is larger
+    it is a join of each row to its predecessor on (key, position), so a key
+    with a third of all rows is spread by position, not one window task.
     """
     key_cols = list(key_cols)
+    if key_cols and _small_groups(df, key_cols, single_task_rows):
+        w = Window.partitionBy(*key_cols).orderBy(*order_cols)
+        return df.withColumn(out_col, F.col(value_col) - F.lag(value_col).over(w))
     p = positions(df, key_cols, list(order_cols), "__pos")
     prev = p.select(
         *key_cols, (F.col("__pos") + 1).alias("__pos"), F.col(value_col).alias("__prev")

@@ -63,26 +63,39 @@ def test_single_row_statistics(spark):
     assert (r.n, r.mean, r.std, r.p90, r.p99) == (1, 5.0, 0.0, 5.0, 5.0)
 
 
-def test_percentiles_with_hot_group_match_numpy(spark):
+@pytest.mark.parametrize("single_task_rows", [None, 0])  # window path / range-shuffle path
+def test_percentiles_with_hot_group_match_numpy(spark, single_task_rows):
     rng = np.random.default_rng(1)
     rows = [(0, float(x)) for x in rng.exponential(3.0, 3000)]  # hot group
     rows += [(g, float(x)) for g in range(1, 6) for x in rng.normal(10, 2, 37)]
     df = spark.createDataFrame(rows, "g int, v double")
-    got = {r.g: r for r in ST.exact_percentiles(df, "v", ["g"], (50, 90, 99), num_partitions=7).collect()}
+    got = {
+        r.g: r
+        for r in ST.exact_percentiles(
+            df, "v", ["g"], (50, 90, 99), num_partitions=7, single_task_rows=single_task_rows
+        ).collect()
+    }
     for g in range(6):
         vals = np.array([v for k, v in rows if k == g])
         for p in (50, 90, 99):
             assert got[g][f"p{p}"] == pytest.approx(np.percentile(vals, p), rel=1e-12)
 
 
-def test_iteration_gaps_and_deltas(spark):
+@pytest.mark.parametrize("single_task_rows", [None, 0])
+def test_iteration_gaps_and_deltas(spark, single_task_rows):
     df = spark.createDataFrame(
         [("r", 1, 10.0, True), ("r", 2, 12.0, False), ("r", 3, 11.0, True), ("s", 1, 5.0, True)],
         "run string, t int, v double, ok boolean",
     )
-    it = {(r.run, r.t): r.iteration for r in ST.iteration_numbers(df, ["run"], ["t"], "ok").collect()}
+    it = {
+        (r.run, r.t): r.iteration
+        for r in ST.iteration_numbers(df, ["run"], ["t"], "ok", single_task_rows).collect()
+    }
     assert it == {("r", 1): 1, ("r", 3): 3, ("s", 1): 1}
-    d = {(r.run, r.t): r.delta for r in ST.deltas(df, ["run"], ["t"], "v").collect()}
+    d = {
+        (r.run, r.t): r.delta
+        for r in ST.deltas(df, ["run"], ["t"], "v", single_task_rows=single_task_rows).collect()
+    }
     assert d[("r", 1)] is None and d[("r", 2)] == 2.0 and d[("r", 3)] == -1.0
 
 
