@@ -64,3 +64,38 @@ def positions(
         out_col, (F.col("__start") + F.col("__local") - F.col("__first")).cast("long")
     )
     return out.drop("__pid", "__mid", "__local", "__start", "__first")
+
+
+# Largest group handled inside one task (window, built-in percentile); a
+# bigger group - e.g. one key with a third of all rows - takes the range
+# shuffle of ``positions``.
+SINGLE_TASK_GROUP_ROWS = 2_000_000
+
+
+def max_group_rows(df: DataFrame, group_cols) -> int:
+    """Row count of the largest group (one small aggregate job)."""
+    if not group_cols:
+        return int(df.count())
+    r = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
+    return int(r or 0)
+
+
+def fits_one_task(df: DataFrame, group_cols, single_task_rows: int | None = None) -> bool:
+    limit = SINGLE_TASK_GROUP_ROWS if single_task_rows is None else single_task_rows
+    return max_group_rows(df, list(group_cols)) <= limit
+
+
+def ordered_positions(
+    df: DataFrame,
+    group_cols: list[str],
+    order_cols: list,
+    out_col: str = "pos",
+    single_task_rows: int | None = None,
+) -> DataFrame:
+    """``positions`` with a measured choice of strategy: when the largest group
+    (the whole frame for no groups) fits in one task, a ``row_number`` window;
+    otherwise the range shuffle, which never holds a group in one task."""
+    if fits_one_task(df, group_cols, single_task_rows):
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        return df.withColumn(out_col, (F.row_number().over(w) - 1).cast("long"))
+    return positions(df, group_cols, order_cols, out_col)

@@ -19,29 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import seconds_between
-from nearfield.operators.ranking import positions
+from nearfield.operators.ranking import fits_one_task, positions
 
 DEFAULT_PERCENTILES = (90, 95, 99)
 
 
-# Largest group handled inside one task (window / built-in percentile); a
-# bigger group (e.g. one key with a third of all rows) takes the range-shuffle
-# path of ``ranking.positions``.
-SINGLE_TASK_GROUP_ROWS = 2_000_000
-
-
-def max_group_rows(df: DataFrame, group_cols) -> int:
-    """Row count of the largest group (one small aggregate job)."""
-    if not group_cols:
-        return int(df.count())
-    r = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
-    return int(r or 0)
-
-
-def _small_groups(df, group_cols, limit) -> bool:
-    return max_group_rows(df, group_cols) <= (SINGLE_TASK_GROUP_ROWS if limit is None else limit)
-
-
 def exact_percentiles(
     df: DataFrame,
     value_col: str,
@@ -58,7 +40,7 @@ def exact_percentiles(
     vals = df.select(*group_cols, F.col(value_col).cast("double").alias("__v")).where(
         F.col("__v").isNotNull()
     )
-    if _small_groups(vals, group_cols, single_task_rows):
+    if fits_one_task(vals, group_cols, single_task_rows):
         ps = [float(p) / 100.0 for p in percentiles]
         agg = vals.groupBy(*group_cols).agg(F.percentile("__v", F.lit(ps)).alias("__p"))
         return agg.select(
@@ -140,7 +122,7 @@ def iteration_numbers(
     """Iteration = 1-based completion order within a run over all requests;
     failed requests are then dropped, leaving gaps (E9).  Runs that fit in one
     task are numbered by a window; a longer run takes the range shuffle."""
-    if run_cols and _small_groups(df, list(run_cols), single_task_rows):
+    if run_cols and fits_one_task(df, list(run_cols), single_task_rows):
         w = Window.partitionBy(*run_cols).orderBy(*order_cols)
         out = df.withColumn("iteration", F.row_number().over(w).cast("long"))
         return out.where(F.col(ok_col))
@@ -168,7 +150,7 @@ def deltas(
     with a third of all rows is spread by position, not one window task.
     """
     key_cols = list(key_cols)
-    if key_cols and _small_groups(df, key_cols, single_task_rows):
+    if key_cols and fits_one_task(df, key_cols, single_task_rows):
         w = Window.partitionBy(*key_cols).orderBy(*order_cols)
         return df.withColumn(out_col, F.col(value_col) - F.lag(value_col).over(w))
     p = positions(df, key_cols, list(order_cols), "__pos")

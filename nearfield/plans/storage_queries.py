@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from nearfield.functions import scalars as S
 from nearfield.operators import stats as ST
 from nearfield.operators.collection import Collection, with_batches
-from nearfield.operators.ranking import positions
+from nearfield.operators.ranking import ordered_positions
 from nearfield.plans import catalog as C
 from nearfield.session import scratch_path
 from nearfield.sources import files as FS
@@ -148,7 +148,7 @@ def collection_delete_predicate(spark, sf_dir):
 
 def batch_numbering(spark, sf_dir):
     d = C.table(spark, sf_dir, "documents").select("doc_id")
-    b = with_batches(positions(d, [], ["doc_id"], "pos"), "pos", BATCH)
+    b = with_batches(ordered_positions(d, [], ["doc_id"], "pos"), "pos", BATCH)
     return b.groupBy("batch").agg(
         F.count(F.lit(1)).cast("long").alias("n_rows"),
         F.min("doc_id").alias("first_id"),

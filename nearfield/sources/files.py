@@ -80,10 +80,11 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 
 
 def positional_ids(df: DataFrame, order_cols: list, id_col: str = "id") -> DataFrame:
-    """Dense 0..N-1 ids in the given order (A3), without a one-task window."""
-    from nearfield.operators.ranking import positions
+    """Dense 0..N-1 ids in the given order (A3): a window when the frame fits
+    in one task, otherwise the range shuffle of ``ranking.positions``."""
+    from nearfield.operators.ranking import ordered_positions
 
-    return positions(df, [], order_cols, id_col)
+    return ordered_positions(df, [], order_cols, id_col)
 
 
 def read_query_csv(spark: SparkSession, path: str) -> DataFrame:

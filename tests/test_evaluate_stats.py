@@ -105,3 +105,17 @@ def test_throughput_zero_elapsed(spark):
     )
     r = ST.throughput(df, ["k"], "ts", "ok").first()
     assert r.rps == 0.0 and r.successful_requests == 1
+
+
+@pytest.mark.parametrize("single_task_rows", [None, 0])
+def test_ordered_positions_both_paths(spark, single_task_rows):
+    from nearfield.operators.ranking import ordered_positions
+
+    df = spark.range(0, 500).selectExpr("id", "id % 3 AS g", "rand(7) AS r")
+    out = ordered_positions(df, ["g"], ["r", "id"], "pos", single_task_rows=single_task_rows)
+    rows = out.collect()
+    for g in range(3):
+        got = sorted((r.r, r.id, r.pos) for r in rows if r.g == g)
+        assert [p for _, _, p in got] == list(range(len(got)))
+    glob = ordered_positions(df, [], ["id"], "pos", single_task_rows=single_task_rows).collect()
+    assert sorted((r.id, r.pos) for r in glob) == [(i, i) for i in range(500)]
