@@ -402,6 +402,62 @@ def search_profile(collection: DataFrame, queries: DataFrame, prof: Profile, **k
     return search(collection, queries, rule=prof.rule, cutoff=prof.cutoff, limit=prof.limit, **kw)
 
 
+# Parameter names of the store request dicts.
+_CUTOFF_KEY = {
+    "pgvector": "certainty",
+    "qdrant": "certainty",
+    "milvus": "threshold",
+    "weaviate": "certainty",
+    "chroma": "threshold",
+    "elasticsearch": "certainty",
+}
+_METRICS = {"COSINE": "cosine", "IP": "ip", "L2": "l2"}
+
+
+def search_request(
+    collection: DataFrame,
+    queries,
+    store: str,
+    params: dict | None = None,
+    *,
+    id_col: str = "id",
+    vec_col: str = "embedding",
+    **kw,
+) -> DataFrame:
+    """One search request in a store's parameter vocabulary.
+
+    ``params`` uses the store's keys: ``certainty`` or ``threshold`` (cut-off),
+    ``limit``, ``metric_type`` (``COSINE``/``IP``/``L2``), ``expr`` (scalar
+    pre-filter), ``output_fields`` (carried columns) and ``anns_field``
+    (vector column; mandatory where the store requires it).  Missing keys
+    take the store's defaults; unknown stores raise ``ValueError``.
+    """
+    params = dict(params or {})
+    key = store.lower()
+    base = profile(key) if key != "weaviate" else _PROFILES["weaviate"]
+    cutoff = params.get(_CUTOFF_KEY.get(key, "certainty"), base.cutoff)
+    limit = params.get("limit", base.limit)
+    if key == "weaviate" and (cutoff is None or limit is None):
+        raise KeyError("weaviate requests need 'certainty' and 'limit'")
+    rule = base.rule
+    if "metric_type" in params:
+        rule = ScoreRule(_METRICS[str(params["metric_type"]).upper()], rule.transform)
+    if key == "milvus":
+        vec_col = params["anns_field"]  # mandatory, as in the store
+    return search(
+        collection,
+        queries,
+        rule=rule,
+        cutoff=cutoff,
+        limit=limit,
+        id_col=id_col,
+        vec_col=params.get("anns_field", vec_col),
+        prefilter=params.get("expr"),
+        carry=tuple(params.get("output_fields", ())),
+        **kw,
+    )
+
+
 def hits_to_names(hits: DataFrame, path_col: str, drop_empty: bool = True, unique: bool = False):
     """Hit rows -> base names of their paths, score order kept.
 

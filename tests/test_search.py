@@ -147,3 +147,29 @@ def test_in_memory_queries_equal_dataframe(spark):
         assert a == b and a
     with pytest.raises(ValueError):
         search(coll, local, budget_bytes=8)
+
+
+def test_search_request_params(spark):
+    from nearfield.operators.search import search_request
+
+    coll = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), "embedding", "label"
+    )
+    local = {0: [r.embedding for r in coll.where("id = 0").collect()][0]}
+    base = sorted((r.query_id, r.id) for r in search(coll, local, cutoff=0.2, limit=50).collect())
+    pg = search_request(coll, local, "pgvector", {"certainty": 0.2, "limit": 50})
+    wv = search_request(coll, local, "weaviate", {"certainty": 0.6, "limit": 50})
+    ch = search_request(coll, local, "chroma", {"threshold": 0.8, "limit": 50})
+    mv = search_request(coll, local, "milvus", {"threshold": 0.2, "limit": 50, "anns_field": "embedding",
+                                                "output_fields": ["label"], "expr": "label >= 0"})
+    for df in (pg, wv, ch, mv):
+        assert sorted((r.query_id, r.id) for r in df.collect()) == base
+    assert "label" in mv.columns
+    with pytest.raises(KeyError):
+        search_request(coll, local, "milvus", {"threshold": 0.2})
+    with pytest.raises(KeyError):
+        search_request(coll, local, "weaviate", {"limit": 5})
+    with pytest.raises(ValueError):
+        search_request(coll, local, "nosuchstore", {})
+    ip = search_request(coll, local, "pgvector", {"metric_type": "IP", "limit": 3})
+    assert ip.count() == 3
