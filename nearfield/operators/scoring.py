@@ -17,10 +17,24 @@ import numpy as np
 
 # Largest score block computed at once (rows x queries), in elements.
 _BLOCK_ELEMS = 4_000_000
+# Largest vector matrix converted at once (rows x dim), in elements (32 MB of
+# float64): Arrow batches of wide vectors are scored in row slices.
+_CHUNK_ELEMS = 4_000_000
 # Largest per-task top-k state (queries x limit rows) kept across batches.
 _PARTITION_TOPK_ROWS = 2_000_000
 
 
+def _row_chunks(batches, chunk_rows: int):
+    """Split Arrow batches into zero-copy slices of at most ``chunk_rows`` rows,
+    so the float64 matrix of one step stays bounded for any dimension."""
+    for b in batches:
+        if b.num_rows <= chunk_rows:
+            yield b
+            continue
+        for start in range(0, b.num_rows, chunk_rows):
+            yield b.slice(start, chunk_rows)
+
+
 def vector_matrix(col, d: int):
     """Arrow vector column -> (positions of rows with a length-``d`` vector,
     float64 matrix of those rows).
@@ -99,7 +113,8 @@ def make_batch_scorer(
         # is small; otherwise each batch's own top-`cap` is emitted.
         keep_partition_topk = cap is not None and q * cap <= _PARTITION_TOPK_ROWS
         pending, pending_rows = [], 0
-        for batch in batches:
+        chunk_rows = max(1, _CHUNK_ELEMS // max(d, 1))
+        for batch in _row_chunks(batches, chunk_rows):
             n = batch.num_rows
             if n == 0 or q == 0:
                 continue

@@ -72,3 +72,12 @@ def test_profile_transforms_are_monotone(s):
     a = np.sort(np.array(s))
     assert np.all(np.diff(native_scores(a, "half_shift")) >= 0)
     assert np.all(np.diff(native_scores(a, "distance")) <= 0)
+
+
+def test_row_chunks_cover_batches():
+    from nearfield.operators.scoring import _row_chunks
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(10))], names=["x"])
+    parts = list(_row_chunks([b, b.slice(0, 3)], 4))
+    assert [p.num_rows for p in parts] == [4, 4, 2, 3]
+    assert sum((p.column(0).to_pylist() for p in parts), []) == list(range(10)) + [0, 1, 2]

@@ -173,3 +173,19 @@ def test_search_request_params(spark):
         search_request(coll, local, "nosuchstore", {})
     ip = search_request(coll, local, "pgvector", {"metric_type": "IP", "limit": 3})
     assert ip.count() == 3
+
+
+def test_row_chunked_scoring_equals_whole_batches(spark, monkeypatch):
+    from nearfield.functions.vectors import pack_f32
+    from nearfield.operators import scoring
+
+    coll = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), "embedding", "label"
+    )
+    packed = coll.select("id", pack_f32("embedding").alias("embedding"), "label")
+    q = coll.where("id < 4").select(F.col("id").alias("query_id"), "embedding")
+    key = lambda df: sorted((r.query_id, r.id, round(r.score, 12), r.label) for r in df.collect())
+    whole = [key(search(c, q, cutoff=0.1, limit=30, carry=("label",))) for c in (coll, packed)]
+    monkeypatch.setattr(scoring, "_CHUNK_ELEMS", 64 * 5)  # 5-row slices
+    sliced = [key(search(c, q, cutoff=0.1, limit=30, carry=("label",))) for c in (coll, packed)]
+    assert whole[0] == whole[1] == sliced[0] == sliced[1]
