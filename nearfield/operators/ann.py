@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.vectors import sq_norm, unpack_f32
-from nearfield.operators.scoring import vector_matrix
+from nearfield.operators.scoring import _CHUNK_ELEMS, _row_chunks, vector_matrix
 from nearfield.operators.search import ScoreRule, search
 
 
@@ -61,7 +61,7 @@ def _assign_cells(df: DataFrame, centroids: np.ndarray, vec_col: str) -> DataFra
 
         C = bc.value
         d = C.shape[1]
-        for b in batches:
+        for b in _row_chunks(batches, max(1, _CHUNK_ELEMS // max(d, 1))):
             rows, M = vector_matrix(b.column(b.schema.get_field_index(vec_col)), d)
             cell = np.full(b.num_rows, -1, dtype=np.int32)
             if len(rows):
@@ -134,7 +134,7 @@ def _assign_signatures(df: DataFrame, planes: np.ndarray, vec_col: str) -> DataF
 
         H = bc.value
         weights = 1 << np.arange(H.shape[0])
-        for b in batches:
+        for b in _row_chunks(batches, max(1, _CHUNK_ELEMS // max(H.shape[1], 1))):
             rows, M = vector_matrix(b.column(b.schema.get_field_index(vec_col)), H.shape[1])
             cell = np.full(b.num_rows, -1, dtype=np.int32)
             if len(rows):
