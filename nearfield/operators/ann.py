@@ -34,6 +34,7 @@ from nearfield.operators.search import ScoreRule, search
 class IVFIndex:
     centroids: np.ndarray  # (n_cells, dim), unit norm
     data: DataFrame  # collection rows + ``cell``
+    counts: np.ndarray | None = None  # rows per cell (n_cells,)
 
     @property
     def n_cells(self) -> int:
@@ -49,6 +50,20 @@ class IVFIndex:
         np.put_along_axis(out, order, True, axis=1)
         return out
 
+    def probes_for_candidates(self, Q: np.ndarray, num_candidates: int) -> np.ndarray:
+        """bool[q, n_cells]: nearest cells until they hold ``num_candidates``
+        rows (the candidate pool of a k-NN request)."""
+        if self.counts is None:
+            raise ValueError("index has no cell counts; rebuild or reload it")
+        Qn = Q / np.maximum(np.linalg.norm(Q, axis=1, keepdims=True), 1e-300)
+        order = np.argsort(-(Qn @ self.centroids.T), axis=1, kind="stable")
+        cum = np.cumsum(self.counts[order], axis=1)
+        # a cell is probed while the rows of the nearer cells are still short
+        need = np.concatenate([np.zeros((len(Q), 1)), cum[:, :-1]], axis=1) < int(num_candidates)
+        out = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(out, order, need, axis=1)
+        return out
+
 
 def _assign_cells(df: DataFrame, centroids: np.ndarray, vec_col: str) -> DataFrame:
     """Nearest centroid of each row, computed per Arrow batch (no shuffle)."""
@@ -97,6 +112,15 @@ def build_ivf(
     return IVFIndex(C, _assign_cells(coll, C, vec_col))
 
 
+def cell_counts(index: IVFIndex) -> np.ndarray:
+    """Rows per cell (one count per cell reaches the driver)."""
+    counts = np.zeros(index.n_cells, dtype=np.int64)
+    for r in index.data.groupBy("cell").count().collect():
+        if r["cell"] is not None and r["cell"] >= 0:
+            counts[int(r["cell"])] = int(r["count"])
+    return counts
+
+
 @dataclass
 class LSHIndex:
     """Random-hyperplane LSH: the cell of a vector is its ``n_bits``-bit sign
@@ -164,29 +188,32 @@ def lsh_search(index: LSHIndex, queries: DataFrame, radius: int, **kw) -> DataFr
 
 
 def save_ivf(index: IVFIndex, path: str) -> None:
-    """Write the indexed collection partitioned by cell, plus the centroids.
-
-    Probing then reads only the probed cells' folders (partition pruning)."""
+    """Write the indexed collection partitioned by cell, plus the centroids
+    and rows per cell.  Probing then reads only the probed cells' folders."""
     spark = index.data.sparkSession
     index.data.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/data")
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
-    spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/centroids")
+    saved = IVFIndex(index.centroids, spark.read.parquet(f"{path}/data"))
+    counts = cell_counts(saved)
+    rows = [(i, [float(x) for x in c], int(counts[i])) for i, c in enumerate(index.centroids)]
+    spark.createDataFrame(rows, "cell int, centroid array<double>, n_rows long").coalesce(
+        1
+    ).write.mode("overwrite").parquet(f"{path}/centroids")
 
 
 def load_ivf(spark, path: str) -> IVFIndex:
     """Read an index written by ``save_ivf`` (centroids: n_cells rows)."""
     cents = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
     C = np.vstack([np.asarray(r["centroid"], dtype=np.float64) for r in cents])
-    return IVFIndex(C, spark.read.parquet(f"{path}/data"))
+    counts = np.asarray([int(r["n_rows"]) for r in cents], dtype=np.int64)
+    return IVFIndex(C, spark.read.parquet(f"{path}/data"), counts)
 
 
 def ivf_search(
     index: IVFIndex,
     queries: DataFrame,
-    nprobe: int,
+    nprobe: int | None = None,
     *,
+    num_candidates: int | None = None,
     rule: ScoreRule = ScoreRule(),
     cutoff: float | None = None,
     limit: int | None = None,
@@ -195,7 +222,14 @@ def ivf_search(
     carry=(),
     **kw,
 ) -> DataFrame:
-    """Search only the ``nprobe`` nearest cells of each query."""
+    """Search only the ``nprobe`` nearest cells of each query, or (with
+    ``num_candidates``) the nearest cells holding that many rows."""
+    if num_candidates is not None:
+        if index.counts is None:
+            index.counts = cell_counts(index)
+        probe = lambda Q: index.probes_for_candidates(Q, num_candidates)
+    else:
+        probe = lambda Q: index.probes(Q, nprobe)
     return search(
         index.data,
         queries,
@@ -205,7 +239,7 @@ def ivf_search(
         id_col=id_col,
         vec_col=vec_col,
         carry=carry,
-        probe_fn=lambda Q: index.probes(Q, nprobe),
+        probe_fn=probe,
         cell_col="cell",
         **kw,
     )

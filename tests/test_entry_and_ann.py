@@ -129,3 +129,25 @@ def test_lsh_search_properties(spark):
     assert near <= {(r.query_id, r.id) for r in search(coll, q, cutoff=0.0).collect()}
     top = {(r.query_id, r.id) for r in lsh_search(index, q, 1, limit=20).collect()}
     assert len(top & exact) / len(exact) > 0.9
+
+
+def test_ivf_candidate_pool(spark):
+    import tempfile
+
+    from nearfield.operators.ann import build_ivf, ivf_search, load_ivf, save_ivf
+
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(4, 16))
+    rows = [(i, (centers[i % 4] + 0.05 * rng.normal(size=16)).tolist()) for i in range(400)]
+    coll = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = coll.where("id < 4").select(F.col("id").alias("query_id"), "embedding")
+    path = tempfile.mkdtemp(prefix="ivfc-")
+    save_ivf(build_ivf(coll, 4), path)
+    index = load_ivf(spark, path)
+    assert index.counts.sum() == 400
+    Q = np.array([r.embedding for r in q.orderBy("query_id").collect()])
+    assert index.probes_for_candidates(Q, 1).sum(axis=1).tolist() == [1, 1, 1, 1]
+    assert index.probes_for_candidates(Q, 400).all()
+    exact = {(r.query_id, r.id) for r in search(coll, q, limit=10).collect()}
+    pool = {(r.query_id, r.id) for r in ivf_search(index, q, num_candidates=400, limit=10).collect()}
+    assert pool == exact
