@@ -422,6 +422,7 @@ def search_request(
     *,
     id_col: str = "id",
     vec_col: str = "embedding",
+    index=None,
     **kw,
 ) -> DataFrame:
     """One search request in a store's parameter vocabulary.
@@ -430,7 +431,9 @@ def search_request(
     ``limit``, ``metric_type`` (``COSINE``/``IP``/``L2``), ``expr`` (scalar
     pre-filter), ``output_fields`` (carried columns) and ``anns_field``
     (vector column; mandatory where the store requires it).  Missing keys
-    take the store's defaults; unknown stores raise ``ValueError``.
+    take the store's defaults; unknown stores raise ``ValueError``.  With an
+    IVF ``index`` the request is approximate: ``num_candidates`` (default
+    100, as the k-NN store) sets the candidate pool, or ``nprobe`` the cells.
     """
     params = dict(params or {})
     key = store.lower()
@@ -444,6 +447,16 @@ def search_request(
         rule = ScoreRule(_METRICS[str(params["metric_type"]).upper()], rule.transform)
     if key == "milvus":
         vec_col = params["anns_field"]  # mandatory, as in the store
+    if index is not None:
+        from nearfield.operators.ann import ivf_search
+
+        pool = params.get("num_candidates", None if "nprobe" in params else 100)
+        return ivf_search(
+            index, queries, params.get("nprobe"), num_candidates=pool,
+            rule=rule, cutoff=cutoff, limit=limit, id_col=id_col,
+            vec_col=params.get("anns_field", vec_col),
+            carry=tuple(params.get("output_fields", ())), **kw,
+        )
     return search(
         collection,
         queries,

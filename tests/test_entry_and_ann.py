@@ -151,3 +151,22 @@ def test_ivf_candidate_pool(spark):
     exact = {(r.query_id, r.id) for r in search(coll, q, limit=10).collect()}
     pool = {(r.query_id, r.id) for r in ivf_search(index, q, num_candidates=400, limit=10).collect()}
     assert pool == exact
+
+
+def test_search_request_with_index(spark):
+    import tempfile
+
+    from nearfield.operators.ann import build_ivf, load_ivf, save_ivf
+    from nearfield.operators.search import search_request
+
+    coll = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    path = tempfile.mkdtemp(prefix="ivfr-")
+    save_ivf(build_ivf(coll, 4, max_iter=5), path)
+    index = load_ivf(spark, path)
+    local = {0: [r.embedding for r in coll.where("id = 0").collect()][0]}
+    exact = sorted((r.query_id, r.id) for r in search(coll, local, limit=10).collect())
+    full = search_request(coll, local, "elasticsearch",
+                          {"certainty": 0.0, "limit": 10, "num_candidates": 10_000}, index=index)
+    assert sorted((r.query_id, r.id) for r in full.collect()) == sorted(
+        (q, i) for q, i in exact
+    )
