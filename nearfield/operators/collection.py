@@ -231,6 +231,15 @@ class Collection:
         fresh = new.join(old.select(self.id_col), self.id_col, "left_anti")
         self._commit(old.unionByName(fresh))
 
+    def search(self, queries, store: str = "pgvector", params: dict | None = None, **kw):
+        """One search request against the current version, in a store's
+        parameter vocabulary (see ``search.search_request``)."""
+        from nearfield.operators.search import search_request
+
+        return search_request(
+            self.read(), queries, store, params, id_col=self.id_col, vec_col=self.vec_col, **kw
+        )
+
     def truncate(self) -> None:
         """Delete all rows, keep the collection."""
         self._commit(self.spark.createDataFrame([], self.schema))

@@ -130,3 +130,12 @@ def test_stream_upsert_is_idempotent(spark):
     _batch(spark, [3, 4], "second").coalesce(1).write.mode("append").parquet(f"{src}/x")
     run_upsert_stream(spark, f"{src}/x", b1.schema, c, ckpt, name="s")
     assert _state(c) == [(1, "first"), (2, "first"), (3, "second"), (4, "second")]
+
+
+def test_collection_search_request(spark):
+    c = _coll(spark)
+    c.append(_batch(spark, [1, 2, 3], "p"))
+    hits = c.search({0: [2.0, 1.0]}, "pgvector", {"certainty": 0.98, "limit": 10})
+    assert sorted(r.id for r in hits.collect()) == [2, 3]  # cos to (2, 1): 0.949, 1.0, 0.990
+    with pytest.raises(KeyError):
+        c.search({0: [2.0, 1.0]}, "weaviate", {"limit": 1})
