@@ -170,3 +170,11 @@ def test_search_request_with_index(spark):
     assert sorted((r.query_id, r.id) for r in full.collect()) == sorted(
         (q, i) for q, i in exact
     )
+
+
+def test_every_oracle_binds_in_duckdb():
+    con = _duck()
+    for name, sql in E.oracle_sql().items():
+        con.execute("EXPLAIN " + sql)  # raises on a syntax or binding error
+    rows_only = set(E.queries()) - set(E.oracle_sql())
+    assert rows_only == {"ivf_recall_at_k", "lsh_recall_at_k", "search_benchmark_run", "load_benchmark_run"}
