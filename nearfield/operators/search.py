@@ -15,7 +15,7 @@ over the budget is split into hash blocks of bounded size, each block one
 streamed pass over the collection.
 
 Method ``"sql"`` is the same search written with higher-order functions and a
-broadcast nested-loop join; it is the pure-SQL reference used in tests.
+broadcast nested-loop join; it is the pure-SQL baseline used in tests.
 """
 
 from __future__ import annotations
