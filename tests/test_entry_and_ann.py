@@ -178,3 +178,11 @@ def test_every_oracle_binds_in_duckdb():
         con.execute("EXPLAIN " + sql)  # raises on a syntax or binding error
     rows_only = set(E.queries()) - set(E.oracle_sql())
     assert rows_only == {"ivf_recall_at_k", "lsh_recall_at_k", "search_benchmark_run", "load_benchmark_run"}
+
+
+def test_store_rules_select_the_same_hits(spark):
+    qs = E.queries()
+    key = lambda name: sorted((r.query_id, r.vec_id, r.rank) for r in qs[name](spark, SF).collect())
+    base = key("search_profile_cosine")
+    assert base and key("search_profile_half_shift") == base == key("search_profile_distance")
+    assert key("exact_threshold_search") == base
