@@ -23,6 +23,11 @@ from nearfield.streaming.upsert import run_upsert_stream
 R = 6
 BATCH = 500
 DELETE_PREDICATE = "label >= 5"
+def _run_ts():
+    """Timestamp written into the result file names of the registered queries."""
+    return F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+
+
 PAYLOAD = T.StructType([T.StructField("image_path", T.StringType()), T.StructField("label", T.IntegerType())])
 
 
@@ -171,14 +176,7 @@ def batch_counts(spark, sf_dir):
 def load_run_label(spark, sf_dir):
     """The row count of the loaded collection in the run's file name."""
     n = C.table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
-    ts = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
-    name = F.concat(
-        F.lit("vector_storing_and_deletion_results__size_"),
-        F.col("n_rows").cast("string"),
-        F.lit("__database_SPARK_"),
-        S.ts_file_text(ts),
-        F.lit(".csv"),
-    )
+    name = FS.results_file_name(FS.load_results_prefix(F.col("n_rows")), "SPARK", _run_ts())
     return n.select(name.alias("file_name"), "n_rows")
 
 
@@ -224,10 +222,8 @@ def _write_results(spark, sf_dir) -> str:
         F.lit(True).alias("ok"),
     )
     it = ST.iteration_numbers(req, ["event_type"], ["ts", "event_id"], "ok")
-    run = F.concat(
-        F.lit("vector_search_results_threads_10_iterations_100_database_"),
-        F.upper("event_type"),
-        F.lit("_2025-01-01_00-00-00.csv"),
+    run = FS.results_file_name(
+        FS.search_results_prefix(10, 100), F.upper("event_type"), _run_ts()
     )
     detail = it.withColumn("run_name", run)
     wide = ST.latency_summary(detail, "search_time", ["run_name"], prefix="search_time_")

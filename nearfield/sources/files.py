@@ -216,16 +216,39 @@ def write_results_csv(
     )
 
 
-def results_file_name(kind: str, database: str, ts_col, **parts) -> F.Column:
-    """File name of a run, e.g. ``..._threads_10_iterations_100_database_X_<ts>.csv``."""
-    fields = "".join(f"_{k}_{v}" for k, v in parts.items())
+# Result file name templates (the store name and a
+# yyyy-MM-dd_HH-mm-ss timestamp follow "database_").
+SEARCH_RESULTS_PREFIX = "vector_search_results_threads_{threads}_iterations_{iterations}_"
+LOAD_RESULTS_PREFIX = "vector_storing_and_deletion_results__size_{size}__"
+
+
+def _col_or_lit(x):
+    return x if isinstance(x, F.Column) else F.lit(str(x))
+
+
+def results_file_name(prefix, database, ts_col) -> F.Column:
+    """``{prefix}database_{database}_{yyyy-MM-dd_HH-mm-ss}.csv`` (A11, G11);
+    ``prefix`` and ``database`` may be columns."""
     return F.concat(
-        F.lit(f"{kind}{fields}_database_{database}_"),
+        _col_or_lit(prefix),
+        F.lit("database_"),
+        _col_or_lit(database),
+        F.lit("_"),
         F.date_format(ts_col, TS_FILE_FORMAT),
         F.lit(".csv"),
     )
 
 
+def search_results_prefix(threads: int, iterations: int) -> str:
+    return SEARCH_RESULTS_PREFIX.format(threads=int(threads), iterations=int(iterations))
+
+
+def load_results_prefix(size) -> F.Column:
+    """Prefix of a load run; ``size`` (row count, E11) may be a column."""
+    head, tail = LOAD_RESULTS_PREFIX.split("{size}")
+    return F.concat(F.lit(head), _col_or_lit(size).cast("string"), F.lit(tail))
+
+
 def write_embeddings(df: DataFrame, root: str, partition_cols=("model", "source_dir")):
     """Embedding sink: snappy parquet, partitioned by model and source folder."""
     (

@@ -1,5 +1,7 @@
 """Driver contract, a sample of oracle comparisons, IVF properties, extraction."""
 
+import os
+
 import duckdb
 import numpy as np
 import pytest
@@ -186,3 +188,14 @@ def test_store_rules_select_the_same_hits(spark):
     base = key("search_profile_cosine")
     assert base and key("search_profile_half_shift") == base == key("search_profile_distance")
     assert key("exact_threshold_search") == base
+
+
+def test_entry_module_imports_without_a_session():
+    import subprocess
+    import sys as _sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"
+    out = subprocess.run([_sys.executable, "-c", code], cwd=repo, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-500:]
+    assert out.stdout.split() == ["66", "62"]
