@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -63,27 +64,35 @@ def get_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (local tests) a scratch folder is created and registered, so that
-    ``DataFrame.checkpoint()`` works; on a cluster the setting is always
-    provided and no machine-local folder is used.
+    ``spark.checkpoint.dir`` is read from the session.  Only a session on a
+    ``local`` master may leave it unset (tests): a scratch folder is then made
+    and registered.  Any other master without the setting is an error, because
+    a machine-local folder is not seen by the other executors.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="nearfield-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder under the checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    if "://" in base:
-        import uuid
+    """A fresh path under the checkpoint folder for a written table.
 
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    Only the name is made here; the folder appears when Spark's writer commits
+    to it, through whatever file system the base path belongs to.
+    """
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a written table through the file system its path belongs to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
