@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import line_rules, packing, warc
+from nearfield.llm import cotraining, line_rules, minhash_dedup, mixing, packing, pii, span_dedup, toxicity, warc
 from nearfield.llm.common import table
 from nearfield.session import scratch_path
 
@@ -17,12 +17,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     return warc.page_digests(spark, path)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,10 +43,28 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.span_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_quality_cotraining": op2_quality_cotraining,
     "op3_warc": op3_warc,
+    "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_line_rules": op7_line_rules,
+    "op8_span_dedup": op8_span_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}

@@ -13,8 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 SLICE_BYTES = 2 << 20
+SLICE_ROWS = 2_048
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -100,12 +102,12 @@ def split_words(texts: pa.Array) -> Words:
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where its text reaches SLICE_BYTES; whole documents stay whole."""
+    """Cut a batch where its text reaches SLICE_BYTES, or SLICE_ROWS; whole documents stay whole."""
     col = batch.column(column)
     sizes = np.asarray(pa.compute.binary_length(col).fill_null(0), np.int64) if len(col) else np.zeros(0, np.int64)
     start, held = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if held and held + size > SLICE_BYTES:
+        if i > start and (held + size > SLICE_BYTES or i - start == SLICE_ROWS):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size
