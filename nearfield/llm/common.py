@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,5 +49,8 @@ def documents_like(df: DataFrame) -> DataFrame:
     )
 
 
-def pack_pair(a: Column, b: Column) -> Column:
-    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a vocabulary file of the installed public tokenizers lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

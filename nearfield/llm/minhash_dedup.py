@@ -209,7 +209,11 @@ def _link_texts(groups: DataFrame, bodies: DataFrame, threshold: float) -> DataF
 
 
 def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, class_id, text_id) per row of ``docs``; ``key`` is xxhash64(text)."""
+    """(doc_id, key, class_id, text_id, component) per row of ``docs``.
+
+    ``key`` is xxhash64(text); ``component`` tells classes apart even where
+    ids repeat, and is null for rows that are compared with nothing.
+    """
     docs = require(docs, {"doc_id": "long", "text": "string"})
     signed = stage_table(signatures(docs, bands, rows), "minhash-signatures")
     heads = stage_table(
@@ -236,11 +240,13 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, bands: in
     named = heads.select("t1", "t2", "node", F.col("row.doc_id").alias("text_id")).join(labels, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("text_id").alias("class_id"))
-    classes = named.join(lowest, "component").select("t1", "t2", "text_id", "class_id")
+    classes = named.join(lowest, "component").select("t1", "t2", "text_id", "class_id", "component")
     return (
         signed.select("doc_id", "key", "t1", "t2")
         .join(classes, ["t1", "t2"], "left")
-        .select("doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_id", "doc_id").alias("text_id"), "t1")
+        .select(
+            "doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_id", "doc_id").alias("text_id"), "component"
+        )
     )
 
 
@@ -256,8 +262,8 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     without words or without an id all stay.
     """
     docs = documents_like(docs)
-    found = stage_table(near_duplicate_rows(docs, threshold).filter("doc_id is not null and t1 is not null").drop("t1", "text_id"), "minhash-rows")
-    chosen = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("row"))
+    found = stage_table(near_duplicate_rows(docs, threshold).filter("doc_id is not null and component is not null").drop("text_id"), "minhash-rows")
+    chosen = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("row"))
     chosen = chosen.select("row.doc_id", "row.key").withColumn("stays", F.lit(True))
     rows = found.groupBy("doc_id", "key").agg(F.count("*").alias("copies")).join(chosen, ["doc_id", "key"], "left")
     rows = stage_table(rows.filter("stays is null or copies > 1"), "minhash-decided")

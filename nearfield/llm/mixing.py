@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,23 +241,30 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     joined = keyed.join(ranges, "key").filter(F.col("doc_id").eqNullSafe(F.col("owner")))
     # Rows that repeat a document have their passes together; one of them carries all.
     single = joined.dropDuplicates(["key", "owner"]).select(*DOCUMENT_COLUMNS, "passes")
-    return single.mapInPandas(cut_runs, "doc_id long, text string, lang string, source string, n_chars long")
+    return single.mapInArrow(cut_runs, "doc_id long, text string, lang string, source string, n_chars long")
 
 
-def cut_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per pass with the text of its word runs."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
-    for frame in frames:
-        rows = []
-        for doc_id, text, lang, source, passes in zip(*(frame[c] for c in ("doc_id", "text", "lang", "source", "passes")), strict=True):
-            spans = [m.span() for m in word.finditer(text)]
-            for runs in passes:
-                parts: list[list[int]] = []
-                for begin, stop in ((r["begin"], r["stop"]) if isinstance(r, dict) else (r[0], r[1]) for r in runs):
-                    if parts and parts[-1][1] == begin:
-                        parts[-1][1] = stop
-                    else:
-                        parts.append([begin, stop])
-                out = "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in parts)
-                rows.append((doc_id, out, lang, source, len(out)))
-        yield pd.DataFrame(rows, columns=list(DOCUMENT_COLUMNS)).astype({"doc_id": "Int64", "n_chars": "Int64"})
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            row, texts = [], []
+            for i, (text, passes) in enumerate(zip(part.column("text").to_pylist(), part.column("passes").to_pylist(), strict=True)):
+                spans = [m.span() for m in word.finditer(text)]
+                for runs in passes:
+                    joined: list[list[int]] = []
+                    for run in runs:
+                        if joined and joined[-1][1] == run["begin"]:
+                            joined[-1][1] = run["stop"]
+                        else:
+                            joined.append([run["begin"], run["stop"]])
+                    row.append(i)
+                    texts.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in joined))
+            kept = part.select(["doc_id", "lang", "source"]).take(pa.array(row, pa.int64()))
+            chars = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [kept.column("doc_id"), pa.array(texts, pa.string()), kept.column("lang"), kept.column("source"), chars],
+                names=list(DOCUMENT_COLUMNS),
+            )

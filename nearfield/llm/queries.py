@@ -6,17 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import cotraining, line_rules, minhash_dedup, mixing, packing, pii, span_dedup, toxicity, warc
-from nearfield.llm.common import table
+import corpus_pipeline
+from nearfield.llm import cotraining, embedding_dedup, line_rules, minhash_dedup, mixing, packing, pii, span_dedup, toxicity, warc
+from nearfield.llm.common import table, tokenizer_path
 from nearfield.session import scratch_path
 
 
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -31,6 +26,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(spark, path)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
@@ -59,12 +58,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_cotraining": op2_quality_cotraining,
     "op3_warc": op3_warc,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_line_rules": op7_line_rules,
     "op8_span_dedup": op8_span_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

@@ -275,11 +275,11 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         (split if not payloads else records).drop("payload_bytes", "payload_sha256"), ["file", "offset"]
     )
     body = F.expr(
-        "CASE WHEN startswith(block, x'485454502f') AND position(x'0d0a0d0a' IN block) > 0 "
-        "THEN substring(block, position(x'0d0a0d0a' IN block) + 4) ELSE block END"
+        "CASE WHEN startswith(content, x'485454502f') AND position(x'0d0a0d0a' IN content) > 0 "
+        "THEN substring(content, position(x'0d0a0d0a' IN content) + 4) ELSE content END"
     )
     again = F.col("record_type") == "revisit"
-    stated = F.regexp_extract(F.decode(F.expr("substring(block, 1, 4096)"), "ISO-8859-1"), r"(?i)\r\nContent-Length: *([0-9]+)", 1)
+    stated = F.regexp_extract(F.decode(F.expr("substring(content, 1, 4096)"), "ISO-8859-1"), r"(?i)\r\nContent-Length: *([0-9]+)", 1)
     facts = (
         facts.withColumn("payload", body)
         .withColumn("stated", stated)
@@ -295,7 +295,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
 
 def _gather(pieces: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
-    """(file, offset, block) with the whole content block of the given records.
+    """(file, offset, content) with the whole content block of the given records.
 
     A record covers its first piece and every later piece before its end, so
     each piece of the file is matched to the record of the greatest offset not
@@ -338,7 +338,7 @@ def _gather(pieces: DataFrame, found: DataFrame, records: DataFrame) -> DataFram
     ).select(
         "file",
         "offset",
-        F.expr(f"substring(raw, {len(MAGIC)} + int(head_length) + 1, int(span - head_length) - {len(MAGIC) + 4})").alias("block"),
+        F.expr(f"substring(raw, {len(MAGIC)} + int(head_length) + 1, int(span - head_length) - {len(MAGIC) + 4})").alias("content"),
     )
 
 
