@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,12 +153,16 @@ def _unpack_f32(b: pa.Array) -> pa.Array:
         b = b.combine_chunks()
     b = b.cast(pa.binary())
     n = len(b)
-    offs = np.frombuffer(b.buffers()[1], dtype=np.int32)[b.offset : b.offset + n + 1].astype(np.int64)
-    data = b.buffers()[2]
-    raw = np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
-    vals = raw[: len(raw) - len(raw) % 4].view("<f4")
-    list_offs = ((offs - offs[0]) // 4).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(list_offs), pa.array(vals), mask=b.is_null())
+    # A length that is no multiple of 4 is no vector: NULL, like a NULL row.
+    lens = np.asarray(pc.binary_length(b).fill_null(-1).to_numpy(zero_copy_only=False))
+    bad = (lens < 0) | (lens % 4 != 0)
+    good = b.filter(pa.array(~bad))
+    raw = b"".join(x.as_buffer() for x in good) if len(good) else b""
+    list_offs = np.zeros(n + 1, dtype=np.int32)
+    np.cumsum(np.where(bad, 0, lens // 4), out=list_offs[1:])
+    return pa.ListArray.from_arrays(
+        pa.array(list_offs), pa.array(np.frombuffer(raw, dtype="<f4")), mask=pa.array(bad)
+    )
 
 
 def pack_f32(v) -> Column:
@@ -166,5 +171,5 @@ def pack_f32(v) -> Column:
 
 
 def unpack_f32(b) -> Column:
-    """Packed float32 ``binary`` -> ``array<float>``."""
+    """Packed float32 ``binary`` -> ``array<float>``; NULL where the length is no multiple of 4."""
     return _unpack_f32(_c(b))

@@ -19,6 +19,7 @@ just more partitions of the scan, not one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +30,9 @@ from nearfield.functions.vectors import sq_norm, unpack_f32
 from nearfield.operators.scoring import _CHUNK_ELEMS, _row_chunks, vector_matrix
 from nearfield.operators.search import ScoreRule, search
 
+# Rows of one file of a written index.
+ROWS_PER_FILE = 250_000
+
 
 @dataclass
 class IVFIndex:
@@ -40,29 +44,43 @@ class IVFIndex:
     def n_cells(self) -> int:
         return int(self.centroids.shape[0])
 
-    def probes(self, Q: np.ndarray, nprobe: int) -> np.ndarray:
-        """bool[q, n_cells]: the ``nprobe`` cells nearest to each query."""
-        Qn = Q / np.maximum(np.linalg.norm(Q, axis=1, keepdims=True), 1e-300)
-        S = Qn @ self.centroids.T
+    def nearest_cells(self, Q: np.ndarray):
+        """Yield (first query, cells int[rows, n_cells] nearest first), a bounded slice of queries at a time."""
+        step = max(1, _CHUNK_ELEMS // max(self.n_cells, 1))
+        for at in range(0, len(Q), step):
+            part = Q[at : at + step]
+            unit = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-300)
+            yield at, np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")
+
+    def probes(self, Q: np.ndarray, nprobe: int) -> dict[int, np.ndarray]:
+        """Queries by cell: each query probes its ``nprobe`` nearest cells."""
         k = min(max(int(nprobe), 1), self.n_cells)
-        order = np.argsort(-S, axis=1, kind="stable")[:, :k]
-        out = np.zeros(S.shape, dtype=bool)
-        np.put_along_axis(out, order, True, axis=1)
-        return out
+        pairs = [(at + np.repeat(np.arange(len(o)), k), o[:, :k].ravel()) for at, o in self.nearest_cells(Q)]
+        return _by_cell(pairs)
 
-    def probes_for_candidates(self, Q: np.ndarray, num_candidates: int) -> np.ndarray:
-        """bool[q, n_cells]: nearest cells until they hold ``num_candidates``
+    def probes_for_candidates(self, Q: np.ndarray, num_candidates: int) -> dict[int, np.ndarray]:
+        """Queries by cell: each query probes its nearest cells that hold ``num_candidates``
         rows (the candidate pool of a k-NN request)."""
         if self.counts is None:
             raise ValueError("index has no cell counts; rebuild or reload it")
-        Qn = Q / np.maximum(np.linalg.norm(Q, axis=1, keepdims=True), 1e-300)
-        order = np.argsort(-(Qn @ self.centroids.T), axis=1, kind="stable")
-        cum = np.cumsum(self.counts[order], axis=1)
-        # a cell is probed while the rows of the nearer cells are still short
-        need = np.concatenate([np.zeros((len(Q), 1)), cum[:, :-1]], axis=1) < int(num_candidates)
-        out = np.zeros(order.shape, dtype=bool)
-        np.put_along_axis(out, order, need, axis=1)
-        return out
+        pairs = []
+        for at, order in self.nearest_cells(Q):
+            cum = np.cumsum(self.counts[order], axis=1)
+            # a cell is probed while the rows of the nearer cells are still short
+            need = np.concatenate([np.zeros((len(order), 1)), cum[:, :-1]], axis=1) < int(num_candidates)
+            row, place = np.nonzero(need)
+            pairs.append((at + row, order[row, place]))
+        return _by_cell(pairs)
+
+
+def _by_cell(pairs) -> dict[int, np.ndarray]:
+    """[(queries, cells), ...] -> {cell: its queries}."""
+    if not pairs:
+        return {}
+    query, cell = (np.concatenate(x) for x in zip(*pairs))
+    order = np.argsort(cell, kind="stable")
+    cells, first = np.unique(cell[order], return_index=True)
+    return {int(c): q for c, q in zip(cells, np.split(query[order], first[1:]))}
 
 
 def _assign_cells(df: DataFrame, centroids: np.ndarray, vec_col: str) -> DataFrame:
@@ -92,8 +110,14 @@ def build_ivf(
     vec_col: str = "embedding",
     seed: int = 7,
     max_iter: int = 20,
+    centroids: np.ndarray | None = None,
 ) -> IVFIndex:
-    """Train cells with Spark ML KMeans (cosine) and assign every row."""
+    """Train cells with Spark ML KMeans (cosine), or take the given ``centroids``,
+    and assign every row."""
+    if centroids is not None:
+        C = np.asarray(centroids, dtype=np.float64)
+        C = C / np.maximum(np.linalg.norm(C, axis=1, keepdims=True), 1e-300)
+        return IVFIndex(C, _assign_cells(coll, C, vec_col))
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -137,15 +161,12 @@ class LSHIndex:
         bits = (M @ self.hyperplanes.T) > 0
         return (bits * (1 << np.arange(bits.shape[1]))).sum(axis=1)
 
-    def probes(self, Q: np.ndarray, radius: int) -> np.ndarray:
-        """bool[q, n_cells]: cells within ``radius`` bit flips of each query."""
+    def probes(self, Q: np.ndarray, radius: int) -> dict[int, np.ndarray]:
+        """Queries by cell: each query probes the cells within ``radius`` bit flips of its own."""
         sig = self.signatures(Q)
-        cells = np.arange(self.n_cells)
-        x = sig[:, None] ^ cells[None, :]
-        dist = np.zeros(x.shape, dtype=np.int64)
-        for b in range(self.hyperplanes.shape[0]):
-            dist += (x >> b) & 1
-        return dist <= int(radius)
+        bits = range(self.hyperplanes.shape[0])
+        flips = [sum(1 << b for b in f) for n in range(min(int(radius), len(bits)) + 1) for f in combinations(bits, n)]
+        return _by_cell([(np.arange(len(sig)), sig ^ flip) for flip in flips])
 
 
 def _assign_signatures(df: DataFrame, planes: np.ndarray, vec_col: str) -> DataFrame:
@@ -187,19 +208,50 @@ def lsh_search(index: LSHIndex, queries: DataFrame, radius: int, **kw) -> DataFr
     )
 
 
-def save_ivf(index: IVFIndex, path: str) -> None:
+def _write_by_cell(data: DataFrame, path: str, vec_col: str) -> dict[int, int]:
+    """Write rows in folders by cell and return the rows per cell.
+
+    A cell's rows go to as many tasks as its size needs (a hash of the vector
+    deals them), so a cell with a third of all rows is neither one task nor a
+    file per scan task.
+    """
+    counts = {int(r["cell"]): int(r["count"]) for r in data.groupBy("cell").count().collect()}
+    if counts:
+        cells = sorted(counts)
+        files = F.array(*[F.lit(max(1, -(-counts[c] // ROWS_PER_FILE))) for c in cells])
+        place = F.array_position(F.array(*[F.lit(c) for c in cells]), F.col("cell")).cast("int")
+        salt = F.pmod(F.xxhash64(vec_col), F.element_at(files, place))
+        total = sum(max(1, -(-n // ROWS_PER_FILE)) for n in counts.values())
+        data = data.withColumn("__salt", salt).repartition(total, "cell", "__salt").drop("__salt")
+    data.write.mode("overwrite").partitionBy("cell").parquet(path)
+    return counts
+
+
+def save_ivf(index: IVFIndex, path: str, vec_col: str = "embedding") -> None:
     """Write the indexed collection partitioned by cell, plus the centroids
     and rows per cell.  Probing then reads only the probed cells' folders."""
     spark = index.data.sparkSession
-    index.data.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/data")
-    saved = IVFIndex(index.centroids, spark.read.parquet(f"{path}/data"))
-    counts = cell_counts(saved)
-    rows = [(i, [float(x) for x in c], int(counts[i])) for i, c in enumerate(index.centroids)]
+    counts = _write_by_cell(index.data, f"{path}/data", vec_col)
+    rows = [(i, [float(x) for x in c], counts.get(i, 0)) for i, c in enumerate(index.centroids)]
     spark.createDataFrame(rows, "cell int, centroid array<double>, n_rows long").coalesce(
         1
     ).write.mode("overwrite").parquet(f"{path}/centroids")
 
 
+def save_lsh(index: LSHIndex, path: str, vec_col: str = "embedding") -> None:
+    """Write the hashed collection partitioned by signature, plus the hyperplanes."""
+    spark = index.data.sparkSession
+    _write_by_cell(index.data, f"{path}/data", vec_col)
+    rows = [(i, [float(x) for x in h]) for i, h in enumerate(index.hyperplanes)]
+    spark.createDataFrame(rows, "bit int, plane array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/planes")
+
+
+def load_lsh(spark, path: str) -> LSHIndex:
+    """Read an index written by ``save_lsh`` (hyperplanes: n_bits rows)."""
+    planes = spark.read.parquet(f"{path}/planes").orderBy("bit").collect()
+    return LSHIndex(np.array([r["plane"] for r in planes], dtype=np.float64), spark.read.parquet(f"{path}/data"))
+
+
 def load_ivf(spark, path: str) -> IVFIndex:
     """Read an index written by ``save_ivf`` (centroids: n_cells rows)."""
     cents = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()

@@ -103,7 +103,7 @@ class Collection:
             ]
         )
 
-    def _conform(self, df: DataFrame) -> DataFrame:
+    def _conform(self, df: DataFrame, order_col: str | None = None) -> DataFrame:
         """Required columns and vector element type, checked on the schema
         before any job; then cast to the collection schema."""
         fields = {f.name: f.dataType for f in df.schema.fields}
@@ -128,6 +128,8 @@ class Collection:
             cols.append(
                 (F.col(f.name) if f.name in fields else F.lit(None)).cast(f.dataType).alias(f.name)
             )
+        if order_col and order_col not in self.schema.names:
+            cols.append(F.col(order_col))
         return df.select(*cols)
 
     def check_dims(self, df: DataFrame) -> None:
@@ -193,11 +195,11 @@ class Collection:
             self._fs.delete(f"{self.path}/{name}")
 
     # -- writes ---------------------------------------------------------------
-    def _prepare(self, df: DataFrame) -> DataFrame | None:
+    def _prepare(self, df: DataFrame, order_col: str | None = None) -> DataFrame | None:
         if df.isEmpty():  # B7
             log.warning("insert of an empty input into %s skipped", self.name)
             return None
-        out = self._conform(df)
+        out = self._conform(df, order_col)
         self.check_dims(out)
         return out
 
@@ -209,13 +211,26 @@ class Collection:
         self.create()
         new.write.mode("append").parquet(self._current())
 
-    def upsert(self, df: DataFrame, tag: str | None = None) -> None:
-        """Overwrite by id - new rows win; one row per id in the result."""
-        new = self._prepare(df)
+    def _one_per_id(self, df: DataFrame, order_col: str | None) -> DataFrame:
+        """One row per id: the one with the greatest ``order_col`` (NULLs least),
+        or of equal standing, and without an order, the greatest row."""
+        names = [c for c in self.schema.names if c != self.id_col]
+        rest = F.struct(*names)
+        rank = F.struct(F.col(order_col).alias("__o"), rest.alias("__r")) if order_col else rest
+        best = df.groupBy(self.id_col).agg(F.max_by(rest, rank).alias("__best"))
+        return best.select(self.id_col, *[F.col(f"__best.{c}").alias(c) for c in names])
+
+    def upsert(self, df: DataFrame, tag: str | None = None, order_col: str | None = None) -> None:
+        """Overwrite by id - new rows win; one row per id in the result.
+
+        Of several new rows with one id the newest by ``order_col`` (a column of
+        ``df``, not stored) is kept.
+        """
+        new = self._prepare(df, order_col)
         if new is None:
             return
         self.create()
-        new = new.dropDuplicates([self.id_col])
+        new = self._one_per_id(new, order_col)
         old = self.read()
         keep = old.join(new.select(self.id_col), self.id_col, "left_anti")
         self._commit(new.unionByName(keep), tag)
@@ -226,7 +241,7 @@ class Collection:
         if new is None:
             return
         self.create()
-        new = new.dropDuplicates([self.id_col])
+        new = self._one_per_id(new, None)
         old = self.read()
         fresh = new.join(old.select(self.id_col), self.id_col, "left_anti")
         self._commit(old.unionByName(fresh))

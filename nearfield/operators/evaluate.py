@@ -108,8 +108,8 @@ def class_sizes(collection: DataFrame, class_col: str) -> DataFrame:
     sizes = collection.groupBy(F.col(class_col).cast("long").alias("query_id")).agg(
         F.count(F.lit(1)).cast("long").alias("n_pos")
     )
-    # Collection size as a scalar subquery over the (small) per-class table.
-    return sizes.withColumn("n_all", sizes.select(F.sum("n_pos").cast("long")).scalar())
+    # The total over the grouped table (one row per class), in the same pass.
+    return sizes.withColumn("n_all", F.sum("n_pos").over(Window.partitionBy(F.lit(0))).cast("long"))
 
 
 def evaluate_by_class(

@@ -14,7 +14,7 @@ computes the same 0-based ``row_number() - 1`` with a range shuffle instead:
 The sorted data is checkpointed once (reliable checkpoint in the cluster's
 checkpoint folder), so the counts and the rows come from the same copy.
 
-The order columns should make the order total (add a unique tiebreaker), so
+NULL group keys form a group of their own on every path.  The order columns should make the order total (add a unique tiebreaker), so
 that a recomputed partition after an executor loss yields the same ranks.
 """
 
@@ -53,17 +53,38 @@ def positions(
     counts = ranked.groupBy(*group_cols, "__pid").agg(
         F.count(F.lit(1)).alias("__c"), F.min("__local").alias("__first")
     )
-    wg = Window.partitionBy(*group_cols).orderBy("__pid")
-    starts = counts.withColumn("__start", F.sum("__c").over(wg) - F.col("__c"))
-    if with_group_size:
-        starts = starts.withColumn(
-            with_group_size, F.sum("__c").over(Window.partitionBy(*group_cols)).cast("long")
-        )
-    starts = starts.drop("__c")
-    out = ranked.join(starts, [*group_cols, "__pid"]).withColumn(
+    if group_cols:
+        wg = Window.partitionBy(*group_cols).orderBy("__pid")
+        starts = counts.withColumn("__start", F.sum("__c").over(wg) - F.col("__c"))
+        if with_group_size:
+            starts = starts.withColumn(
+                with_group_size, F.sum("__c").over(Window.partitionBy(*group_cols)).cast("long")
+            )
+    else:
+        # One row per sorted partition: summed on the driver, not in a one-task window.
+        rows, start = [], 0
+        for r in sorted(counts.collect(), key=lambda r: r["__pid"]):
+            rows.append((r["__pid"], r["__first"], start))
+            start += r["__c"]
+        starts = spark.createDataFrame(rows, "__pid int, __first long, __start long")
+        if with_group_size:
+            starts = starts.withColumn(with_group_size, F.lit(start).cast("long"))
+    # Group keys may be NULL; they are matched null-safely.
+    names = {c: f"__g{i}" for i, c in enumerate(group_cols)}
+    starts = starts.select(
+        *[F.col(c).alias(n) for c, n in names.items()],
+        F.col("__pid").alias("__p"),
+        "__start",
+        "__first",
+        *([with_group_size] if with_group_size else []),
+    )
+    same = F.col("__pid") == F.col("__p")
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    out = ranked.join(starts, same).withColumn(
         out_col, (F.col("__start") + F.col("__local") - F.col("__first")).cast("long")
     )
-    return out.drop("__pid", "__mid", "__local", "__start", "__first")
+    return out.drop("__pid", "__mid", "__local", "__start", "__first", "__p", *names.values())
 
 
 # Largest group handled inside one task (window, built-in percentile); a
@@ -93,9 +114,9 @@ def ordered_positions(
     single_task_rows: int | None = None,
 ) -> DataFrame:
     """``positions`` with a measured choice of strategy: when the largest group
-    (the whole frame for no groups) fits in one task, a ``row_number`` window;
-    otherwise the range shuffle, which never holds a group in one task."""
-    if fits_one_task(df, group_cols, single_task_rows):
+    fits in one task, a ``row_number`` window; otherwise, and always for no
+    groups, the range shuffle, which never holds a group in one task."""
+    if group_cols and fits_one_task(df, group_cols, single_task_rows):
         w = Window.partitionBy(*group_cols).orderBy(*order_cols)
         return df.withColumn(out_col, (F.row_number().over(w) - 1).cast("long"))
     return positions(df, group_cols, order_cols, out_col)

@@ -3,8 +3,8 @@
 The query matrix is small by construction (its size is checked before it is
 broadcast, see ``search._query_blocks``), the collection is streamed
 partition by partition and never shuffled.  Each batch emits only the pairs
-that pass the cut-off, and at most ``cap`` pairs per query (plus exact ties),
-so the output is bounded by the hits, never by all pairs.
+that pass the cut-off; with a ``cap`` a task keeps a running top-``cap`` per
+query and emits at most ``queries x cap`` rows, whatever the two numbers are.
 
 Per-row rules are the ones of ``nearfield.functions.vectors``: rows whose
 vector is NULL, has the wrong length, a NULL or NaN element, or (for cosine)
@@ -20,8 +20,9 @@ _BLOCK_ELEMS = 4_000_000
 # Largest vector matrix converted at once (rows x dim), in elements (32 MB of
 # float64): Arrow batches of wide vectors are scored in row slices.
 _CHUNK_ELEMS = 4_000_000
-# Largest per-task top-k state (queries x limit rows) kept across batches.
-_PARTITION_TOPK_ROWS = 2_000_000
+# Largest per-task top-k state (queries x limit rows): a larger query set is
+# searched in slices of at most this many result rows, or of one query.
+PARTITION_TOPK_ROWS = 2_000_000
 
 
 def _row_chunks(batches, chunk_rows: int):
@@ -92,9 +93,10 @@ def make_batch_scorer(
     """Build the function given to ``DataFrame.mapInArrow``.
 
     ``bq`` is a broadcast of ``(query_ids int64[q], Q float64[q, d])`` or,
-    for cell-probed (IVF) search, ``(query_ids, Q, probes bool[q, n_cells])``
-    with ``cell_col`` naming the cell of each collection row: a pair is scored
-    only if the row's cell is among the query's probes.
+    for cell-probed (IVF, LSH) search, ``(query_ids, Q, probes)`` where
+    ``probes`` maps a cell to the positions of the queries that probe it and
+    ``cell_col`` names the cell of each collection row: the rows of a cell are
+    multiplied with its own queries only.
     """
 
     def score_partition(batches):
@@ -109,9 +111,7 @@ def make_batch_scorer(
             Qs = Q
         q_sq = np.einsum("ij,ij->i", Q, Q)
         names = ["query_id", id_col, "score", *carry]
-        # Running top-`cap` per query over the whole partition when that state
-        # is small; otherwise each batch's own top-`cap` is emitted.
-        keep_partition_topk = cap is not None and q * cap <= _PARTITION_TOPK_ROWS
+        # With a cap, a running top-`cap` per query over the whole partition.
         pending, pending_rows = [], 0
         chunk_rows = max(1, _CHUNK_ELEMS // max(d, 1))
         for batch in _row_chunks(batches, chunk_rows):
@@ -138,31 +138,31 @@ def make_batch_scorer(
                 continue
             if metric == "cosine":
                 M = M / np.sqrt(sq)[:, None]
-            step = max(1, _BLOCK_ELEMS // max(m, 1))
             out_r, out_c, out_s = [], [], []
-            for c0 in range(0, q, step):
-                c1 = min(q, c0 + step)
-                G = M @ Qs[c0:c1].T
-                if metric == "l2":
-                    raw = np.sqrt(np.maximum(sq[:, None] + q_sq[None, c0:c1] - 2.0 * G, 0.0))
-                else:
-                    raw = G
-                S = native_scores(raw, transform)
-                mask = np.isfinite(S)
-                if cells is not None:
-                    mask &= probes[c0:c1][:, cells].T
-                if cutoff is not None:
-                    mask &= (S >= cutoff) if higher_is_better else (S <= cutoff)
-                if cap is not None and m > cap:
-                    # Keep the best `cap` per query column, plus exact ties.
-                    key = np.where(mask, S if higher_is_better else -S, -np.inf)
-                    kth = np.partition(key, m - cap, axis=0)[m - cap]
-                    mask &= key >= kth[None, :]
-                r, c = np.nonzero(mask)
-                if len(r):
-                    out_r.append(r)
-                    out_c.append(c + c0)
-                    out_s.append(S[r, c])
+            for at, cols in _probe_groups(cells, probes, m, q):
+                step = max(1, _BLOCK_ELEMS // max(len(at), 1))
+                Mg, sqg = (M, sq) if len(at) == m else (M[at], sq[at])
+                for c0 in range(0, len(cols), step):
+                    own = cols[c0 : c0 + step]
+                    G = Mg @ Qs[own].T
+                    if metric == "l2":
+                        raw = np.sqrt(np.maximum(sqg[:, None] + q_sq[None, own] - 2.0 * G, 0.0))
+                    else:
+                        raw = G
+                    S = native_scores(raw, transform)
+                    mask = np.isfinite(S)
+                    if cutoff is not None:
+                        mask &= (S >= cutoff) if higher_is_better else (S <= cutoff)
+                    if cap is not None and len(at) > cap:
+                        # Keep the best `cap` per query column, plus exact ties.
+                        key = np.where(mask, S if higher_is_better else -S, -np.inf)
+                        kth = np.partition(key, len(at) - cap, axis=0)[len(at) - cap]
+                        mask &= key >= kth[None, :]
+                    r, c = np.nonzero(mask)
+                    if len(r):
+                        out_r.append(at[r])
+                        out_c.append(own[c])
+                        out_s.append(S[r, c])
             if not out_r:
                 continue
             r = np.concatenate(out_r)
@@ -181,20 +181,33 @@ def make_batch_scorer(
             for col in carry:
                 arrays.append(batch.column(batch.schema.get_field_index(col)).take(take))
             out = pa.RecordBatch.from_arrays(arrays, names=names).cast(out_schema)
-            if keep_partition_topk:
+            if cap is not None:
                 pending.append(out)
                 pending_rows += out.num_rows
-                if pending_rows > 4 * q * cap:
+                if pending_rows > 2 * q * cap:
                     merged = _topk_per_query(pending, cap, higher_is_better, id_col)
                     pending, pending_rows = [merged], merged.num_rows
             else:
                 yield out
-        if keep_partition_topk and pending:
+        if pending:
             yield _topk_per_query(pending, cap, higher_is_better, id_col)
 
     return score_partition
 
 
+def _probe_groups(cells, probes, m: int, q: int):
+    """(rows, queries) to be multiplied: everything, or each cell with the queries that probe it."""
+    if probes is None:
+        yield np.arange(m), np.arange(q)
+        return
+    order = np.argsort(cells, kind="stable")
+    firsts = np.flatnonzero(np.r_[True, np.diff(cells[order]) != 0])
+    for rows in np.split(order, firsts[1:]):
+        cols = probes.get(int(cells[rows[0]]))
+        if cols is not None:
+            yield rows, cols
+
+
 def _topk_per_query(batches, cap: int, higher_is_better: bool, id_col: str):
     """Best ``cap`` rows per query over record batches, by (score, id)."""
     import pyarrow as pa

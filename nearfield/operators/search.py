@@ -10,9 +10,10 @@ Plan shape (method ``"arrow"``, the default)::
       -> partial top-k per map partition -> shuffle(query_id) -> final top-k
 
 The collection is never shuffled; only hits move.  The query matrix is the
-broadcast side: its size is measured before it is collected, and a query set
-over the budget is split into hash blocks of bounded size, each block one
-streamed pass over the collection.
+broadcast side: its size is measured first, and a query set over the budget is
+read in blocks of bounded size, one after another, each block one streamed pass
+over the collection.  A block also holds no more queries than the per-task
+top-k has room for.  Queries of another length than a row never hit it.
 
 Method ``"sql"`` is the same search written with higher-order functions and a
 broadcast nested-loop join; it is the pure-SQL baseline used in tests.
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from nearfield.functions import vectors as V
 from nearfield.functions.scalars import base_name, non_empty
-from nearfield.operators.scoring import make_batch_scorer
+from nearfield.operators.scoring import PARTITION_TOPK_ROWS, make_batch_scorer
 
 # Largest query matrix broadcast to the scorer in one pass (bytes of float64).
 DEFAULT_QUERY_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -113,9 +114,8 @@ def profile_names() -> list[str]:
 
 
 def _query_block_arrays(rows, metric: str):
-    """Rows of (query_id, vector) -> (ids int64[q], Q float64[q, d])."""
-    ids, vecs = [], []
-    dim = None
+    """Rows of (query_id, vector) -> [(ids int64[q], Q float64[q, d])], one per vector length."""
+    by_length: dict[int, tuple[list, list]] = {}
     for qid, vec in rows:
         if vec is None or any(x is None for x in vec):
             continue
@@ -124,15 +124,10 @@ def _query_block_arrays(rows, metric: str):
             continue
         if metric == "cosine" and not np.any(arr):
             continue
-        if dim is None:
-            dim = len(arr)
-        elif len(arr) != dim:
-            raise ValueError(f"query vectors have different lengths ({dim} and {len(arr)})")
+        ids, vecs = by_length.setdefault(len(arr), ([], []))
         ids.append(int(qid))
         vecs.append(arr)
-    if not ids:
-        return np.zeros(0, np.int64), np.zeros((0, 0), np.float64)
-    return np.asarray(ids, np.int64), np.vstack(vecs)
+    return [(np.asarray(ids, np.int64), np.vstack(vecs)) for _, (ids, vecs) in sorted(by_length.items())]
 
 
 def _query_size(queries: DataFrame, qvec: str) -> tuple[int, int]:
@@ -141,40 +136,41 @@ def _query_size(queries: DataFrame, qvec: str) -> tuple[int, int]:
     return int(st["n"] or 0), max(int(st["d"] or 0), 0)
 
 
-def _query_blocks(queries: DataFrame, qid: str, qvec: str, budget_bytes: int):
-    """Collect the query set in blocks whose matrix fits the broadcast budget.
+def query_slices(rows, max_rows: int):
+    """Lists of at most ``max_rows`` rows; only the current one is held."""
+    block = []
+    for row in rows:
+        block.append(row)
+        if len(block) == max_rows:
+            yield block
+            block = []
+    if block:
+        yield block
 
-    The size is measured first (one small aggregate job); a query set that
-    fits is collected once, a larger one is split by a hash of its id.  (A
-    bounded streaming collect was measured slower: one job per partition.)
+
+def _block_rows(dim: int, budget_bytes: int, limit: int | None) -> int:
+    """Queries of one block: its matrix fits the budget, its top-k the per-task state."""
+    rows = max(1, budget_bytes // (max(dim, 1) * 8))
+    return min(rows, max(1, PARTITION_TOPK_ROWS // limit)) if limit else rows
+
+
+def _query_blocks(queries: DataFrame, qid: str, qvec: str, budget_bytes: int, limit: int | None):
+    """Yield the query set in bounded blocks.
+
+    The size is measured first (one small aggregate job); a query set that fits
+    is collected at once, a larger one is streamed partition by partition.
     """
-    # The query set is usually derived (an aggregate); keep it for the size
-    # check and the collect instead of computing it twice.
     qv = F.col(qvec)
     if isinstance(queries.schema[qvec].dataType, T.BinaryType):  # packed float32
         qv = V.unpack_f32(qv)
-    q = queries.select(F.col(qid).cast("long").alias("qid"), V.as_double(qv).alias("v")).persist()
-    try:
-        return _query_blocks_of(q, budget_bytes)
-    finally:
-        q.unpersist()
-
-
-def _query_blocks_of(q: DataFrame, budget_bytes: int):
+    q = queries.select(F.col(qid).cast("long").alias("qid"), V.as_double(qv).alias("v"))
     n, d = _query_size(q, "v")
     total = n * max(d, 1) * 8
     if total <= budget_bytes:
-        return [q.collect()]
-    nblocks = 2 * math.ceil(total / budget_bytes)
-    blocks = []
-    keyed = q.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(nblocks)))
-    max_rows = budget_bytes // (max(d, 1) * 8)
-    for b in range(nblocks):
-        rows = keyed.where(F.col("b") == b).select("qid", "v").limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
-            raise ValueError("query hash block over the broadcast budget; raise the budget")
-        blocks.append(rows)
-    return blocks
+        rows = q.collect()
+    else:
+        rows = q.repartition(2 * math.ceil(total / budget_bytes)).toLocalIterator()
+    yield from query_slices(rows, _block_rows(d, budget_bytes, limit))
 
 
 # ----------------------------------------------------------------------------
@@ -195,12 +191,9 @@ TOPK_FAN_IN = 64
 
 def estimated_scan_tasks(df: DataFrame) -> int:
     """Map tasks of a scan, from Catalyst's size estimate (no job is run)."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-        per_task = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-        return max(1, math.ceil(size / max(per_task, 1)))
-    except Exception:  # noqa: BLE001 - estimate only
-        return 1
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    per_task = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(1, math.ceil(size / max(per_task, 1)))
 
 
 def topk_levels(map_tasks: int, limit: int, max_rows: int = MAX_TOPK_ROWS_PER_TASK,
@@ -282,8 +275,11 @@ def search(
     Returns ``query_id, <id_col>, score[, rank], *carry``; ``score`` is the
     native score of ``rule``.  The cut-off is inclusive (``>=``, or ``<=`` for
     distances).  ``prefilter`` is a SQL predicate on collection columns applied
-    before scoring (pushed to the scan when it is on stored columns).
+    before scoring (pushed to the scan when it is on stored columns).  One of
+    ``cutoff`` and ``limit`` is required: without both, every pair is a hit.
     """
+    if cutoff is None and limit is None:
+        raise ValueError("a search needs a cutoff or a limit")
     carry = tuple(c for c in carry if c not in (id_col,))
     scan_cols = (id_col, vec_col, *carry) + ((cell_col,) if cell_col and cell_col not in carry else ())
     if limit is not None and int(limit) <= 0:
@@ -301,9 +297,6 @@ def search(
         # as a request to a store carries them: no job is needed to fetch them.
         items = queries.items() if isinstance(queries, dict) else enumerate(queries)
         local_rows = [(int(k), None if v is None else [float(x) for x in v]) for k, v in items]
-        nbytes = sum(8 * len(v or ()) for _, v in local_rows)
-        if nbytes > budget_bytes:
-            raise ValueError("in-memory query set over the broadcast budget; pass a DataFrame")
         if method != "arrow":
             queries = coll.sparkSession.createDataFrame(
                 local_rows, f"{query_id_col} long, {query_vec_col} array<double>"
@@ -324,21 +317,17 @@ def search(
         arrow_schema = to_arrow_schema(out_schema)
         sc = coll.sparkSession.sparkContext
         parts = []
-        blocks = (
-            [local_rows]
-            if local_rows is not None
-            else _query_blocks(queries, query_id_col, query_vec_col, budget_bytes)
-        )
-        for rows in blocks:
-            ids, Q = _query_block_arrays(rows, rule.metric)
-            if len(ids) == 0:
-                continue
+        if local_rows is not None:
+            dim = max((len(v or ()) for _, v in local_rows), default=0)
+            blocks = query_slices(local_rows, _block_rows(dim, budget_bytes, limit))
+        else:
+            blocks = _query_blocks(queries, query_id_col, query_vec_col, budget_bytes, limit)
+        for ids, Q in (b for rows in blocks for b in _query_block_arrays(rows, rule.metric)):
             part = coll
             if probe_fn is not None:
                 # Cells probed by this block: prune the scan, mask the pairs.
                 probes = probe_fn(Q)
-                cells = [int(c) for c in np.flatnonzero(probes.any(axis=0))]
-                part = coll.where(F.col(cell_col).isin(cells))
+                part = coll.where(F.col(cell_col).isin(sorted(probes)))
                 bq = sc.broadcast((ids, Q, probes))
             else:
                 bq = sc.broadcast((ids, Q))
@@ -411,6 +400,9 @@ _CUTOFF_KEY = {
     "chroma": "threshold",
     "elasticsearch": "certainty",
 }
+_REQUEST_KEYS = {
+    "anns_field", "certainty", "expr", "limit", "metric_type", "nprobe", "num_candidates", "output_fields", "threshold",
+}
 _METRICS = {"COSINE": "cosine", "IP": "ip", "L2": "l2"}
 
 
@@ -436,6 +428,9 @@ def search_request(
     100, as the k-NN store) sets the candidate pool, or ``nprobe`` the cells.
     """
     params = dict(params or {})
+    unknown = sorted(set(params) - _REQUEST_KEYS)
+    if unknown:
+        raise KeyError(f"unknown request keys {unknown}")
     key = store.lower()
     base = profile(key) if key != "weaviate" else _PROFILES["weaviate"]
     cutoff = params.get(_CUTOFF_KEY.get(key, "certainty"), base.cutoff)
@@ -454,7 +449,7 @@ def search_request(
         return ivf_search(
             index, queries, params.get("nprobe"), num_candidates=pool,
             rule=rule, cutoff=cutoff, limit=limit, id_col=id_col,
-            vec_col=params.get("anns_field", vec_col),
+            vec_col=params.get("anns_field", vec_col), prefilter=params.get("expr"),
             carry=tuple(params.get("output_fields", ())), **kw,
         )
     return search(

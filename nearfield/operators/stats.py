@@ -46,8 +46,11 @@ def exact_percentiles(
         return agg.select(
             *group_cols, *[F.col("__p")[i].alias(f"p{p}") for i, p in enumerate(percentiles)]
         )
+    # Equal values are told apart by an arbitrary row number, so that a value
+    # held by most rows of a group is still spread over the partitions.
     with_rank = positions(
-        vals, group_cols, ["__v"], "__rank", num_partitions=num_partitions, with_group_size="__n"
+        vals.withColumn("__t", F.monotonically_increasing_id()),
+        group_cols, ["__v", "__t"], "__rank", num_partitions=num_partitions, with_group_size="__n",
     )
     wanted = []
     for p in percentiles:
@@ -83,16 +86,29 @@ def latency_summary(
     group_cols: list[str],
     percentiles=DEFAULT_PERCENTILES,
     prefix: str = "",
+    single_task_rows: int | None = None,
 ) -> DataFrame:
-    """n, mean, population std and percentiles per group."""
+    """n, mean, population std and percentiles per group (E1-E3, E8); a NULL key is a group."""
     base = df.groupBy(*group_cols).agg(
         F.count(F.col(value_col)).cast("long").alias(f"{prefix}n"),
         F.avg(F.col(value_col).cast("double")).alias(f"{prefix}mean"),
         F.stddev_pop(F.col(value_col).cast("double")).alias(f"{prefix}std"),
     )
-    pct = exact_percentiles(df, value_col, group_cols, percentiles)
-    pct = pct.select(*group_cols, *[F.col(f"p{p}").alias(f"{prefix}p{p}") for p in percentiles])
-    return base.join(pct, group_cols, "left")
+    pct = exact_percentiles(df, value_col, group_cols, percentiles, single_task_rows=single_task_rows)
+    return _join_null_safe(base, pct, group_cols, {f"p{p}": f"{prefix}p{p}" for p in percentiles})
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], add: dict[str, str]) -> DataFrame:
+    """Left join on keys that may be NULL; ``add`` maps columns of ``right`` to their names in the result."""
+    sides = right.select(
+        *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *[F.col(c).alias(f"__a{i}") for i, c in enumerate(add)]
+    )
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return left.join(sides, same, "left").select(
+        *[F.col(c) for c in left.columns], *[F.col(f"__a{i}").alias(n) for i, n in enumerate(add.values())]
+    )
 
 
 def summary_long(wide: DataFrame, id_cols: list[str], metric_cols: list[str]) -> DataFrame:
@@ -157,8 +173,5 @@ def deltas(
     prev = p.select(
         *key_cols, (F.col("__pos") + 1).alias("__pos"), F.col(value_col).alias("__prev")
     )
-    return (
-        p.join(prev, [*key_cols, "__pos"], "left")
-        .withColumn(out_col, F.col(value_col) - F.col("__prev"))
-        .drop("__prev")
-    )
+    joined = _join_null_safe(p, prev, [*key_cols, "__pos"], {"__prev": "__prev"})
+    return joined.withColumn(out_col, F.col(value_col) - F.col("__prev")).drop("__prev", "__pos")

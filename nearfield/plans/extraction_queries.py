@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nearfield.operators.ann import (
@@ -9,20 +10,22 @@ from nearfield.operators.ann import (
     build_lsh,
     ivf_search,
     load_ivf,
+    load_lsh,
     lsh_search,
-    recall_at_k,
     save_ivf,
+    save_lsh,
 )
 from nearfield.operators.extract import (
     extract_embeddings,
     first_parts,
     line_letter_embedder,
     split_ok,
+    write_split,
 )
-from nearfield.operators.search import search
+from nearfield.operators.search import search_request
 from nearfield.plans import catalog as C
-from nearfield.plans.oracles import CLASS_HITS, R
-from nearfield.plans.queries import COS
+from nearfield.plans.oracles import CLASS_HITS, ORACLES as BASE_ORACLES, PROTOS, R
+from nearfield.plans.queries import COS, PREFILTER
 from nearfield.session import scratch_path
 from nearfield.sources.files import write_embeddings
 
@@ -47,11 +50,30 @@ def extract_embeddings_flatmap(spark, sf_dir):
     )
 
 
+MAX_LINES = 20
+
+
 def extract_error_side_table(spark, sf_dir):
-    _, bad = split_ok(_extracted(spark, sf_dir))
+    """H3: items the embedder rejects, with the reason; vectors and errors come
+    from one written pass of the embedder."""
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = extract_embeddings(docs, lambda: line_letter_embedder(MAX_LINES), "doc_id", "text")
+    _, bad = write_split(got, scratch_path(spark, "extracted-sides"))
     return bad
 
 
+def extract_by_path(spark, sf_dir):
+    """Items keyed by a path string, as image files are: parts and letters per item."""
+    items = C.table(spark, sf_dir, "documents").select(
+        F.concat_ws("/", F.lit("img"), "source", F.col("doc_id").cast("string")).alias("image_path"), "text"
+    )
+    ok, _ = split_ok(extract_embeddings(items, line_letter_embedder, "image_path", "text"))
+    letters = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return ok.groupBy(F.col("item_id").alias("image_path")).agg(
+        F.count(F.lit(1)).cast("long").alias("n_parts"), F.sum(letters.cast("long")).alias("n_letters")
+    )
+
+
 def extract_to_sink(spark, sf_dir):
     """H2 + A9: extract every source folder's items, write the embeddings
     partitioned by (model, source_dir), read back per folder."""
@@ -99,77 +121,81 @@ def ivf_search_full_probe(spark, sf_dir):
     return h.select("query_id", "vec_id", F.round("score", R).alias("score"), "rank")
 
 
-def ivf_recall_at_k(spark, sf_dir):
-    """Recall@k of a 2-of-8-cells probe against exact top-k, per query."""
+def ivf_prefiltered_search(spark, sf_dir):
+    """A request with a scalar filter on an index, every cell probed: the exact pre-filtered hits."""
     coll = C.collection(spark, sf_dir)
-    q = C.class_queries(coll)
-    index = _index(spark, coll)
-    approx = ivf_search(index, q, NPROBE, rule=COS, limit=C.TOPK, id_col="vec_id")
-    exact = search(coll, q, rule=COS, limit=C.TOPK, id_col="vec_id")
-    return recall_at_k(approx, exact, "vec_id")
+    h = search_request(
+        coll, C.class_queries(coll), "pgvector",
+        {"certainty": C.THRESHOLD, "limit": C.LIMIT, "expr": PREFILTER, "output_fields": ["label"], "nprobe": N_CELLS},
+        id_col="vec_id", index=_index(spark, coll),
+    )
+    return h.select("query_id", "vec_id", F.round("score", R).alias("score"), "rank", "label")
 
 
-LSH_BITS = 6
+def _class_index(spark, coll):
+    """IVF whose centroids are the class prototypes (one row per class), written and read back."""
+    protos = C.class_queries(coll).orderBy("query_id").collect()
+    path = scratch_path(spark, "ivf-classes")
+    save_ivf(build_ivf(coll, len(protos), centroids=[r["embedding"] for r in protos]), path)
+    return load_ivf(spark, path)
 
 
-def lsh_search_full_probe(spark, sf_dir):
-    """Hyperplane LSH with every cell probed (radius = bits) equals exact search."""
+def ivf_probe_search(spark, sf_dir):
+    """Approximate search: each query reads its two nearest cells only."""
     coll = C.collection(spark, sf_dir)
-    index = build_lsh(coll, LSH_BITS, dim=64)
-    h = lsh_search(
-        index, C.class_queries(coll), LSH_BITS,
+    h = ivf_search(
+        _class_index(spark, coll), C.class_queries(coll), NPROBE,
         rule=COS, cutoff=C.THRESHOLD, limit=C.LIMIT, id_col="vec_id",
     )
     return h.select("query_id", "vec_id", F.round("score", R).alias("score"), "rank")
 
 
-def lsh_recall_at_k(spark, sf_dir):
-    """Recall@k of hyperplane LSH probing radius 1 against exact top-k."""
+def knn_candidate_pool(spark, sf_dir):
+    """A k-NN request with the store's own defaults (10 hits, score 0.5, pool of 100) on an index."""
     coll = C.collection(spark, sf_dir)
-    q = C.class_queries(coll)
-    approx = lsh_search(build_lsh(coll, LSH_BITS, dim=64), q, 1, rule=COS, limit=C.TOPK, id_col="vec_id")
-    exact = search(coll, q, rule=COS, limit=C.TOPK, id_col="vec_id")
-    return recall_at_k(approx, exact, "vec_id")
+    h = search_request(
+        coll, C.class_queries(coll), "elasticsearch", {}, id_col="vec_id", index=_class_index(spark, coll)
+    )
+    return h.select("query_id", "vec_id", F.round("score", R).alias("score"), "rank")
 
 
-def search_benchmark_run(spark, sf_dir):
-    """Search benchmark: 5 timed requests per class query from 5 threads,
-    evaluated against the class labels; summary per query (rows-only)."""
-    from nearfield.operators.search import profile
-    from nearfield.plans.harness import search_benchmark
+LSH_BITS = 6
+
 
+def lsh_search_full_probe(spark, sf_dir):
+    """Hyperplane LSH with every cell probed (radius = bits) equals exact search."""
     coll = C.collection(spark, sf_dir)
-    prof = profile("pgvector", cutoff=C.THRESHOLD, limit=C.LIMIT)
-    _, summary = search_benchmark(
-        spark, coll, C.class_queries(coll), prof, id_col="vec_id", class_col="label",
-        n_requests=5, threads=5,
+    index = build_lsh(coll, LSH_BITS, dim=64)
+    h = lsh_search(
+        index, C.class_queries(coll), LSH_BITS,
+        rule=COS, cutoff=C.THRESHOLD, limit=C.LIMIT, id_col="vec_id",
     )
-    return summary
-
+    return h.select("query_id", "vec_id", F.round("score", R).alias("score"), "rank")
 
-def load_benchmark_run(spark, sf_dir):
-    """Load/delete benchmark: 3 timed create/insert/delete iterations of the
-    whole embeddings table; summary statistics (rows-only)."""
-    from nearfield.plans.harness import load_benchmark
 
-    data = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    _, summary = load_benchmark(
-        spark, data, scratch_path(spark, "load-bench"), dim=64, id_col="vec_id", iterations=3
+def lsh_probe_search(spark, sf_dir):
+    """Approximate search: cells within one bit flip of the query's signature, from a written index."""
+    coll = C.collection(spark, sf_dir)
+    path = scratch_path(spark, "lsh")
+    save_lsh(build_lsh(coll, LSH_BITS, dim=64), path)
+    h = lsh_search(
+        load_lsh(spark, path), C.class_queries(coll), 1, rule=COS, cutoff=C.THRESHOLD, limit=C.LIMIT, id_col="vec_id"
     )
-    return summary
+    return h.select("query_id", "vec_id", F.round("score", R).alias("score"), "rank")
 
 
 QUERIES = {
     "extract_embeddings_flatmap": extract_embeddings_flatmap,
     "extract_error_side_table": extract_error_side_table,
+    "extract_by_path": extract_by_path,
     "extract_to_sink": extract_to_sink,
     "query_first_face": query_first_face,
     "ivf_search_full_probe": ivf_search_full_probe,
-    "ivf_recall_at_k": ivf_recall_at_k,
+    "ivf_prefiltered_search": ivf_prefiltered_search,
+    "ivf_probe_search": ivf_probe_search,
+    "knn_candidate_pool": knn_candidate_pool,
     "lsh_search_full_probe": lsh_search_full_probe,
-    "lsh_recall_at_k": lsh_recall_at_k,
-    "search_benchmark_run": search_benchmark_run,
-    "load_benchmark_run": load_benchmark_run,
+    "lsh_probe_search": lsh_probe_search,
 }
 
 _LINES = """
@@ -183,16 +209,75 @@ counted AS (
          length(line) - length(regexp_replace(line, '[A-Za-z]', '', 'g')) AS n_letters
   FROM lines
 ),
-doc_tot AS (SELECT doc_id, sum(n_letters) AS tot, count(*) FILTER (WHERE line <> '') AS n_parts FROM counted GROUP BY doc_id)"""
+doc_tot AS (SELECT doc_id, sum(n_letters) AS tot, count(*) AS n_lines, count(*) FILTER (WHERE line <> '') AS n_parts FROM counted GROUP BY doc_id)"""
+
+# Cells around the class prototypes: every vector in its nearest, and each query's cells, nearest first.
+_CELLS = "WITH " + PROTOS + """,
+near AS (
+  SELECT e.vec_id, e.embedding, p.query_id AS cell,
+         row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(p.qv, e.embedding::DOUBLE[]) DESC, p.query_id) AS n
+  FROM embeddings e, protos p
+),
+placed AS (SELECT vec_id, embedding, cell FROM near WHERE n = 1),
+cell_rows AS (SELECT p.query_id AS cell, count(v.vec_id) AS n_rows FROM protos p LEFT JOIN placed v ON v.cell = p.query_id GROUP BY 1),
+walk AS (
+  SELECT q.query_id, q.qv, c.query_id AS cell, r.n_rows,
+         list_cosine_similarity(q.qv, c.qv) AS sim
+  FROM protos q, protos c JOIN cell_rows r ON r.cell = c.query_id
+),
+ordered AS (
+  SELECT *, row_number() OVER w AS place,
+         coalesce(sum(n_rows) OVER (PARTITION BY query_id ORDER BY sim DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nearer_rows
+  FROM walk WINDOW w AS (PARTITION BY query_id ORDER BY sim DESC, cell)
+)"""
+
+
+def _probed(cells: str, score: str, least: float, limit: int) -> str:
+    return f"""
+SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM (SELECT o.query_id, v.vec_id, {score} AS score FROM ordered o JOIN placed v USING (cell) WHERE {cells})
+  WHERE score >= {least}
+) WHERE rank <= {limit}"""
+
+
+_COS = "list_cosine_similarity(o.qv, v.embedding::DOUBLE[])"
+_PLANES = [[float(x) for x in row] for row in np.random.default_rng(7).standard_normal((LSH_BITS, 64))]
+
+
+def _signature(v: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN list_dot_product({v}, {p}::DOUBLE[]) > 0 THEN {1 << b} ELSE 0 END" for b, p in enumerate(_PLANES)) + ")"
+
 
 ORACLES = {
+    "ivf_prefiltered_search": BASE_ORACLES["prefiltered_search"],
+    "ivf_probe_search": _CELLS + _probed(f"o.place <= {NPROBE}", _COS, C.THRESHOLD, C.LIMIT),
+    "knn_candidate_pool": _CELLS + _probed("o.nearer_rows < 100", f"(1 + {_COS}) / 2", 0.5, 10),
+    "lsh_probe_search": "WITH " + PROTOS + f""",
+sq AS (SELECT query_id, qv, {_signature('qv')} AS sig FROM protos),
+se AS (SELECT vec_id, embedding, {_signature('embedding::DOUBLE[]')} AS sig FROM embeddings),
+s AS (
+  SELECT q.query_id, e.vec_id, list_cosine_similarity(q.qv, e.embedding::DOUBLE[]) AS score
+  FROM sq q, se e WHERE bit_count(xor(q.sig, e.sig)) <= 1
+)
+SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= {C.THRESHOLD}
+) WHERE rank <= {C.LIMIT}""",
     "extract_embeddings_flatmap": "WITH " + _LINES + """
 SELECT c.doc_id AS item_id, CAST(c.part_no AS BIGINT) AS part_no, CAST(c.n_letters AS BIGINT) AS n_letters
 FROM counted c JOIN doc_tot t USING (doc_id)
 WHERE c.line <> '' AND t.tot > 0""",
     "extract_error_side_table": "WITH " + _LINES + """
-SELECT doc_id AS item_id, 'NoFaceFound: no letters in item' AS error FROM doc_tot
-WHERE tot = 0 OR n_parts = 0""",
+SELECT item_id, error FROM (
+  SELECT doc_id AS item_id,
+         CASE WHEN n_lines > {MAX_LINES} THEN 'NoFaceFound: too many lines in item'
+              WHEN tot = 0 OR n_parts = 0 THEN 'NoFaceFound: no letters in item' END AS error
+  FROM doc_tot
+) WHERE error IS NOT NULL""".replace("{MAX_LINES}", str(MAX_LINES)),
+    "extract_by_path": "WITH " + _LINES + """
+SELECT 'img/' || d.source || '/' || CAST(d.doc_id AS VARCHAR) AS image_path, CAST(t.n_parts AS BIGINT) AS n_parts,
+       CAST(t.tot AS BIGINT) AS n_letters
+FROM documents d JOIN doc_tot t USING (doc_id) WHERE t.tot > 0""",
     "extract_to_sink": "WITH " + _LINES + """,
 ok AS (
   SELECT c.doc_id FROM counted c JOIN doc_tot t USING (doc_id) WHERE c.line <> '' AND t.tot > 0

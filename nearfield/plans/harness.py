@@ -1,40 +1,17 @@
-"""Benchmark harnesses: the search benchmark and the load/delete benchmark.
-
-These are the two timed workflows of the source, rebuilt on Spark:
-
-* ``search_benchmark``: ``n_requests`` search requests per query, submitted
-  from a pool of ``threads`` driver threads (Spark runs concurrent jobs from
-  several threads).  Each request is one Spark job that searches the
-  collection and evaluates the hits against the labels, returning one row.
-  Iteration = completion order; failed requests leave gaps and are left out
-  of every statistic; throughput = successful requests / elapsed seconds.
-* ``load_benchmark``: per iteration, drop, then timed create, insert and
-  delete (drop) of a collection, with the driver JVM's heap change as the
-  memory figure.
-
-The per-request records (at most ``n_requests`` rows) are the only data
-that passes through the driver; all statistics are computed by Spark.
-Timings are not deterministic, so the registered queries have no oracle.
+"""A small timer of collection loads, for ``bench.py``: per iteration, drop, then
+timed create, insert and delete (drop) of a collection, with the driver JVM's
+heap change as the memory figure.  No registered query uses it.
 """
 
 from __future__ import annotations
 
 import time
-from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.operators import evaluate as EV
 from nearfield.operators import stats as ST
 from nearfield.operators.collection import Collection
-from nearfield.operators.search import (
-    DEFAULT_QUERY_BROADCAST_BYTES,
-    Profile,
-    _query_blocks,
-    search_profile,
-)
-from nearfield.session import checkpoint_dir
 
 PCTS = (90, 95, 99)
 
@@ -52,81 +29,6 @@ def _summary(detail: DataFrame, value_cols: list[str], id_cols: list[str]) -> Da
     )
 
 
-def search_benchmark(
-    spark: SparkSession,
-    collection: DataFrame,
-    queries: DataFrame,
-    prof: Profile,
-    *,
-    id_col: str,
-    class_col: str,
-    n_requests: int = 100,
-    threads: int = 10,
-) -> tuple[DataFrame, DataFrame]:
-    """Timed repeated search + evaluation per query (class labels).
-
-    Returns (detail, summary): detail has one row per successful request
-    (query_id, iteration, search_time, precision, recall, f1_score,
-    specificity, far, frr); summary has (query_id, metric, value) with the
-    latency statistics, rps, total_time and successful_requests.
-    """
-    # The query set is fixed once (the source reads it from a file), so a
-    # request does not re-derive it.
-    # The query vectors are read once (the source reads its query file once);
-    # each request carries its vector, as a store request does.  The set is
-    # size-checked against the broadcast budget while it is collected.
-    checkpoint_dir(spark)
-    vectors = {}
-    for block in _query_blocks(queries, "query_id", "embedding", DEFAULT_QUERY_BROADCAST_BYTES):
-        vectors.update({int(r["qid"]): r["v"] for r in block})
-    qids = sorted(vectors)
-    # Label-side counts, like the source's label file: computed once.
-    sizes = EV.class_sizes(collection, class_col).checkpoint(eager=True)
-    detail_rows, meta_rows = [], []
-    for qid in qids:
-        q = {qid: vectors[qid]}
-
-        def one_request(q=q, qid=qid):
-            t0 = time.perf_counter()
-            hits = search_profile(collection, q, prof, id_col=id_col, carry=(class_col,))
-            row = EV.evaluate_by_class(hits, collection, class_col, sizes=sizes).where(
-                F.col("query_id") == qid
-            ).first()
-            return time.perf_counter() - t0, row
-
-        with ThreadPoolExecutor(max_workers=threads) as pool:
-            futures = [pool.submit(one_request) for _ in range(n_requests)]
-            start = time.perf_counter()
-            ok = 0
-            for i, fut in enumerate(as_completed(futures)):
-                try:
-                    dt, row = fut.result()
-                except Exception:  # noqa: BLE001 - a failed request is skipped
-                    continue
-                ok += 1
-                detail_rows.append(
-                    (qid, i + 1, dt, row["precision"], row["recall"], row["f1_score"],
-                     row["specificity"], row["far"], row["frr"])
-                )
-            elapsed = time.perf_counter() - start
-        meta_rows.append((qid, ok, elapsed))
-    detail = spark.createDataFrame(
-        detail_rows,
-        "query_id long, iteration int, search_time double, precision double, recall double, "
-        "f1_score double, specificity double, far double, frr double",
-    )
-    meta = spark.createDataFrame(meta_rows, "query_id long, successful_requests long, total_time double")
-    lat = _summary(detail, ["search_time"], ["query_id"])
-    extra = meta.select(
-        "query_id",
-        F.when(F.col("total_time") > 0, F.col("successful_requests") / F.col("total_time"))
-        .otherwise(F.lit(0.0)).alias("rps"),
-        "total_time",
-        F.col("successful_requests").cast("double").alias("successful_requests"),
-    ).unpivot(["query_id"], ["rps", "total_time", "successful_requests"], "metric", "value")
-    return detail, lat.unionByName(extra)
-
-
 def load_benchmark(
     spark: SparkSession,
     data: DataFrame,

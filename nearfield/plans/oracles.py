@@ -114,10 +114,15 @@ ORACLES["batch_knn_topk"] = (
 SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank FROM hits"""
 )
 
+ORACLES["batch_knn_many"] = "WITH " + PROTOS.replace("SELECT label, gen", "SELECT label * 25 + vec_id % 25 AS label, gen") + "," + scored() + "," + ranked(
+    "score IS NOT NULL"
+) + f"""
+SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank FROM hits"""
+
 ORACLES["hits_basename"] = CLASS_HITS + """
 SELECT h.query_id, h.vec_id, CAST(h.rank AS BIGINT) AS rank,
        string_split(p.url, '/')[-1] AS base_name
-FROM hits h JOIN pages p ON p.page_id = h.vec_id
+FROM hits h LEFT JOIN pages p ON p.page_id = h.vec_id
 WHERE string_split(p.url, '/')[-1] <> ''"""
 
 ORACLES["labelled_hits_semi"] = "WITH " + DOCS + """
@@ -134,7 +139,7 @@ _COS = "list_cosine_similarity(p.qv, e.embedding::DOUBLE[])"
 _OUT = f"""
 SELECT query_id, vec_id, round(score, {R}) AS score, CAST(rank AS BIGINT) AS rank FROM hits"""
 
-ORACLES["search_profile_cosine"] = CLASS_HITS + _OUT
+ORACLES["search_profile_cosine"] = "WITH " + PROTOS + "," + scored() + "," + ranked("score >= 0.0", limit=1600) + _OUT
 
 ORACLES["search_profile_post_filter"] = (
     "WITH " + PROTOS + "," + scored() + "," + ranked("score IS NOT NULL", limit=50)
@@ -198,7 +203,7 @@ SELECT target, CAST(count(*) AS BIGINT) AS n_labelled, CAST(sum(y_true) AS BIGIN
        CAST(sum(y_pred) AS BIGINT) AS n_pred,
        (min(y_true) = max(y_true) AND min(y_pred) = max(y_pred) AND min(y_true) = min(y_pred))
          AS is_degenerate
-FROM pred GROUP BY target"""
+FROM (SELECT target, y_true, y_pred FROM pred UNION ALL SELECT 'unsought', 0, 0 FROM labels) GROUP BY target"""
 
 ORACLES["average_precision"] = CLASS_HITS + f""",
 rel AS (
@@ -237,6 +242,19 @@ ORACLES["latency_summary_long"] = "WITH " + _WIDE + "\n" + "\nUNION ALL\n".join(
     for m in ("n", "mean", "std", "p90", "p95", "p99")
 )
 
+ORACLES["stats_null_group"] = f"""
+WITH e AS (SELECT *, nullif(event_type, 'error') AS store FROM events),
+it AS (SELECT store, event_type, row_number() OVER (PARTITION BY store ORDER BY ts, event_id) AS iteration FROM e),
+last AS (SELECT store, max(iteration) FILTER (WHERE event_type <> 'error') AS last_iteration FROM it GROUP BY store),
+w AS (
+  SELECT store, CAST(count(value) AS BIGINT) AS n, round(avg(value), {R}) AS mean, round(stddev_pop(value), {R}) AS std,
+         round(quantile_cont(value, 0.90), {R}) AS p90, round(quantile_cont(value, 0.95), {R}) AS p95,
+         round(quantile_cont(value, 0.99), {R}) AS p99
+  FROM e GROUP BY store
+)
+SELECT p.path, w.*, CAST(l.last_iteration AS BIGINT) AS last_iteration
+FROM w LEFT JOIN last l ON w.store IS NOT DISTINCT FROM l.store, (VALUES ('window'), ('range')) p(path)"""
+
 ORACLES["throughput_by_store"] = f"""
 WITH t AS (
   SELECT event_type, CAST(count(*) AS BIGINT) AS total_requests,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.scalars import ts_file_text
 from nearfield.operators import evaluate as EV
 from nearfield.operators import stats as ST
-from nearfield.operators.search import ScoreRule, hits_to_names, profile, search, search_profile
+from nearfield.operators.search import ScoreRule, class_prototypes, hits_to_names, profile, search, search_profile
 from nearfield.plans import catalog as C
 
 COS = ScoreRule("cosine", "identity")
@@ -65,13 +65,27 @@ def batch_knn_topk(spark, sf_dir) -> DataFrame:
     return h.select("query_id", "vec_id", _r("score"), "rank")
 
 
+N_MANY = 25
+
+
+def batch_knn_many(spark, sf_dir) -> DataFrame:
+    """A large request set: one prototype per (label, vec_id % 25), up to 10,000 hits
+    each, so that queries x limit passes the per-task top-k state and is sliced."""
+    coll = C.collection(spark, sf_dir)
+    keyed = coll.withColumn("query_id", F.col("label").cast("long") * N_MANY + F.col("vec_id") % N_MANY)
+    queries = class_prototypes(keyed, "query_id", "embedding")
+    h = search(coll, queries, rule=COS, limit=C.LIMIT, id_col="vec_id")
+    return h.select("query_id", "vec_id", _r("score"), "rank")
+
+
 def hits_basename(spark, sf_dir) -> DataFrame:
     """Hits -> item paths (pages.url by id) -> non-empty base names."""
     h = class_hits(spark, sf_dir)
     paths = C.table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("vec_id"), F.col("url").alias("image_path")
     )
-    named = hits_to_names(h.join(paths, "vec_id"), "image_path", drop_empty=True)
+    # Hits without a page stay until the drop-empty rule removes them.
+    named = hits_to_names(h.join(paths, "vec_id", "left"), "image_path", drop_empty=True)
     return named.select("query_id", "vec_id", "rank", "base_name")
 
 
@@ -95,8 +109,8 @@ def _profile_hits(spark, sf_dir, prof):
 
 
 def search_profile_cosine(spark, sf_dir):
-    """``s >= c`` (pgvector, Qdrant rule)."""
-    return _profile_hits(spark, sf_dir, profile("pgvector", cutoff=C.THRESHOLD, limit=C.LIMIT))
+    """``s >= c`` (pgvector, Qdrant rule) with the store's own cut-off 0 and limit 1,600 (C14)."""
+    return _profile_hits(spark, sf_dir, profile("pgvector"))
 
 
 def search_profile_post_filter(spark, sf_dir):
@@ -147,7 +161,11 @@ def confusion_multi_target(spark, sf_dir):
 
 
 def degenerate_class_flags(spark, sf_dir):
-    return EV.degenerate_flags(_doc_pred(spark, sf_dir), ["target"])
+    """Besides the two targets a third, ``unsought``: nobody has it and no query asks for it."""
+    labels = C.doc_labels_long(spark, sf_dir)
+    third = C.table(spark, sf_dir, "labels").select("doc_id", F.lit("unsought").alias("target"), F.lit(0).alias("y_true"))
+    pred = EV.predictions(labels.unionByName(third), doc_hits(spark, sf_dir), "doc_id")
+    return EV.degenerate_flags(pred, ["target"])
 
 
 def average_precision(spark, sf_dir):
@@ -190,6 +208,22 @@ def latency_summary_long(spark, sf_dir):
     return lng.select("event_type", "metric", _r("value"))
 
 
+def stats_null_group(spark, sf_dir):
+    """Statistics with a nullable group key (errors have no store), by the one-task
+    path and by the range path."""
+    rows = _requests(spark, sf_dir).withColumn("store", F.expr("nullif(event_type, 'error')"))
+    out = None
+    for path, single_task_rows in (("window", None), ("range", 0)):
+        w = ST.latency_summary(rows, "value", ["store"], single_task_rows=single_task_rows)
+        it = ST.iteration_numbers(rows, ["store"], ["ts", "event_id"], "ok", single_task_rows=single_task_rows)
+        last = it.groupBy(F.col("store").alias("s")).agg(F.max("iteration").alias("last_iteration"))
+        got = w.join(last, F.col("store").eqNullSafe(F.col("s")), "left").select(
+            F.lit(path).alias("path"), "store", "n", *[_r(c) for c in STAT_COLS[1:]], "last_iteration"
+        )
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def throughput_by_store(spark, sf_dir):
     t = ST.throughput(_requests(spark, sf_dir), ["event_type"], "ts", "ok")
     return t.select(
@@ -223,6 +257,7 @@ QUERIES = {
     "flagship_search_eval": flagship_search_eval,
     "exact_threshold_search": exact_threshold_search,
     "batch_knn_topk": batch_knn_topk,
+    "batch_knn_many": batch_knn_many,
     "hits_basename": hits_basename,
     "labelled_hits_semi": labelled_hits_semi,
     "labelled_misses_anti": labelled_misses_anti,
@@ -238,6 +273,7 @@ QUERIES = {
     "average_precision": average_precision,
     "latency_summary_wide": latency_summary_wide,
     "latency_summary_long": latency_summary_long,
+    "stats_null_group": stats_null_group,
     "throughput_by_store": throughput_by_store,
     "iteration_numbering": iteration_numbering,
     "phase_durations": phase_durations,

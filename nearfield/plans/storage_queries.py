@@ -53,12 +53,7 @@ def query_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "queries-csv")
     FS.write_query_csv(protos, path)
     back = FS.read_query_csv(spark, path)
-    j = back.join(protos.select("image_path", F.col("embedding").alias("orig")), "image_path")
-    return j.select(
-        "target",
-        F.size("embedding").cast("long").alias("n"),
-        (F.col("embedding") == F.col("orig")).alias("same"),
-    )
+    return back.select("target", F.transform("embedding", lambda x: F.round(x, 4)).alias("vals"))
 
 
 def label_wide_to_long(spark, sf_dir):
@@ -127,6 +122,15 @@ def collection_upsert(spark, sf_dir):
     return c.read().select("vec_id", "image_path", "label")
 
 
+def collection_upsert_duplicates(spark, sf_dir):
+    """One upsert input holds both versions of an id; the newest by its order column is stored."""
+    b1, b2 = _batches(spark, sf_dir)
+    c = _new_collection(spark, "faces")
+    both = b1.withColumn("arrival", F.lit(1)).unionByName(b2.withColumn("arrival", F.lit(2)))
+    c.upsert(both.repartition(8), order_col="arrival")
+    return c.read().select("vec_id", "image_path", "label")
+
+
 def collection_insert_ignore(spark, sf_dir):
     b1, b2 = _batches(spark, sf_dir)
     c = _new_collection(spark, "faces")
@@ -208,6 +212,17 @@ def incremental_upsert_stream(spark, sf_dir):
     return c.read().select("vec_id", "image_path", "label")
 
 
+def stream_upsert_duplicates(spark, sf_dir):
+    """Both versions of an id arrive in one micro-batch; the newest by arrival is stored."""
+    b1, b2 = _batches(spark, sf_dir)
+    src = scratch_path(spark, "landing")
+    both = b1.withColumn("arrival", F.lit(1)).unionByName(b2.withColumn("arrival", F.lit(2)))
+    both.repartition(4).write.parquet(src)
+    c = _new_collection(spark, "faces")
+    run_upsert_stream(spark, src, both.schema, c, scratch_path(spark, "stream-ckpt"), order_col="arrival")
+    return c.read().select("vec_id", "image_path", "label")
+
+
 # -- F: result files written from the request log, read back ----------------------------
 
 
@@ -298,6 +313,7 @@ QUERIES = {
     "document_actions": document_actions,
     "collection_append": collection_append,
     "collection_upsert": collection_upsert,
+    "collection_upsert_duplicates": collection_upsert_duplicates,
     "collection_insert_ignore": collection_insert_ignore,
     "collection_truncate": collection_truncate,
     "collection_delete_predicate": collection_delete_predicate,
@@ -306,6 +322,7 @@ QUERIES = {
     "load_run_label": load_run_label,
     "parquet_sink_roundtrip": parquet_sink_roundtrip,
     "incremental_upsert_stream": incremental_upsert_stream,
+    "stream_upsert_duplicates": stream_upsert_duplicates,
     "results_detail_scan": results_detail_scan,
     "results_sink_mixed": results_sink_mixed,
     "results_summary_pivot": results_summary_pivot,
@@ -340,8 +357,11 @@ SELECT page_id AS id, CAST(NULL AS INTEGER) AS label, url FROM pages""",
     "positional_ids": """
 SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY lang, doc_id) - 1 AS BIGINT) AS pos FROM documents""",
     "query_csv_roundtrip": """
-SELECT 'class_' || CAST(label AS VARCHAR) || '.JPG' AS target, CAST(64 AS BIGINT) AS n, true AS same
-FROM (SELECT DISTINCT label FROM embeddings)""",
+WITH u AS (
+  SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings
+)
+SELECT 'class_' || CAST(label AS VARCHAR) || '.JPG' AS target, list(round(x, 4) ORDER BY pos) AS vals
+FROM (SELECT label, pos, sum(x) AS x FROM u GROUP BY label, pos) GROUP BY label""",
     "label_wide_to_long": """
 SELECT doc_id, 'quality' AS target, CAST(quality AS INTEGER) AS y_true FROM labels
 UNION ALL
@@ -359,6 +379,7 @@ FROM embeddings e LEFT JOIN pages p ON p.page_id = e.vec_id""",
 SELECT e.vec_id, CAST(CASE WHEN p.page_id IS NULL THEN 1 ELSE 2 END AS BIGINT) AS n_rows
 FROM embeddings e LEFT JOIN pages p ON p.page_id = e.vec_id""",
     "collection_upsert": _UPSERT,
+    "collection_upsert_duplicates": _UPSERT,
     "collection_insert_ignore": """
 SELECT e.vec_id, coalesce(p.url, 'orig/' || CAST(e.vec_id AS VARCHAR)) AS image_path, e.label
 FROM embeddings e LEFT JOIN pages p ON p.page_id = e.vec_id""",
@@ -384,6 +405,7 @@ SELECT 'synthetic64' AS model, 'label_' || CAST(label AS VARCHAR) AS source_dir,
        CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(len(embedding)) AS BIGINT) AS n_values
 FROM embeddings GROUP BY label""",
     "incremental_upsert_stream": _UPSERT,
+    "stream_upsert_duplicates": _UPSERT,
     "results_sink_mixed": """
 SELECT upper(event_type) AS database, CAST(count(*) AS BIGINT) AS n_detail,
        CAST(5 AS BIGINT) AS n_summary, CAST(count(*) AS BIGINT) AS max_iteration

@@ -28,7 +28,10 @@ def start_upsert_stream(
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
     name: str | None = None,
+    order_col: str | None = None,
 ) -> StreamingQuery:
+    """``order_col`` (a column of the files, not stored) says which of several
+    rows with one id in a micro-batch is the newest."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
@@ -41,7 +44,7 @@ def start_upsert_stream(
         tag = f"{stream_id}_{int(epoch_id)}"
         if collection.has_tag(tag):
             return
-        collection.upsert(batch_df, tag=tag)
+        collection.upsert(batch_df, tag=tag, order_col=order_col)
 
     w = stream.writeStream.foreachBatch(upsert_batch).option(
         "checkpointLocation", checkpoint_location

@@ -127,7 +127,7 @@ def test_tree_topk_levels_equal_plain(spark):
         F.col("vec_id").alias("id"), "embedding"
     ).repartition(16)
     q = coll.limit(6).select(F.col("id").alias("query_id"), "embedding")
-    raw = search(coll, q).cache()
+    raw = search(coll, q, cutoff=-1.0).cache()
     plain = top_per_query(raw, ScoreRule(), 7, "id")
     tree = top_per_query(raw, ScoreRule(), 7, "id", levels=2, fan_in=4)
     key = lambda df: sorted((r.query_id, r.id, r.rank) for r in df.collect())
