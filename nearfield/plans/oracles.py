@@ -222,6 +222,27 @@ SELECT p.query_id, CAST(p.n_pos AS BIGINT) AS n_pos,
        round(coalesce(s.s, 0.0) / p.n_pos::DOUBLE, {R}) AS average_precision
 FROM pos p LEFT JOIN s USING (query_id)"""
 
+_QUALITY = ("precision", "recall", "f1_score", "specificity", "far", "frr")
+_MEANS = ", ".join(f"round(avg({m}), {R}) AS {m}" for m in _QUALITY)
+
+
+def _quality_of(store: str, dataset: str, metrics_sql: str) -> str:
+    return (
+        f"SELECT '{store}' AS database, '{dataset}' AS dataset, CAST(count(*) AS BIGINT) AS n_queries, {_MEANS} "
+        f"FROM ({metrics_sql})"
+    )
+
+
+def _limited(sql: str, limit: int) -> str:
+    return sql.replace(f"rank <= {C.LIMIT}", f"rank <= {limit}")
+
+
+ORACLES["report_quality"] = "\nUNION ALL\n".join(
+    _quality_of(store, dataset, _limited(ORACLES[name], limit))
+    for store, limit in (("PGVECTOR", C.LIMIT), ("MILVUS", 50))
+    for dataset, name in (("embeddings", "flagship_search_eval"), ("documents", "confusion_multi_target"))
+)
+
 # -- step 5/6: request-log statistics -----------------------------------------------
 
 _WIDE = """

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.scalars import ts_file_text
 from nearfield.operators import evaluate as EV
 from nearfield.operators import stats as ST
+from nearfield.operators.report import QUALITY_METRICS, quality_table
 from nearfield.operators.search import ScoreRule, class_prototypes, hits_to_names, profile, search, search_profile
 from nearfield.plans import catalog as C
 
@@ -181,6 +182,34 @@ def average_precision(spark, sf_dir):
     return ap.select("query_id", "n_pos", _r("average_precision"))
 
 
+# quality by store and dataset.  Stores differ in their rule and limit.
+REPORT_STORES = {"PGVECTOR": C.LIMIT, "MILVUS": 50}
+
+
+def report_quality(spark, sf_dir):
+    """All six quality metrics by store x dataset, averaged over the queries."""
+    coll = C.collection(spark, sf_dir)
+    queries = C.class_queries(coll)
+    vecs = C.doc_vectors_once(spark, sf_dir)
+    doc_queries = C.doc_target_queries(spark, sf_dir, vecs)
+    labels = C.doc_labels_long(spark, sf_dir)
+    out = None
+    for store, limit in REPORT_STORES.items():
+        prof = profile(store, cutoff=C.THRESHOLD, limit=limit)
+        hits = search_profile(coll, queries, prof, id_col="vec_id", carry=("label",))
+        doc_prof = profile(store, cutoff=C.DOC_THRESHOLD, limit=limit)
+        doc = search_profile(vecs, doc_queries, doc_prof, id_col="doc_id")
+        doc = doc.withColumn("target", C.target_name(F.col("query_id")))
+        for dataset, evaluated in (
+            ("embeddings", EV.evaluate_by_class(hits, coll, "label")),
+            ("documents", EV.evaluate(labels, doc, "doc_id")),
+        ):
+            part = evaluated.select(F.lit(store).alias("database"), F.lit(dataset).alias("dataset"), *QUALITY_METRICS)
+            out = part if out is None else out.unionByName(part)
+    q = quality_table(out)
+    return q.select("database", "dataset", "n_queries", *[_r(m) for m in QUALITY_METRICS])
+
+
 # -- step 5/6: request-log statistics ---------------------------------------------
 
 
@@ -271,6 +300,7 @@ QUERIES = {
     "confusion_multi_target": confusion_multi_target,
     "degenerate_class_flags": degenerate_class_flags,
     "average_precision": average_precision,
+    "report_quality": report_quality,
     "latency_summary_wide": latency_summary_wide,
     "latency_summary_long": latency_summary_long,
     "stats_null_group": stats_null_group,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions import scalars as S
+from nearfield.operators import report as RP
 from nearfield.operators import stats as ST
 from nearfield.operators.collection import Collection, with_batches
 from nearfield.operators.ranking import ordered_positions
@@ -303,6 +304,66 @@ def quality_report_rollup(spark, sf_dir):
     return r.select("database", "n", F.round("search_time", R).alias("search_time"), F.round("precision", R).alias("precision"))
 
 
+def _report_runs(spark, sf_dir):
+    """The request log as runs: one per store, every request an iteration."""
+    ev = C.table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    return ST.iteration_numbers(ev.withColumn("ok", F.lit(True)), ["event_type"], ["ts", "event_id"], "ok")
+
+
+def report_search_tables(spark, sf_dir):
+    """search files written, read back and reported, published metric names and labels."""
+    it = _report_runs(spark, sf_dir)
+    run = FS.results_file_name(FS.search_results_prefix(10, 100), F.upper("event_type"), _run_ts())
+    detail = it.select(run.alias("run_name"), "iteration", F.col("value").alias("search_time"), "ts", (F.col("event_type") != "error").alias("success"))
+    summary = RP.summarise_columns(detail, {"search_time": "search_time"}, ["run_name"])
+    rate = ST.throughput(detail, ["run_name"], "ts", "success")
+    rate = rate.withColumn("successful_requests", F.col("successful_requests").cast("double"))
+    summary = summary.unionByName(rate.unpivot(["run_name"], ["rps", "successful_requests"], "metric", "value"))
+    root = scratch_path(spark, "report-search")
+    FS.write_results_csv(detail.select("run_name", "iteration", "search_time"), summary, root, FS.SEARCH_RESULT_COLUMNS, "run_name")
+    raw = FS.read_result_csvs(spark, root, FS.SEARCH_RESULT_COLUMNS)
+    t = RP.report_tables(raw, RP.SEARCH_TABLES, FS.SEARCH_RESULT_COLUMNS)
+    return t.select("table", "database", "store_label", "metric", F.round("value", R).alias("value"))
+
+
+def _load_results(spark, sf_dir):
+    it = _report_runs(spark, sf_dir)
+    run = FS.results_file_name(FS.load_results_prefix(F.lit(100)), F.upper("event_type"), _run_ts())
+    detail = it.select(
+        run.alias("run_name"),
+        "iteration",
+        (F.col("value") / 8).alias("initialisation_time"),
+        F.col("value").alias("insertion_time"),
+        (F.col("value") / 64).alias("deletion_time"),
+        F.col("k").alias("memory_usage_initialisation"),
+        (F.col("k") * 2).alias("memory_usage_insertion"),
+    )
+    summary = RP.summarise_columns(detail, RP.LOAD_METRIC_PREFIX, ["run_name"])
+    root = scratch_path(spark, "report-load")
+    FS.write_results_csv(detail, summary, root, FS.LOAD_RESULT_COLUMNS, "run_name")
+    return FS.read_result_csvs(spark, root, FS.LOAD_RESULT_COLUMNS)
+
+
+def report_load_tables(spark, sf_dir):
+    """load/delete files written, read back and reported, memory tables included."""
+    t = RP.report_tables(_load_results(spark, sf_dir), RP.LOAD_TABLES, FS.LOAD_RESULT_COLUMNS)
+    return t.select("table", "database", "store_label", "metric", F.round("value", R).alias("value"))
+
+
+def report_load_series(spark, sf_dir):
+    """F4 over a load file's column: memory during insertion, all stores on one scale."""
+    s = RP.report_series(_load_results(spark, sf_dir), "memory_usage_insertion", FS.LOAD_RESULT_COLUMNS)
+    return s.select("database", "iteration", "value", "scale")
+
+
+def report_value_labels(spark, sf_dir):
+    """F8: bar labels (two decimals) of the requests served per store, an exact number."""
+    it = _report_runs(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return it.select(
+        S.capitalize("event_type").alias("store_label"), S.two_decimals(F.col("n").cast("double")).alias("label")
+    )
+
+
 QUERIES = {
     "union_missing_columns": union_missing_columns,
     "positional_ids": positional_ids,
@@ -329,6 +390,10 @@ QUERIES = {
     "series_common_scale": series_common_scale,
     "request_count_title": request_count_title,
     "quality_report_rollup": quality_report_rollup,
+    "report_search_tables": report_search_tables,
+    "report_load_tables": report_load_tables,
+    "report_load_series": report_load_series,
+    "report_value_labels": report_value_labels,
 }
 
 # -- oracles -----------------------------------------------------------------------------
@@ -429,3 +494,53 @@ SELECT database, CAST(count(*) AS BIGINT) AS n, round(avg(search_time), {R}) AS
        round(avg(precision), {R}) AS precision
 FROM d GROUP BY ROLLUP (database)""",
 }
+
+
+def _stats_sql(column: str, prefix: str) -> dict[str, str]:
+    return {
+        f"{prefix}_mean": f"avg({column})",
+        f"{prefix}_std": f"stddev_pop({column})",
+        **{f"{prefix}_p{p}": f"quantile_cont({column}, 0.{p})" for p in (90, 95, 99)},
+    }
+
+
+def _tables_sql(tables: dict, exprs: dict[str, str]) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS \"table\", upper(event_type) AS database, "
+        f"upper(event_type[1:1]) || lower(event_type[2:]) AS store_label, '{m}' AS metric, "
+        f"round(CAST({exprs[m]} AS DOUBLE), {R}) AS value FROM e GROUP BY event_type"
+        for t, ms in tables.items()
+        for m in ms
+    )
+
+
+_EVENTS_K = "WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)\n"
+_ELAPSED = "((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0)"
+_SUCCESS = "count(*) FILTER (WHERE event_type <> 'error')"
+
+ORACLES["report_search_tables"] = _EVENTS_K + _tables_sql(
+    RP.SEARCH_TABLES,
+    {
+        **_stats_sql("value", "search_time"),
+        "rps": f"CASE WHEN {_ELAPSED} > 0 THEN {_SUCCESS} / {_ELAPSED} ELSE 0.0 END",
+        "successful_requests": _SUCCESS,
+    },
+)
+ORACLES["report_load_tables"] = _EVENTS_K + _tables_sql(
+    RP.LOAD_TABLES,
+    {
+        **_stats_sql("value / 8", "initialisation"),
+        **_stats_sql("value", "insertion"),
+        **_stats_sql("value / 64", "deletion"),
+        **_stats_sql("k", "memory_usage_init"),
+        **_stats_sql("k * 2", "memory_usage_insert"),
+    },
+)
+ORACLES["report_load_series"] = _EVENTS_K + """
+SELECT upper(event_type) AS database,
+       CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS iteration,
+       k * 2 AS value, max(k * 2) OVER () AS scale
+FROM e"""
+ORACLES["report_value_labels"] = """
+SELECT upper(event_type[1:1]) || lower(event_type[2:]) AS store_label, printf('%.2f', CAST(count(*) AS DOUBLE)) AS label
+FROM events GROUP BY event_type"""
