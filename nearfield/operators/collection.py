@@ -1,12 +1,15 @@
-"""Vector collections as versioned parquet folders.
+"""Vector collections as bucketed parquet with manifests.
 
-A collection lives under ``<root>/<name>/``; each committed state is a
-version folder ``v00000001`` (with Spark's ``_SUCCESS`` marker).  Reads use
-the newest committed version.  Writes that change existing rows (upsert,
-delete, truncate) build the next version from the current one and commit it
-by finishing the write: a plan never overwrites the folder it reads (for
-plain parquet that fails *and* loses the old data).  Appends add files to the
-current version.
+A collection lives under ``<root>/<name>/``.  Rows are dealt into ``n_buckets``
+buckets by a hash of their id; a write puts a new folder under ``data/`` with
+one sub-folder per bucket it has rows of.  A commit is one small manifest file:
+for every bucket the data folders that make it up, and the tags of streams.
+Reads use the newest complete manifest, so a reader never sees a half-done
+write, an append included, and a plan never overwrites what it reads.
+
+Upsert, insert-ignore and delete read and rewrite only the buckets they touch;
+the other buckets keep their files.  Superseded files stay for readers that
+started earlier until ``vacuum`` removes what no retained manifest names.
 
 Vectors are stored as ``array<float>`` or, with ``packed=True``, as
 little-endian float32 ``binary`` (half the scan cost for the Arrow scorer).
@@ -23,8 +26,10 @@ Write modes of the store adapters map to methods:
 
 from __future__ import annotations
 
+import json
 import logging
-import re
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +41,9 @@ from nearfield.functions.vectors import pack_f32, unpack_f32
 log = logging.getLogger(__name__)
 
 DEFAULT_BATCH = 500
-_VERSION = re.compile(r"^v(\d{8})(?:-t([A-Za-z0-9_]+))?$")
+DEFAULT_BUCKETS = 32
+# Manifests and data younger than this are kept by ``vacuum``.
+RETAIN_SECONDS = 7 * 24 * 3600
 
 
 class _FS:
@@ -60,10 +67,31 @@ class _FS:
             fs.delete(p, True)
 
     def children(self, path) -> list[str]:
+        return [name for name, _ in self.listing(path)]
+
+    def listing(self, path) -> list[tuple[str, float]]:
+        """(name, modification time in seconds) of the entries of a folder."""
         p, fs = self._p(path)
         if not fs.exists(p):
             return []
-        return [s.getPath().getName() for s in fs.listStatus(p)]
+        return [(s.getPath().getName(), s.getModificationTime() / 1000.0) for s in fs.listStatus(p)]
+
+    def create_text(self, path, text: str) -> None:
+        """Write a new small file; an existing one is an error."""
+        p, fs = self._p(path)
+        out = fs.create(p, False)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+
+    def read_text(self, path) -> str:
+        p, fs = self._p(path)
+        stream = fs.open(p)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
 
 class Collection:
@@ -79,8 +107,10 @@ class Collection:
         vec_col: str = "embedding",
         payload: T.StructType | None = None,
         packed: bool = False,
+        n_buckets: int = DEFAULT_BUCKETS,
     ):
         self.spark = spark
+        self.n_buckets = int(n_buckets)
         self.packed = packed
         self.name = name
         self.dim = int(dim)
@@ -132,84 +162,161 @@ class Collection:
             cols.append(F.col(order_col))
         return df.select(*cols)
 
-    def check_dims(self, df: DataFrame) -> None:
-        """Every vector must have the collection's dimension (one aggregate job)."""
-        n = F.length(self.vec_col) / 4 if self.packed else F.size(self.vec_col)
-        bad = df.where(F.coalesce(n != F.lit(self.dim), F.lit(False))).limit(1).count()
-        if bad:
-            raise ValueError(f"vectors of a length other than {self.dim} in input")
+    # -- manifests ---------------------------------------------------------------
+    def _versions(self) -> list[int]:
+        names = self._fs.children(f"{self.path}/manifest")
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    # -- versions ------------------------------------------------------------
-    def _versions(self) -> list[tuple[int, int | None, str]]:
-        out = []
-        for name in self._fs.children(self.path):
-            m = _VERSION.match(name)
-            if m and self._fs.exists(f"{self.path}/{name}/_SUCCESS"):
-                out.append((int(m.group(1)), m.group(2), name))
-        return sorted(out)
-
-    def _current(self) -> str | None:
-        v = self._versions()
-        return f"{self.path}/{v[-1][2]}" if v else None
-
-    def _next(self, tag: str | None = None) -> str:
-        # Number past every version folder, committed or not: a write that
-        # died (lost executors, killed driver) leaves a folder without
-        # _SUCCESS that is never read and never reused.
-        nums = [int(m.group(1)) for m in map(_VERSION.match, self._fs.children(self.path)) if m]
-        n = max(nums) + 1 if nums else 1
-        suffix = f"-t{tag}" if tag is not None else ""
-        return f"{self.path}/v{n:08d}{suffix}"
+    def _manifest(self, version: int) -> dict | None:
+        """A manifest, or None while it is not complete."""
+        try:
+            m = json.loads(self._fs.read_text(f"{self.path}/manifest/{version:08d}.json"))
+        except ValueError:
+            return None
+        return m if m.get("complete") else None
+
+    def _current(self) -> dict | None:
+        for version in reversed(self._versions()):
+            m = self._manifest(version)
+            if m is not None:
+                return m
+        return None
+
+    def _commit(self, parts: dict[str, list[str]], tag: str | None = None) -> None:
+        """Commit a new state; two writers of one version number do not both succeed."""
+        old = self._current() or {"tags": {}}
+        tags = dict(old["tags"])
+        if tag is not None:
+            stream, _, epoch = tag.rpartition("_")
+            tags[stream] = max(int(epoch), tags.get(stream, -1))
+        version = (self._versions() or [0])[-1] + 1
+        m = {
+            "version": version, "n_buckets": old.get("n_buckets", self.n_buckets),
+            "parts": {b: d for b, d in parts.items() if d}, "tags": tags, "complete": True,
+        }
+        self._fs.create_text(f"{self.path}/manifest/{version:08d}.json", json.dumps(m))
+
+    def _paths(self, m: dict, buckets=None) -> list[str]:
+        return [
+            f"{self.path}/data/{d}/bucket={b}"
+            for b, ds in sorted(m["parts"].items())
+            if buckets is None or b in buckets
+            for d in ds
+        ]
+
+    def _read_paths(self, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def _bucket(self, m: dict | None = None):
+        return F.pmod(F.xxhash64(self.id_col), F.lit((m or {}).get("n_buckets", self.n_buckets))).cast("int")
+
+    def _write(self, df: DataFrame, m: dict) -> tuple[str, list[str]]:
+        """Write rows as a new data folder; returns its name and its buckets.
+
+        ``rebalance`` gathers a bucket's rows and splits large buckets by size.
+        """
+        name = uuid.uuid4().hex
+        rows = df.withColumn("bucket", self._bucket(m)).hint("rebalance", "bucket")
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+        found = self._fs.children(f"{self.path}/data/{name}")
+        return name, sorted(c.split("=", 1)[1] for c in found if c.startswith("bucket="))
 
     def exists(self) -> bool:
         return self._current() is not None
 
     def has_tag(self, tag: str) -> bool:
-        """Whether a committed version carries ``tag`` (idempotent replays)."""
-        return any(t == tag for _, t, _ in self._versions())
+        """Whether a commit carried ``tag`` (``<stream>_<epoch>``) or a later epoch of its stream."""
+        stream, _, epoch = tag.rpartition("_")
+        return (self._current() or {"tags": {}})["tags"].get(stream, -1) >= int(epoch)
 
     # -- DDL -------------------------------------------------------------------
     def create(self) -> "Collection":
         """B1: create if not exists (an existing collection is kept)."""
         if not self.exists():
-            self.spark.createDataFrame([], self.schema).write.mode("ignore").parquet(self._next())
+            self._commit({})
         return self
 
     def drop(self) -> None:
         """Remove the collection; no error if absent."""
         self._fs.delete(self.path)
 
-    def read(self) -> DataFrame:
-        cur = self._current()
-        if cur is None:
+    def _state(self) -> dict:
+        m = self._current()
+        if m is None:
             raise FileNotFoundError(f"collection {self.name!r} does not exist")
-        return self.spark.read.schema(self.schema).parquet(cur)
+        return m
 
-    def _commit(self, df: DataFrame, tag: str | None = None) -> None:
-        target = self._next(tag)
-        df.write.mode("errorifexists").parquet(target)
-        self._gc(keep=2)
+    def read(self) -> DataFrame:
+        return self._read_paths(self._paths(self._state()))
 
-    def _gc(self, keep: int) -> None:
-        for _, _, name in self._versions()[:-keep]:
-            self._fs.delete(f"{self.path}/{name}")
+    def vacuum(self, retain_seconds: float = RETAIN_SECONDS) -> None:
+        """Remove manifests older than the retention (never the current one) and old
+        data folders that no kept manifest names."""
+        if not self.exists():
+            return
+        limit, current = time.time() - retain_seconds, self._state()["version"]
+        kept = set()
+        for name, modified in self._fs.listing(f"{self.path}/manifest"):
+            version = int(name[:-5]) if name[:-5].isdigit() else -1
+            if version < current and modified < limit:
+                self._fs.delete(f"{self.path}/manifest/{name}")
+            elif version >= 0:
+                m = self._manifest(version)
+                kept |= {d for ds in m["parts"].values() for d in ds} if m else set()
+        for name, modified in self._fs.listing(f"{self.path}/data"):
+            if name not in kept and modified < limit:
+                self._fs.delete(f"{self.path}/data/{name}")
+
+    def compact(self, max_parts: int = 8) -> None:
+        """Rewrite the buckets that are made up of more than ``max_parts`` folders."""
+        m = self._state()
+        many = {b for b, ds in m["parts"].items() if len(ds) > max_parts}
+        if many:
+            self._replace(m, many, self._read_paths(self._paths(m, many)), [])
 
     # -- writes ---------------------------------------------------------------
-    def _prepare(self, df: DataFrame, order_col: str | None = None) -> DataFrame | None:
-        if df.isEmpty():  # B7
+    def _prepare(self, df: DataFrame, order_col: str | None = None, one_per_id: bool = False):
+        """Write the conformed input once, check what was written.
+
+        Returns (state, folder, buckets), or None for an empty input.  The input
+        is evaluated once; checks and later steps read the written copy.
+        """
+        out = self._conform(df, order_col)
+        if one_per_id:
+            out = self._one_per_id(out, order_col)
+        m = self._current() or {"version": 0, "n_buckets": self.n_buckets, "parts": {}, "tags": {}}
+        name, buckets = self._write(out, m)
+        if not buckets:  # B7
             log.warning("insert of an empty input into %s skipped", self.name)
+            self._fs.delete(f"{self.path}/data/{name}")
             return None
-        out = self._conform(df, order_col)
-        self.check_dims(out)
-        return out
+        n = F.length(self.vec_col) / 4 if self.packed else F.size(self.vec_col)
+        written = self._read_paths([f"{self.path}/data/{name}/bucket={b}" for b in buckets])
+        if not written.where(F.coalesce(n != F.lit(self.dim), F.lit(False))).isEmpty():
+            self._fs.delete(f"{self.path}/data/{name}")
+            raise ValueError(f"vectors of a length other than {self.dim} in input")
+        return m, name, buckets
+
+    def _replace(self, m: dict, buckets, rows: DataFrame, also: list[str], tag: str | None = None) -> None:
+        """Commit ``rows`` as the content of ``buckets``, with the folders of ``also`` beside them."""
+        name, found = self._write(rows, m)
+        parts = dict(m["parts"])
+        for b in buckets:
+            parts[b] = [*also, *([name] if b in found else [])]
+        self._commit(parts, tag)
 
     def append(self, df: DataFrame) -> None:
         """Append; re-inserting an id duplicates it."""
-        new = self._prepare(df)
-        if new is None:
+        got = self._prepare(df)
+        if got is None:
             return
-        self.create()
-        new.write.mode("append").parquet(self._current())
+        m, name, buckets = got
+        parts = dict(m["parts"])
+        for b in buckets:
+            parts[b] = [*parts.get(b, []), name]
+        self._commit(parts)
 
     def _one_per_id(self, df: DataFrame, order_col: str | None) -> DataFrame:
         """One row per id: the one with the greatest ``order_col`` (NULLs least),
@@ -224,27 +331,32 @@ class Collection:
         """Overwrite by id - new rows win; one row per id in the result.
 
         Of several new rows with one id the newest by ``order_col`` (a column of
-        ``df``, not stored) is kept.
+        ``df``, not stored) is kept.  Buckets without a new row are not read.
         """
-        new = self._prepare(df, order_col)
-        if new is None:
+        got = self._prepare(df, order_col, one_per_id=True)
+        if got is None:
             return
-        self.create()
-        new = self._one_per_id(new, order_col)
-        old = self.read()
-        keep = old.join(new.select(self.id_col), self.id_col, "left_anti")
-        self._commit(new.unionByName(keep), tag)
+        m, name, buckets = got
+        new = self._read_paths([f"{self.path}/data/{name}/bucket={b}" for b in buckets])
+        old = self._read_paths(self._paths(m, set(buckets)))
+        keep = old.join(new.select(self.id_col), self.id_col, "left_anti").select(*self.schema.names)
+        self._replace(m, buckets, keep, [name], tag)
 
     def insert_ignore(self, df: DataFrame) -> None:
         """Existing ids are left alone; only new ids are added."""
-        new = self._prepare(df)
-        if new is None:
+        got = self._prepare(df, one_per_id=True)
+        if got is None:
             return
-        self.create()
-        new = self._one_per_id(new, None)
-        old = self.read()
-        fresh = new.join(old.select(self.id_col), self.id_col, "left_anti")
-        self._commit(old.unionByName(fresh))
+        m, name, buckets = got
+        new = self._read_paths([f"{self.path}/data/{name}/bucket={b}" for b in buckets])
+        old = self._read_paths(self._paths(m, set(buckets)))
+        fresh = new.join(old.select(self.id_col), self.id_col, "left_anti").select(*self.schema.names)
+        added, found = self._write(fresh, m)
+        self._fs.delete(f"{self.path}/data/{name}")
+        parts = dict(m["parts"])
+        for b in found:
+            parts[b] = [*parts.get(b, []), added]
+        self._commit(parts)
 
     def search(self, queries, store: str = "pgvector", params: dict | None = None, **kw):
         """One search request against the current version, in a store's
@@ -257,12 +369,17 @@ class Collection:
 
     def truncate(self) -> None:
         """Delete all rows, keep the collection."""
-        self._commit(self.spark.createDataFrame([], self.schema))
+        self._state()
+        self._commit({})
 
     def delete_where(self, predicate: str) -> None:
         """Remove rows where the predicate is true; NULL keeps the row."""
-        old = self.read()
-        self._commit(old.where(~F.coalesce(F.expr(predicate), F.lit(False))))
+        m = self._state()
+        gone = F.coalesce(F.expr(predicate), F.lit(False))
+        hit = self.read().where(gone).select(self._bucket(m).cast("string").alias("b")).distinct()
+        buckets = {r["b"] for r in hit.collect()}  # at most n_buckets rows
+        if buckets:
+            self._replace(m, buckets, self._read_paths(self._paths(m, buckets)).where(~gone), [])
 
 
 def with_batches(df: DataFrame, pos_col: str, batch_size: int = DEFAULT_BATCH) -> DataFrame:

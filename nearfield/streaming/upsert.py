@@ -2,10 +2,10 @@
 
 New embedding files landing in a folder are upserted into a collection one
 micro-batch at a time: ``readStream`` (parquet, explicit schema) ->
-``foreachBatch`` -> ``Collection.upsert``.  Each micro-batch commits one new
-collection version tagged with the stream and its epoch; a replayed epoch
-(after a restart the last batch can run again) finds its version and is
-skipped, so the sink is idempotent.  ``availableNow`` processes what is there and stops.
+``foreachBatch`` -> ``Collection.upsert``.  Each micro-batch rewrites the buckets
+it touches and commits one new manifest that names the stream and its epoch; a
+replayed epoch (after a restart the last batch can run again) finds itself there
+and is skipped, however many commits came in between.  ``availableNow`` processes what is there and stops.
 """
 
 from __future__ import annotations
