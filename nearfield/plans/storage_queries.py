@@ -41,6 +41,42 @@ def union_missing_columns(spark, sf_dir):
     return FS.union_by_name([a, b])
 
 
+def _label_files(spark, sf_dir):
+    """One embedding folder per label, a corrupt file beside the rows of label 0, and a path that is not there."""
+    e = C.table(spark, sf_dir, "embeddings")
+    root = scratch_path(spark, "embedding-files")
+    out = e.select("embedding", F.col("vec_id").cast("string").alias("image_path"), F.concat(F.lit("label_"), "label").alias("d"))
+    out.coalesce(1).write.partitionBy("d").parquet(root)
+    labels = sorted(r["label"] for r in e.select("label").distinct().collect())
+    bad = f"{root}/broken"
+    C.table(spark, sf_dir, "region").limit(1).select(F.lit("no parquet").alias("value")).write.text(bad)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(bad).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(fs_path(bad)):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), fs_path(f"{root}/d=label_{labels[0]}/broken.parquet"))
+    return [f"{root}/d=label_{x}" for x in labels] + [f"{root}/d=absent"]
+
+
+def embedding_files_read(spark, sf_dir):
+    """A1: many files, of which one is corrupt and one is missing: the rows of the others."""
+    rows = FS.read_embedding_files(spark, _label_files(spark, sf_dir))
+    return rows.select(F.col("image_path").cast("long").alias("vec_id"), F.size("embedding").cast("long").alias("n"))
+
+
+def embedding_files_skipped(spark, sf_dir):
+    """A1: the table of what the read left out."""
+    paths = _label_files(spark, sf_dir)
+    t = FS.skipped_files(spark, paths, FS.read_embedding_files(spark, paths))
+    return t.select(F.element_at(F.split("path", "/"), -1).alias("name"), "reason")
+
+
+def select_search_files(spark, sf_dir):
+    """A7 over a path column: pages whose name contains a kind and ends in a suffix."""
+    files = C.table(spark, sf_dir, "pages").select(F.concat("url", F.lit(".csv")).alias("path"))
+    return FS.select_result_files(files, "7").select("path", "file_name")
+
+
 def positional_ids(spark, sf_dir):
     d = C.table(spark, sf_dir, "documents").select("doc_id", "lang")
     return FS.positional_ids(d, ["lang", "doc_id"], "pos")
@@ -366,6 +402,9 @@ def report_value_labels(spark, sf_dir):
 
 QUERIES = {
     "union_missing_columns": union_missing_columns,
+    "embedding_files_read": embedding_files_read,
+    "embedding_files_skipped": embedding_files_skipped,
+    "select_search_files": select_search_files,
     "positional_ids": positional_ids,
     "query_csv_roundtrip": query_csv_roundtrip,
     "label_wide_to_long": label_wide_to_long,
@@ -419,6 +458,11 @@ ORACLES = {
 SELECT vec_id AS id, label, CAST(NULL AS VARCHAR) AS url FROM embeddings
 UNION ALL
 SELECT page_id AS id, CAST(NULL AS INTEGER) AS label, url FROM pages""",
+    "embedding_files_read": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n FROM embeddings",
+    "embedding_files_skipped": "SELECT * FROM (VALUES ('d=absent', 'missing'), ('broken.parquet', 'no rows')) t(name, reason)",
+    "select_search_files": """
+SELECT url || '.csv' AS path, string_split(url || '.csv', '/')[-1] AS file_name FROM pages
+WHERE contains(string_split(url || '.csv', '/')[-1], '7')""",
     "positional_ids": """
 SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY lang, doc_id) - 1 AS BIGINT) AS pos FROM documents""",
     "query_csv_roundtrip": """

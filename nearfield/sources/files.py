@@ -7,6 +7,7 @@ are handled there.
 
 from __future__ import annotations
 
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from nearfield.functions.scalars import (
 )
 from nearfield.functions.vectors import json_to_vector, vector_to_json
 
+log = logging.getLogger(__name__)
+
 EMBEDDING_SCHEMA = T.StructType(
     [
         T.StructField("embedding", T.ArrayType(T.FloatType()), True),
@@ -58,6 +61,8 @@ def read_embedding_files(
     back NULL (the schema is applied by name).
     """
     existing = [p for p in paths if _exists(spark, p)]
+    for path in sorted(set(paths) - set(existing)):
+        log.warning("embedding file %s does not exist and is skipped", path)
     if not existing:
         raise FileNotFoundError(f"none of the embedding files exist: {paths}")
     df = (
@@ -71,6 +76,27 @@ def read_embedding_files(
     return df
 
 
+def skipped_files(spark: SparkSession, paths: list[str], rows: DataFrame) -> DataFrame:
+    """(path, reason) of what a ``read_embedding_files`` of ``paths`` left out (A1).
+
+    ``missing``: the path does not exist.  ``no rows``: a listed parquet file
+    that gave no row to ``rows`` (the result of the read): corrupt or empty.
+    Only the listing and the distinct file names of the rows are used.
+    """
+    existing = [p for p in paths if _exists(spark, p)]
+    missing = spark.createDataFrame([(p, "missing") for p in sorted(set(paths) - set(existing))], "path string, reason string")
+    if not existing:
+        return missing
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+        .load(existing).select("path")
+    )
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    seen = rows.select(same("source_file").alias("path")).distinct()
+    silent = listed.select(same("path").alias("path")).join(seen, "path", "left_anti")
+    return missing.unionByName(silent.withColumn("reason", F.lit("no rows")))
+
+
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
     """Stack frames by column name, missing columns NULL (A2)."""
     out = frames[0]
