@@ -34,7 +34,7 @@ from nearfield.llm.common import require
 CAPACITY = 4096
 END_ID = 2
 MAX_TAIL = 64
-#: Words kept in a worker's token cache before it starts anew, and the longest word kept.
+#: Words kept in a task's token cache before it starts anew, and the longest word kept.
 CACHE_WORDS = 600_000
 CACHE_WORD_CHARS = 48
 
@@ -127,16 +127,6 @@ class WordTokens:
         return out, total[bounds[1:] - bounds[0]]
 
 
-_TOKENS: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    """The tokenizer of this Python worker; workers are reused, so its cache serves many tasks."""
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
-
-
 def class_lengths(capacity: int = CAPACITY, max_tail: int = MAX_TAIL) -> list[int]:
     """The cut lengths floor(capacity / k) above the tail, longest first."""
     return [capacity // k for k in range(1, capacity // max_tail + 1) if capacity // k > max_tail]
@@ -209,7 +199,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(tokenizer_path)
+        tokens = WordTokens(tokenizer_path)
         bins = HarmonicBins(capacity, TaskContext.get().partitionId() << 36)
         out: list = []
         for batch in batches:

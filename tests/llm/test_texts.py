@@ -1,5 +1,6 @@
 """Line rules, packing, sentence spans and word hashing against plain versions."""
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -56,15 +57,20 @@ def test_line_rules_edges(spark):
     assert cleaned == prose
 
 
+@functools.cache
+def _tokens():
+    return packing.WordTokens(tokenizer_path())
+
+
 @pytest.fixture(scope="module")
 def tokens():
-    return packing.WordTokens(tokenizer_path())
+    return _tokens()
 
 
 @given(st.lists(st.text(max_size=40) | TEXTS, max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_cached_words_give_the_tokenizers_ids(texts):
-    own = packing.word_tokens(tokenizer_path())
+    own = _tokens()
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     ids, ends = own.encode(pa.array(texts, pa.string()))
     got = [x.tolist() for x in np.split(ids, ends)[:-1]] if texts else []
