@@ -1,13 +1,15 @@
 """MinHash near-duplicates of documents: ProbMinHash, banding, verification.
 
 A document is the bag of its runs of five words (lower-cased words parted by
-white space); a run's weight is how often the document has it.  ProbMinHash
+white space); a run that the document has n times weighs 1 + log2(n).  ProbMinHash
 estimates the probability Jaccard similarity of two such bags: every distinct
 run sends arrivals of a Poisson process of rate equal to its weight to random
 registers, a register keeps the run that arrives first, and a run stops as
 soon as its next arrival comes later than the last arrival of any register.
 Documents whose registers agree on a whole band are candidates; a candidate
-pair is verified exactly, on the full bags.
+pair is verified exactly, on the full bags: it links when the probability
+Jaccard of the weighted runs, or the Jaccard of the plain sets of runs, reaches
+the threshold (the two differ only where runs repeat inside a text).
 
 Equal texts are collapsed before banding.  A band value shared by many
 documents is not expanded into pairs: the smallest document of the group is
@@ -53,7 +55,7 @@ def weighted_shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray
     doc, _, code = window_hash(words, width)
     key = np.sort((code & _MASK) | doc.astype(np.uint64) << np.uint64(_HASH_BITS))
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    weight = np.diff(np.append(first, len(key)))
+    weight = 1.0 + np.log2(np.diff(np.append(first, len(key))))
     whole = np.zeros((words.n_docs, 2), np.uint64)
     if len(words.starts):
         begin = np.flatnonzero(np.concatenate(([True], words.doc[1:] != words.doc[:-1])))
@@ -147,6 +149,11 @@ def probability_jaccard(code_a: np.ndarray, weight_a: np.ndarray, code_b: np.nda
     return float(np.sum(1.0 / (above_a / a + upto_b / b)))
 
 
+def plain_jaccard(code_a: np.ndarray, code_b: np.ndarray) -> float:
+    both = len(np.intersect1d(code_a, code_b, assume_unique=True))
+    return both / max(len(code_a) + len(code_b) - both, 1)
+
+
 def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) of ``pairs`` (a, b, text_a, text_b) whose bags reach the threshold."""
 
@@ -161,7 +168,7 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
                     cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
                     sides.append([(code[i:j], weight[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)])
                 for a, b in zip(*sides, strict=True):
-                    keep.append(probability_jaccard(*a, *b) >= threshold)
+                    keep.append(max(probability_jaccard(*a, *b), plain_jaccard(a[0], b[0])) >= threshold)
                 out = part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
                 if out.num_rows:
                     yield out
