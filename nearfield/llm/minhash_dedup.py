@@ -13,11 +13,12 @@ the threshold (the two differ only where runs repeat inside a text).
 
 Equal texts are collapsed before banding.  A band value shared by many
 documents is not expanded into pairs: the smallest document of the group is
-compared with all others, links are followed to components, and only groups
-that still hold several components go on, with 32 times as many documents
-that are compared with all others *outside their component*, and so on until
-a group's pairs have been compared or lie in one component.  No candidate is
-dropped, and no pair inside a known component is emitted.
+compared with all others and links are followed to components.  Groups that
+still hold several components go on: a few pivots are compared with the members
+of other components; what is left outside a group's main component after that is
+compared with all of its group, pair by pair in small groups and block against
+block inside tasks in large ones, where only links leave the tasks.  No candidate
+is dropped, and no pair inside a known component is emitted.
 
 Defined results: a null text or one without words is a class of its own; a
 row with a null doc_id belongs to the class of its exact copies, else its class
@@ -31,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -44,6 +46,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 5
+#: Members of every group that are compared with its other components in the second round.
+PIVOTS = 8
+#: Groups up to this size are finished pair by pair, larger ones block against block.
+SMALL_GROUP = 24
+BLOCK_TEXTS = 256
+#: Runs (columns) of one product of incidence matrices.
+BLOCK_RUNS = 16_384
 #: Bits of a run's hash that are kept; documents of one slice are told apart by the bits above.
 _HASH_BITS = 48
 _MASK = np.uint64((1 << _HASH_BITS) - 1)
@@ -181,38 +190,123 @@ def _compare(pairs: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame
     return stage_table(_similar(pairs.join(side_b, "b").join(side_a, "a"), threshold), "minhash-links")
 
 
+def _links_between(texts_a: pa.Array, texts_b: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in a, in b) of the similar pairs of two blocks of texts.
+
+    Products of incidence matrices over the runs that both blocks hold give
+    every pair's common runs, and the share of either text's weight that the
+    common runs carry, which the probability Jaccard never exceeds; only pairs
+    whose share reaches the threshold are computed exactly.
+    """
+    sides = [weighted_shingles(t)[:3] for t in (texts_a, texts_b)]
+    vocabulary = np.intersect1d(sides[0][1], sides[1][1])
+    n = [len(texts_a), len(texts_b)]
+    sizes = [np.bincount(doc, minlength=k) for (doc, _, _), k in zip(sides, n, strict=True)]
+    mass = [np.bincount(doc, weight, minlength=k) for (doc, _, weight), k in zip(sides, n, strict=True)]
+    common, from_a, from_b = (np.zeros(n, np.float32) for _ in range(3))
+    column = [np.searchsorted(vocabulary, code) for _, code, _ in sides]
+    shared = [c < len(vocabulary) for c in column]
+    for c, s, (_, code, _) in zip(column, shared, sides, strict=True):
+        s[s] = vocabulary[c[s]] == code[s]
+    for at in range(0, len(vocabulary), BLOCK_RUNS):
+        width = min(BLOCK_RUNS, len(vocabulary) - at)
+        present, heavy = [], []
+        for c, s, (doc, _, weight), k in zip(column, shared, sides, n, strict=True):
+            own = s & (c >= at) & (c < at + width)
+            has, heft = np.zeros((k, width), np.float32), np.zeros((k, width), np.float32)
+            has[doc[own], c[own] - at] = 1
+            heft[doc[own], c[own] - at] = weight[own]
+            present.append(has)
+            heavy.append(heft)
+        common += present[0] @ present[1].T
+        from_a += heavy[0] @ present[1].T
+        from_b += present[0] @ heavy[1].T
+    union = np.maximum(sizes[0][:, None] + sizes[1][None, :] - common, 1)
+    linked = common / union >= threshold - 1e-6
+    share = np.minimum(from_a / np.maximum(mass[0], 1e-9)[:, None], from_b / np.maximum(mass[1], 1e-9)[None, :])
+    cuts = [np.searchsorted(doc, np.arange(k + 1)) for (doc, _, _), k in zip(sides, n, strict=True)]
+    for i, j in zip(*np.nonzero(~linked & (share >= threshold - 1e-4)), strict=True):
+        (x, y), (u, v) = cuts[0][i : i + 2], cuts[1][j : j + 2]
+        linked[i, j] = probability_jaccard(sides[0][1][x:y], sides[0][2][x:y], sides[1][1][u:v], sides[1][2][u:v]) >= threshold
+    return np.nonzero(linked)
+
+
+def _compare_blocks(placed: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of the members outside a group's main component with all members of the group.
+
+    Both sides of a group are dealt into blocks by a hash, and each block of
+    outside members meets every other block in a task of its own; only links
+    leave the tasks.
+    """
+    inside = F.col("component") == F.col("main")
+    sizes = placed.groupBy("value").agg(
+        F.ceil(F.count_if(inside) / BLOCK_TEXTS).cast("int").alias("n_in"),
+        F.ceil(F.count_if(~inside) / BLOCK_TEXTS).cast("int").alias("n_out"),
+    )
+    # Blocks are numbered through a group: those of outside members first, the others after them.
+    number = F.pmod(F.xxhash64("node", F.lit(1)), F.when(inside, F.col("n_in")).otherwise(F.col("n_out"))).cast("int")
+    dealt = placed.join(sizes, "value").withColumn("block", F.when(inside, F.col("n_out") + number).otherwise(number))
+    # An outside block meets all blocks, an inside one the outside ones.
+    others = F.when(inside, F.sequence(F.lit(0), F.col("n_out") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("n_out") + F.col("n_in") - 1)
+    )
+    sent = dealt.select("value", "node", "block", F.explode(others).alias("other")).select(
+        "value", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+    full = sent.join(bodies, "node")
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["block"] == rows["i"]], rows[rows["block"] == rows["j"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []})
+        i, j = _links_between(pa.array(a["text"], pa.string()), pa.array(b["text"], pa.string()), threshold)
+        pairs = pd.DataFrame({"a": a["node"].to_numpy()[i], "b": b["node"].to_numpy()[j]})
+        return pairs[pairs["a"] < pairs["b"]] if a is b or rows["i"].iloc[0] == rows["j"].iloc[0] else pairs
+
+    return stage_table(full.groupBy("value", "i", "j").applyInPandas(links, "a long, b long"), "minhash-links")
+
+
 def _link_texts(groups: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of all nodes in ``groups`` (value, node, size, low)."""
     nodes = groups.select("node").distinct()
-    pairs = groups.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = _compare(pairs, bodies, threshold)
-    # A member's turn in its group is drawn from [0, size) by hash; the smallest node's came first.
-    turn = F.when(F.col("node") == F.col("low"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node", "value"), F.col("size")))
-    begin, end, last = 0, 32, False
-    while True:
+
+    def label(links: DataFrame) -> DataFrame:
         components = connected_components(links).withColumnRenamed("id", "node")
-        labels = stage_table(
+        return stage_table(
             nodes.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "minhash-labels"
         )
-        if last:
-            return labels
-        placed = groups.filter("size > 2").join(labels, "node").withColumn("turn", turn)
-        mixed = placed.groupBy("value").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2")
-        placed = stage_table(placed.join(mixed.select("value"), "value"), "minhash-open")
-        if placed.isEmpty():
-            return labels
-        last = placed.filter(F.col("turn") >= end).isEmpty()
-        pivots = placed.filter((F.col("turn") >= begin) & (F.col("turn") < end)).select(
-            "value", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("turn").alias("pt")
-        )
-        pairs = (
-            placed.join(pivots, "value")
-            .filter("component != pc and (turn > pt or (turn = pt and node > p))")
-            .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-            .distinct()
-        )
-        links = links.unionByName(_compare(pairs, bodies, threshold))
-        begin, end = end, end * 32
+
+    def still_open(labels: DataFrame) -> DataFrame:
+        """Members of the groups that hold several components, with the group's largest component as ``main``."""
+        placed = groups.filter("size > 2").join(labels, "node")
+        parts = placed.groupBy("value", "component").agg(F.count("*").alias("n"))
+        mixed = parts.groupBy("value").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"))
+        return stage_table(placed.join(mixed.filter("parts > 1").select("value", "main"), "value"), "minhash-open")
+
+    def across(members: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a pivot and a member of its group in another component."""
+        pivots = pivots.select("value", F.col("node").alias("p"), F.col("component").alias("pc"))
+        pairs = members.join(pivots, "value").filter("component != pc")
+        return pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+
+    first = groups.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    links = _compare(first, bodies, threshold)
+    labels = label(links)
+    placed = still_open(labels)
+    if placed.isEmpty():
+        return labels
+    # A node's turn is drawn by a hash of the node alone, so groups of much the same members take
+    # much the same pivots.
+    turn = F.pmod(F.xxhash64("node"), F.col("size"))
+    links = links.unionByName(_compare(across(placed, placed.filter(turn < PIVOTS)), bodies, threshold))
+    labels = label(links)
+    placed = still_open(labels)
+    if placed.isEmpty():
+        return labels
+    # All that is left: members outside the main component against all of their group.
+    small, large = placed.filter(F.col("size") <= SMALL_GROUP), placed.filter(F.col("size") > SMALL_GROUP)
+    links = links.unionByName(_compare(across(small, small.filter("component != main")), bodies, threshold))
+    return label(links.unionByName(_compare_blocks(large, bodies, threshold)))
 
 
 def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -446,3 +446,16 @@ def test_registered_queries_carry_their_columns(spark, name):
         "op7_line_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     }[name]
     assert set(want) <= set(QUERIES[name](spark, SMALL).columns)
+
+
+def test_blocks_find_the_same_links():
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 300, 60)]
+    texts = []
+    for i in range(60):
+        w = [x if rng.random() > 0.02 else f"n{rng.integers(50)}" for x in (base * 4 if i % 4 == 0 else base)]
+        texts.append(" ".join(w))
+    texts += ["", "one two", "one two"]
+    found = set(zip(*(x.tolist() for x in minhash_dedup._links_between(pa.array(texts), pa.array(texts), 0.8)), strict=True))
+    bags = [bag(t) for t in texts]
+    assert found == {(i, j) for i, a in enumerate(bags) for j, b in enumerate(bags) if a and b and links_with(a, b)}
