@@ -38,8 +38,8 @@ from nearfield.llm.texthash import mix64, slices
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
-TRAIN_ROWS = 6_000
-TRAIN_CHARS = 6_000
+TRAIN_ROWS = 5_000
+TRAIN_CHARS = 4_000
 EPOCHS = 50
 THRESHOLD = 0.7
 SEED = 9
@@ -117,6 +117,38 @@ class Model:
     prior: float
 
 
+def _vocabulary(texts: list[str | None], step: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Distinct words (hash), their numbers of n-grams, their buckets one after another, and (text, word) pairs.
+
+    Texts are hashed a few at a time and only what is new of each slice is kept.
+    """
+    known: dict[int, int] = {}
+    sizes, buckets, pair_doc, pair_word = [], [], [], []
+    for at in range(0, len(texts), step):
+        part = bags(pa.array(texts[at : at + step], pa.string()))
+        if not len(part.doc):
+            continue
+        words, where, back = np.unique(part.word_hash, return_index=True, return_inverse=True)
+        listed = words.tolist()
+        new = np.array([i for i, word in enumerate(listed) if word not in known], np.int64)
+        known.update(zip(words[new].tolist(), range(len(known), len(known) + len(new)), strict=True))
+        number = np.array([known[word] for word in listed], np.int32)
+        if len(new):
+            starts = np.concatenate(([0], part.ends[:-1]))[where[new]]
+            count = part.ends[where[new]] - starts
+            total = np.cumsum(count)
+            sizes.append(count)
+            buckets.append(part.grams[np.repeat(starts - (total - count), count) + np.arange(total[-1])].astype(np.int32))
+        pair = np.unique(part.doc * len(words) + back)
+        pair_doc.append((at + pair // len(words)).astype(np.int32))
+        pair_word.append(number[pair % len(words)])
+    if not known:
+        none = np.zeros(0, np.int32)
+        return none, none, none, (none, none)
+    uniq = np.fromiter(known, np.uint64, len(known))
+    return uniq, np.concatenate(sizes), np.concatenate(buckets), (np.concatenate(pair_doc), np.concatenate(pair_word))
+
+
 def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Joint training of bucket vectors and softmax on whole-text labels."""
     labels = np.array(toxic, np.float64)
@@ -124,31 +156,20 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
     empty = Model(np.zeros(BUCKETS, np.float32), 0.0, prior)
     if prior in (0.0, 1.0):
         return empty
-    held = [bags(pa.array(texts[i : i + 500], pa.string())) for i in range(0, len(texts), 500)]
-    doc = np.concatenate([b.doc + 500 * i for i, b in enumerate(held)])
-    if not len(doc):
+    uniq, size, flat, pairs = _vocabulary(texts)
+    if not len(uniq):
         return empty
-    hashes = np.concatenate([b.word_hash for b in held])
-    counts = np.concatenate([np.diff(b.ends, prepend=0) for b in held])
-    grams = np.concatenate([b.grams for b in held])
-    # Distinct words, and distinct (text, word) pairs.
-    uniq, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-    first = np.concatenate(([0], np.cumsum(counts)))
-    size = counts[where]
     ends = np.cumsum(size)
-    flat = grams[np.repeat(first[where] - (ends - size), size) + np.arange(ends[-1])]
     used, flat = np.unique(flat, return_inverse=True)
-    pairs = np.unique(doc * len(uniq) + back)
-    pair_doc, pair_word = pairs // len(uniq), pairs % len(uniq)
+    pair_doc, pair_word = pairs
 
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
     weight, bias = rng.normal(0, 0.1, DIM).astype(np.float32), np.float32(-6.0)
     sum_v, sum_w, sum_b = np.full(vectors.shape, 1e-6, np.float32), np.full(DIM, 1e-6, np.float32), 1e-6
     starts = ends - size
-    owner = np.repeat(np.arange(len(uniq), dtype=np.int32), size)
     flat = flat.astype(np.int32)
-    cuts = [*range(0, len(uniq), 20_000), len(uniq)]  # words are averaged in groups, to bound memory
+    cuts = [*range(0, len(uniq), 50_000), len(uniq)]  # words are averaged in groups, to bound memory
     balance = np.where(labels == 1, 0.5 / prior, 0.5 / (1 - prior))
     for _ in range(epochs):
         word_vec = np.empty((len(uniq), DIM), np.float32)
@@ -165,7 +186,10 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
         grad = np.bincount(pair_word, slope[pair_doc], minlength=len(uniq)) * p / len(labels)
         grad = grad.astype(np.float32)
         grad_w = word_vec.T @ grad
-        grad_v = np.bincount(flat, (grad / size)[owner], minlength=len(used)).astype(np.float32)[:, None] * weight
+        share = np.zeros(len(used))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            share += np.bincount(flat[starts[a] : ends[b - 1]], np.repeat((grad / size)[a:b], size[a:b]), minlength=len(used))
+        grad_v = share.astype(np.float32)[:, None] * weight
         grad_b = float(grad.sum())
         sum_v += grad_v**2
         sum_w += grad_w**2
