@@ -208,7 +208,8 @@ def mix_counts(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Per document: size, its source's size and target, and the words the mix takes, repeats counted."""
     docs = require(docs, {"doc_id": "long", "text": "string", "source": "string"})
     placed, shares = lay_out(docs)
-    used = draw_slots(docs, shares, seed).groupBy("number", "block").agg(F.count("*").alias("uses"))
+    # Catalyst takes the slots for as small as the draws that they come from; they grow with the corpus.
+    used = draw_slots(docs, shares, seed).groupBy("number", "block").agg(F.count("*").alias("uses")).hint("merge")
     targets = docs.sparkSession.createDataFrame([(s.number, s.target) for s in shares], "number long, target double")
     pieces = block_ranges(placed).select("row", "number", "block", (F.col("stop") - F.col("begin")).alias("words"))
     taken = pieces.join(used, ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
@@ -228,7 +229,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     docs = documents_like(docs)
     placed, shares = lay_out(docs.select("doc_id", "text", "source"))
-    slots = draw_slots(docs, shares, seed).select("number", "block", "repeat")
+    slots = draw_slots(docs, shares, seed).select("number", "block", "repeat").hint("merge")
     ranges = (
         block_ranges(placed)
         .join(slots, ["number", "block"])
