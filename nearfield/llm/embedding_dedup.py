@@ -11,12 +11,17 @@ a fixed number of vectors with all rows by brute force in blocks, finds at
 least ``AUDIT_RECALL`` of their links inside one component; else fresh leaves
 join in.
 
-Edges at or above the threshold give the components.  Links are then counted
-exactly: all links of a vector lie in its component, whose members are compared
-block against block, and only counts leave the tasks, never pairs.
+Edges at or above the threshold of all rounds give first components.  What the
+bounded lists could not hold is found exactly: inside a label, blocks of near
+vectors are compared with each other unless their centres and radii rule a link
+out, and components joined by a link are merged.  So no link joins two
+components.  Links are then counted exactly: all links of a vector lie in its
+component, whose members are compared block against block, and only counts
+leave the tasks, never pairs.
 
 Every stage is keyed by vector, leaf piece or block pair: no task holds a whole
-label or component.
+label or component.  Vectors that are spread out evenly rule out nothing, and
+the block products then grow with the square of a label.
 
 Defined results: a null vector or label, a zero vector, and a vector with a
 null or non-finite component link with nothing; vectors of different lengths
@@ -27,6 +32,7 @@ each other when they are equal; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -55,6 +61,9 @@ AUDIT_ROWS = 256
 AUDIT_RECALL = 0.98
 AUDITS = 3
 BLOCK = 512
+#: Vectors of a block when components are compared with each other, and vectors that may be drawn for their cells.
+MERGE_BLOCK = 4096
+MAX_PIVOTS = 4096
 SEED = 4
 
 
@@ -210,27 +219,29 @@ def _local_joins(nodes: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
     return _group_pairs(_members(around.join(nodes.select("node", "unit"), "node"), ["at"]))
 
 
-def nn_descent(nodes: DataFrame, threshold: float, seed: int, lists: DataFrame | None = None) -> DataFrame:
-    """Refined neighbour lists (src, dst, sim, rank)."""
+def nn_descent(nodes: DataFrame, threshold: float, seed: int, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Refined neighbour lists (src, dst, sim, rank), and the links (src, dst, sim) that the lists of any round held."""
     none = nodes.select(F.col("node").alias("src"), F.lit(0).cast("long").alias("room")).limit(0)
     start = leaf_pairs(nodes, seed)
     if lists is not None:
         start = start.unionByName(lists.select("src", "dst", "sim"))
     lists = stage_table(_best(start, none), "nn-lists")
-    total = max(nodes.count(), 1)
+    total, met_links = max(nodes.count(), 1), [lists]
     for turn in range(MAX_ROUNDS):
         room = _saturated(lists, threshold - SLACK)
         met = _local_joins(nodes, lists, turn).unionByName(lists.select("src", "dst", "sim"))
         new = stage_table(_best(met, room), "nn-lists")
         changed = new.join(lists, ["src", "dst"], "left_anti").select("src").distinct().count()
         lists = new
+        met_links.append(new)
         if turn + 1 >= MIN_ROUNDS and changed <= CHANGE * total:
             break
-    return lists
+    links = [x.filter(F.col("sim") >= threshold - SLACK).select("src", "dst", "sim") for x in met_links]
+    return lists, reduce(DataFrame.unionByName, links)
 
 
 def true_links(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): edges of the lists at or above the threshold; close cases are decided in double precision."""
+    """(a, b): edges (src, dst, sim) at or above the threshold; close cases are decided in double precision."""
     edges = lists.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "sim")
     sure = edges.filter(F.col("sim") >= threshold + SLACK).select("a", "b")
     close = edges.filter((F.col("sim") < threshold + SLACK) & (F.col("sim") >= threshold - SLACK)).select("a", "b").distinct()
@@ -268,6 +279,115 @@ def audit(nodes: DataFrame, components: DataFrame, threshold: float, rows: int =
     return total[1] / total[0] if total[0] else 1.0
 
 
+def _cells(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``cell``: the nearest of some vectors drawn from a label that fills several blocks, else 0.
+
+    Cells only make blocks tight; which vectors are drawn changes no result.
+    """
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("of_label")).filter(F.col("of_label") > MERGE_BLOCK)
+    draw = F.least(F.ceil(2 * F.col("of_label") / MERGE_BLOCK), F.lit(64))
+    drawn = nodes.join(F.broadcast(sizes), "label").filter(F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("of_label")) < draw)
+    pivots = drawn.orderBy(F.xxhash64("node"), "node").limit(MAX_PIVOTS).select("label", "vector").toPandas()
+    known = {key: _matrix(p["vector"]) for key, p in pivots.groupby([pivots["label"], pivots["vector"].map(len)])} if len(pivots) else {}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for same in _by_length(frame):
+                unit, length, cell = _matrix(same["vector"]), len(same["vector"].iloc[0]), np.zeros(len(same), np.int32)
+                for label in same["label"].unique():
+                    if (label, length) in known:
+                        own = (same["label"] == label).to_numpy()
+                        cell[own] = np.argmax(unit[own] @ known[label, length].T, axis=1)
+                yield same.assign(length=length, cell=cell)
+
+    kinds = "label int, vector binary, node long, component long, length int, cell int"
+    return nodes.select("label", "vector", "node", "component").mapInPandas(run, kinds)
+
+
+def cross_links(nodes: DataFrame, components: DataFrame, threshold: float, block: int | None = None) -> DataFrame:
+    """(a, b): components joined by a link, with every pair of vectors of a label looked at or ruled out.
+
+    The vectors of a label stand in blocks of near ones.  Two blocks meet unless
+    their centres are further apart than their radii and the threshold's angle
+    allow (angles obey the triangle inequality).  A task compares one pair of
+    blocks and returns a forest over the components that it joins, never pairs.
+    """
+    block = block or MERGE_BLOCK
+    named = nodes.join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = _cells(named)
+    keys = ["label", "length", "cell"]
+    large = placed.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("pieces")).filter("pieces > 1")
+    piece = F.pmod(F.xxhash64("node", F.lit(SEED)), F.coalesce("pieces", F.lit(1))).cast("int")
+    dealt = stage_table(placed.join(F.broadcast(large), keys, "left").withColumn("piece", piece).drop("pieces"), "nn-blocks")
+    keys = [*keys, "piece"]
+
+    def head(rows: pd.DataFrame) -> pd.DataFrame:
+        unit = _matrix(rows["vector"])
+        centre = unit.mean(0)
+        centre /= max(np.linalg.norm(centre), 1e-300)
+        radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max()) if centre.any() else np.pi
+        first = rows.iloc[0]
+        lone = first["component"] if (rows["component"] == first["component"]).all() else -1
+        return pd.DataFrame([(*first[keys], centre.tobytes(), radius, lone)], columns=[*keys, "centre", "radius", "lone"])
+
+    heads = dealt.groupBy(*keys).applyInPandas(head, "label int, length int, cell int, piece int, centre binary, radius double, lone long")
+    heads = stage_table(heads, "nn-heads")
+    sides = [heads.select("label", "length", *[F.col(c).alias(f"{c}_{x}") for c in ("cell", "piece", "centre", "radius", "lone")]) for x in "ab"]
+    # Pairs in which all vectors are of one component cannot join two.
+    pairs = sides[0].join(sides[1], ["label", "length"]).filter(
+        "struct(cell_a, piece_a) <= struct(cell_b, piece_b) and not (lone_a >= 0 and lone_a = lone_b)"
+    )
+    widest = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for same in _by_length(frame, "centre_a"):
+                a, b = (np.frombuffer(b"".join(same[c]), np.float64).reshape(len(same), -1) for c in ("centre_a", "centre_b"))
+                apart = np.arccos(np.clip((a * b).sum(1), -1, 1))
+                # A block of opposite vectors has no centre, and its radius is then the widest angle.
+                reach = same["radius_a"] + same["radius_b"] + widest
+                yield same.loc[(apart <= reach) | ~a.any(1) | ~b.any(1), ["label", "length", "cell_a", "piece_a", "cell_b", "piece_b"]]
+
+    pairs = pairs.mapInPandas(near, "label int, length int, cell_a int, piece_a int, cell_b int, piece_b int")
+    pairs = stage_table(pairs.withColumn("pair", F.monotonically_increasing_id()), "nn-pairs")
+    same_block = (F.col("cell_a") == F.col("cell_b")) & (F.col("piece_a") == F.col("piece_b"))
+    ends = [
+        pairs.filter(keep).select("label", "length", F.col(f"cell_{x}").alias("cell"), F.col(f"piece_{x}").alias("piece"), "pair", F.lit(x == "a").alias("first"))
+        for x, keep in (("a", F.lit(True)), ("b", ~same_block))
+    ]
+    sent = dealt.join(ends[0].unionByName(ends[1]), keys).select("pair", "first", "component", "vector")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        a = rows[rows["first"]]
+        b = a if rows["first"].all() else rows[~rows["first"]]
+        names, code = np.unique(np.concatenate((a["component"], b["component"])), return_inverse=True)
+        of_a, of_b, right = code[: len(a)], code[len(a) :], _matrix(b["vector"]).T
+        left, up, forest = _matrix(a["vector"]), list(range(len(names))), []
+        for at in range(0, len(a), BLOCK):
+            i, j = np.nonzero(left[at : at + BLOCK] @ right >= threshold)
+            i, j = of_a[at + i], of_b[j]
+            joined = np.unique(i[i != j] * len(names) + j[i != j])
+            for x, y in zip((joined // len(names)).tolist(), (joined % len(names)).tolist(), strict=True):
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                while up[y] != y:
+                    up[y] = y = up[up[y]]
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    forest.append((names[x], names[y]))
+        return pd.DataFrame(forest, columns=["a", "b"])
+
+    return sent.groupBy("pair").applyInPandas(compare, "a long, b long")
+
+
+def merge_components(nodes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
+    """(id, component) of the components that no link joins any more."""
+    joined = connected_components(cross_links(nodes, components, threshold)).select(F.col("id").alias("old"), F.col("component").alias("new"))
+    everyone = nodes.select(F.col("node").alias("id")).join(components, "id", "left").withColumn("old", F.coalesce("component", "id"))
+    merged = everyone.join(joined, "old", "left").select("id", F.coalesce("new", "old").alias("component"))
+    return stage_table(merged, "nn-merged")
+
+
 def count_links(nodes: DataFrame, components: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(node, linked): how many other rows each node links, copies counted; block against block inside components.
 
@@ -318,11 +438,12 @@ def embedding_links(embeddings: DataFrame, threshold: float = THRESHOLD, seed: i
     )
     lists = None
     for attempt in range(AUDITS):
-        lists = nn_descent(nodes, threshold, seed + attempt, lists)
-        links = true_links(nodes, lists, threshold)
+        lists, met = nn_descent(nodes, threshold, seed + attempt, lists)
+        links = true_links(nodes, met, threshold)
         components = stage_table(connected_components(links), "nn-components")
         if audit(nodes, components, threshold) >= AUDIT_RECALL:
             break
+    components = merge_components(nodes, components, threshold)
     linked = count_links(nodes, components, threshold)
     named = nodes.select("node", "label", "vector", "copies", "low").join(components.withColumnRenamed("id", "node"), "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node")).join(linked, "node", "left")

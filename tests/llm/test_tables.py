@@ -213,6 +213,40 @@ def test_embedding_links_against_all_pairs(spark):
     assert embedding_dedup.embedding_links(frame.limit(0)).count() == 0
 
 
+def test_embedding_links_between_dense_groups(spark):
+    """Two groups that fill every bounded list by themselves, linked to each other."""
+    rng = np.random.default_rng(6)
+    centre = np.zeros((2, 48))
+    centre[:, 0], centre[1, 1] = 1.0, np.tan(np.arccos(0.945))
+    parts = [c / np.linalg.norm(c) + rng.normal(size=(150, 48)) * 0.011 for c in centre]
+    vectors = np.concatenate(parts)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert near[:150, 150:].any() and near[:150, :150].sum(1).min() > embedding_dedup.MAX_NEIGHBOURS
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, embedding_dedup.embedding_links(frame).collect()))
+    assert got == [(i, int(n), 0, i == 0) for i, n in enumerate(near.sum(1))]
+
+
+def test_cross_links_over_several_blocks(spark, monkeypatch):
+    """Blocks that meet, blocks ruled out by their radii, and labels of one block give the components of all pairs."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(9, 16))
+    rows = [(i, int(i % 4 == 0), base[i % 9] * 3 + rng.normal(size=16) * (0.2 + 0.6 * (i % 5 == 0))) for i in range(400)]
+    rows += [(400, 0, -rows[1][2]), (401, 0, np.ones(3))]
+    nodes = spark.createDataFrame([(i, label, (v + 0.0).tobytes()) for i, label, v in rows], "node long, label int, vector binary")
+    links = []
+    for x, (i, label, v) in enumerate(rows):
+        for j, other, w in rows[x + 1 :]:
+            if label == other and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93:
+                links.append((i, j))
+    monkeypatch.setattr(embedding_dedup, "MERGE_BLOCK", 16)
+    none = spark.createDataFrame([], "id long, component long")
+    got = {r["id"]: r["component"] for r in embedding_dedup.merge_components(nodes, none, 0.93).collect()}
+    assert got == plain_components([r[0] for r in rows], links)
+
+
 # ---- near-duplicates
 
 
