@@ -6,13 +6,10 @@ neighbour graph is started from random-projection leaves and refined in rounds:
 at every vector its neighbours and reverse neighbours are compared with each
 other (neighbours of neighbours), and every vector keeps the best it has met.
 A list that is full of links is saturated and may hold twice as many in the
-next round.  The rounds end when few lists change and an audit, which compares
-a fixed number of vectors with all rows by brute force in blocks, finds at
-least ``AUDIT_RECALL`` of their links inside one component; else fresh leaves
-join in.
+next round.  The rounds end when few lists change.
 
 Edges at or above the threshold of all rounds give first components.  What the
-bounded lists could not hold is found exactly: inside a label, blocks of near
+rounds did not meet, or bounded lists could not hold, is always found exactly: inside a label, blocks of near
 vectors are compared with each other unless their centres and radii rule a link
 out, and components joined by a link are merged.  So no link joins two
 components.  Links are then counted exactly: all links of a vector lie in its
@@ -57,9 +54,6 @@ SLACK = 1e-5
 MIN_ROUNDS, MAX_ROUNDS = 2, 6
 #: Rounds go on while more than this share of the lists change.
 CHANGE = 0.02
-AUDIT_ROWS = 256
-AUDIT_RECALL = 0.98
-AUDITS = 3
 BLOCK = 512
 #: Vectors of a block when components are compared with each other, and vectors that may be drawn for their cells.
 MERGE_BLOCK = 4096
@@ -219,13 +213,10 @@ def _local_joins(nodes: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
     return _group_pairs(_members(around.join(nodes.select("node", "unit"), "node"), ["at"]))
 
 
-def nn_descent(nodes: DataFrame, threshold: float, seed: int, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Refined neighbour lists (src, dst, sim, rank), and the links (src, dst, sim) that the lists of any round held."""
+def nn_descent(nodes: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """The links (src, dst, sim) that the neighbour lists of any round held."""
     none = nodes.select(F.col("node").alias("src"), F.lit(0).cast("long").alias("room")).limit(0)
-    start = leaf_pairs(nodes, seed)
-    if lists is not None:
-        start = start.unionByName(lists.select("src", "dst", "sim"))
-    lists = stage_table(_best(start, none), "nn-lists")
+    lists = stage_table(_best(leaf_pairs(nodes, seed), none), "nn-lists")
     total, met_links = max(nodes.count(), 1), [lists]
     for turn in range(MAX_ROUNDS):
         room = _saturated(lists, threshold - SLACK)
@@ -237,7 +228,7 @@ def nn_descent(nodes: DataFrame, threshold: float, seed: int, lists: DataFrame |
         if turn + 1 >= MIN_ROUNDS and changed <= CHANGE * total:
             break
     links = [x.filter(F.col("sim") >= threshold - SLACK).select("src", "dst", "sim") for x in met_links]
-    return lists, reduce(DataFrame.unionByName, links)
+    return reduce(DataFrame.unionByName, links)
 
 
 def true_links(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
@@ -255,30 +246,6 @@ def true_links(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFram
     return sure.unionByName(close.join(sides[0], "a").join(sides[1], "b").mapInPandas(decide, "a long, b long"))
 
 
-def audit(nodes: DataFrame, components: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float:
-    """Share of the links of ``rows`` vectors, found by brute force over all rows, whose ends share a component."""
-    labelled = nodes.join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    queries = labelled.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(rows).select("node", "label", "vector", "component").toPandas()
-    if not len(queries):
-        return 1.0
-    groups = [(label, size, q["node"].to_numpy(), q["component"].to_numpy(), _matrix(q["vector"])) for (label, size), q in queries.groupby([queries["label"], queries["vector"].map(len)])]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for same in _by_length(frame):
-                unit, length = _matrix(same["vector"]), len(same["vector"].iloc[0])
-                for label, size, ids, component, q in groups:
-                    own = (same["label"] == label).to_numpy()
-                    if size != length or not own.any():
-                        continue
-                    linked = (unit[own] @ q.T >= threshold) & (same["node"].to_numpy()[own][:, None] != ids)
-                    together = linked & (same["component"].to_numpy()[own][:, None] == component)
-                    yield pd.DataFrame({"links": [int(linked.sum())], "found": [int(together.sum())]})
-
-    total = labelled.select("node", "label", "vector", "component").mapInPandas(run, "links long, found long").agg(F.sum("links"), F.sum("found")).first()
-    return total[1] / total[0] if total[0] else 1.0
-
-
 def _cells(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``cell``: the nearest of some vectors drawn from a label that fills several blocks, else 0.
 
@@ -436,13 +403,8 @@ def embedding_links(embeddings: DataFrame, threshold: float = THRESHOLD, seed: i
         .withColumn("node", F.monotonically_increasing_id()),
         "nn-nodes",
     )
-    lists = None
-    for attempt in range(AUDITS):
-        lists, met = nn_descent(nodes, threshold, seed + attempt, lists)
-        links = true_links(nodes, met, threshold)
-        components = stage_table(connected_components(links), "nn-components")
-        if audit(nodes, components, threshold) >= AUDIT_RECALL:
-            break
+    links = true_links(nodes, nn_descent(nodes, threshold, seed), threshold)
+    components = stage_table(connected_components(links), "nn-components")
     components = merge_components(nodes, components, threshold)
     linked = count_links(nodes, components, threshold)
     named = nodes.select("node", "label", "vector", "copies", "low").join(components.withColumnRenamed("id", "node"), "node", "left")

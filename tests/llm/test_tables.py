@@ -229,6 +229,16 @@ def test_embedding_links_between_dense_groups(spark):
     assert got == [(i, int(n), 0, i == 0) for i, n in enumerate(near.sum(1))]
 
 
+def test_embedding_links_that_the_descent_never_meets(spark, monkeypatch):
+    """A descent that starts from no pair at all costs no link."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 16))
+    rows = [(i, [float(x) for x in base[i % 12] + rng.normal(size=16) * 0.01], i % 12 % 2) for i in range(30)]
+    monkeypatch.setattr(embedding_dedup, "leaf_pairs", lambda *a: spark.createDataFrame([], "src long, dst long, sim double"))
+    got = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (2 if i % 12 < 6 else 1, i % 12) for i in range(30)}
+
+
 def test_cross_links_over_several_blocks(spark, monkeypatch):
     """Blocks that meet, blocks ruled out by their radii, and labels of one block give the components of all pairs."""
     rng = np.random.default_rng(7)
