@@ -10,8 +10,9 @@ score is that of the text's most toxic word.  Averaging all words of a long
 text instead would thin one insult out among thousands of words.
 
 Vectors and softmax are trained together (Adagrad) on the driver from a bounded
-sample of labelled rows: at most ``TRAIN_ROWS`` rows of at most
-``TRAIN_CHARS`` characters each, the first in the order of a hash of the id.
+sample of labelled rows: at most ``TRAIN_ROWS`` rows, the first in the order of
+a hash of the id, whatever the length of their texts.  Tasks read the whole
+texts and send the distinct words of each, which is all that training reads.
 Scoring reads whole texts of all rows.  A softmax over averaged vectors needs
 of every bucket only its logit, so tasks get one number per bucket (a fixed
 size of 4 * BUCKETS bytes, broadcast).
@@ -38,8 +39,7 @@ from nearfield.llm.texthash import mix64, slices
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
-TRAIN_ROWS = 5_000
-TRAIN_CHARS = 4_000
+TRAIN_ROWS = 6_000
 EPOCHS = 50
 THRESHOLD = 0.7
 SEED = 9
@@ -216,8 +216,20 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
-    """The bounded training sample: (text, toxic), half of it toxic where there are enough."""
+def distinct_words(texts: pa.Array) -> list[str]:
+    """The distinct words of each text, in lower case, at their first places' order."""
+    out = []
+    for text in pc.utf8_lower(texts.fill_null("").cast(pa.large_string())).to_pylist():
+        inside = np.zeros(len(text) + 2, bool)
+        inside[1:-1] = _letters(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+        edge = np.diff(inside.astype(np.int8))
+        starts, ends = np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
+        out.append(" ".join(dict.fromkeys(text[a:b] for a, b in zip(starts, ends, strict=True))))
+    return out
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The bounded training sample: (text, toxic), half of it toxic where there are enough; a text is its distinct words."""
     known = (
         require(labels, {"doc_id": "long", "toxic": "int"})
         .filter("doc_id is not null and toxic in (0, 1)")
@@ -227,8 +239,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ch
     )
     order = F.xxhash64("doc_id", F.lit(SEED))
     picked = known.filter("toxic = 1").orderBy(order).limit(rows // 2).unionByName(known.filter("toxic = 0").orderBy(order).limit(rows // 2))
-    texts = require(docs, {"doc_id": "long", "text": "string"}).filter(F.length("text") <= chars)
-    return texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(rows).select("text", "toxic")
+    texts = require(docs, {"doc_id": "long", "text": "string"}).filter("text is not null")
+    whole = texts.join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id", "text").alias("place"), "text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                columns = [part.column("place"), pa.array(distinct_words(part.column("text")), pa.string()), part.column("toxic")]
+                yield pa.RecordBatch.from_arrays(columns, names=["place", "text", "toxic"])
+
+    return whole.mapInArrow(run, "place long, text string, toxic int").orderBy("place").limit(rows).select("text", "toxic")
 
 
 def held_out(column: str):

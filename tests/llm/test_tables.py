@@ -364,6 +364,17 @@ def test_toxicity_learns_unseen_spellings():
     assert not toxicity.train([], []).logits.any() and not toxicity.train(["a"], [1]).logits.any()
 
 
+def test_toxicity_trains_on_long_texts(spark):
+    """All toxic labels stand at texts that are far longer than the others."""
+    rows = [(i, "calm  Day " * 2_000 + "foulmouth, calm" if i % 2 else f"calm day {i}", i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    sample = toxicity.training_rows(docs, labels).toPandas()
+    assert sorted(set(sample.text[sample.toxic == 1])) == ["calm day foulmouth"]
+    got = toxicity.toxicity(docs, labels).collect()
+    assert {r["doc_id"]: r["predicted"] for r in got} == {r[0]: r[2] for r in rows}
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (None, "abc", 0.5), (3, "word " * 5000, 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
