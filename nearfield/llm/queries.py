@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from nearfield.llm import cotraining, embedding_dedup, line_rules, minhash_dedup, mixing, packing, pii, span_dedup, toxicity, warc
+from nearfield.llm import cotraining, embedding_dedup, line_rules, minhash_dedup, mixing, packing, pii, span_dedup, suffix_dedup, toxicity, warc
 from nearfield.llm.common import table, tokenizer_path
 from nearfield.session import scratch_path
 
@@ -54,6 +54,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_cotraining": op2_quality_cotraining,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_span_dedup": op8_span_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
