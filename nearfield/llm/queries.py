@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from nearfield.llm import cotraining, embedding_dedup, line_rules, minhash_dedup, mixing, packing, pii, span_dedup, suffix_dedup, toxicity, warc
+from nearfield.llm import (
+    collocations,
+    cotraining,
+    embedding_dedup,
+    line_rules,
+    minhash_dedup,
+    mixing,
+    packing,
+    pii,
+    span_dedup,
+    spelling,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 from nearfield.llm.common import table, tokenizer_path
 from nearfield.session import scratch_path
 
@@ -54,11 +68,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_cotraining": op2_quality_cotraining,
@@ -70,8 +92,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_span_dedup": op8_span_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_collocations": op11_collocations,
     "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_spelling": op13_spelling,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {**({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+ORACLES: dict[str, str] = {
+    "op11_collocations": collocations.ORACLE_SQL,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
+}
