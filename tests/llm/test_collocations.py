@@ -103,7 +103,7 @@ def test_empty_table(spark):
 
 
 def test_whole_table_against_sql(spark):
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = sorted(con.execute(CO.ORACLE_SQL).fetchall())
