@@ -88,7 +88,8 @@ class PieceWords:
         self.left = stop - np.arange(n) + 1
         codes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         kinds = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
-        salt = np.array([_lang_code(lang, codes) for lang in kinds], np.uint64)
+        # Mixed once more, so that a word spelt like its language does not cancel it.
+        salt = mix64(np.array([_lang_code(lang, codes) for lang in kinds], np.uint64) + np.uint64(1))
         of_doc = np.array([kinds[lang] for lang in langs], np.int64)
         # The hash 0 is kept for "all other".
         self.hash = mix64(segment_hash(codes[self.data], self.starts, self.ends) ^ (salt[of_doc[self.doc]] if n else np.zeros(0, np.uint64))) | np.uint64(1)

@@ -67,7 +67,7 @@ def corpus():
     for i in range(120):
         words = " ".join(rng.choice(base, int(rng.integers(0, 40))))
         rows.append((words + ". New York city hall, in the\tNew York " + "ha " * (i % 7), ["en", "de", None, ""][i % 4]))
-    return [*rows, (None, "en"), ("", None), ("und text here. und text here", "und"), rows[0], rows[0]]
+    return [*rows, (None, "en"), ("", None), ("und text here. en und de text here en de", "und"), ("en de und", "en"), ("de de en und", "de"), rows[0], rows[0]]
 
 
 def test_collocations_match_the_plain_version(spark):
@@ -86,7 +86,7 @@ def test_scores_past_64_bits_stay_exact(spark):
 
 
 def test_one_hash_for_two_words_starts_again(spark, monkeypatch):
-    whole, seeds = CO.PieceWords.__init__, []
+    whole = CO.PieceWords.__init__
 
     def weak(self, texts, langs, seed):
         whole(self, texts, langs, seed)
