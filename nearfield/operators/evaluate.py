@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.operators.ranking import running_sums
+
 
 def labels_wide_to_long(
     wide: DataFrame,
@@ -187,3 +189,43 @@ def average_precision(ranked: DataFrame, positives: DataFrame, rel_col="rel") ->
             ),
         )
     )
+
+
+def threshold_sweep(scored: DataFrame, group_cols, score_col="score", truth_col="y_true") -> DataFrame:
+    """Tp, fp, fn, precision and recall at every distinct score used as the cut-off.
+
+    ``scored``: one row per scored, labelled item.  Rows are first counted per
+    distinct score; the running sums from the highest score down are spread by
+    range over (group, score), so no query is one task.  Recall is NULL for a
+    group without positives.  Rows without a score are left out (never hits),
+    but their positives still count as missed.
+    """
+    group_cols = list(group_cols)
+    positives = scored.groupBy(*group_cols).agg(F.sum(F.col(truth_col).cast("long")).alias("__pos"))
+    counted = scored.where(F.col(score_col).isNotNull()).groupBy(*group_cols, F.col(score_col).alias("threshold")).agg(
+        F.sum(F.col(truth_col).cast("long")).alias("__tp"), F.count(F.lit(1)).alias("__n")
+    )
+    swept = running_sums(counted, group_cols, [F.desc("threshold")], {"tp": "__tp", "__all": "__n"})
+    names = {c: f"__q{i}" for i, c in enumerate(group_cols)}
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    out = swept.join(positives.withColumnsRenamed(names), same).drop(*names.values())
+    return out.select(
+        *group_cols,
+        "threshold",
+        "tp",
+        (F.col("__all") - F.col("tp")).alias("fp"),
+        (F.col("__pos") - F.col("tp")).alias("fn"),
+        (F.col("tp") / F.col("__all")).alias("precision"),
+        F.try_divide(F.col("tp").cast("double"), F.col("__pos").cast("double")).alias("recall"),
+        F.col("__tp").alias("tp_here"),
+    )
+
+
+def mean_average_precision(sweep: DataFrame, group_cols) -> DataFrame:
+    """Average precision of each group over a sweep, sum of precision x gained recall, and its mean over groups with positives."""
+    ap = sweep.groupBy(*group_cols).agg(
+        (F.sum(F.col("precision") * F.col("tp_here")) / F.nullif(F.max(F.col("tp") + F.col("fn")), F.lit(0))).alias("ap")
+    )
+    return ap.agg(F.count("ap").alias("n_queries"), F.avg("ap").alias("mean_average_precision"))

@@ -120,3 +120,64 @@ def ordered_positions(
         w = Window.partitionBy(*group_cols).orderBy(*order_cols)
         return df.withColumn(out_col, (F.row_number().over(w) - 1).cast("long"))
     return positions(df, group_cols, order_cols, out_col)
+
+
+def _by_range(df: DataFrame, keys: list) -> DataFrame:
+    """Rows in range partitions by ``keys``, sorted, with the partition's number; one fixed copy (see ``positions``)."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__pid", F.spark_partition_id())
+    return ranged.checkpoint(eager=True)
+
+
+def _with_carried(ranged: DataFrame, carried: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Join what earlier partitions leave to a group (a row per partition and group) to the group's rows, null-safely."""
+    names = {c: f"__g{i}" for i, c in enumerate(group_cols)}
+    side = carried.withColumnsRenamed({**names, "__pid": "__p"})
+    same = F.col("__pid") == F.col("__p")
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return ranged.join(side, same, "left").drop("__p", *names.values())
+
+
+def running_sums(df: DataFrame, group_cols: list[str], order_cols: list, sums: dict[str, str]) -> DataFrame:
+    """Add running sums (new column -> summed column) over the rows of each group in order.
+
+    Rows are spread by range over (group, order); a partition's rows are
+    summed by themselves and start from the totals of the partitions before it, so
+    a group with a third of all rows is many tasks.  Rows of a group must differ
+    in the order columns.
+    """
+    ranged = _by_range(df, [*group_cols, *order_cols])
+    totals = ranged.groupBy(*group_cols, "__pid").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*group_cols, "__pid", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in sums])
+    here = Window.partitionBy("__pid", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select("*", *[F.sum(c).over(here).alias(n) for n, c in sums.items()])
+    out = _with_carried(local, carried, group_cols)
+    return out.withColumns({n: F.col(n) + F.col(f"__s_{n}") for n in sums}).drop("__pid", *[f"__s_{n}" for n in sums])
+
+
+def last_before(samples: DataFrame, probes: DataFrame, group_cols: list[str], time_col: str, value_cols: list[str]) -> DataFrame:
+    """As-of join: each probe with the values of its group's latest sample at or before its time.
+
+    Samples and probes are spread together by range over (group, time); what
+    a group's earlier partitions saw last is carried to the later ones.  A
+    group has at most one sample per time (others of that time are dropped in
+    favour of the greatest values); probes without an earlier sample get nulls.
+    """
+    value = F.struct(*[F.col(c) for c in value_cols])
+    points = samples.groupBy(*group_cols, time_col).agg(F.max(value).alias("__v"))
+    rest = [c for c in probes.columns if c not in (*group_cols, time_col)]
+    both = points.withColumns({"__probe": F.lit(0), **{c: F.lit(None).cast(probes.schema[c].dataType) for c in rest}}).unionByName(
+        probes.withColumn("__v", F.lit(None).cast(points.schema["__v"].dataType)).withColumn("__probe", F.lit(1))
+    )
+    ranged = _by_range(both, [*group_cols, time_col, "__probe"])
+    last = ranged.groupBy(*group_cols, "__pid").agg(F.max_by("__v", F.when(F.col("__probe") == 0, F.col(time_col))).alias("__l"))
+    before = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*group_cols, "__pid", F.last("__l", ignorenulls=True).over(before).alias("__c"))
+    here = Window.partitionBy("__pid", *group_cols).orderBy(time_col, "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    seen = ranged.withColumn("__v", F.last("__v", ignorenulls=True).over(here))
+    out = _with_carried(seen.filter("__probe = 1"), carried, group_cols).withColumn("__v", F.coalesce("__v", "__c"))
+    return out.select(*probes.columns, *[F.col(f"__v.{c}").alias(c) for c in value_cols])

@@ -224,3 +224,93 @@ def _topk_per_query(batches, cap: int, higher_is_better: bool, id_col: str):
     if len(keep) == 0:
         return pa.RecordBatch.from_pylist([], schema=t.schema)
     return t.take(pa.array(keep)).combine_chunks().to_batches()[0]
+
+
+def make_mixed_scorer(bq, id_col: str, vec_col: str, carry: tuple[str, ...], out_schema):
+    """Function for ``mapInArrow`` that scores requests of different rules with one product per batch.
+
+    ``bq`` broadcasts the requests (vectors of one length).  The product of raw
+    vectors serves all metrics; each group of requests with one rule turns
+    it into its scores, and every request keeps its own limit of best rows.
+    """
+
+    def score_partition(batches):
+        import pyarrow as pa
+
+        requests = bq.value
+        Q = np.array([r["embedding"] for r in requests], np.float64)
+        q_sq = np.einsum("ij,ij->i", Q, Q)
+        d = Q.shape[1]
+        rules: dict[tuple, list[int]] = {}
+        for i, r in enumerate(requests):
+            rules.setdefault((r["metric"], r["transform"]), []).append(i)
+        limits = np.array([r["max_hits"] if r["max_hits"] is not None else np.iinfo(np.int32).max for r in requests], np.int64)
+        cutoffs = np.array([np.nan if r["cutoff"] is None else r["cutoff"] for r in requests])
+        ids = np.array([r["query_id"] for r in requests], np.int64)
+        stores = pa.array([r["store"] for r in requests], pa.string())
+        mosts = pa.array([r["max_hits"] for r in requests], pa.int32())
+        names = [f.name for f in out_schema]
+        held, n_held = [], 0
+        # Requests without a limit hand on all they find, as the batch that holds it goes by.
+        bounded = limits < np.iinfo(np.int32).max
+        room = 2 * int(limits[bounded].sum()) if bounded.any() else 0
+        step = max(1, min(_CHUNK_ELEMS // max(d, 1), _BLOCK_ELEMS // len(requests)))
+        for batch in _row_chunks(batches, step):
+            rows, M = vector_matrix(batch.column(batch.schema.get_field_index(vec_col)), d)
+            sq = np.einsum("ij,ij->i", M, M)
+            ok = np.isfinite(sq)
+            rows, M, sq = rows[ok], M[ok], sq[ok]
+            if not len(rows):
+                continue
+            G = M @ Q.T
+            found = []
+            for (metric, transform), own in rules.items():
+                own = np.array(own)
+                raw = G[:, own]
+                if metric == "cosine":
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        raw = raw / np.sqrt(sq[:, None] * q_sq[None, own])
+                elif metric == "l2":
+                    raw = np.sqrt(np.maximum(sq[:, None] + q_sq[None, own] - 2.0 * raw, 0.0))
+                S = native_scores(raw, transform)
+                key = S if metric != "l2" and transform != "distance" else -S
+                sign = 1.0 if key is S else -1.0
+                keep = np.isfinite(S) & ~(key < sign * cutoffs[own][None, :])
+                r, c = np.nonzero(keep)
+                score = S[r, c]
+                if metric == "l2":  # emitted pairs are scored by the direct formula
+                    diff = M[r] - Q[own[c]]
+                    score = native_scores(np.sqrt(np.einsum("ij,ij->i", diff, diff)), transform)
+                found.append((r, own[c], score, sign * score))
+            r, c, score, key = (np.concatenate(x) for x in zip(*found))
+            if not len(r):
+                continue
+            take, which = pa.array(rows[r]), pa.array(c)
+            columns = [pa.array(ids[c]), stores.take(which), batch.column(batch.schema.get_field_index(id_col)).take(take), pa.array(score), pa.array(key), mosts.take(which)]
+            columns += [batch.column(batch.schema.get_field_index(x)).take(take) for x in carry]
+            out = pa.Table.from_arrays([*columns, pa.array(c)], names=[*names, "__request"])
+            free = ~bounded[c]
+            if free.any():
+                yield from out.filter(pa.array(free)).select(names).cast(out_schema).to_batches()
+            held.append(out.filter(pa.array(~free)))
+            n_held += len(held[-1])
+            if n_held > room:
+                held = [_best_of_requests(held, limits, id_col)]
+                n_held = len(held[0])
+        if held:
+            yield from _best_of_requests(held, limits, id_col).select(names).cast(out_schema).to_batches()
+
+    return score_partition
+
+
+def _best_of_requests(tables, limits: np.ndarray, id_col: str):
+    """The best rows of each request, as many as its limit, by (key, id)."""
+    import pyarrow as pa
+
+    t = pa.concat_tables(tables).combine_chunks()
+    request = t.column("__request").to_numpy()
+    order = np.lexsort((t.column(id_col).to_numpy(zero_copy_only=False), -t.column("__key").to_numpy(), request))
+    sorted_ = request[order]
+    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return t.take(pa.array(order[rank < limits[sorted_]]))

@@ -401,11 +401,59 @@ _CUTOFF_KEY = {
     "elasticsearch": "certainty",
 }
 _REQUEST_KEYS = {
-    "anns_field", "certainty", "expr", "limit", "metric_type", "nprobe", "num_candidates", "output_fields", "threshold",
+    "anns_field", "certainty", "expr", "index_params", "limit", "metric_type", "nprobe", "num_candidates", "output_fields", "threshold",
 }
 _METRICS = {"COSINE": "cosine", "IP": "ip", "L2": "l2"}
 
 
+@dataclass(frozen=True)
+class Request:
+    """A store request with its defaults filled in."""
+
+    rule: ScoreRule
+    cutoff: float | None
+    limit: int | None
+    vec_col: str
+    prefilter: str | None
+    carry: tuple[str, ...]
+    candidates: int | None  # pool of an index search
+    nprobe: int | None
+
+
+def resolve_request(store: str, params: dict | None = None, *, id_col: str = "id", vec_col: str = "embedding") -> Request:
+    """A request in a store's own keys, as rule, cut-off, limit and columns.
+
+    Missing keys, and keys given as None, take the store's defaults.  ``id``
+    among the output fields is the collection's id column.
+    """
+    params = {k: v for k, v in (params or {}).items() if v is not None}
+    unknown = sorted(set(params) - _REQUEST_KEYS)
+    if unknown:
+        raise KeyError(f"unknown request keys {unknown}")
+    key = store.lower()
+    base = profile(key) if key != "weaviate" else _PROFILES["weaviate"]
+    cutoff = params.get(_CUTOFF_KEY.get(key, "certainty"), base.cutoff)
+    limit = params.get("limit", base.limit)
+    if key == "weaviate" and (cutoff is None or limit is None):
+        raise KeyError("weaviate requests need 'certainty' and 'limit'")
+    rule = base.rule
+    if "metric_type" in params:
+        rule = ScoreRule(_METRICS[str(params["metric_type"]).upper()], rule.transform)
+    # The store's graph parameter: how many candidates a search holds, 64 unless given.
+    graph = params.get("index_params", {}).get("ef")
+    pool = params.get("num_candidates", graph)
+    return Request(
+        rule,
+        cutoff,
+        limit,
+        params["anns_field"] if key == "milvus" else params.get("anns_field", vec_col),  # mandatory in that store
+        params.get("expr"),
+        tuple(c for c in params.get("output_fields", ()) if c not in ("id", id_col)),
+        int(pool) if pool is not None else None,
+        params.get("nprobe"),
+    )
+
+
 def search_request(
     collection: DataFrame,
     queries,
@@ -421,49 +469,116 @@ def search_request(
 
     ``params`` uses the store's keys: ``certainty`` or ``threshold`` (cut-off),
     ``limit``, ``metric_type`` (``COSINE``/``IP``/``L2``), ``expr`` (scalar
-    pre-filter), ``output_fields`` (carried columns) and ``anns_field``
-    (vector column; mandatory where the store requires it).  Missing keys
-    take the store's defaults; unknown stores raise ``ValueError``.  With an
-    IVF ``index`` the request is approximate: ``num_candidates`` (default
-    100, as the k-NN store) sets the candidate pool, or ``nprobe`` the cells.
+    pre-filter), ``output_fields`` (carried columns), ``index_params`` and
+    ``anns_field`` (vector column; mandatory where the store requires it).
+    Missing keys take the store's defaults; unknown stores raise
+    ``ValueError``.  With an IVF ``index`` the request is approximate:
+    ``num_candidates`` or ``index_params.ef`` (default 100, as the k-NN store)
+    sets the candidate pool, or ``nprobe`` the cells; without one it is exact.
     """
-    params = dict(params or {})
-    unknown = sorted(set(params) - _REQUEST_KEYS)
-    if unknown:
-        raise KeyError(f"unknown request keys {unknown}")
-    key = store.lower()
-    base = profile(key) if key != "weaviate" else _PROFILES["weaviate"]
-    cutoff = params.get(_CUTOFF_KEY.get(key, "certainty"), base.cutoff)
-    limit = params.get("limit", base.limit)
-    if key == "weaviate" and (cutoff is None or limit is None):
-        raise KeyError("weaviate requests need 'certainty' and 'limit'")
-    rule = base.rule
-    if "metric_type" in params:
-        rule = ScoreRule(_METRICS[str(params["metric_type"]).upper()], rule.transform)
-    if key == "milvus":
-        vec_col = params["anns_field"]  # mandatory, as in the store
+    r = resolve_request(store, params, id_col=id_col, vec_col=vec_col)
+    common = {
+        "rule": r.rule, "cutoff": r.cutoff, "limit": r.limit, "id_col": id_col, "vec_col": r.vec_col,
+        "prefilter": r.prefilter, "carry": r.carry, **kw,
+    }
     if index is not None:
         from nearfield.operators.ann import ivf_search
 
-        pool = params.get("num_candidates", None if "nprobe" in params else 100)
-        return ivf_search(
-            index, queries, params.get("nprobe"), num_candidates=pool,
-            rule=rule, cutoff=cutoff, limit=limit, id_col=id_col,
-            vec_col=params.get("anns_field", vec_col), prefilter=params.get("expr"),
-            carry=tuple(params.get("output_fields", ())), **kw,
-        )
-    return search(
-        collection,
-        queries,
-        rule=rule,
-        cutoff=cutoff,
-        limit=limit,
-        id_col=id_col,
-        vec_col=params.get("anns_field", vec_col),
-        prefilter=params.get("expr"),
-        carry=tuple(params.get("output_fields", ())),
-        **kw,
+        pool = 100 if r.candidates is None and r.nprobe is None else r.candidates
+        return ivf_search(index, queries, r.nprobe, num_candidates=pool, **common)
+    return search(collection, queries, **common)
+
+
+REQUEST_FIELDS = "query_id long, store string, embedding array<double>, metric string, transform string, cutoff double, max_hits int"
+
+
+def requests_table(spark, requests) -> DataFrame:
+    """Requests (query_id, vector, store, params) as rows for ``search_requests``."""
+    rows = []
+    for qid, vector, store, params in requests:
+        r = resolve_request(store, params)
+        rows.append((int(qid), store.lower(), [float(x) for x in vector], r.rule.metric, r.rule.transform, r.cutoff, r.limit))
+    return spark.createDataFrame(rows, REQUEST_FIELDS)
+
+
+def with_store_rules(queries: DataFrame, params: dict[str, dict]) -> DataFrame:
+    """Every query under every store of ``params`` (store -> request keys), as rows for ``search_requests``."""
+    rules = []
+    for store, own in params.items():
+        r = resolve_request(store, own)
+        rules.append((store.lower(), r.rule.metric, r.rule.transform, r.cutoff, r.limit))
+    if not rules:
+        raise ValueError("no requests")
+    kinds = {"store": "string", "metric": "string", "transform": "string", "cutoff": "double", "max_hits": "int"}
+    items = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, kinds.items())]) for r in rules])
+    return queries.select("query_id", "embedding", F.explode(items).alias("r")).select("query_id", "embedding", "r.*")
+
+
+def search_requests(
+    collection: DataFrame,
+    requests: DataFrame,
+    *,
+    id_col: str = "id",
+    vec_col: str = "embedding",
+    carry: tuple[str, ...] | list[str] = (),
+    budget_bytes: int = DEFAULT_QUERY_BROADCAST_BYTES,
+) -> DataFrame:
+    """Many requests under many rules, one matrix product per batch of the collection (C13 with C3-C7, C10).
+
+    ``requests``: (query_id, store, embedding, metric, transform, cutoff,
+    max_hits), one row per request; cut-off or ``max_hits`` may be null, not
+    both.  Returns query_id, store, id, score (native to the rule), rank.
+    Requests are read in blocks whose matrix and running top hits are bounded.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from nearfield.operators.scoring import make_mixed_scorer
+
+    carry = tuple(c for c in carry if c != id_col)
+    coll = collection.select(id_col, vec_col, *carry)
+    fields = {f.name: f for f in coll.schema.fields}
+    out_schema = T.StructType(
+        [
+            T.StructField("query_id", T.LongType(), False),
+            T.StructField("store", T.StringType(), True),
+            T.StructField(id_col, fields[id_col].dataType, True),
+            T.StructField("score", T.DoubleType(), True),
+            T.StructField("__key", T.DoubleType(), True),
+            T.StructField("__most", T.IntegerType(), True),
+            *[T.StructField(c, fields[c].dataType, True) for c in carry],
+        ]
     )
+    if not requests.where("cutoff IS NULL AND max_hits IS NULL").isEmpty():
+        raise ValueError("a request needs a cutoff or a limit")
+    size = requests.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"), F.max("max_hits").alias("k")).first()
+    n, d = int(size["n"] or 0), max(int(size["d"] or 0), 0)
+    block = _block_rows(d, budget_bytes, int(size["k"]) if size["k"] else None)
+    rows = requests.select("query_id", "store", "embedding", "metric", "transform", "cutoff", "max_hits")
+    rows = rows.collect() if n <= block else rows.repartition(2 * math.ceil(n / block)).toLocalIterator()
+    sc = coll.sparkSession.sparkContext
+    arrow_schema = to_arrow_schema(out_schema)
+    parts = []
+    for own in query_slices(rows, block):
+        by_length: dict[int, list] = {}
+        for r in own:
+            v = r["embedding"]
+            if v is None or any(x is None for x in v) or not np.all(np.isfinite(v)) or (r["metric"] == "cosine" and not np.any(v)):
+                continue
+            ScoreRule(r["metric"], r["transform"])  # unknown rules raise
+            by_length.setdefault(len(v), []).append(r)
+        for same in by_length.values():
+            bq = sc.broadcast([r.asDict() for r in same])
+            parts.append(coll.mapInArrow(make_mixed_scorer(bq, id_col, vec_col, carry, arrow_schema), out_schema))
+    hits = coll.sparkSession.createDataFrame([], out_schema)
+    for p in parts:
+        hits = hits.unionByName(p)
+    # Each task holds at most a request's limit of rows; they meet in salted parts first.
+    order = [F.desc("__key"), F.asc(id_col)]
+    salt = F.pmod(F.xxhash64(id_col), F.lit(32))
+    least = F.coalesce("__most", F.lit((1 << 31) - 1))
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "store", salt).orderBy(*order))).where(F.col("rank") <= least)
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "store").orderBy(*order)).cast("long")).where(F.col("rank") <= least)
+    return hits.select("query_id", "store", id_col, "score", "rank", *carry)
 
 
 def hits_to_names(hits: DataFrame, path_col: str, drop_empty: bool = True, unique: bool = False):

@@ -46,7 +46,7 @@ def _label_files(spark, sf_dir):
     e = C.table(spark, sf_dir, "embeddings")
     root = scratch_path(spark, "embedding-files")
     out = e.select("embedding", F.col("vec_id").cast("string").alias("image_path"), F.concat(F.lit("label_"), "label").alias("d"))
-    out.coalesce(1).write.partitionBy("d").parquet(root)
+    out.repartition("d").write.partitionBy("d").parquet(root)
     labels = sorted(r["label"] for r in e.select("label").distinct().collect())
     bad = f"{root}/broken"
     C.table(spark, sf_dir, "region").limit(1).select(F.lit("no parquet").alias("value")).write.text(bad)
@@ -64,6 +64,24 @@ def embedding_files_read(spark, sf_dir):
     return rows.select(F.col("image_path").cast("long").alias("vec_id"), F.size("embedding").cast("long").alias("n"))
 
 
+def embedding_files_whole(spark, sf_dir):
+    """A1: a file that breaks midway gives no row and is reported, as are the corrupt one and the missing path."""
+    paths = _label_files(spark, sf_dir)
+    files = spark.read.format("binaryFile").load(paths[1])
+    # The file without 64 bytes in its middle; the writer's line end puts back the last byte of the footer.
+    cut = F.concat(F.expr("left(content, CAST(length DIV 2 AS INT))"), F.expr("substring(content, CAST(length DIV 2 AS INT) + 65)"))
+    midway = scratch_path(spark, "midway")
+    files.select(cut.alias("c")).select(F.expr("CAST(left(c, length(c) - 1) AS STRING)").alias("value")).write.option("lineSep", "1").text(midway)
+    paths = [*paths, midway]
+    report = FS.check_embedding_files(spark, paths)
+    rows = FS.read_embedding_files(spark, paths, report=report)
+    kept = rows.select(F.lit("row").alias("what"), F.col("image_path").alias("name"))
+    broken = F.when(F.col("path").contains("broken.parquet"), "broken.parquet").when(F.col("path").contains("midway-"), "midway").otherwise(
+        F.element_at(F.split("path", "/"), -1)
+    )
+    return kept.unionByName(report.where("NOT ok").select(F.substring_index("reason", ":", 1).alias("what"), broken.alias("name")))
+
+
 def embedding_files_skipped(spark, sf_dir):
     """A1: the table of what the read left out."""
     paths = _label_files(spark, sf_dir)
@@ -404,6 +422,7 @@ QUERIES = {
     "union_missing_columns": union_missing_columns,
     "embedding_files_read": embedding_files_read,
     "embedding_files_skipped": embedding_files_skipped,
+    "embedding_files_whole": embedding_files_whole,
     "select_search_files": select_search_files,
     "positional_ids": positional_ids,
     "query_csv_roundtrip": query_csv_roundtrip,
@@ -459,6 +478,9 @@ SELECT vec_id AS id, label, CAST(NULL AS VARCHAR) AS url FROM embeddings
 UNION ALL
 SELECT page_id AS id, CAST(NULL AS INTEGER) AS label, url FROM pages""",
     "embedding_files_read": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n FROM embeddings",
+    "embedding_files_whole": """
+SELECT 'row' AS what, CAST(vec_id AS VARCHAR) AS name FROM embeddings WHERE label IS NOT NULL
+UNION ALL SELECT 'broken', 'broken.parquet' UNION ALL SELECT 'broken', 'midway' UNION ALL SELECT 'missing', 'd=absent'""",
     "embedding_files_skipped": "SELECT * FROM (VALUES ('d=absent', 'missing'), ('broken.parquet', 'no rows')) t(name, reason)",
     "select_search_files": """
 SELECT url || '.csv' AS path, string_split(url || '.csv', '/')[-1] AS file_name FROM pages

@@ -49,28 +49,67 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+def _listed_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The parquet files under existing paths, as Spark lists them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path")
+    return sorted(r["path"] for r in files.collect())
+
+
+def _whole(spark: SparkSession, files: list[str], schema: T.StructType) -> str | None:
+    """Read every column of every row of the files; the reason if one of them cannot be read."""
+    try:
+        rows = spark.read.schema(schema).option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").parquet(*files)
+        rows.agg(F.bit_xor(F.xxhash64(*rows.columns))).collect()
+        return None
+    except Exception as failure:  # Spark raises different classes by where a file breaks
+        lines = [x.strip() for x in str(failure).splitlines() if x.strip()]
+        return next((x for x in lines if "Caused by" in x), lines[0] if lines else type(failure).__name__)[:300]
+
+
+def check_embedding_files(spark: SparkSession, paths: list[str], schema: T.StructType = EMBEDDING_SCHEMA) -> DataFrame:
+    """(path, ok, reason) of every file under ``paths``, and of paths that are missing (A1).
+
+    Files are tested in groups by Spark jobs that read all of their columns:
+    a group that can be read is whole, a group that cannot is halved.  With
+    n files, b of them broken, that is one pass over the data and about
+    b * log2(n) further jobs over ever smaller groups; files of any size are
+    read in splits, and through whatever store Spark reads.
+    """
+    existing = [p for p in paths if _exists(spark, p)]
+    out = [(p, False, "missing") for p in sorted(set(paths) - set(existing))]
+    groups = [_listed_files(spark, existing)] if existing else []
+    while groups:
+        files = groups.pop()
+        reason = _whole(spark, files, schema) if files else None
+        if reason is None:
+            out += [(f, True, None) for f in files]
+        elif len(files) == 1:
+            out.append((files[0], False, f"broken: {reason}"))
+        else:
+            groups += [files[: len(files) // 2], files[len(files) // 2 :]]
+    for path, ok, reason in sorted(out):
+        if not ok:
+            log.warning("embedding file %s is skipped: %s", path, reason)
+    return spark.createDataFrame(sorted(out), "path string, ok boolean, reason string")
+
+
 def read_embedding_files(
-    spark: SparkSession, paths: list[str], schema: T.StructType = EMBEDDING_SCHEMA
+    spark: SparkSession, paths: list[str], schema: T.StructType = EMBEDDING_SCHEMA, report: DataFrame | None = None
 ) -> DataFrame:
-    """Read many parquet files, skipping unreadable ones (A1, A2).
+    """Read many parquet files, all rows of a file or none (A1, A2).
 
-    Missing paths are dropped before the read (a missing root always fails
-    the whole read); corrupt files are skipped by ``ignoreCorruptFiles``,
-    which needs the explicit schema.  If nothing readable is left, raise:
-    an empty result would hide the failure.  Columns missing in a file come
-    back NULL (the schema is applied by name).
+    Missing paths and files that break anywhere are left out as a whole (see
+    ``check_embedding_files``, whose ``report`` can be passed in); if nothing
+    readable is left, raise: an empty result would hide the failure.  Columns
+    missing in a file come back NULL (the schema is applied by name).
     """
-    existing = [p for p in paths if _exists(spark, p)]
-    for path in sorted(set(paths) - set(existing)):
-        log.warning("embedding file %s does not exist and is skipped", path)
-    if not existing:
+    if not any(_exists(spark, p) for p in paths):
         raise FileNotFoundError(f"none of the embedding files exist: {paths}")
-    df = (
-        spark.read.schema(schema)
-        .option("ignoreCorruptFiles", "true")
-        .parquet(*existing)
-        .withColumn("source_file", F.input_file_name())
-    )
+    report = check_embedding_files(spark, paths, schema) if report is None else report
+    whole = [r["path"] for r in report.where("ok").select("path").collect()]
+    if not whole:
+        raise ValueError("no readable embedding rows in the given files")
+    df = spark.read.schema(schema).parquet(*whole).withColumn("source_file", F.input_file_name())
     if df.isEmpty():
         raise ValueError("no readable embedding rows in the given files")
     return df
