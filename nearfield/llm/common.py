@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +16,38 @@ from nearfield.session import checkpoint_dir, scratch_path
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Largest Arrow batch handed to a Python worker, in bytes; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session does: rows have no bound where texts have any length."""
+    unset = str((1 << 31) - 2)
+    if spark.conf.get(_BATCH_KEY, unset).rstrip("b") == unset:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that hands its freed memory back when it ends.
+
+    Workers are reused, and what their allocators keep would add up over the
+    stages of a job beside a grown JVM heap.
+    """
+
+    @wraps(run)
+    def freed(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return freed
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

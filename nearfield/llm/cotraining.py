@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import require
+from nearfield.llm.common import bounded_batches, freeing, require
 from nearfield.llm.texthash import mix64, slices, split_words
 
 LABELLED_ROWS = 4_000
@@ -271,8 +271,10 @@ def quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataF
 
 def accept_documents(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` (columns of ``documents``) that the classifier accepts."""
+    bounded_batches(docs.sparkSession)
     model = fit(docs, labels)
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents_like, require, stage_table
+from nearfield.llm.common import bounded_batches, documents_like, freeing, require, stage_table
 from nearfield.llm.components import connected_components
 from nearfield.llm.texthash import mix64, segment_hash, slices, split_words, window_hash
 
@@ -122,6 +122,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     """
     schema = "doc_id long, key long, t1 long, t2 long, bands array<long>"
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -166,6 +167,7 @@ def plain_jaccard(code_a: np.ndarray, code_b: np.ndarray) -> float:
 def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) of ``pairs`` (a, b, text_a, text_b) whose bags reach the threshold."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -362,6 +364,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     The row with the class's smallest id stays, once if it repeats; rows
     without words or without an id all stay.
     """
+    bounded_batches(docs.sparkSession)
     docs = documents_like(docs)
     found = stage_table(near_duplicate_rows(docs, threshold).filter("doc_id is not null and component is not null").drop("text_id"), "minhash-rows")
     chosen = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("row"))

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import DOCUMENT_COLUMNS, documents_like, require, stage_table
-from nearfield.llm.texthash import mix64
+from nearfield.llm.common import DOCUMENT_COLUMNS, bounded_batches, documents_like, freeing, require, stage_table
+from nearfield.llm.texthash import mix64, slices
 
 BLOCK = 64
 SHARD_SLOTS = 16_384
@@ -227,6 +227,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     passes gives as many rows, a document not taken none.  Runs of taken words
     keep their text; a line break parts runs that do not touch.
     """
+    bounded_batches(docs.sparkSession)
     docs = documents_like(docs)
     placed, shares = lay_out(docs.select("doc_id", "text", "source"))
     slots = draw_slots(docs, shares, seed).select("number", "block", "repeat").hint("merge")
@@ -245,12 +246,12 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return single.mapInArrow(cut_runs, "doc_id long, text string, lang string, source string, n_chars long")
 
 
+@freeing
 def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per pass with the text of its word runs."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
     for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
+        for part in slices(batch, "text"):
             row, texts = [], []
             for i, (text, passes) in enumerate(zip(part.column("text").to_pylist(), part.column("passes").to_pylist(), strict=True)):
                 spans = [m.span() for m in word.finditer(text)]

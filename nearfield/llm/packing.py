@@ -29,14 +29,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from nearfield.llm.common import require
+from nearfield.llm.common import bounded_batches, freeing, require
+from nearfield.llm.texthash import slices
 
 CAPACITY = 4096
 END_ID = 2
 MAX_TAIL = 64
-#: Words kept in a task's token cache before it starts anew, and the longest word kept.
-CACHE_WORDS = 600_000
+#: Bytes of a task's token cache, about, before it starts anew, and the longest word kept.
+CACHE_BYTES = 80 << 20
 CACHE_WORD_CHARS = 48
+_ENTRY_BYTES = 160  # of a cached word beside its own letters and ids
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -64,19 +66,20 @@ class WordTokens:
         letters = "".join(map(chr, (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))))
         spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.spelling = {ord(c): spell(c)[0][0] for c in letters}
-        self.runs: dict[str, tuple[int, ...]] = {}
-        self.marks: dict[str, tuple[int, ...]] = {"": ()}
         self.clear()
 
     def clear(self) -> None:
+        self.runs: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.index: dict[str, int] = {}
         self.ids = array("I")
         self.ends = array("q", [0])
+        self.held = 0
 
-    def _encode(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         found = self.LATIN.fullmatch(word)
         if not found:
             return self._encode(word)
@@ -84,21 +87,21 @@ class WordTokens:
         run = run.lower()
         ids = self.runs.get(run)
         if ids is None:
-            ids = tuple(t.id for t in self.tokenizer.model.tokenize(run.translate(self.spelling)))
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(run.translate(self.spelling))]).tobytes()
             if len(run) <= CACHE_WORD_CHARS:
                 self.runs[run] = ids
+                self.held += _ENTRY_BYTES + len(run) + len(ids)
         if marks not in self.marks:
             if len(marks) > CACHE_WORD_CHARS:
                 return ids + self._encode(marks)
             self.marks[marks] = self._encode(marks)
+            self.held += _ENTRY_BYTES + len(marks)
         return ids + self.marks[marks]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids end."""
-        if len(self.index) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.clear()
-        if len(self.runs) + len(self.marks) > CACHE_WORDS:
-            self.runs, self.marks = {}, {"": ()}
         spaced = pa.compute.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " ")
         lists = pa.compute.split_pattern(spaced, " ")
         bounds = lists.offsets.to_numpy()
@@ -109,7 +112,9 @@ class WordTokens:
         for word in words:
             at = index.get(word)
             if at is None:
-                self.ids.extend(self._word(word))
+                ids = self._word(word)
+                self.ids.frombytes(ids)
+                self.held += _ENTRY_BYTES + len(word) + len(ids)
                 at = index[word] = len(self.ends) - 1
                 self.ends.append(len(self.ids))
                 if len(word) > CACHE_WORD_CHARS:
@@ -198,13 +203,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         columns = zip(*out, strict=True) if out else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(tokenizer_path)
         bins = HarmonicBins(capacity, TaskContext.get().partitionId() << 36)
         out: list = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, "text"):
                 ids, ends = tokens.encode(part.column("text"))
                 begin = 0
                 for doc, end in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):
@@ -219,4 +224,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         bins.close(out)
         yield rows(out)
 
+    bounded_batches(docs.sparkSession)
     return require(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, SCHEMA)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 SLICE_ROWS = 2_048
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
