@@ -4,9 +4,12 @@ Texts are cut into pieces at marks and line breaks, pieces into words.  Phrases
 grow word by word.  In round k the tasks read the texts and keep, for each prefix
 of k - 1 words, an associative counter: one entry per next word, and one for
 all that cannot lead to a frequent phrase (the end of the piece, or a next word
-whose own k - 1 words are rare).  Counters are merged elementwise; an entry is
-the unit of the shuffle, so the stripe of a word that makes up a third of all text
-is spread over all tasks.  One merged structure gives
+whose own k - 1 words are rare).  Tasks send whole stripes (a prefix with the
+arrays of its next words and counts), which are merged elementwise where the
+prefix belongs.  The few prefixes that make up more than 1 / ``HOT_SHARE`` of all
+words, at most ``HOT_SHARE`` of them, send their stripes in ``HOT_SLICES`` slices
+by next word, so the stripe of a word that is a third of all text is no hot
+group.  One merged structure gives
 
 * the extensions: entries of at least ``MIN_COUNT`` are the phrases of k words;
 * the prefix totals: the sum of a stripe is the count of its prefix, which cut
@@ -50,10 +53,14 @@ MAX_WORDS = 5
 MIN_COUNT = 100
 TOP = 2_000
 BITMAP_BITS = 1 << 26
-HELD_ENTRIES = 500_000
+HELD_ENTRIES = 300_000
+HOT_SHARE = 2_000
+HOT_SLICES = 256
+STRIPES_PER_BATCH = 20_000
 
 _BLOCK_BITS = 32_768  # of one bitmap block in Spark's bitmap functions
 _OTHER = 0
+_COUNTING = 1 << 40  # seed of the hashes that tell words of a slice apart
 
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -86,13 +93,18 @@ class PieceWords:
             last[:-1] = (marks[self.starts[1:]] != marks[self.ends[:-1]]) | (self.doc[1:] != self.doc[:-1])
         stop = np.minimum.accumulate(np.where(last, np.arange(n), n)[::-1])[::-1]
         self.left = stop - np.arange(n) + 1
-        codes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        kinds = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
-        # Mixed once more, so that a word spelt like its language does not cancel it.
-        salt = mix64(np.array([_lang_code(lang, codes) for lang in kinds], np.uint64) + np.uint64(1))
-        of_doc = np.array([kinds[lang] for lang in langs], np.int64)
-        # The hash 0 is kept for "all other".
-        self.hash = mix64(segment_hash(codes[self.data], self.starts, self.ends) ^ (salt[of_doc[self.doc]] if n else np.zeros(0, np.uint64))) | np.uint64(1)
+        self.hash = word_hash(self.data, self.starts, self.ends, langs, self.doc, seed)
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, langs: list[str], doc: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of each word and its language; 0 is left for "all other"."""
+    codes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    kinds = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
+    # Mixed once more, so that a word spelt like its language does not cancel it.
+    salt = mix64(np.array([_lang_code(lang, codes) for lang in kinds], np.uint64) + np.uint64(1))
+    of_doc = np.array([kinds[lang] for lang in langs], np.int64)
+    words = segment_hash(codes[data], starts, ends)
+    return mix64(words ^ salt[of_doc[doc]]) | np.uint64(1) if len(words) else words
 
 
 def _lang_code(lang: str, codes: np.ndarray) -> int:
@@ -120,7 +132,7 @@ class _Counter:
         out = pa.concat_tables(self.held).group_by(self.keys).aggregate([("n", "sum")])
         return out.select([*self.keys, "n_sum"]).rename_columns([*self.keys, "n"])
 
-    def add(self, entries: dict) -> Iterator[pa.RecordBatch]:
+    def add(self, entries: dict) -> Iterator[pa.Table]:
         entries = pa.table(entries)
         self.held.append(entries)
         self.size += len(entries)
@@ -130,41 +142,58 @@ class _Counter:
             if self.size > HELD_ENTRIES:
                 yield from self.rest()
 
-    def rest(self) -> Iterator[pa.RecordBatch]:
+    def rest(self) -> Iterator[pa.Table]:
         if self.held:
-            yield from self._merged().to_batches(max_chunksize=100_000)
+            yield self._merged().combine_chunks()
         self.held, self.size = [], 0
 
 
-def _word_counts(texts: DataFrame, seed: int) -> DataFrame:
-    """(lang, word, next, phrase, n): each word with its hash as a next word and as a phrase of one word."""
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, word, n) of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(["lang", "word", "next", "phrase"])
+        counter = _Counter(["lang", "word"])
         for batch in batches:
             for part in slices(batch, "text"):
                 langs = part.column("lang").to_pylist()
-                w = PieceWords(part.column("text"), langs, seed)
+                w = PieceWords(part.column("text"), langs, _COUNTING)
                 if not len(w.starts):
                     continue
-                key, first, n = np.unique(w.hash, return_index=True, return_counts=True)
+                _, first, n = np.unique(w.hash, return_index=True, return_counts=True)
                 raw = w.data.tobytes()
-                yield from counter.add(
+                words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
+                more = counter.add(
                     {
                         "lang": pa.array([langs[i] for i in w.doc[first].tolist()], pa.string()),
-                        "word": pa.array(
-                            [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)],
-                            pa.string(),
-                        ),
-                        "next": key.view(np.int64),
-                        "phrase": phrase_hash(key, np.arange(len(key)), 1).view(np.int64),
+                        "word": pa.array(words, pa.string()),
                         "n": n.astype(np.int64),
                     }
                 )
-        yield from counter.rest()
+                for counts in more:
+                    yield from counts.to_batches(max_chunksize=50_000)
+        for counts in counter.rest():
+            yield from counts.to_batches(max_chunksize=50_000)
+
+    return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def _hashed_words(words: DataFrame, seed: int) -> DataFrame:
+    """(lang, word, n, next, phrase): each word with its hash as a next word and as a phrase of one word."""
+    schema = "lang string, word string, n long, next long, phrase long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "word"):
+                data, bounds = text_bytes(part.column("word"))
+                here = np.arange(part.num_rows)
+                own = word_hash(data, bounds[:-1], bounds[1:], part.column("lang").to_pylist(), here, seed)
+                phrase = phrase_hash(own, here, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(own.view(np.int64)), pa.array(phrase.view(np.int64))],
+                    names=[x.split()[0] for x in schema.split(", ")],
+                )
 
-    counts = texts.mapInArrow(run, "lang string, word string, next long, phrase long, n long")
-    return counts.groupBy("lang", "word", "next", "phrase").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(run, schema)
 
 
 def _bitmap(phrases: DataFrame) -> np.ndarray:
@@ -183,11 +212,37 @@ def _in_bitmap(bits: np.ndarray, phrases: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _stripes(texts: DataFrame, k: int, bits, seed: int) -> DataFrame:
-    """(prefix, next, n): merged stripes of the prefixes of k - 1 words; next 0 holds all other continuations."""
+def _stripe_rows(counts: pa.Table, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Entries (prefix, next, n) as stripes, those of hot prefixes in slices."""
+    prefix, following, n = (counts.column(c).to_numpy() for c in ("prefix", "next", "n"))
+    part = np.where(np.isin(prefix, hot), 1 + (following.view(np.uint64) >> np.uint64(32)).astype(np.int64) % HOT_SLICES, 0).astype(np.int32)
+    order = np.lexsort((part, prefix))
+    prefix, part, following, n = prefix[order], part[order], following[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1]))))
+    ends = np.append(first[1:], len(prefix))
+    for at in range(0, len(first), STRIPES_PER_BATCH):
+        heads = first[at : at + STRIPES_PER_BATCH]
+        a, b = heads[0], ends[at : at + STRIPES_PER_BATCH][-1]
+        offsets = pa.array(np.append(heads, b) - a, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(prefix[heads]),
+                pa.array(part[heads]),
+                pa.ListArray.from_arrays(offsets, pa.array(following[a:b])),
+                pa.ListArray.from_arrays(offsets, pa.array(n[a:b])),
+            ],
+            names=["prefix", "slice", "nexts", "counts"],
+        )
+
+
+def _stripes(texts: DataFrame, k: int, known, seed: int) -> DataFrame:
+    """(prefix, next, n): merged stripes of the prefixes of k - 1 words; next 0 holds all other continuations.
+
+    ``known`` is a broadcast of the bitmap of frequent prefixes and of the hot ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
+        bits, hot = known.value
         counter = _Counter(["prefix", "next"])
         for batch in batches:
             for part in slices(batch, "text"):
@@ -195,7 +250,7 @@ def _stripes(texts: DataFrame, k: int, bits, seed: int) -> DataFrame:
                 at = np.flatnonzero(w.left >= k - 1)
                 prefix = phrase_hash(w.hash, at, k - 1)
                 met = np.zeros(len(w.hash) + 1, bool)
-                met[at] = _in_bitmap(known, prefix)
+                met[at] = _in_bitmap(bits, prefix)
                 prefix, at = prefix[met[at]], at[met[at]]
                 if not len(at):
                     continue
@@ -205,17 +260,20 @@ def _stripes(texts: DataFrame, k: int, bits, seed: int) -> DataFrame:
                 order = np.lexsort((following, prefix))
                 prefix, following = prefix[order], following[order]
                 first = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (following[1:] != following[:-1]))))
-                yield from counter.add(
-                    {
-                        "prefix": prefix[first].view(np.int64),
-                        "next": following[first].view(np.int64),
-                        "n": np.diff(np.append(first, len(prefix))),
-                    }
-                )
-        yield from counter.rest()
-
-    counts = texts.mapInArrow(run, "prefix long, next long, n long")
-    return counts.groupBy("prefix", "next").agg(F.sum("n").alias("n"))
+                entries = {
+                    "prefix": prefix[first].view(np.int64),
+                    "next": following[first].view(np.int64),
+                    "n": np.diff(np.append(first, len(prefix))),
+                }
+                for counts in counter.add(entries):
+                    yield from _stripe_rows(counts, hot)
+        for counts in counter.rest():
+            yield from _stripe_rows(counts, hot)
+
+    stripes = texts.mapInArrow(run, "prefix long, slice int, nexts array<long>, counts array<long>").repartition("prefix", "slice")
+    entries = stripes.select("prefix", "slice", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
+    # All stripes of a prefix's slice lie together, so the sum needs no shuffle of its own.
+    return entries.groupBy("prefix", "slice", F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("n")).drop("slice")
 
 
 def _cuts(phrases: DataFrame) -> DataFrame:
@@ -248,21 +306,25 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     words of the language; score is floor(1000 * a * n / (l * r)).
     """
     texts = _texts(docs)
+    counted = stage_table(_word_counts(texts), "collocation-words")
     seed = 0
     while True:
-        words = stage_table(_word_counts(texts, seed), "collocation-words")
+        words = _hashed_words(counted, seed)
         if words.groupBy("next").count().filter("count > 1").isEmpty():
             break
         seed += 1
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = words.filter(F.col("n") >= min_count)
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
+    n_all = counted.agg(F.sum("n")).first()[0] or 0
+    frequent = stage_table(words.filter(F.col("n") >= min_count), "collocation-frequent")
     last = frequent.select("phrase", "lang", F.array("word").alias("words"), F.array("next").alias("hashes"), F.col("n").alias("a"))
     names = frequent.select("next", "word")
     phrases, stripes = [last], []
     for k in range(2, max_words + 1):
-        bits = texts.sparkSession.sparkContext.broadcast(_bitmap(last))
-        merged = stage_table(_stripes(texts, k, bits, seed), f"collocation-stripes-{k}")
-        bits.unpersist()
+        # At most HOT_SHARE rows: each stands for more than that share of all words.
+        hot = [r["phrase"] for r in last.filter(F.col("a") * HOT_SHARE > n_all).select("phrase").collect()]
+        known = texts.sparkSession.sparkContext.broadcast((_bitmap(last), np.array(hot, np.int64)))
+        merged = stage_table(_stripes(texts, k, known, seed), f"collocation-stripes-{k}")
+        known.unpersist()
         stripes.append(merged)
         grown = (
             merged.filter((F.col("next") != _OTHER) & (F.col("n") >= min_count))
