@@ -22,7 +22,7 @@ _SYMBOLS = 258  # end of the shard, end of a string, 256 bytes
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is of S type; a run of one symbol takes the type at its end."""
     n = len(text)
-    here = np.arange(n)
+    here = np.arange(n, dtype=np.int32)
     differs = np.ones(n, bool)
     differs[:-1] = text[:-1] != text[1:]
     # Position of the last symbol of the run that each position lies in.
@@ -40,8 +40,9 @@ def _move(text: np.ndarray, at: np.ndarray, place: np.ndarray, sa: np.ndarray, s
     order = np.argsort(symbols, kind="stable")
     symbols = symbols[order]
     count = np.bincount(symbols, minlength=_SYMBOLS)
-    rank = np.arange(len(at)) - (np.cumsum(count) - count)[symbols]
-    sa[place[symbols] + step * rank] = at[order]
+    # Each bucket's share starts at its place; the rest of the shares follow in steps.
+    shift = place - step * (np.cumsum(count) - count)
+    sa[shift[symbols] + step * np.arange(len(at))] = at[order]
     place += step * count
 
 
@@ -51,7 +52,7 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.ndarray
     size = np.bincount(text, minlength=_SYMBOLS)
     end = np.cumsum(size)
     start = end - size
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     n_lms = np.bincount(text[lms], minlength=_SYMBOLS)
     # L: buckets upwards; the LMS suffixes of a bucket come after its L suffixes.
     first_lms = np.cumsum(n_lms) - n_lms
@@ -95,8 +96,8 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.ndarray
 def _names(text: np.ndarray, lms: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the LMS substrings in text order; equal substrings share a name, names keep their order."""
     n = len(text)
-    index = np.full(n, -1, np.int64)
-    index[lms] = np.arange(len(lms))
+    index = np.full(n, -1, np.int32)
+    index[lms] = np.arange(len(lms), dtype=np.int32)
     inner = sa[index[sa] >= 0]  # LMS positions, by their substrings
     stop = np.append(lms[1:], n - 1)
     length = stop - lms + 1
@@ -147,7 +148,7 @@ def suffix_array(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     text[np.arange(len(data)) + number] = data.astype(np.int16) + 2
     text[-1] = 0
     s_type = _types(text)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    lms = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(np.int32)
     by_symbol = lms[np.argsort(text[lms], kind="stable")]
     sa = _induce(text, s_type, by_symbol)
     names, n_names = _names(text, lms, sa)
@@ -167,27 +168,28 @@ def common_prefixes(data: np.ndarray, lengths: np.ndarray, order: np.ndarray) ->
     extend the same match are compared; the others follow by one less.
     """
     n = len(data)
-    number = np.repeat(np.arange(len(lengths)), lengths)
-    end = np.cumsum(lengths)[number] if n else np.zeros(0, np.int64)
-    place = np.arange(n) + number
-    to_data = np.full(len(order), -1, np.int64)
-    to_data[place] = np.arange(n)
+    here = np.arange(n, dtype=np.int32)
+    number = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    end = np.repeat(np.cumsum(lengths).astype(np.int32), lengths)
+    to_data = np.full(len(order), -1, np.int32)
+    to_data[here + number] = here
     at = to_data[order]
     at = at[at >= 0]
-    previous = np.full(n, -1, np.int64)
+    previous = np.full(n, -1, np.int32)
     previous[at[1:]] = at[:-1]
     follows = np.zeros(n, bool)
     if n > 1:
         p = previous[1:]
-        follows[1:] = (p > 0) & (previous[:-1] == p - 1) & (end[:-1] == end[1:]) & (end[p - 1] == end[p]) & (data[:-1] == data[p - 1])
+        at = np.flatnonzero((p > 0) & (previous[:-1] == p - 1) & (end[:-1] == end[1:])) + 1
+        before = previous[at] - 1
+        follows[at] = (end[before] == end[before + 1]) & (data[at - 1] == data[before])
     start = np.flatnonzero(~follows & (previous >= 0))
-    lcp = np.zeros(n, np.int64)
+    lcp = np.zeros(n, np.int32)
     most = np.minimum(end[start] - start, end[previous[start]] - previous[start])
     lcp[start] = _match(data, start, previous[start], most)
     # plcp + position is constant while matches are carried on.
-    total = lcp + np.arange(n)
-    source = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
-    return previous, np.maximum(total[source] - np.arange(n), 0)
+    source = np.maximum.accumulate(np.where(follows, 0, here))
+    return previous, np.maximum((lcp + here)[source] - here, 0)
 
 
 def _match(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -203,7 +205,7 @@ def _match(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) ->
         if len(ends):
             d = diff[hit]
             low = d & (~d + np.uint64(1))
-            same = np.zeros(len(d), np.int64)
+            same = np.zeros(len(d), np.int32)
             for k in range(1, 8):
                 same += low >= np.uint64(1 << (8 * k))
             out[ends] = np.minimum(at + same, most[ends])

@@ -88,7 +88,7 @@ def find_regions(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.
     Windows lie within one text; a region's windows are neighbours with one anchor.
     """
     gram = min(GRAM, length // 2)
-    n_windows = np.maximum(np.diff(bounds) - length + 1, 0)
+    of_byte = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     found = []
     for c in range(0, max(len(data) - length + 1, 0), _CHUNK):
         part = data[c : c + _CHUNK + length - 1]
@@ -97,17 +97,16 @@ def find_regions(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.
         grams = segment_hash(codes, np.arange(n), np.arange(n) + gram)
         packed = (grams & ~_POSITION) | np.arange(n, dtype=np.uint64)
         anchor = (_sliding_min(packed, length - gram + 1) & _POSITION).astype(np.int64)
-        here = np.arange(c, c + len(anchor))
-        text = np.searchsorted(bounds, here, side="right") - 1
-        inside = here - bounds[text] < n_windows[text]
-        cut = np.ones(len(here), bool)
+        text = of_byte[c : c + len(anchor)]
+        inside = text == of_byte[c + length - 1 : c + length - 1 + len(anchor)]
+        cut = np.ones(len(text), bool)
         cut[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
         first = np.flatnonzero(cut)
         # Windows that leave their text stand behind those that do not, so a run is cut short at most.
         count = np.add.reduceat(inside.astype(np.int64), first) if len(first) else first
         keep = (count > 0) & inside[first]
         first, count = first[keep], count[keep]
-        found.append((text[first], here[first], count, anchor[first] + c, grams[anchor[first]]))
+        found.append((text[first].astype(np.int64), first + c, count, anchor[first] + c, grams[anchor[first]]))
     if not found:
         z = np.zeros(0, np.int64)
         return z, z, z, z, np.zeros(0, np.uint64)
