@@ -1,15 +1,12 @@
-"""Vector collections as bucketed parquet with manifests.
+"""Vector collections as catalog tables over partitioned Parquet.
 
-A collection lives under ``<root>/<name>/``.  Rows are dealt into ``n_buckets``
-buckets by a hash of their id; a write puts a new folder under ``data/`` with
-one sub-folder per bucket it has rows of.  A commit is one small manifest file:
-for every bucket the data folders that make it up, and the tags of streams.
-Reads use the newest complete manifest, so a reader never sees a half-done
-write, an append included, and a plan never overwrites what it reads.
-
-Upsert, insert-ignore and delete read and rewrite only the buckets they touch;
-the other buckets keep their files.  Superseded files stay for readers that
-started earlier until ``vacuum`` removes what no retained manifest names.
+A collection is a managed table of the session's catalog, in a database whose
+location is ``root``, partitioned by a hash of the row's id.  Every write is a
+plain insert: appends add files, upserts and deletes overwrite only the
+partitions they touch (dynamic partition overwrite, from a staged table, so no
+plan overwrites what it reads).  With a persistent metastore collections
+outlive the session; one writer at a time per collection, as for any Parquet
+table.
 
 Vectors are stored as ``array<float>`` or, with ``packed=True``, as
 little-endian float32 ``binary`` (half the scan cost for the Arrow scorer).
@@ -22,15 +19,20 @@ Write modes of the store adapters map to methods:
 * ``truncate``       - delete all rows, keep the collection
 * ``delete_where``   - drop rows matching a predicate (NULL = keep)
 * ``drop``           - remove the collection; no error if absent
+
+Rows written by a stream carry its name and epoch.  An epoch replayed after a
+restart writes the same rows again, except where a later epoch of the same
+stream has written the id since, so replays leave the collection as it is.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 import logging
-import time
 import uuid
+from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,56 +44,9 @@ log = logging.getLogger(__name__)
 
 DEFAULT_BATCH = 500
 DEFAULT_BUCKETS = 32
-# Manifests and data younger than this are kept by ``vacuum``.
-RETAIN_SECONDS = 7 * 24 * 3600
-
-
-class _FS:
-    """Minimal Hadoop FileSystem access (metadata only, on the driver)."""
-
-    def __init__(self, spark: SparkSession):
-        self.jvm = spark.sparkContext._jvm
-        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def _p(self, path):
-        p = self.jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.conf)
-
-    def exists(self, path) -> bool:
-        p, fs = self._p(path)
-        return bool(fs.exists(p))
-
-    def delete(self, path) -> None:
-        p, fs = self._p(path)
-        if fs.exists(p):
-            fs.delete(p, True)
-
-    def children(self, path) -> list[str]:
-        return [name for name, _ in self.listing(path)]
-
-    def listing(self, path) -> list[tuple[str, float]]:
-        """(name, modification time in seconds) of the entries of a folder."""
-        p, fs = self._p(path)
-        if not fs.exists(p):
-            return []
-        return [(s.getPath().getName(), s.getModificationTime() / 1000.0) for s in fs.listStatus(p)]
-
-    def create_text(self, path, text: str) -> None:
-        """Write a new small file; an existing one is an error."""
-        p, fs = self._p(path)
-        out = fs.create(p, False)
-        try:
-            out.write(bytearray(text.encode("utf-8")))
-        finally:
-            out.close()
-
-    def read_text(self, path) -> str:
-        p, fs = self._p(path)
-        stream = fs.open(p)
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+# Columns of the table beside the collection's own.
+LOAD_COLUMNS = {"load_stream": "string", "load_epoch": "bigint"}
+BUCKET = "bucket"
 
 
 class Collection:
@@ -116,9 +71,13 @@ class Collection:
         self.dim = int(dim)
         self.id_col = id_col
         self.vec_col = vec_col
-        self.path = f"{root.rstrip('/')}/{name}"
+        self.root = root.rstrip("/")
         self.payload = payload or T.StructType([T.StructField("image_path", T.StringType())])
-        self._fs = _FS(spark)
+        clash = {BUCKET, *LOAD_COLUMNS} & {n.lower() for n in self.schema.names}
+        if clash:
+            raise ValueError(f"column names {sorted(clash)} are the collection's own")
+        self.database = "nearfield_" + hashlib.sha1(self.root.encode()).hexdigest()[:16]
+        self.table = f"`{self.database}`.`{name}`"
 
     # -- schema ------------------------------------------------------------
     @property
@@ -133,9 +92,15 @@ class Collection:
             ]
         )
 
+    @property
+    def _columns(self) -> list[str]:
+        """Column order of the table; the partition column comes last."""
+        return [*self.schema.names, *LOAD_COLUMNS, BUCKET]
+
     def _conform(self, df: DataFrame, order_col: str | None = None) -> DataFrame:
         """Required columns and vector element type, checked on the schema
-        before any job; then cast to the collection schema."""
+        before any job; then cast to the collection schema.  A vector of another
+        length fails the job that writes it."""
         fields = {f.name: f.dataType for f in df.schema.fields}
         for c in (self.id_col, self.vec_col):
             if c not in fields:
@@ -151,9 +116,11 @@ class Collection:
         v = F.col(self.vec_col)
         if self.packed:
             v = v if is_packed_in else pack_f32(v)
+            n = F.length(v) / 4
         else:
             v = unpack_f32(v) if is_packed_in else v.cast("array<float>")
-        cols.append(v.alias(self.vec_col))
+            n = F.size(v)
+        cols.append(F.when(v.isNotNull() & (n != self.dim), F.raise_error(self._wrong_length)).otherwise(v).alias(self.vec_col))
         for f in self.payload.fields:
             cols.append(
                 (F.col(f.name) if f.name in fields else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -162,161 +129,101 @@ class Collection:
             cols.append(F.col(order_col))
         return df.select(*cols)
 
-    # -- manifests ---------------------------------------------------------------
-    def _versions(self) -> list[int]:
-        names = self._fs.children(f"{self.path}/manifest")
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+    @property
+    def _wrong_length(self) -> str:
+        return f"vectors of a length other than {self.dim} in input"
 
-    def _manifest(self, version: int) -> dict | None:
-        """A manifest, or None while it is not complete."""
+    @contextmanager
+    def _checked_write(self):
+        """A write job that met a vector of another length raises ``ValueError``; nothing is committed."""
         try:
-            m = json.loads(self._fs.read_text(f"{self.path}/manifest/{version:08d}.json"))
-        except ValueError:
-            return None
-        return m if m.get("complete") else None
-
-    def _current(self) -> dict | None:
-        for version in reversed(self._versions()):
-            m = self._manifest(version)
-            if m is not None:
-                return m
-        return None
-
-    def _commit(self, parts: dict[str, list[str]], tag: str | None = None) -> None:
-        """Commit a new state; two writers of one version number do not both succeed."""
-        old = self._current() or {"tags": {}}
-        tags = dict(old["tags"])
-        if tag is not None:
-            stream, _, epoch = tag.rpartition("_")
-            tags[stream] = max(int(epoch), tags.get(stream, -1))
-        version = (self._versions() or [0])[-1] + 1
-        m = {
-            "version": version, "n_buckets": old.get("n_buckets", self.n_buckets),
-            "parts": {b: d for b, d in parts.items() if d}, "tags": tags, "complete": True,
-        }
-        self._fs.create_text(f"{self.path}/manifest/{version:08d}.json", json.dumps(m))
-
-    def _paths(self, m: dict, buckets=None) -> list[str]:
-        return [
-            f"{self.path}/data/{d}/bucket={b}"
-            for b, ds in sorted(m["parts"].items())
-            if buckets is None or b in buckets
-            for d in ds
-        ]
-
-    def _read_paths(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def _bucket(self, m: dict | None = None):
-        return F.pmod(F.xxhash64(self.id_col), F.lit((m or {}).get("n_buckets", self.n_buckets))).cast("int")
-
-    def _write(self, df: DataFrame, m: dict) -> tuple[str, list[str]]:
-        """Write rows as a new data folder; returns its name and its buckets.
-
-        ``rebalance`` gathers a bucket's rows and splits large buckets by size.
-        """
-        name = uuid.uuid4().hex
-        rows = df.withColumn("bucket", self._bucket(m)).hint("rebalance", "bucket")
-        rows.write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
-        found = self._fs.children(f"{self.path}/data/{name}")
-        return name, sorted(c.split("=", 1)[1] for c in found if c.startswith("bucket="))
-
-    def exists(self) -> bool:
-        return self._current() is not None
-
-    def has_tag(self, tag: str) -> bool:
-        """Whether a commit carried ``tag`` (``<stream>_<epoch>``) or a later epoch of its stream."""
-        stream, _, epoch = tag.rpartition("_")
-        return (self._current() or {"tags": {}})["tags"].get(stream, -1) >= int(epoch)
+            yield
+        except PySparkException as error:
+            if self._wrong_length in str(error):
+                raise ValueError(self._wrong_length) from error
+            raise
 
     # -- DDL -------------------------------------------------------------------
+    def _create_table(self, table: str) -> None:
+        fields = [(f.name, f.dataType.simpleString()) for f in self.schema.fields]
+        columns = ", ".join(f"`{n}` {t}" for n, t in [*fields, *LOAD_COLUMNS.items(), (BUCKET, "int")])
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}` LOCATION '{self.root}'")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+            f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({BUCKET}) "
+            f"TBLPROPERTIES ('n_buckets' = '{self.n_buckets}')"
+        )
+
     def create(self) -> "Collection":
-        """B1: create if not exists (an existing collection is kept)."""
-        if not self.exists():
-            self._commit({})
+        """B1: create if not exists (an existing collection is kept, with its number of buckets)."""
+        self._create_table(self.table)
+        self.n_buckets = int(self.spark.sql(f"SHOW TBLPROPERTIES {self.table} ('n_buckets')").first()["value"])
         return self
 
+    def exists(self) -> bool:
+        return self.spark.catalog.tableExists(self.table)
+
     def drop(self) -> None:
         """Remove the collection; no error if absent."""
-        self._fs.delete(self.path)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-    def _state(self) -> dict:
-        m = self._current()
-        if m is None:
+    def _rows(self, buckets: list[int] | None = None) -> DataFrame:
+        """The table's rows, of some buckets (partition pruning) or of all."""
+        if not self.exists():
             raise FileNotFoundError(f"collection {self.name!r} does not exist")
-        return m
+        rows = self.spark.table(self.table)
+        return rows if buckets is None else rows.where(F.col(BUCKET).isin(buckets))
 
     def read(self) -> DataFrame:
-        return self._read_paths(self._paths(self._state()))
-
-    def vacuum(self, retain_seconds: float = RETAIN_SECONDS) -> None:
-        """Remove manifests older than the retention (never the current one) and old
-        data folders that no kept manifest names."""
-        if not self.exists():
-            return
-        limit, current = time.time() - retain_seconds, self._state()["version"]
-        kept = set()
-        for name, modified in self._fs.listing(f"{self.path}/manifest"):
-            version = int(name[:-5]) if name[:-5].isdigit() else -1
-            if version < current and modified < limit:
-                self._fs.delete(f"{self.path}/manifest/{name}")
-            elif version >= 0:
-                m = self._manifest(version)
-                kept |= {d for ds in m["parts"].values() for d in ds} if m else set()
-        for name, modified in self._fs.listing(f"{self.path}/data"):
-            if name not in kept and modified < limit:
-                self._fs.delete(f"{self.path}/data/{name}")
-
-    def compact(self, max_parts: int = 8) -> None:
-        """Rewrite the buckets that are made up of more than ``max_parts`` folders."""
-        m = self._state()
-        many = {b for b, ds in m["parts"].items() if len(ds) > max_parts}
-        if many:
-            self._replace(m, many, self._read_paths(self._paths(m, many)), [])
+        return self._rows().select(*self.schema.names)
 
     # -- writes ---------------------------------------------------------------
-    def _prepare(self, df: DataFrame, order_col: str | None = None, one_per_id: bool = False):
-        """Write the conformed input once, check what was written.
+    def _placed(self, df: DataFrame, stream: str | None = None, epoch: int | None = None) -> DataFrame:
+        """Rows in the table's column order, with the writer and the bucket."""
+        return df.select(
+            *self.schema.names,
+            F.lit(stream).cast("string").alias("load_stream"),
+            F.lit(epoch).cast("bigint").alias("load_epoch"),
+            F.pmod(F.xxhash64(self.id_col), F.lit(self.n_buckets)).cast("int").alias(BUCKET),
+        )
 
-        Returns (state, folder, buckets), or None for an empty input.  The input
-        is evaluated once; checks and later steps read the written copy.
-        """
-        out = self._conform(df, order_col)
-        if one_per_id:
-            out = self._one_per_id(out, order_col)
-        m = self._current() or {"version": 0, "n_buckets": self.n_buckets, "parts": {}, "tags": {}}
-        name, buckets = self._write(out, m)
-        if not buckets:  # B7
+    @contextmanager
+    def _staged(self, rows: DataFrame):
+        """``rows`` as a table of their own beside the collection: evaluated once, dropped afterwards."""
+        table = f"`{self.database}`.`stage_{uuid.uuid4().hex}`"
+        self._create_table(table)
+        try:
+            with self._checked_write():
+                self._insert(rows, table)
+            yield self.spark.table(table)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    def _insert(self, rows: DataFrame, table: str, overwrite: bool = False) -> None:
+        """Insert rows; ``rebalance`` gathers a bucket's rows and splits large buckets by size."""
+        rows.select(*self._columns).hint("rebalance", BUCKET).write.insertInto(table, overwrite=overwrite)
+
+    def _replace(self, rows: DataFrame) -> None:
+        """``rows`` take the place of what their buckets held; other buckets are not touched."""
+        with self._staged(rows) as stage:
+            self._insert(stage, self.table, overwrite=True)
+
+    def _buckets(self, stage: DataFrame) -> list[int]:
+        """Buckets of a staged input (at most ``n_buckets`` numbers)."""
+        found = sorted(r[BUCKET] for r in stage.select(BUCKET).distinct().collect())
+        if not found:  # B7
             log.warning("insert of an empty input into %s skipped", self.name)
-            self._fs.delete(f"{self.path}/data/{name}")
-            return None
-        n = F.length(self.vec_col) / 4 if self.packed else F.size(self.vec_col)
-        written = self._read_paths([f"{self.path}/data/{name}/bucket={b}" for b in buckets])
-        if not written.where(F.coalesce(n != F.lit(self.dim), F.lit(False))).isEmpty():
-            self._fs.delete(f"{self.path}/data/{name}")
-            raise ValueError(f"vectors of a length other than {self.dim} in input")
-        return m, name, buckets
-
-    def _replace(self, m: dict, buckets, rows: DataFrame, also: list[str], tag: str | None = None) -> None:
-        """Commit ``rows`` as the content of ``buckets``, with the folders of ``also`` beside them."""
-        name, found = self._write(rows, m)
-        parts = dict(m["parts"])
-        for b in buckets:
-            parts[b] = [*also, *([name] if b in found else [])]
-        self._commit(parts, tag)
+        return found
 
     def append(self, df: DataFrame) -> None:
         """Append; re-inserting an id duplicates it."""
-        got = self._prepare(df)
-        if got is None:
+        rows = self._placed(self._conform(df))
+        self.create()
+        if df.isEmpty():  # B7
+            log.warning("insert of an empty input into %s skipped", self.name)
             return
-        m, name, buckets = got
-        parts = dict(m["parts"])
-        for b in buckets:
-            parts[b] = [*parts.get(b, []), name]
-        self._commit(parts)
+        with self._checked_write():
+            self._insert(rows, self.table)
 
     def _one_per_id(self, df: DataFrame, order_col: str | None) -> DataFrame:
         """One row per id: the one with the greatest ``order_col`` (NULLs least),
@@ -327,40 +234,42 @@ class Collection:
         best = df.groupBy(self.id_col).agg(F.max_by(rest, rank).alias("__best"))
         return best.select(self.id_col, *[F.col(f"__best.{c}").alias(c) for c in names])
 
-    def upsert(self, df: DataFrame, tag: str | None = None, order_col: str | None = None) -> None:
+    def _without(self, rows: DataFrame, ids: DataFrame) -> DataFrame:
+        return rows.join(ids.select(self.id_col), self.id_col, "left_anti")
+
+    def upsert(
+        self, df: DataFrame, order_col: str | None = None, stream: str | None = None, epoch: int | None = None
+    ) -> None:
         """Overwrite by id - new rows win; one row per id in the result.
 
         Of several new rows with one id the newest by ``order_col`` (a column of
         ``df``, not stored) is kept.  Buckets without a new row are not read.
+        A row that a later ``epoch`` of the same ``stream`` has written stays.
         """
-        got = self._prepare(df, order_col, one_per_id=True)
-        if got is None:
-            return
-        m, name, buckets = got
-        new = self._read_paths([f"{self.path}/data/{name}/bucket={b}" for b in buckets])
-        old = self._read_paths(self._paths(m, set(buckets)))
-        keep = old.join(new.select(self.id_col), self.id_col, "left_anti").select(*self.schema.names)
-        self._replace(m, buckets, keep, [name], tag)
+        new = self._placed(self._one_per_id(self._conform(df, order_col), order_col), stream, epoch)
+        self.create()
+        with self._staged(new) as stage:
+            buckets = self._buckets(stage)
+            if not buckets:
+                return
+            old, fresh = self._rows(buckets), stage
+            if stream is not None:
+                later = old.where((F.col("load_stream") == stream) & (F.col("load_epoch") > epoch))
+                fresh = self._without(stage, later)
+            self._replace(self._without(old, fresh).unionByName(fresh))
 
     def insert_ignore(self, df: DataFrame) -> None:
         """Existing ids are left alone; only new ids are added."""
-        got = self._prepare(df, one_per_id=True)
-        if got is None:
-            return
-        m, name, buckets = got
-        new = self._read_paths([f"{self.path}/data/{name}/bucket={b}" for b in buckets])
-        old = self._read_paths(self._paths(m, set(buckets)))
-        fresh = new.join(old.select(self.id_col), self.id_col, "left_anti").select(*self.schema.names)
-        added, found = self._write(fresh, m)
-        self._fs.delete(f"{self.path}/data/{name}")
-        parts = dict(m["parts"])
-        for b in found:
-            parts[b] = [*parts.get(b, []), added]
-        self._commit(parts)
+        new = self._placed(self._one_per_id(self._conform(df), None))
+        self.create()
+        with self._staged(new) as stage:
+            buckets = self._buckets(stage)
+            if buckets:
+                self._insert(self._without(stage, self._rows(buckets)), self.table)
 
     def search(self, queries, store: str = "pgvector", params: dict | None = None, **kw):
-        """One search request against the current version, in a store's
-        parameter vocabulary (see ``search.search_request``)."""
+        """One search request against the collection, in a store's parameter
+        vocabulary (see ``search.search_request``)."""
         from nearfield.operators.search import search_request
 
         return search_request(
@@ -369,17 +278,31 @@ class Collection:
 
     def truncate(self) -> None:
         """Delete all rows, keep the collection."""
-        self._state()
-        self._commit({})
+        self.spark.sql(f"TRUNCATE TABLE {self.table}")
 
     def delete_where(self, predicate: str) -> None:
-        """Remove rows where the predicate is true; NULL keeps the row."""
-        m = self._state()
+        """Remove rows where the predicate is true; NULL keeps the row.
+
+        Buckets without such a row are not rewritten; one that loses all its
+        rows is dropped as a partition.
+        """
         gone = F.coalesce(F.expr(predicate), F.lit(False))
-        hit = self.read().where(gone).select(self._bucket(m).cast("string").alias("b")).distinct()
-        buckets = {r["b"] for r in hit.collect()}  # at most n_buckets rows
-        if buckets:
-            self._replace(m, buckets, self._read_paths(self._paths(m, buckets)).where(~gone), [])
+        counts = self._rows().groupBy(BUCKET).agg(F.count_if(gone).alias("gone"), F.count(F.lit(1)).alias("n"))
+        hit = counts.where("gone > 0").collect()  # at most n_buckets rows
+        partly = [r[BUCKET] for r in hit if r["gone"] < r["n"]]
+        emptied = [r[BUCKET] for r in hit if r["gone"] == r["n"]]
+        if partly:
+            self._replace(self._rows(partly).where(~gone))
+        if emptied:
+            parts = ", ".join(f"PARTITION ({BUCKET} = {b})" for b in emptied)
+            self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS {parts}")
+
+    def compact(self, max_files: int = 8) -> None:
+        """Rewrite the buckets that are made up of more than ``max_files`` files."""
+        files = self._rows().select(BUCKET, F.input_file_name().alias("file")).distinct()
+        many = [r[BUCKET] for r in files.groupBy(BUCKET).count().where(F.col("count") > max_files).collect()]
+        if many:
+            self._replace(self._rows(many))
 
 
 def with_batches(df: DataFrame, pos_col: str, batch_size: int = DEFAULT_BATCH) -> DataFrame:

@@ -259,7 +259,7 @@ def incremental_upsert_stream(spark, sf_dir):
     src = scratch_path(spark, "landing")
     # Files in arrival order: batch 1 (several files), then batch 2.
     b1.repartition(4, "vec_id").write.mode("append").parquet(f"{src}/a")
-    b2.coalesce(1).write.mode("append").parquet(f"{src}/b")
+    b2.repartition(4, "vec_id").write.mode("append").parquet(f"{src}/b")
     c = _new_collection(spark, "faces")
     ckpt = scratch_path(spark, "stream-ckpt")
     run_upsert_stream(spark, f"{src}/a", b1.schema, c, ckpt + "/a", max_files_per_trigger=2)

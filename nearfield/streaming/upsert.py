@@ -2,10 +2,10 @@
 
 New embedding files landing in a folder are upserted into a collection one
 micro-batch at a time: ``readStream`` (parquet, explicit schema) ->
-``foreachBatch`` -> ``Collection.upsert``.  Each micro-batch rewrites the buckets
-it touches and commits one new manifest that names the stream and its epoch; a
-replayed epoch (after a restart the last batch can run again) finds itself there
-and is skipped, however many commits came in between.  ``availableNow`` processes what is there and stops.
+``foreachBatch`` -> ``Collection.upsert``.  Each micro-batch overwrites the buckets
+it touches; its rows carry the stream and the epoch as columns.  A replayed epoch
+(after a restart the last batch can run again) writes the same rows again and
+leaves rows of later epochs alone.  ``availableNow`` processes what is there and stops.
 """
 
 from __future__ import annotations
@@ -31,20 +31,21 @@ def start_upsert_stream(
     order_col: str | None = None,
 ) -> StreamingQuery:
     """``order_col`` (a column of the files, not stored) says which of several
-    rows with one id in a micro-batch is the newest."""
+    rows with one id in a micro-batch is the newest.
+
+    Epochs count per stream ``name`` (by default of the checkpoint folder): a
+    stream started anew with an empty checkpoint needs a new name, or its rows
+    count as older than those it wrote before."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     stream = reader.parquet(source_dir)
 
-    # Version tag = stream identity + epoch: unique per micro-batch, equal on replay.
+    # Stream identity + epoch: unique per micro-batch, equal on replay.
     stream_id = name or hashlib.sha1(checkpoint_location.encode()).hexdigest()[:10]
 
     def upsert_batch(batch_df, epoch_id: int) -> None:
-        tag = f"{stream_id}_{int(epoch_id)}"
-        if collection.has_tag(tag):
-            return
-        collection.upsert(batch_df, tag=tag, order_col=order_col)
+        collection.upsert(batch_df, order_col=order_col, stream=stream_id, epoch=int(epoch_id))
 
     w = stream.writeStream.foreachBatch(upsert_batch).option(
         "checkpointLocation", checkpoint_location
