@@ -13,6 +13,9 @@ a zero norm are skipped, i.e. they get a NULL score and are never a hit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 
 # Largest score block computed at once (rows x queries), in elements.
@@ -66,6 +69,36 @@ def vector_matrix(col, d: int):
     return rows, M.reshape(len(rows), d)
 
 
+@dataclass(frozen=True)
+class Metric:
+    """A metric from outside the library (H4).
+
+    ``pairs(M, Q)`` gives the values of all rows of ``M`` (m x d) against all
+    rows of ``Q`` (q x d), float64, as an m x q matrix; it runs in tasks, on
+    blocks of bounded size.  ``column(v, q)`` is the same as a Column, for the
+    SQL form of the search.
+    """
+
+    pairs: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    higher_is_better: bool
+    column: Callable | None = None
+
+
+BUILT_IN_METRICS = ("cosine", "ip", "l2")
+_REGISTERED: dict[str, Metric] = {}
+
+
+def register_metric(name: str, metric: Metric) -> None:
+    """Make a metric known to ``ScoreRule`` and to requests by its lower-case name."""
+    if name.lower() in BUILT_IN_METRICS:
+        raise ValueError(f"{name!r} is a built-in metric")
+    _REGISTERED[name.lower()] = metric
+
+
+def registered_metric(name: str) -> Metric | None:
+    return _REGISTERED.get(name)
+
+
 def native_scores(raw: np.ndarray, transform: str) -> np.ndarray:
     if transform == "identity":
         return raw
@@ -92,6 +125,9 @@ def make_batch_scorer(
 ):
     """Build the function given to ``DataFrame.mapInArrow``.
 
+    A registered metric is looked up here, on the driver, and travels with the
+    function.
+
     ``bq`` is a broadcast of ``(query_ids int64[q], Q float64[q, d])`` or,
     for cell-probed (IVF, LSH) search, ``(query_ids, Q, probes)`` where
     ``probes`` maps a cell to the positions of the queries that probe it and
@@ -99,6 +135,9 @@ def make_batch_scorer(
     multiplied with its own queries only.
     """
 
+    outside = registered_metric(metric)
+    pairs = outside.pairs if outside else None
+
     def score_partition(batches):
         import pyarrow as pa
 
@@ -144,7 +183,7 @@ def make_batch_scorer(
                 Mg, sqg = (M, sq) if len(at) == m else (M[at], sq[at])
                 for c0 in range(0, len(cols), step):
                     own = cols[c0 : c0 + step]
-                    G = Mg @ Qs[own].T
+                    G = Mg @ Qs[own].T if pairs is None else pairs(Mg, Qs[own])
                     if metric == "l2":
                         raw = np.sqrt(np.maximum(sqg[:, None] + q_sq[None, own] - 2.0 * G, 0.0))
                     else:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from nearfield.functions import vectors as V
 from nearfield.functions.scalars import base_name, non_empty
-from nearfield.operators.scoring import PARTITION_TOPK_ROWS, make_batch_scorer
+from nearfield.operators.scoring import BUILT_IN_METRICS, PARTITION_TOPK_ROWS, make_batch_scorer, registered_metric
 
 # Largest query matrix broadcast to the scorer in one pass (bytes of float64).
 DEFAULT_QUERY_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -41,7 +41,8 @@ DEFAULT_QUERY_BROADCAST_BYTES = 64 * 1024 * 1024
 class ScoreRule:
     """How a store turns cosine into the number its cut-off applies to.
 
-    ``metric``: ``cosine`` | ``ip`` (inner product) | ``l2`` (Euclidean).
+    ``metric``: ``cosine`` | ``ip`` (inner product) | ``l2`` (Euclidean), or the
+    name of a metric given to ``scoring.register_metric``.
     ``transform`` on the metric value: ``identity`` | ``half_shift``
     (``(1 + s) / 2``) | ``distance`` (``1 - s``).
     """
@@ -50,13 +51,16 @@ class ScoreRule:
     transform: str = "identity"
 
     def __post_init__(self):
-        if self.metric not in ("cosine", "ip", "l2"):
+        if self.metric not in BUILT_IN_METRICS and registered_metric(self.metric) is None:
             raise ValueError(f"unknown metric {self.metric!r}")
         if self.transform not in ("identity", "half_shift", "distance"):
             raise ValueError(f"unknown transform {self.transform!r}")
 
     @property
     def higher_is_better(self) -> bool:
+        outside = registered_metric(self.metric)
+        if outside is not None:
+            return outside.higher_is_better != (self.transform == "distance")
         return self.metric != "l2" and self.transform != "distance"
 
     def cosine_cutoff(self, cutoff: float) -> float:
@@ -105,6 +109,14 @@ def profile(name: str, **overrides) -> Profile:
     return p
 
 
+def register_profile(prof: Profile, cutoff_key: str = "certainty") -> None:
+    """Make a store of one's own known to ``profile`` and to requests (H4)."""
+    if prof.name.lower() in _CUTOFF_KEY:
+        raise ValueError(f"{prof.name!r} is a built-in profile")
+    _PROFILES[prof.name.lower()] = prof
+    _OWN_CUTOFF_KEY[prof.name.lower()] = cutoff_key
+
+
 def profile_names() -> list[str]:
     return sorted(_PROFILES)
 
@@ -240,8 +252,13 @@ def _sql_score(rule: ScoreRule, v, q):
         raw = V.cosine(v, q)
     elif rule.metric == "ip":
         raw = V.inner_product(v, q)
-    else:
+    elif rule.metric == "l2":
         raw = V.l2_distance(v, q)
+    else:
+        column = registered_metric(rule.metric).column
+        if column is None:
+            raise ValueError(f"metric {rule.metric!r} has no Column form")
+        raw = F.when(F.size(v) == F.size(q), column(v, q))
     if rule.transform == "half_shift":
         return (F.lit(1.0) + raw) / F.lit(2.0)
     if rule.transform == "distance":
@@ -404,6 +421,16 @@ _REQUEST_KEYS = {
     "anns_field", "certainty", "expr", "index_params", "limit", "metric_type", "nprobe", "num_candidates", "output_fields", "threshold",
 }
 _METRICS = {"COSINE": "cosine", "IP": "ip", "L2": "l2"}
+# Cut-off keys of registered profiles.
+_OWN_CUTOFF_KEY: dict[str, str] = {}
+
+
+def _metric_named(name: str) -> str:
+    if name.upper() in _METRICS:
+        return _METRICS[name.upper()]
+    if registered_metric(name.lower()) is None:
+        raise KeyError(name)
+    return name.lower()
 
 
 @dataclass(frozen=True)
@@ -427,18 +454,18 @@ def resolve_request(store: str, params: dict | None = None, *, id_col: str = "id
     among the output fields is the collection's id column.
     """
     params = {k: v for k, v in (params or {}).items() if v is not None}
-    unknown = sorted(set(params) - _REQUEST_KEYS)
+    unknown = sorted(set(params) - _REQUEST_KEYS - {_OWN_CUTOFF_KEY.get(store.lower())})
     if unknown:
         raise KeyError(f"unknown request keys {unknown}")
     key = store.lower()
     base = profile(key) if key != "weaviate" else _PROFILES["weaviate"]
-    cutoff = params.get(_CUTOFF_KEY.get(key, "certainty"), base.cutoff)
+    cutoff = params.get(_CUTOFF_KEY.get(key) or _OWN_CUTOFF_KEY.get(key, "certainty"), base.cutoff)
     limit = params.get("limit", base.limit)
     if key == "weaviate" and (cutoff is None or limit is None):
         raise KeyError("weaviate requests need 'certainty' and 'limit'")
     rule = base.rule
     if "metric_type" in params:
-        rule = ScoreRule(_METRICS[str(params["metric_type"]).upper()], rule.transform)
+        rule = ScoreRule(_metric_named(str(params["metric_type"])), rule.transform)
     # The store's graph parameter: how many candidates a search holds, 64 unless given.
     graph = params.get("index_params", {}).get("ef")
     pool = params.get("num_candidates", graph)
@@ -565,6 +592,8 @@ def search_requests(
             if v is None or any(x is None for x in v) or not np.all(np.isfinite(v)) or (r["metric"] == "cosine" and not np.any(v)):
                 continue
             ScoreRule(r["metric"], r["transform"])  # unknown rules raise
+            if r["metric"] not in BUILT_IN_METRICS:
+                raise ValueError(f"metric {r['metric']!r} shares no product with others: use search() for it")
             by_length.setdefault(len(v), []).append(r)
         for same in by_length.values():
             bq = sc.broadcast([r.asDict() for r in same])

@@ -27,7 +27,7 @@ from nearfield.plans import catalog as C
 from nearfield.plans.oracles import CLASS_HITS, ORACLES as BASE_ORACLES, PROTOS, R
 from nearfield.plans.queries import COS, PREFILTER
 from nearfield.session import scratch_path
-from nearfield.sources.files import write_embeddings
+from nearfield.sources.files import list_files, read_files, write_embeddings
 
 N_CELLS = 8
 NPROBE = 2
@@ -91,6 +91,41 @@ def extract_to_sink(spark, sf_dir):
     )
 
 
+# Documents per written file of the folder queries.
+FILE_ROWS = 200
+
+
+def _text_folders(spark, sf_dir):
+    """The documents as text files in nested folders, by language and source."""
+    docs = C.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    parts = [F.coalesce(c, F.lit("none")).alias(c) for c in ("lang", "source")]
+    root = scratch_path(spark, "text-folders")
+    docs.select("text", *parts).write.partitionBy("lang", "source").option("maxRecordsPerFile", FILE_ROWS).text(root)
+    spark.range(3).selectExpr("CAST(id AS STRING) AS value").write.json(f"{root}/lang=none/other")  # files of another kind
+    return root
+
+
+def _folder(pos: int):
+    """The value in the name (``key=value``) of a folder of ``path``, from its end."""
+    return F.substring_index(F.element_at(F.split("path", "/"), pos), "=", -1)
+
+
+def list_files_recursive(spark, sf_dir):
+    """The folders, at any depth, that hold files of a kind."""
+    files = list_files(spark, _text_folders(spark, sf_dir), (".txt",))
+    return files.select(_folder(-3).alias("lang"), _folder(-2).alias("source")).distinct()
+
+
+def extract_from_files(spark, sf_dir):
+    """A6 + H2: the files of nested folders, their bytes read in tasks and embedded line by line."""
+    files = read_files(spark, _text_folders(spark, sf_dir), (".txt",))
+    items = files.select("path", F.col("content").cast("string").alias("text"), _folder(-3).alias("lang"), _folder(-2).alias("source"))
+    ok, _ = split_ok(extract_embeddings(items, line_letter_embedder, "path", "text", carry=("lang", "source")))
+    letters = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    lines = ok.select("lang", "source", letters.cast("long").alias("n")).where("n > 0")
+    return lines.groupBy("lang", "source").agg(F.count(F.lit(1)).cast("long").alias("n_lines"), F.sum("n").alias("n_letters"))
+
+
 def _index(spark, coll):
     """Train, write partitioned by cell, read back (probes prune folders)."""
     path = scratch_path(spark, "ivf")
@@ -189,6 +224,8 @@ QUERIES = {
     "extract_error_side_table": extract_error_side_table,
     "extract_by_path": extract_by_path,
     "extract_to_sink": extract_to_sink,
+    "list_files_recursive": list_files_recursive,
+    "extract_from_files": extract_from_files,
     "query_first_face": query_first_face,
     "ivf_search_full_probe": ivf_search_full_probe,
     "ivf_prefiltered_search": ivf_prefiltered_search,
@@ -278,6 +315,12 @@ SELECT item_id, error FROM (
 SELECT 'img/' || d.source || '/' || CAST(d.doc_id AS VARCHAR) AS image_path, CAST(t.n_parts AS BIGINT) AS n_parts,
        CAST(t.tot AS BIGINT) AS n_letters
 FROM documents d JOIN doc_tot t USING (doc_id) WHERE t.tot > 0""",
+    "list_files_recursive": """
+SELECT DISTINCT coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source FROM documents WHERE text IS NOT NULL""",
+    "extract_from_files": "WITH " + _LINES + """
+SELECT coalesce(d.lang, 'none') AS lang, coalesce(d.source, 'none') AS source, CAST(count(*) AS BIGINT) AS n_lines,
+       CAST(sum(c.n_letters) AS BIGINT) AS n_letters
+FROM counted c JOIN documents d USING (doc_id) WHERE c.n_letters > 0 GROUP BY ALL""",
     "extract_to_sink": "WITH " + _LINES + """,
 ok AS (
   SELECT c.doc_id FROM counted c JOIN doc_tot t USING (doc_id) WHERE c.line <> '' AND t.tot > 0

@@ -5,6 +5,7 @@ Queries are all rows whose ``vec_id`` is divisible by 100, against all rows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nearfield.operators import stats as ST
@@ -23,13 +24,24 @@ from nearfield.operators.probes import (
 )
 from nearfield.operators.evaluate import mean_average_precision, threshold_sweep
 from nearfield.operators.ranking import last_before
-from nearfield.operators.search import search, search_requests, with_store_rules
+from nearfield.operators.scoring import Metric, register_metric
+from nearfield.operators.search import (
+    Profile,
+    ScoreRule,
+    register_profile,
+    search,
+    search_request,
+    search_requests,
+    with_store_rules,
+)
 from nearfield.plans import catalog as C
 from nearfield.plans.oracles import PROTOS, R
 from nearfield.plans.queries import COS
 from nearfield.session import scratch_path
 
 K = 10
+# Cut-off of the Manhattan search.
+REACH = 7.6
 TABLES, BITS = 6, 6
 RECALL = 0.9
 
@@ -140,6 +152,21 @@ def requests_mixed_stores(spark, sf_dir):
     return h.select("query_id", "store", "vec_id", F.round("score", R).alias("score"), "rank")
 
 
+def _manhattan(rows, queries):
+    """Sums of absolute differences; one column at a time, so no third dimension is held."""
+    return np.stack([np.abs(rows - q).sum(axis=1) for q in queries], axis=1)
+
+
+def search_registered_metric(spark, sf_dir):
+    """H4: a metric and a store from outside the library, over all rows for every hundredth as query."""
+    register_metric("manhattan", Metric(_manhattan, higher_is_better=False))
+    register_profile(Profile("blocks", ScoreRule("manhattan"), None, K), cutoff_key="reach")
+    coll = C.collection(spark, sf_dir)
+    queries = coll.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    h = search_request(coll, queries, "blocks", {"reach": REACH}, id_col="vec_id")
+    return h.select("query_id", "vec_id", F.round("score", R).alias("score"), "rank")
+
+
 # -- threshold sweep (D11) ----------------------------------------------------------------
 
 
@@ -203,6 +230,7 @@ QUERIES = {
     "ivf_recall": ivf_recall,
     "pool_recall": pool_recall,
     "requests_mixed_stores": requests_mixed_stores,
+    "search_registered_metric": search_registered_metric,
 }
 
 _ROW_HITS = """
@@ -254,6 +282,15 @@ ASOF LEFT JOIN samples b ON p.user_id = b.user_id AND p.stop >= b.t""",
     "lsh_recall": _RECALL,
     "ivf_recall": _RECALL,
     "pool_recall": _RECALL,
+    "search_registered_metric": f"""
+WITH s AS (
+  SELECT q.vec_id AS query_id, e.vec_id,
+         list_sum([abs(q.embedding[i]::DOUBLE - e.embedding[i]::DOUBLE) FOR i IN range(1, len(q.embedding) + 1)]) AS score
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, vec_id, round(score, {R}) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s WHERE score <= {REACH}
+) WHERE rank <= {K}""",
     "requests_mixed_stores": "WITH " + PROTOS + ", c AS (SELECT p.query_id, e.vec_id, list_cosine_similarity(p.qv, e.embedding::DOUBLE[]) AS cos FROM protos p, embeddings e)"
     + " UNION ALL ".join(
         f"""

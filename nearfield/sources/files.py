@@ -192,6 +192,17 @@ def list_files(spark: SparkSession, root: str, suffixes=IMAGE_SUFFIXES) -> DataF
     return files.where(has_suffix_ci("path", suffixes))
 
 
+def read_files(spark: SparkSession, root: str, suffixes=IMAGE_SUFFIXES) -> DataFrame:
+    """The listed files with their bytes: (path, source_dir, length, content) (A6 + H2).
+
+    A task reads whole files, as many as fit in ``spark.sql.files.maxPartitionBytes``;
+    ``source_dir`` is the folder that holds the file.  Spark's listing leaves
+    files without bytes out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    folder = F.element_at(F.split("path", "/"), -2)
+    return files.where(has_suffix_ci("path", suffixes)).select("path", folder.alias("source_dir"), "length", "content")
+
+
 def select_result_files(files: DataFrame, kind: str, path_col: str = "path") -> DataFrame:
     """Result files whose name contains ``kind`` and ends in ``.csv``, sorted."""
     name = base_name(path_col)

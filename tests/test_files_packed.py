@@ -95,3 +95,14 @@ def test_packed_queries_and_sql_guard(spark):
     assert a == b
     with pytest.raises(ValueError):
         search(packed, q, method="sql")
+
+
+def test_read_files_of_nested_folders(spark):
+    root = tempfile.mkdtemp(prefix="files-")
+    for rel, content in [("a/x.TXT", b"one\ntwo"), ("a/b/y.txt", b""), ("a/b/z.bin", b"three"), ("w.txt", b"\xff\x00")]:
+        os.makedirs(os.path.dirname(os.path.join(root, rel)), exist_ok=True)
+        with open(os.path.join(root, rel), "wb") as f:
+            f.write(content)
+    got = {r.path.rsplit("/", 1)[1]: (r.source_dir, r.length, bytes(r.content)) for r in FS.read_files(spark, root, (".txt",)).collect()}
+    folder = os.path.basename(root)  # the empty file is not listed
+    assert got == {"x.TXT": ("a", 7, b"one\ntwo"), "w.txt": (folder, 2, b"\xff\x00")}

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,38 @@ def test_row_chunked_scoring_equals_whole_batches(spark, monkeypatch):
     monkeypatch.setattr(scoring, "_CHUNK_ELEMS", 64 * 5)  # 5-row slices
     sliced = [key(search(c, q, cutoff=0.1, limit=30, carry=("label",))) for c in (coll, packed)]
     assert whole[0] == whole[1] == sliced[0] == sliced[1]
+
+
+def test_registered_metric_and_store(spark):
+    from pyspark.sql import functions as F
+
+    from nearfield.operators.scoring import Metric, register_metric
+    from nearfield.operators.search import Profile, ScoreRule, register_profile, requests_table, search_request, search_requests
+
+    def largest(rows, queries):
+        return np.stack([np.abs(rows - q).max(axis=1) for q in queries], axis=1)
+
+    def column(v, q):
+        return F.array_max(F.zip_with(v, q, lambda a, b: F.abs(a - b)))
+
+    with pytest.raises(ValueError):
+        ScoreRule("chebyshev")
+    register_metric("Chebyshev", Metric(largest, higher_is_better=False, column=column))
+    register_profile(Profile("tiles", ScoreRule("chebyshev"), 2.0, 3), cutoff_key="reach")
+    data = [(1, [0.0, 0.0]), (2, [1.0, 2.0]), (3, [3.0, 0.0]), (4, None), (5, [1.0]), (6, [1.0, -2.0]), (7, [0.0, 0.0]), (8, [0.5, 0.5])]
+    coll = spark.createDataFrame(data, "id long, embedding array<double>")
+    q = {0: [0.0, 0.0]}
+    got = search_request(coll, q, "tiles").orderBy("rank").collect()
+    assert [(r.id, r.score) for r in got] == [(1, 0.0), (7, 0.0), (8, 0.5)]
+    got = search_request(coll, q, "tiles", {"reach": 3.0, "limit": 10}).orderBy("rank").collect()
+    assert [r.id for r in got] == [1, 7, 8, 2, 6, 3]
+    same = search(coll, q, rule=ScoreRule("chebyshev"), cutoff=3.0, limit=10, method="sql").orderBy("rank").collect()
+    assert [(r.id, r.score) for r in same] == [(r.id, r.score) for r in got]
+    by_request = search_request(coll, q, "pgvector", {"metric_type": "CHEBYSHEV", "certainty": 3.0, "limit": 10})
+    assert sorted(r.id for r in by_request.collect()) == [1, 2, 3, 6, 7, 8]
+    assert ScoreRule("chebyshev", "distance").higher_is_better and not ScoreRule("chebyshev").higher_is_better
+    for taken in (lambda: register_metric("L2", Metric(largest, False)), lambda: register_profile(Profile("Milvus", ScoreRule(), None, 1))):
+        with pytest.raises(ValueError):
+            taken()
+    with pytest.raises(ValueError):
+        search_requests(coll, requests_table(spark, [(0, [0.0, 0.0], "tiles", None)]), id_col="id")
