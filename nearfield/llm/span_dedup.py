@@ -1,13 +1,19 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences: at line breaks, after words that end in a
-sentence or clause mark, and, so that long sentences have inner boundaries
-that do not depend on where a passage was pasted, after words whose hash
-falls in a fixed eighth.  A span starts at every sentence and takes the next
-ones until it has ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words.  All
-spans of all documents are hashed and joined globally; every sentence covered
-by a span that is not the first of its kind (in the order of document id, then
-place) is removed.
+sentence or clause mark, and, so that every text has inner boundaries that do
+not depend on where a passage was pasted, by winnowing: after the word of the
+least hash (the last one of equals) in every window of ``WINDOW`` words.  A
+span starts at every sentence and takes the next ones until it has
+``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words.  All spans of all
+documents are hashed and joined globally; every sentence covered by a span that
+is not the first of its kind (in the order of document id, then place) is
+removed.
+
+Copies of a passage are cut alike except within a window of its ends, and no
+sentence is longer than a window, so copies of ``MIN_WORDS + 3 * WINDOW - 1``
+words (47) or more always have a span in common, whatever marks they hold and
+wherever they stand.  Up to a span's rest at either end of a passage may stay.
 
 The tasks send one (hash, document, place) row per sentence; the first of each
 kind is a minimum, combined before the shuffle, so a passage in a third of all
@@ -16,7 +22,9 @@ documents is no hot group.  Texts are shuffled once, to meet their removals.
 Defined results: a null or empty text has no sentences and stays as it is; a
 text shorter than a span stays whole; a repeated row (same id, same text) is
 one document listed twice and both rows get the same result; among equal ids
-the order goes on by a hash of the text; rows without an id come last.
+the order goes on by a hash of the text; rows without an id come last; a very
+long text is one slice of a task, whole, with memory of its own length; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +42,7 @@ from nearfield.llm.texthash import mix64, segment_hash, slices, split_words
 
 MIN_SENTENCES = 3
 MIN_WORDS = 24
+WINDOW = 8
 
 _MARK = np.zeros(256, bool)
 _MARK[list(b".!?;:,")] = True
@@ -50,6 +59,19 @@ class Sentences:
     end_byte: np.ndarray
 
 
+def winnowed(words, window: int = WINDOW) -> np.ndarray:
+    """Marks the words that have the least hash of some window of words of their document, the last one of equals."""
+    n = len(words.starts)
+    picked = np.zeros(n, bool)
+    if n >= window:
+        # Backwards, so that the first least hash of a row is the last one of the window.
+        rows = np.lib.stride_tricks.sliding_window_view(words.hash[::-1], window)
+        doc = words.doc[::-1]
+        least = np.arange(n - window + 1) + rows.argmin(1)
+        picked[n - 1 - least[doc[: n - window + 1] == doc[window - 1 :]]] = True
+    return picked
+
+
 def split_sentences(texts: pa.Array) -> tuple[object, Sentences]:
     words = split_words(texts)
     n = len(words.starts)
@@ -62,7 +84,7 @@ def split_sentences(texts: pa.Array) -> tuple[object, Sentences]:
         (words.doc[1:] != words.doc[:-1])
         | (breaks[words.starts[1:]] != breaks[words.ends[:-1]])
         | _MARK[words.data[words.ends[:-1] - 1]]
-        | (words.hash[:-1] >> np.uint64(61) == 0)
+        | winnowed(words)[:-1]
     )
     end = np.flatnonzero(close) + 1
     first = np.concatenate(([0], end[:-1]))

@@ -127,6 +127,54 @@ def plain_spans(docs, min_sentences, min_words):
     return {k: (len(cut[k]), len(v), sum(len(cut[k][i]) for i in v)) for k, v in removed.items()}
 
 
+def plain_sentences(text, window):
+    """Words per sentence with Python loops; the hash of a word is that of the word alone."""
+    alone = {}
+
+    def word_hash(word):
+        if word not in alone:
+            alone[word] = int(texthash.split_words(pa.array([word])).hash[0])
+        return alone[word]
+
+    spans = [m.span() for m in WORD.finditer(text)]
+    w = [text[a:b] for a, b in spans]
+    ends = {len(w)}
+    for i in range(len(w) - window + 1):
+        ends.add(1 + max(range(i, i + window), key=lambda k: (-word_hash(w[k]), k)))
+    for i in range(len(w) - 1):
+        if w[i][-1] in ".!?;:," or "\n" in text[spans[i][1] : spans[i + 1][0]]:
+            ends.add(i + 1)
+    ends = sorted(ends - {0})
+    return [tuple(w[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def test_sentences_against_loops():
+    rng = np.random.default_rng(4)
+    texts = ["", "one", "a " * 30, "x " * 7, "naïve Wörter, über alles\n\nund weiter; fort. Ende"]
+    texts += [" ".join(f"w{x}" + ("." if x % 9 == 0 else "") + ("\n" if x % 17 == 0 else "") for x in rng.integers(0, 90, n)) for n in range(0, 120, 7)]
+    words, sent = span_dedup.split_sentences(pa.array([*texts, None]))
+    raw = bytes(words.data)
+    w = [raw[a:b].decode() for a, b in zip(words.starts, words.ends, strict=True)]
+    for i, text in enumerate([*texts, ""]):
+        got = [tuple(w[a:b]) for d, a, b in zip(sent.doc, sent.first, sent.end, strict=True) if d == i]
+        assert got == plain_sentences(text, span_dedup.WINDOW), i
+
+
+def test_passage_without_marks_in_mid_sentence(spark):
+    """Every copied run of 51 words without a mark or a line break loses words in all places but its first."""
+    rng = np.random.default_rng(5)
+    word = lambda k: [f"v{x}" for x in rng.integers(0, 5_000, k)]
+    docs, passages = [], 300
+    for i in range(passages):
+        passage = word(51)
+        for copy in range(2):
+            docs.append((2 * i + copy, " ".join(word(int(rng.integers(0, 40))) + passage + word(int(rng.integers(0, 40))))))
+    got = span_dedup.span_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {2 * i + 1 for i in range(passages)}
+    cut = np.array([r["removed_words"] for r in got if r["n_removed"]])
+    assert cut.min() >= span_dedup.MIN_WORDS and cut.max() <= 51 and cut.mean() > 35
+
+
 def test_spans_against_loops(spark):
     rng = np.random.default_rng(3)
     sentence = lambda: " ".join(f"w{x}" for x in rng.integers(0, 400, rng.integers(1, 14))) + "."
