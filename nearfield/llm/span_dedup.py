@@ -15,9 +15,10 @@ sentence is longer than a window, so copies of ``MIN_WORDS + 3 * WINDOW - 1``
 words (47) or more always have a span in common, whatever marks they hold and
 wherever they stand.  Up to a span's rest at either end of a passage may stay.
 
-The tasks send one (hash, document, place) row per sentence; the first of each
-kind is a minimum, combined before the shuffle, so a passage in a third of all
-documents is no hot group.  Texts are shuffled once, to meet their removals.
+The tasks send one hash per sentence to be counted, then the (hash, document,
+place) rows of the hashes that come again; the first of each kind is a minimum,
+combined before the shuffle, so a passage in a third of all documents is no hot
+group.  Texts are shuffled once, to meet their removals.
 
 Defined results: a null or empty text has no sentences and stays as it is; a
 text shorter than a span stays whole; a repeated row (same id, same text) is
@@ -140,7 +141,10 @@ def _spans_table(docs: DataFrame, min_sentences: int, min_words: int) -> DataFra
 
 def repeated_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, key, runs): per document, the (place, length) of its spans that are not the first of their kind."""
-    found = _spans_table(docs, min_sentences, min_words)
+    spans_of = _spans_table(docs, min_sentences, min_words)
+    # Hashes alone are counted first; only spans whose hash comes again travel with their places.
+    repeated = stage_table(spans_of.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1"), "span-repeated")
+    found = stage_table(spans_of.join(repeated, "h1", "left_semi"), "span-twice")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "place")
     firsts = (
         found.groupBy("h1", "h2")
