@@ -38,6 +38,9 @@ LOAD_METRIC_PREFIX = {
     "memory_usage_initialisation": "memory_usage_init",
     "memory_usage_insertion": "memory_usage_insert",
 }
+# The detail columns that are drawn over the requests.
+SEARCH_SERIES = ("search_time",)
+LOAD_SERIES = ("initialisation_time", "insertion_time", "deletion_time", "memory_usage_initialisation", "memory_usage_insertion")
 QUALITY_METRICS = ("precision", "recall", "f1_score", "specificity", "far", "frr")
 
 
@@ -73,6 +76,17 @@ def report_series(raw: DataFrame, metric: str, columns) -> DataFrame:
     return d.withColumn("scale", d.select(F.max("value")).scalar())
 
 
+def report_series_set(raw: DataFrame, metrics: tuple[str, ...], columns) -> DataFrame:
+    """(series, database, iteration, value, scale): several detail columns in one pass, each on its own common scale.
+
+    A value that is not a number stays a null row; a column of nulls has a null scale.
+    """
+    details = result_details(raw, columns)
+    long = details.select("database", "iteration", *metrics).unpivot(["database", "iteration"], list(metrics), "series", "value")
+    scales = details.agg(*[F.max(m).alias(m) for m in metrics]).unpivot([], list(metrics), "series", "scale")  # a row per series
+    return long.join(F.broadcast(scales), "series").select("series", "database", "iteration", "value", "scale")
+
+
 def quality_table(evaluated: DataFrame, keys=("database", "dataset")) -> DataFrame:
     """Mean of the quality metrics over the queries of each store and dataset."""
     return evaluated.groupBy(*keys).agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nearfield.operators import stats as ST
 from nearfield.operators.ann import build_ivf, ivf_search, load_ivf, save_ivf
+from nearfield.operators.codes import build_codes, code_search, load_codes, save_codes, scanned_bytes
 from nearfield.operators.probes import (
     build_multi_lsh,
     bounded_search,
@@ -40,6 +41,8 @@ from nearfield.plans.queries import COS
 from nearfield.session import scratch_path
 
 K = 10
+# Cut-off of the search over codes.
+NEAR = 0.3
 # Cut-off of the Manhattan search.
 REACH = 7.6
 TABLES, BITS = 6, 6
@@ -219,7 +222,28 @@ def memory_by_phase(spark, sf_dir):
     return first.join(last, "event_id").withColumn("delta", F.round(F.col("memory_end") - F.col("memory_start"), R))
 
 
+def _codes(spark, coll):
+    path = scratch_path(spark, "codes")
+    dim = coll.agg(F.max(F.size("embedding"))).first()[0]
+    save_codes(build_codes(coll, dim), path)
+    return load_codes(spark, path, dim)
+
+
+def code_filter_search(spark, sf_dir):
+    """G4 + C2: exact search at a cut-off by filtering one-byte codes and scoring the survivors."""
+    coll = C.collection(spark, sf_dir)
+    hits = code_search(_codes(spark, coll), _row_queries(coll), cutoff=NEAR, limit=C.LIMIT, id_col="vec_id")
+    return hits.select("query_id", "vec_id", F.round("score", R).alias("score"), "rank")
+
+
+def code_filter_bytes(spark, sf_dir):
+    """Bytes that a pass over the codes reads, and that a pass over the vectors would."""
+    return scanned_bytes(_codes(spark, C.collection(spark, sf_dir)))
+
+
 QUERIES = {
+    "code_filter_search": code_filter_search,
+    "code_filter_bytes": code_filter_bytes,
     "pr_curve": pr_curve,
     "mean_average_precision_sweep": mean_average_precision_sweep,
     "latency_sketch_merged": latency_sketch_merged,
@@ -263,6 +287,14 @@ swept AS (
 )"""
 
 ORACLES = {
+    "code_filter_search": f"""
+WITH {_ROW_HITS}
+SELECT query_id, vec_id, round(score, {R}) AS score, rank FROM ranked WHERE score >= {NEAR} AND rank <= {C.LIMIT}""",
+    "code_filter_bytes": """
+WITH d AS (SELECT max(len(embedding)) AS dim FROM embeddings)
+SELECT count(*) AS n_rows, CAST(sum(dim + 16) AS BIGINT) AS code_bytes, CAST(sum(4 * dim) AS BIGINT) AS vector_bytes
+FROM embeddings, d
+WHERE len(embedding) = dim AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0""",
     "pr_curve": _SWEEP + f"""
 SELECT query_id, threshold, CAST(tp AS BIGINT) AS tp, CAST(n_all - tp AS BIGINT) AS fp, CAST(pos - tp AS BIGINT) AS fn,
        round(tp / n_all, {R}) AS precision, round(tp / nullif(pos, 0), {R}) AS recall FROM swept""",

@@ -364,8 +364,7 @@ def _report_runs(spark, sf_dir):
     return ST.iteration_numbers(ev.withColumn("ok", F.lit(True)), ["event_type"], ["ts", "event_id"], "ok")
 
 
-def report_search_tables(spark, sf_dir):
-    """search files written, read back and reported, published metric names and labels."""
+def _search_results(spark, sf_dir):
     it = _report_runs(spark, sf_dir)
     run = FS.results_file_name(FS.search_results_prefix(10, 100), F.upper("event_type"), _run_ts())
     detail = it.select(run.alias("run_name"), "iteration", F.col("value").alias("search_time"), "ts", (F.col("event_type") != "error").alias("success"))
@@ -375,8 +374,12 @@ def report_search_tables(spark, sf_dir):
     summary = summary.unionByName(rate.unpivot(["run_name"], ["rps", "successful_requests"], "metric", "value"))
     root = scratch_path(spark, "report-search")
     FS.write_results_csv(detail.select("run_name", "iteration", "search_time"), summary, root, FS.SEARCH_RESULT_COLUMNS, "run_name")
-    raw = FS.read_result_csvs(spark, root, FS.SEARCH_RESULT_COLUMNS)
-    t = RP.report_tables(raw, RP.SEARCH_TABLES, FS.SEARCH_RESULT_COLUMNS)
+    return FS.read_result_csvs(spark, root, FS.SEARCH_RESULT_COLUMNS)
+
+
+def report_search_tables(spark, sf_dir):
+    """search files written, read back and reported, published metric names and labels."""
+    t = RP.report_tables(_search_results(spark, sf_dir), RP.SEARCH_TABLES, FS.SEARCH_RESULT_COLUMNS)
     return t.select("table", "database", "store_label", "metric", F.round("value", R).alias("value"))
 
 
@@ -410,6 +413,13 @@ def report_load_series(spark, sf_dir):
     return s.select("database", "iteration", "value", "scale")
 
 
+def report_series_all(spark, sf_dir):
+    """the six series of the report, from search and load files, each on a scale of its own over all stores."""
+    found = RP.report_series_set(_search_results(spark, sf_dir), RP.SEARCH_SERIES, FS.SEARCH_RESULT_COLUMNS)
+    load = RP.report_series_set(_load_results(spark, sf_dir), RP.LOAD_SERIES, FS.LOAD_RESULT_COLUMNS)
+    return found.unionByName(load)
+
+
 def report_value_labels(spark, sf_dir):
     """F8: bar labels (two decimals) of the requests served per store, an exact number."""
     it = _report_runs(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -451,6 +461,7 @@ QUERIES = {
     "report_search_tables": report_search_tables,
     "report_load_tables": report_load_tables,
     "report_load_series": report_load_series,
+    "report_series_all": report_series_all,
     "report_value_labels": report_value_labels,
 }
 
@@ -607,6 +618,22 @@ SELECT upper(event_type) AS database,
        CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS iteration,
        k * 2 AS value, max(k * 2) OVER () AS scale
 FROM e"""
+_SERIES = {
+    "search_time": "value",
+    "initialisation_time": "value / 8",
+    "insertion_time": "value",
+    "deletion_time": "value / 64",
+    "memory_usage_initialisation": "k",
+    "memory_usage_insertion": "k * 2",
+}
+ORACLES["report_series_all"] = _EVENTS_K + " UNION ALL ".join(
+    f"""
+SELECT '{name}' AS series, upper(event_type) AS database,
+       CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS iteration,
+       {expr} AS value, max({expr}) OVER () AS scale
+FROM e"""
+    for name, expr in _SERIES.items()
+)
 ORACLES["report_value_labels"] = """
 SELECT upper(event_type[1:1]) || lower(event_type[2:]) AS store_label, printf('%.2f', CAST(count(*) AS DOUBLE)) AS label
 FROM events GROUP BY event_type"""
