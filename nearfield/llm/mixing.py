@@ -38,6 +38,9 @@ from nearfield.llm.texthash import mix64, slices
 
 BLOCK = 64
 SHARD_SLOTS = 16_384
+#: Up to so many shards have a task each; beyond, a task has at most SHARDS_PER_TASK.
+FEW_SHARDS = 200
+SHARDS_PER_TASK = 64
 STREAM_DOCS = 4_000
 MAX_REPEATS = 3
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -131,6 +134,11 @@ def permute(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _tasks(shards: int) -> int:
+    """Tasks that draw and place the shards; they grow with the corpus."""
+    return max(1, min(shards, FEW_SHARDS), -(-shards // SHARDS_PER_TASK))
+
+
 def draw_slots(docs: DataFrame, shares: list[SourceShare], seed: int = SEED) -> DataFrame:
     """(shard, number, block, repeat): one row per slot of the mix."""
     spark = docs.sparkSession
@@ -148,7 +156,7 @@ def draw_slots(docs: DataFrame, shares: list[SourceShare], seed: int = SEED) ->
                 yield pd.DataFrame({"shard": shard, "number": np.arange(len(count)), "count": count})[count > 0]
 
     cells = stage_table(
-        spark.range(shards, numPartitions=max(1, min(shards, 200))).mapInPandas(draw, "shard long, number long, count long"), "mix-cells"
+        spark.range(shards, numPartitions=_tasks(shards)).mapInPandas(draw, "shard long, number long, count long"), "mix-cells"
     )
     along = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("first", F.coalesce(F.sum("count").over(along), F.lit(0)))
@@ -187,7 +195,7 @@ def draw_slots(docs: DataFrame, shares: list[SourceShare], seed: int = SEED) ->
                     block[at] = permute(place[at] % n, n, seed + 1009 * row.number + 31 * int(t))
                 yield pd.DataFrame({"shard": row.shard, "number": row.number, "block": block, "repeat": turn})
 
-    ranges = own.filter("high > low").unionByName(dealt).repartition(max(1, min(shards, 200)), "shard", "number")
+    ranges = own.filter("high > low").unionByName(dealt).repartition(_tasks(shards), "shard", "number")
     return ranges.mapInPandas(place, "shard long, number long, block long, repeat long")
 
 

@@ -118,6 +118,10 @@ def test_permutation_is_one():
     assert mixing.permute(np.arange(1000), 1000, 7).tolist() != mixing.permute(np.arange(1000), 1000, 8).tolist()
 
 
+def test_tasks_grow_with_the_shards():
+    assert [mixing._tasks(n) for n in (0, 1, 200, 201, 12_800, 12_801, 10**7)] == [1, 1, 200, 200, 200, 201, 156_250]
+
+
 def test_mix_counts(spark):
     rng = np.random.default_rng(1)
     rows = []
