@@ -77,6 +77,15 @@ def test_cached_words_give_the_tokenizers_ids(texts):
     assert got == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_spellings_of_a_run_are_looked_up_once():
+    own = packing.WordTokens(tokenizer_path())
+    texts = ["Sample sample, SAMPLE. sample!? sample", "", None, "-- can't, sample", "Été été"]
+    ids, ends = own.encode(pa.array(texts))
+    assert set(own.index) == {"", "sample", ",", ".", "!?", "--", "can't,", "été"}
+    got = [x.tolist() for x in np.split(ids, ends)[:-1]]
+    assert got == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_round_trip(spark, tokens):
     rng = np.random.default_rng(0)
     texts = [" ".join(f"word{x}" for x in rng.integers(0, 50, n)) for n in (*rng.integers(0, 300, 60), 6000)]
