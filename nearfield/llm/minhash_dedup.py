@@ -179,7 +179,7 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
                     cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
                     sides.append([(code[i:j], weight[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)])
                 for a, b in zip(*sides, strict=True):
-                    keep.append(max(probability_jaccard(*a, *b), plain_jaccard(a[0], b[0])) >= threshold)
+                    keep.append(plain_jaccard(a[0], b[0]) >= threshold or probability_jaccard(*a, *b) >= threshold)
                 out = part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
                 if out.num_rows:
                     yield out
@@ -196,9 +196,10 @@ def _links_between(texts_a: pa.Array, texts_b: pa.Array, threshold: float) -> tu
     """Positions (in a, in b) of the similar pairs of two blocks of texts.
 
     Products of incidence matrices over the runs that both blocks hold give
-    every pair's common runs, and the share of either text's weight that the
-    common runs carry, which the probability Jaccard never exceeds; only pairs
-    whose share reaches the threshold are computed exactly.
+    every pair's common runs, and the shares p and q of either text's weight that
+    the common runs carry; the probability Jaccard never exceeds 1 / (1/p + 1/q - 1),
+    and is that where runs weigh alike.  Only pairs whose bound reaches the threshold
+    are computed exactly.
     """
     sides = [weighted_shingles(t)[:3] for t in (texts_a, texts_b)]
     vocabulary = np.intersect1d(sides[0][1], sides[1][1])
@@ -225,9 +226,12 @@ def _links_between(texts_a: pa.Array, texts_b: pa.Array, threshold: float) -> tu
         from_b += present[0] @ heavy[1].T
     union = np.maximum(sizes[0][:, None] + sizes[1][None, :] - common, 1)
     linked = common / union >= threshold - 1e-6
-    share = np.minimum(from_a / np.maximum(mass[0], 1e-9)[:, None], from_b / np.maximum(mass[1], 1e-9)[None, :])
+    # A term 1 / sum_j max(a_j / a_i, b_j / b_i) is at most 1 / (A / a_i + B_only / b_i), which is concave
+    # and homogeneous in (a_i, b_i): the sum over i is at most its value at the sums of a_i and b_i.
+    with np.errstate(divide="ignore", invalid="ignore"):  # texts without runs, or without common ones
+        bound = 1 / (mass[0][:, None] / from_a + mass[1][None, :] / from_b - 1)
     cuts = [np.searchsorted(doc, np.arange(k + 1)) for (doc, _, _), k in zip(sides, n, strict=True)]
-    for i, j in zip(*np.nonzero(~linked & (share >= threshold - 1e-4)), strict=True):
+    for i, j in zip(*np.nonzero(~linked & (bound >= threshold - 1e-4)), strict=True):
         (x, y), (u, v) = cuts[0][i : i + 2], cuts[1][j : j + 2]
         linked[i, j] = probability_jaccard(sides[0][1][x:y], sides[0][2][x:y], sides[1][1][u:v], sides[1][2][u:v]) >= threshold
     return np.nonzero(linked)
@@ -270,14 +274,25 @@ def _compare_blocks(placed: DataFrame, bodies: DataFrame, threshold: float) -> D
 
 def _link_texts(groups: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of all nodes in ``groups`` (value, node, size, low)."""
-    nodes = groups.select("node").distinct()
-
     def label(links: DataFrame) -> DataFrame:
+        nodes = groups.select("node").distinct()
         components = connected_components(links).withColumnRenamed("id", "node")
         return stage_table(
             nodes.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "minhash-labels"
         )
 
+    def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """The labels after further links, which are followed between components instead of nodes."""
+        if links.isEmpty():
+            return labels
+        to_a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        to_b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        merged = connected_components(links.join(to_a, "a").join(to_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        merged = merged.select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        return stage_table(
+            labels.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "minhash-labels"
+        )
+
     def still_open(labels: DataFrame) -> DataFrame:
         """Members of the groups that hold several components, with the group's largest component as ``main``."""
         placed = groups.filter("size > 2").join(labels, "node")
@@ -292,23 +307,23 @@ def _link_texts(groups: DataFrame, bodies: DataFrame, threshold: float) -> DataF
         return pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
     first = groups.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = _compare(first, bodies, threshold)
-    labels = label(links)
+    labels = label(_compare(first, bodies, threshold))
     placed = still_open(labels)
     if placed.isEmpty():
         return labels
     # A node's turn is drawn by a hash of the node alone, so groups of much the same members take
     # much the same pivots.
     turn = F.pmod(F.xxhash64("node"), F.col("size"))
-    links = links.unionByName(_compare(across(placed, placed.filter(turn < PIVOTS)), bodies, threshold))
-    labels = label(links)
-    placed = still_open(labels)
-    if placed.isEmpty():
-        return labels
+    links = _compare(across(placed, placed.filter(turn < PIVOTS)), bodies, threshold)
+    if not links.isEmpty():
+        labels = merge(labels, links)
+        placed = still_open(labels)
+        if placed.isEmpty():
+            return labels
     # All that is left: members outside the main component against all of their group.
     small, large = placed.filter(F.col("size") <= SMALL_GROUP), placed.filter(F.col("size") > SMALL_GROUP)
-    links = links.unionByName(_compare(across(small, small.filter("component != main")), bodies, threshold))
-    return label(links.unionByName(_compare_blocks(large, bodies, threshold)))
+    links = _compare(across(small, small.filter("component != main")), bodies, threshold)
+    return merge(labels, links.unionByName(_compare_blocks(large, bodies, threshold)))
 
 
 def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Archives, mixing, embeddings, near-duplicates, classifiers, personal data and the pipeline on small fixtures."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -518,3 +519,23 @@ def test_blocks_find_the_same_links():
     found = set(zip(*(x.tolist() for x in minhash_dedup._links_between(pa.array(texts), pa.array(texts), 0.8)), strict=True))
     bags = [bag(t) for t in texts]
     assert found == {(i, j) for i, a in enumerate(bags) for j, b in enumerate(bags) if a and b and links_with(a, b)}
+
+
+def test_blocks_compute_only_pairs_that_can_link(monkeypatch):
+    # 25 words in common and 5 of one's own: 21 of 31 runs, so 0.68, though 21 of 26 runs of either text are common.
+    texts = [" ".join([*(f"c{i}" for i in range(25)), *(f"own{k}x{i}" for i in range(5))]) for k in range(30)]
+    calls = []
+    exact = minhash_dedup.probability_jaccard
+    monkeypatch.setattr(minhash_dedup, "probability_jaccard", lambda *a: calls.append(1) or exact(*a))
+    a, b = minhash_dedup._links_between(pa.array(texts), pa.array(texts), 0.8)
+    assert a.tolist() == b.tolist() == list(range(30)) and not calls
+
+
+def test_components_remove_the_tables_of_their_steps(spark, monkeypatch):
+    written = []
+    path = components.scratch_path
+    monkeypatch.setattr(components, "scratch_path", lambda *a: written.append(path(*a)) or written[-1])
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    got = {r["id"]: r["component"] for r in components.connected_components(chain).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert len(written) > 2 and sum(os.path.exists(p) for p in written) == 1
