@@ -225,3 +225,33 @@ def test_registered_metric_and_store(spark):
             taken()
     with pytest.raises(ValueError):
         search_requests(coll, requests_table(spark, [(0, [0.0, 0.0], "tiles", None)]), id_col="id")
+
+
+def test_batch_of_many_cells_joins_the_top_hits_in_bounded_parts(monkeypatch):
+    import pyarrow as pa
+
+    from nearfield.operators import scoring
+
+    n_cells, per, q, cap, d = 20, 5, 10, 3, 4
+    rng = np.random.default_rng(3)
+    X, Q = rng.standard_normal((n_cells * per, d)), rng.standard_normal((q, d))
+
+    class Sent:
+        value = (np.arange(q), Q, {c: np.arange(q) for c in range(n_cells)})
+
+    met = []
+    best = scoring._topk_per_query
+    monkeypatch.setattr(scoring, "_topk_per_query", lambda parts, *a: met.append(sum(p.num_rows for p in parts)) or best(parts, *a))
+    monkeypatch.setattr(scoring, "_FOUND_ROWS", 40, raising=False)
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    run = scoring.make_batch_scorer(
+        Sent, metric="cosine", transform="identity", higher_is_better=True, cutoff=None, cap=cap,
+        id_col="id", vec_col="v", carry=(), out_schema=schema, cell_col="cell",
+    )
+    cells = np.repeat(np.arange(n_cells), per)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(X))), pa.array(X.tolist()), pa.array(cells)], names=["id", "v", "cell"])
+    found = pa.Table.from_batches(run([batch])).to_pydict()
+    S = (X / np.linalg.norm(X, axis=1, keepdims=True)) @ (Q / np.linalg.norm(Q, axis=1, keepdims=True)).T
+    want = {(j, int(i)) for j in range(q) for i in np.argsort(-S[:, j])[:cap]}
+    assert set(zip(found["query_id"], found["id"], strict=True)) == want
+    assert max(met) <= 2 * q * cap + 2 * 40
