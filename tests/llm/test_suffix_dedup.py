@@ -83,6 +83,33 @@ def test_repeated_rows_missing_ids_and_empty_tables(spark):
     assert SD.suffix_dedup(docs.limit(0), 50).count() == 0
 
 
+def test_texts_are_cut_once_and_no_shuffle_stays(spark, monkeypatch):
+    rows = list(enumerate(corpus()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    read, join = [], SD._with_picks
+    monkeypatch.setattr(SD, "_with_picks", lambda held, picks: read.append(held) or join(held, picks))
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "shuffle_" in f}
+
+    before = shuffles()
+    found = SD.suffix_dedup(docs, 64, hot_regions=3)
+    assert not shuffles() - before
+    assert len(read) > 2 and sum(held is read[0] for held in read) == 1  # hot anchors are dealt anew from their regions
+    assert found.count() == len(rows)
+
+
+def test_copies_with_and_without_an_id_keep_their_own_marks(spark):
+    rng = np.random.default_rng(9)
+    a, b = ("".join(map(chr, rng.integers(97, 123, 200))) for _ in range(2))
+    rows = [(None, a), (None, a), (7, a), (7, b), (7, b[:150]), (None, None), (None, a[:90] + b[:30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, *r[1:5]) for r in SD.suffix_dedup(docs, 40, hot_regions=1).collect())
+    want = sorted((i or 0, *row[:4]) for (i, _), row in zip(rows, plain([t for _, t in rows], 40), strict=True))
+    assert got == want
+
+
 def test_regions_do_not_depend_on_the_chunk(monkeypatch):
     raw = np.random.default_rng(1).integers(97, 101, 4000).astype(np.uint8)
     bounds = np.array([0, 1500, 1500, 1530, 4000])
